@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op8_byte_bpe
+from .order_minhash import op5_order_minhash
+from .packing import op2_packing
+from .pii import op9_pii
 from .quality_classifier import op7_quality_classifier
+from .simhash import op3_simhash
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
+    "op5_order_minhash": op5_order_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
