@@ -33,11 +33,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return top
 
 
-def cut(df: DataFrame, *, sized: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read back: lineage ends here, and a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -141,5 +141,6 @@ def joined(of: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spans(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "pii_spans")
     base = F.filter(F.col("pii_spans"), lambda s: s["kind"].isin(*KINDS[:4]))
-    counts = [F.size(F.filter(F.col("pii_spans"), lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    of = lambda kind: F.filter(F.col("pii_spans"), lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     return got.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
+from .hmm_lm import op10_hmm_lm
 from .order_minhash import op5_order_minhash
 from .packing import op2_packing
 from .pii import op9_pii
 from .quality_classifier import op7_quality_classifier
+from .quality_rules import op1_quality_rules
 from .simhash import op3_simhash
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_order_minhash": op5_order_minhash,
@@ -22,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
+    "op10_hmm_lm": op10_hmm_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
