@@ -31,13 +31,13 @@ COMMON_WORDS = {
     "es": {"de": 58, "la": 38, "que": 30, "el": 30, "en": 27, "y": 26, "los": 17, "se": 13, "del": 12, "las": 11, "un": 11, "por": 10, "con": 9, "no": 9, "es": 9, "una": 8, "su": 7, "para": 7, "al": 6, "lo": 6, "como": 5, "más": 4, "o": 4, "le": 4},
 }
 # Character classes, and their shares in running text in thousandths (the last takes what no class takes).
-CLASSES = {"letter": r"[^\p{L}]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+", "point": r"[^.,;:!?'\x22()-]+"}
+CLASSES = {"digit": r"[^0-9]+", "point": r"[^.,;:!?'\x22()-]+"}  # counted by removing all else; letters and white space come from the words
 CLASS_SHARES = {"letter": 800, "digit": 8, "space": 155, "point": 33, "other": 4}
 
 MAX_CLASS_DISTANCE = 0.14
 MAX_WORD_DISTANCE = 0.30
 NOISE = 1.2
-MIN_CHARS = 200
+MIN_CHARS = 300
 MIN_WORDS = 40
 WINDOW = 5
 
@@ -62,45 +62,23 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         def twice(s: Column) -> Column:
             # two neighbours with the same hash: both their places, those of a run's inner members twice
             same = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: F.get(h, place(F.get(s, j))) == F.get(h, place(F.get(s, j - 1))))
-            return F.when(F.size(s) < 2, F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda j: F.array(place(F.get(s, j)), place(F.get(s, j - 1))))))))
+            return F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda j: F.array(place(F.get(s, j)), place(F.get(s, j - 1)))))))
 
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         covered = lambda at: F.aggregate(at, start, lambda a, i: F.struct((i + width).alias("end"), (a["n"] + i + width - F.greatest(i, a["end"])).alias("n")), lambda a: a["n"])
-        return let(F.sort_array(packed), lambda s: covered(twice(s)))
+        # most texts repeat no window: for them a hash set is all it takes
+        return F.when(F.size(F.array_distinct(h)) == n, F.lit(0)).otherwise(let(F.sort_array(packed), lambda s: covered(twice(s))))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    windows = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - width), lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(width)]))
+    windows = lambda x: F.slice(F.transform(x, lambda v, i: F.xxhash64(v, *[F.get(x, i + k) for k in range(1, width)])), F.lit(1), F.size(x) - (width - 1))
     return F.when(F.size(words) < width, F.lit(0)).otherwise(let(hashed, lambda x: let(windows(x), lambda h: count(h, F.size(h)))))
 
 
-def divergence(pairs: list[tuple[Column, float]]) -> Column:
-    """Jensen-Shannon distance of two histograms that sum to one: (share in the text, share in the reference)."""
-    terms = []
-    for p, q in pairs:
-        m = (p + q) / 2
-        terms.append(F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + (q * F.log2(q / m) if q > 0 else F.lit(0.0)))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
-
-
-def _distance_from(shares: dict[str, int], n: Column) -> Callable[[Column], Column]:
-    def over(h: Column) -> Column:
-        counts = [F.size(F.filter(h, _is(w))) / n for w in shares]
-        rest = F.greatest(F.lit(0.0), 1 - sum(counts[1:], counts[0]))
-        return divergence([*((c, s / 1000) for c, s in zip(counts, shares.values(), strict=True)), (rest, 1 - sum(shares.values()) / 1000)])
-
-    return over
-
-
-def _word_distance(hits: Column, n: Column, lang: Column) -> Column:
-    """Distance of the common-word histogram from the language's reference."""
-    own = None
-    for code, shares in COMMON_WORDS.items():
-        at = let(F.filter(hits, _is(*shares)), _distance_from(shares, n))
-        own = F.when(lang == code, at) if own is None else own.when(lang == code, at)
-    return own
+def divergence(pairs: Column) -> Column:
+    """Jensen-Shannon distance of two histograms that sum to one: array of struct(p, q), shares in the text and in the reference."""
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    term = lambda x: part(x["p"], (x["p"] + x["q"]) / 2) + part(x["q"], (x["p"] + x["q"]) / 2)
+    return F.sqrt(F.greatest(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + term(x)) / 2, F.lit(0.0)))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -110,37 +88,44 @@ def measure(docs: DataFrame) -> DataFrame:
     words = F.array_remove(F.split("t", SPACE), "")
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     every = sorted({w for shares in COMMON_WORDS.values() for w in shares})
-    plain = F.split(F.lower("t"), r"[^\p{L}]+")
+    plain = F.array_remove(F.split(F.lower("t"), r"[^\p{L}]+"), "")
     counted = text.select(
         "doc_id",
         "lang",
         F.length("t").alias("n_chars"),
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(plain, lambda p: F.struct(F.size(F.array_remove(p, "")).alias("n"), F.filter(p, _is(*every)).alias("hits"))).alias("p"),
+        # common words in order, each between blanks of its own, so that counting one is a plain string replacement
+        let(plain, lambda p: F.struct(F.size(p).alias("n"), F.length(F.array_join(p, "")).alias("letters"), F.concat(F.lit(" "), F.array_join(F.filter(p, _is(*every)), "  "), F.lit(" ")).alias("hits"))).alias("p"),
         *[F.length(F.regexp_replace("t", other, "")).alias(f"n_{k}") for k, other in CLASSES.items()],
     )
-    by_lang = F.array_max(F.array(*[F.struct(F.size(F.filter("p.hits", _is(*s))).alias("n"), F.lit(k).alias("lang")) for k, s in COMMON_WORDS.items()]))["lang"]
-    chars = F.greatest(F.col("n_chars"), F.lit(1)).cast("double")
-    shares = [F.col(f"n_{k}") / chars for k in CLASSES]
-    rest = F.greatest(F.lit(0.0), 1 - (shares[0] + shares[1] + shares[2] + shares[3]))
-    total = sum(CLASS_SHARES.values())
-    class_distance = divergence([(p, q / total) for p, q in zip([*shares, rest], CLASS_SHARES.values(), strict=True)])
-    judged = counted.select(
+    size = F.length("p.hits")
+    flat = counted.select(
         "doc_id",
         "lang",
         "n_chars",
-        F.col("w.n_words").alias("n_words"),
-        (F.col("n_chars") - F.col("n_space")).cast("long").alias("word_chars"),
+        "w.*",
         "n_symbols",
         "n_dup_lines",
-        F.col("w.n_repeat_words").alias("n_repeat_words"),
         F.col("p.n").alias("n_plain"),
-        by_lang.alias("nearest"),
-        class_distance.alias("class_distance"),
-        F.col("p.hits").alias("hits"),
-    ).withColumn("word_distance", _word_distance(F.col("hits"), F.greatest(F.col("n_plain"), F.lit(1)).cast("double"), F.col("nearest"))).drop("hits")
+        F.greatest(F.col("n_chars"), F.lit(1)).cast("double").alias("chars"),
+        F.col("p.letters").alias("n_letter"),
+        *[f"n_{k}" for k in CLASSES],
+        F.array(*[((size - F.length(F.replace(F.col("p.hits"), F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w) + 2)) / F.greatest(F.col("p.n"), F.lit(1))) for w in every]).alias("word_shares"),
+    )
+    share_of = lambda ref: F.aggregate(ref, F.lit(0.0), lambda a, r: a + F.get(F.col("word_shares"), r["at"]))
+    refs = {code: F.array(*[F.struct(F.lit(every.index(w)).alias("at"), F.lit(q / 1000).alias("q")) for w, q in ref.items()]) for code, ref in COMMON_WORDS.items()}
+    by_lang = F.array_max(F.array(*[F.struct(share_of(ref).alias("share"), F.lit(code).alias("lang")) for code, ref in refs.items()]))
+    near = flat.withColumn("nearest", by_lang).withColumn("ref", F.element_at(F.create_map(*[x for code, ref in refs.items() for x in (F.lit(code), ref)]), F.col("nearest.lang")))
+    shares = [F.col("n_letter") / F.col("chars"), F.col("n_digit") / F.col("chars"), (F.col("n_chars") - F.col("word_chars")) / F.col("chars"), F.col("n_point") / F.col("chars")]
+    rest = F.greatest(F.lit(0.0), 1 - (shares[0] + shares[1] + shares[2] + shares[3]))
+    total = sum(CLASS_SHARES.values())
+    class_hist = F.array(*[F.struct(p.alias("p"), F.lit(q / total).alias("q")) for p, q in zip([*shares, rest], CLASS_SHARES.values(), strict=True)])
+    in_ref = F.transform("ref", lambda r: F.struct(F.get(F.col("word_shares"), r["at"]).alias("p"), r["q"].alias("q")))
+    others = F.struct(F.greatest(F.lit(0.0), 1 - F.col("nearest.share")).alias("p"), F.aggregate("ref", F.lit(1.0), lambda a, r: a - r["q"]).alias("q"))
+    class_distance, word_distance = divergence(class_hist), divergence(F.concat(in_ref, F.array(others)))
+    judged = near.select("doc_id", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_plain", F.col("nearest.lang").alias("nearest"), class_distance.alias("class_distance"), word_distance.alias("word_distance"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     unknown = F.col("lang").isNotNull() & ~F.lower("lang").isin(*COMMON_WORDS)
     classes_fit = (F.col("n_chars") < MIN_CHARS) | (F.col("class_distance") <= MAX_CLASS_DISTANCE + NOISE / F.sqrt(F.col("n_chars")))
