@@ -33,11 +33,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return top
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to a table in the shared folder and read back: lineage ends here, and a lost executor costs a read."""
+    """df written to a table in the shared folder and read back: lineage ends here, and a lost executor costs a read.
+
+    The table outlives the shuffles it was made by, whose files go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

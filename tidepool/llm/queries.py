@@ -14,12 +14,14 @@ from .pii import op9_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op1_quality_rules
 from .simhash import op3_simhash
+from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_order_minhash": op5_order_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
