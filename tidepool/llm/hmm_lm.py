@@ -56,6 +56,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The words of the highest counts, ``most`` rows at most: as many whole steps of the count (an eighth of an octave each) as fit."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    room, least = most, None
+    for b, n in sorted(((r["b"], r["n"]) for r in counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # some hundred rows
+        if n > room:
+            break
+        room, least = room - n, b
+    if least is None:
+        return []
+    return sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["word"]))
+
+
 class Model:
     """Start, moves and emissions; emissions by symbol: rows of STATES probabilities."""
 
@@ -180,7 +193,7 @@ def train_and_score(docs: DataFrame, training, states: int = STATES, symbols: in
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_docs = rows.where("trains").count()
     n, v = words + n_docs, distinct + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(dictionary).collect()  # bounded: DICTIONARY rows
+    top = most_frequent(counts, dictionary)
     number = {r["word"].encode("utf-8", "surrogatepass"): i for i, r in enumerate(top)}
     c = np.array([r["c"] for r in top], dtype=np.float64)
     symbols = min(symbols, len(top))
