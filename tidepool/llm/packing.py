@@ -16,14 +16,18 @@ table has no pieces.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,41 +40,150 @@ NEARLY_FULL = 0.98
 FAN_IN = 8
 CARRY = 50_000
 _CACHE_WORDS = 300_000
+_CACHE_PAIRS = 500_000
+_END = b"\xff"  # after a run's last byte: no byte of UTF-8
 #: What str.split() takes for white space but the tokenizer's pattern doesn't (or where that isn't sure).
 _ODD = re.compile("[\x1c-\x1f\x85]")
+#: Characters whose lower case and normal form are beyond doubt: up to U+017F, but for I with a dot.
+_PLAIN_WORD = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]*")
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN_SPLIT = re.compile("[ \t\n\r\v\f]+")
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, for tokenizers whose splits never cross white space."""
+    """Token ids of texts, as little-endian unsigned 32-bit bytes, for tokenizers whose splits never cross white space.
+
+    Words are looked up in a bounded cache, then the runs of letters, digits and signs in them in another. A run that is
+    new is merged here, pair by pair in the order of the tokenizer's merge list; words with characters beyond U+017F, or
+    of over 48 characters, go to the tokenizer itself, whose normalisation of them is its own.
+    """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         self.of: dict[str, bytes] = {}
+        self.runs_of: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        shown = _byte_letters()
+        self.inner = {b: vocab[c] for b, c in enumerate(shown)}
+        self.last = {b: vocab[c + suffix] for b, c in enumerate(shown)}
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        # (left id, right id): place in the merge list, and the id that results
+        self.merge = {(vocab[x], vocab[y]): (k, vocab[x + y]) for k, (x, y) in enumerate(pairs)}
+        byte_of = {c: b for b, c in enumerate(shown)}
+        self.bytes_of: dict[int, bytes] = {}
+        for token, i in vocab.items():
+            core = token.removesuffix(suffix)
+            if core and all(c in byte_of for c in core) and i not in (self.coder.token_to_id("<|startoftext|>"), self.coder.token_to_id("<|endoftext|>")):
+                self.bytes_of[i] = bytes(byte_of[c] for c in core) + _END * token.endswith(suffix)
+        self.guess = tiktoken.Encoding("guess", pat_str=r"\S+", mergeable_ranks={b: i for i, b in self.bytes_of.items()}, special_tokens={})._core_bpe.encode_single_piece
+        self.fits: dict[tuple[int, int], bool] = {}
+
+    def _symbols(self, raw: bytes) -> list[int]:
+        """Ids of single bytes; one that the end mark follows has the id of a last byte."""
+        if not raw.endswith(_END):
+            return [self.inner[b] for b in raw]
+        return [*(self.inner[b] for b in raw[:-2]), self.last[raw[-2]]]
+
+    def _merged(self, raw: bytes) -> list[int]:
+        """Ids by the merge list, pair by pair."""
+        ids = self._symbols(raw)
+        get, none = self.merge.get, (1 << 60, 0)
+        found = [get(p, none) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _fits(self, a: int, b: int) -> bool:
+        got = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b] if b >= 0 else self._merged(self.bytes_of[a]) == [a]
+        if len(self.fits) > _CACHE_PAIRS:
+            self.fits.clear()
+        self.fits[a, b] = got
+        return got
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run. They are guessed by merging whatever gives the lowest token, and right if each token alone and each
+        pair of neighbours come out as they are by the merge list: its first merge across a border would show in the pair."""
+        raw = run.encode() + _END
+        ids = self.guess(raw)
+        fits, check = self.fits, self._fits
+        for p in [(ids[-1], -1), *zip(ids, ids[1:])]:
+            ok = fits.get(p)
+            if not (check(*p) if ok is None else ok):
+                ids = self._merged(raw)
+                break
+        return np.array(ids, dtype="<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
+
+    def _new(self, word: str) -> bytes | None:
+        """The word's ids, or None if the tokenizer has to make them."""
+        if len(word) > 48 or not _PLAIN_WORD.fullmatch(word):
+            return None
+        low, runs_of, out = word.lower(), self.runs_of, []
+        for run in [low] if low.isascii() and low.isalpha() else _RUNS.findall(low):
+            got = runs_of.get(run)
+            if got is None:
+                if len(runs_of) > _CACHE_WORDS:
+                    runs_of.clear()
+                got = runs_of[run] = self._run(run)
+            out.append(got)
+        return b"".join(out)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [_PLAIN_SPLIT.split(t) if _ODD.search(t) else t.split() for t in texts]
-        of = self.of
-        if len(of) > _CACHE_WORDS:
-            of.clear()
-        out = []
-        for words in split:
+        of, out = self.of, []
+        for t in texts:
+            words = _PLAIN_SPLIT.split(t) if _ODD.search(t) else t.split()
+            if len(of) > _CACHE_WORDS:
+                of.clear()
             try:
                 out.append(b"".join([of[w] for w in words]))
+                continue
             except KeyError:
-                new = list({w for w in words if w not in of})
-                for w, e in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                pass
+            hard = []
+            for w in words:
+                if w not in of:
+                    got = self._new(w)
+                    if got is None:
+                        hard.append(w)
+                    else:
+                        of[w] = got
+            if hard:
+                for w, e in zip(hard, self.coder.encode_batch_fast(hard, add_special_tokens=False), strict=True):
                     of[w] = np.array(e.ids, dtype="<u4").tobytes()
-                out.append(b"".join([of[w] for w in words]))
-                for w in new:
-                    if len(w) > 48:
-                        del of[w]
+            out.append(b"".join([of[w] for w in words]))
+            for w in hard:
+                if len(w) > 48:
+                    of.pop(w, None)
         return out
 
 
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes 0 to 255 in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, more = [], 256
+    for b in range(256):
+        if b in plain:
+            out.append(chr(b))
+        else:
+            out.append(chr(more))
+            more += 1
+    return out
+
+
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
