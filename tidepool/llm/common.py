@@ -49,7 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing will read again: what was made from them has been cut in its turn."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to be no column of ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def unsigned_hex(col) -> F.Column:

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_text, documents
+from .common import cut, discard, doc_text, documents
 
 CAPACITY = 4096
 END = 1
@@ -55,7 +55,7 @@ class WordTokens:
 
     Words are looked up in a bounded cache, then the runs of letters, digits and signs in them in another. A run that is
     new is merged here, pair by pair in the order of the tokenizer's merge list; words with characters beyond U+017F, or
-    of over 48 characters, go to the tokenizer itself, whose normalisation of them is its own.
+    of over 48 characters, or with what may be a special token, go to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,7 +63,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
         self.of: dict[str, bytes] = {}
         self.runs_of: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -130,7 +129,7 @@ class WordTokens:
 
     def _new(self, word: str) -> bytes | None:
         """The word's ids, or None if the tokenizer has to make them."""
-        if len(word) > 48 or not _PLAIN_WORD.fullmatch(word):
+        if len(word) > 48 or "<|" in word or not _PLAIN_WORD.fullmatch(word):
             return None
         low, runs_of, out = word.lower(), self.runs_of, []
         for run in [low] if low.isascii() and low.isalpha() else _RUNS.findall(low):

@@ -14,8 +14,8 @@ Positions are found by splitting a text at the matches and adding up lengths, in
 and can begin only where a run begins (or where the last match ended), so that a pass is linear in the text. A kind's
 costlier steps run only for texts that have one of its matches.
 
-Null and empty texts have no spans. Rows are independent: repeated rows and ties need no rule. Of extra columns,
-``spans`` and ``redact`` keep all but those they add.
+Null and empty texts have no spans. Rows are independent: repeated rows and ties need no rule. ``spans``
+and ``redact`` keep all columns, whatever their names (``spans`` replaces one named as its result).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh
 
 KINDS = ("email", "ip", "card", "phone", "iban", "id")
 PATTERNS = {
@@ -107,22 +107,24 @@ def found(kind: str, text: Column) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(both, begin, step, lambda a: a["out"])).otherwise(none)
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with pii_spans: array of struct(start, end, kind, score) by start, then kind as listed."""
+def spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
+    """docs with ``into``: array of struct(start, end, kind, score) by start, then kind as listed."""
     t = F.coalesce(F.col(text), F.lit(""))
-    each = docs.withColumns({f"_pii_{k}": found(k, t) for k in KINDS})
-    covered = F.concat(*[F.col(f"_pii_{k}") for k in KINDS[:-1]])
-    alone = F.filter(F.col("_pii_id"), lambda s: ~F.exists(covered, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    own = {k: fresh(docs.columns, f"_pii_{k}") for k in KINDS}
+    each = docs.withColumns({own[k]: found(k, t) for k in KINDS})
+    covered = F.concat(*[F.col(own[k]) for k in KINDS[:-1]])
+    alone = F.filter(F.col(own["id"]), lambda s: ~F.exists(covered, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
     every = F.array_sort(F.concat(covered, alone), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     names = F.array(*[F.lit(k) for k in KINDS])
-    return each.withColumn("pii_spans", F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"), s["score"].alias("score")))).drop(*[f"_pii_{k}" for k in KINDS])
+    return each.withColumn(into, F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"), s["score"].alias("score")))).drop(*own.values())
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs whose text has <KIND> for each personal span; of overlapping spans the one that starts first counts, then the longer."""
-    got = spans(docs, text)
+    of = fresh(docs.columns, "_pii_spans")
+    got = spans(docs, text, of)
     t = F.coalesce(F.col(text), F.lit(""))
-    by_length = F.array_sort(F.col("pii_spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    by_length = F.array_sort(F.col(of), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     shape = "struct<at:int,out:string>"
 
     def step(a: Column, s: Column) -> Column:
@@ -131,7 +133,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(s["start"] >= a["at"], new).otherwise(more)
 
     clean = F.aggregate(by_length, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape), step, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1)))
-    return got.withColumn(text, F.when(F.size("pii_spans") > 0, clean).otherwise(F.col(text))).drop("pii_spans")
+    return got.withColumn(text, F.when(F.size(of) > 0, clean).otherwise(F.col(text))).drop(of)
 
 
 def joined(of: Column) -> Column:

@@ -96,8 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return np.frombuffer(got[0]["w"], "<f4").astype(float), got[0]["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with a column score."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], into: str = "score") -> DataFrame:
+    """docs with a column ``into``, in place of one of that name if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +108,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             for i, t in enumerate(b["text"]):
                 at, x = features(t or "", runs)
                 z[i] = w[at] @ x + bias
-            yield b.assign(score=1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))))
+            yield b.assign(**{into: 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))})
 
-    kept = docs.drop("score")
-    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double")
+    kept = docs.drop(into)
+    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{into}` double")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

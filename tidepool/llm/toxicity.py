@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     return dict(zip(np.frombuffer(got[0]["slots"], "<i4").tolist(), np.frombuffer(got[0]["w"], "<f4").tolist(), strict=True)), got[0]["bias"]
 
 
-def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
-    """docs with a column score."""
+def score(docs: DataFrame, model: tuple[dict[int, float], float], into: str = "score") -> DataFrame:
+    """docs with a column ``into``, in place of one of that name if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,10 +168,10 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
                     if own:
                         found.update(own)
                 z[i] = sum(weights[s] for s in sorted(found)) + bias
-            yield b.assign(score=1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))))
+            yield b.assign(**{into: 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))})
 
-    kept = docs.drop("score")
-    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double")
+    kept = docs.drop(into)
+    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{into}` double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
