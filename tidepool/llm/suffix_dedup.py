@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_text, documents
+from .common import cut, discard, doc_text, documents, fresh
 
 WIDTH = 50
 GRAM = 16
@@ -239,8 +239,10 @@ def removals(docs: DataFrame) -> DataFrame:
     kept_of = by_doc.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # as many as the document has runs
     filed = keyed.join(kept_of.hint("shuffle_hash"), "doc_id").mapInPandas(split, "h long, run binary, doc_id long, tkey long, start int")
     filed = cut(filed.withColumn("k", F.xxhash64("run")))
+    discard(by_doc)
     distinct = filed.groupBy("h", "k", "run").agg(F.min("doc_id").alias("least"), (F.max("doc_id") > F.min("doc_id")).alias("shared"))
     distinct = cut(distinct)
+    unique = distinct
     hot = cut(distinct.groupBy("h").agg(F.sum(F.octet_length("run")).alias("bytes")).where(F.col("bytes") > HOT).select("h"))
     places = filed.drop("run")
     if not hot.isEmpty():
@@ -250,8 +252,11 @@ def removals(docs: DataFrame) -> DataFrame:
         distinct = distinct.join(hot, "h", "left_anti").unionByName(alone)
         moved = filed.join(hot, "h").select(strings().alias("x"), "doc_id", "tkey", "start").select(F.xxhash64("x.s", F.lit(1)).alias("h"), "doc_id", "tkey", (F.col("start") + F.col("x.i")).alias("start"), F.xxhash64("x.s").alias("k"))
         places = places.join(hot, "h", "left_anti").unionByName(moved)
+    places = cut(places)  # without the bytes, which are the most of it
+    discard(filed)
     blocks = distinct.repartition("h").sortWithinPartitions("h")
     least = cut(blocks.mapInPandas(_least_by_run, "h long, k long, a int, b int, least long"))
+    discard(unique)
     gone = places.join(least, ["h", "k"]).where("doc_id > least").select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("at"), (F.col("start") + F.col("b") + (WIDTH - 1)).alias("upto"))
     return gone.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "upto")).alias("spans")).select("doc_id", "tkey", F.col("spans.at").alias("at"), F.col("spans.upto").alias("upto"))
 
@@ -268,9 +273,11 @@ def unite(at, upto) -> list[tuple[int, int]]:
     return list(zip(at[first].tolist(), reach[last].tolist(), strict=True))
 
 
-def _with_removals(docs: DataFrame) -> DataFrame:
-    gone = removals(docs)
-    return docs.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone.hint("shuffle_hash"), ["doc_id", "tkey"], "left").drop("tkey")
+def _with_removals(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the begins and ends of what goes, and the names of these two columns, which docs doesn't have."""
+    key, at, upto = (fresh(docs.columns, name) for name in ("_tkey", "_at", "_upto"))
+    gone = removals(docs).withColumnsRenamed({"tkey": key, "at": at, "upto": upto})
+    return docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(gone.hint("shuffle_hash"), ["doc_id", key], "left").drop(key), at, upto
 
 
 def rest_of(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -284,10 +291,12 @@ def rest_of(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
+    found, begin, end = _with_removals(doc_text(docs))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for name, text, at, upto in zip(b["doc_id"].tolist(), b["text"], b["at"], b["upto"], strict=True):
+            for name, text, at, upto in zip(b["doc_id"].tolist(), b["text"], b[begin], b[end], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 spans = unite(at, upto)
                 rest = rest_of(raw, spans)
@@ -295,20 +304,21 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": b["doc_id"].dtype})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_removals(doc_text(docs)).mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs whose texts lack the removed bytes."""
     names = docs.columns
+    found, begin, end = _with_removals(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if at is None or not len(at) else rest_of(t.encode("utf-8", "surrogatepass"), unite(at, upto)).decode("utf-8", "ignore") for t, at, upto in zip(b["text"], b["at"], b["upto"], strict=True)]
+            texts = [t if at is None or not len(at) else rest_of(t.encode("utf-8", "surrogatepass"), unite(at, upto)).decode("utf-8", "ignore") for t, at, upto in zip(b["text"], b[begin], b[end], strict=True)]
             yield b.assign(text=texts)[names]
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_removals(docs).mapInPandas(run, shape)
+    return found.mapInPandas(run, shape)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
