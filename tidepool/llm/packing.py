@@ -246,9 +246,10 @@ def _first_level(capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        b = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()
-        if not len(b):
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        b = pd.concat(held, ignore_index=True)
         sizes = b["length"].tolist()
         at, offset, fill = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         base = TaskContext.get().partitionId() << 32
