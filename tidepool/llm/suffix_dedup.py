@@ -238,13 +238,12 @@ def removals(docs: DataFrame) -> DataFrame:
     keyed = own.withColumn("tkey", F.xxhash64("text"))
     kept_of = by_doc.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # as many as the document has runs
     filed = keyed.join(kept_of.hint("shuffle_hash"), "doc_id").mapInPandas(split, "h long, run binary, doc_id long, tkey long, start int")
-    filed = cut(filed.withColumn("k", F.xxhash64("run")))
+    filed = cut(filed)
     discard(by_doc)
-    distinct = filed.groupBy("h", "k", "run").agg(F.min("doc_id").alias("least"), (F.max("doc_id") > F.min("doc_id")).alias("shared"))
-    distinct = cut(distinct)
-    unique = distinct
+    unique = cut(filed.groupBy("h", "run").agg(F.min("doc_id").alias("least"), (F.max("doc_id") > F.min("doc_id")).alias("shared")))
+    distinct = unique.select("h", F.xxhash64("run").alias("k"), "run", "least", "shared")
     hot = cut(distinct.groupBy("h").agg(F.sum(F.octet_length("run")).alias("bytes")).where(F.col("bytes") > HOT).select("h"))
-    places = filed.drop("run")
+    places = filed.select("h", "doc_id", "tkey", "start", F.xxhash64("run").alias("k"))
     if not hot.isEmpty():
         strings = lambda: F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("run") - WIDTH), lambda i: F.struct(i.alias("i"), F.substring(F.col("run"), i + 1, F.lit(WIDTH)).alias("s"))))
         alone = distinct.join(hot, "h").select(strings().alias("x"), "least", "shared").select(F.xxhash64("x.s", F.lit(1)).alias("h"), F.xxhash64("x.s").alias("k"), F.col("x.s").alias("run"), "least", "shared")
