@@ -33,9 +33,8 @@ def test_forward_is_the_sum_over_paths():
 
 def test_expected_counts_are_those_over_paths():
     m, docs = small_model(), [[0, 3, 1, 4], [2], [1, 1, 0]]
-    x, length, fresh = hmm_lm._windows([np.array(d) for d in docs], 8)
     out = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
-    log_likelihood = m.expect(x, length, fresh, out)
+    log_likelihood, _ = m.expect(hmm_lm.Sequences([np.array(d) for d in docs]), out)
     starts, moves, emits, total = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)), 0.0
     for d in docs:
         z = sum(v for _, v in paths(m, d))
@@ -57,15 +56,15 @@ def corpus():
     return [(i, " ".join([rnd.choice(common) if rnd.random() < 0.9 else f"Rare{rnd.randint(0, 300)}é" for _ in range(rnd.randint(0, 40))])) for i in range(200)] + [(900, None), (901, ""), (902, "unseen1 unseen2 w1 W2"), (910, "w3 " * 30_000)]
 
 
-@pytest.mark.parametrize("sizes", [(8192, 1 << 17), (20, 45)])
-def test_base_scores_equal_brute_force(spark, sizes):
+@pytest.mark.parametrize("dictionary", [1 << 15, 25])
+def test_base_scores_equal_brute_force(spark, dictionary):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
     trains = {r["doc_id"] for r in df.where(~held_out(F.col("doc_id"), 10, 0)).collect()}
     words = {i: (t or "").lower().split() for i, t in rows}
     c = Counter(w for i in trains for w in words[i])
     end, n, v = len(trains), sum(c.values()) + len(trains), len(c) + 1
-    got = {r["doc_id"]: r for r in hmm_lm.train_and_score(df, ~held_out(df["doc_id"], 10, 0), states=3, symbols=sizes[0], dictionary=sizes[1], rounds=2).collect()}
+    got = {r["doc_id"]: r for r in hmm_lm.train_and_score(df, ~held_out(df["doc_id"], 10, 0), states=3, dictionary=dictionary, rounds=2).collect()}
     assert len(got) == len(rows)
     for i, own in words.items():
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own) + math.log10((end + 0.1) / (n + 0.1 * (v + 1)))
@@ -89,3 +88,61 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     assert hmm_lm.train_and_score(df, F.lit(False)).count() == 2
     assert hmm_lm.train_and_score(df.limit(0), F.lit(True)).count() == 0
+
+
+def brute_baum_welch(docs, shares, states, rounds, rare):
+    """One document after another, one token after another."""
+    m, tails = hmm_lm.Model.first(shares, states), None
+    for _ in range(rounds):
+        starts, moves, emits, tails = np.ones(states), np.ones((states, states)), hmm_lm.PRIOR * shares[:, None] * np.ones(states), {}
+        for seq, words in docs:
+            alpha, beta = np.zeros((len(seq), states)), np.ones((len(seq), states))
+            for t, x in enumerate(seq):
+                alpha[t] = (m.start if t == 0 else alpha[t - 1] @ m.moves) * m.emits[x]
+            for t in range(len(seq) - 2, -1, -1):
+                beta[t] = m.moves @ (m.emits[seq[t + 1]] * beta[t + 1])
+            z, left = alpha[-1].sum(), list(words)
+            starts = starts + alpha[0] * beta[0] / z
+            for t, x in enumerate(seq):
+                own = alpha[t] * beta[t] / z
+                emits[x] += own
+                if x == rare:
+                    w = left.pop(0)
+                    tails[w] = tails.get(w, 0) + own
+                if t:
+                    moves = moves + np.outer(alpha[t - 1], m.emits[x] * beta[t]) * m.moves / z
+        m = hmm_lm.Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    return m, tails
+
+
+def test_training_and_scores_equal_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") if rnd.random() < 0.8 else f"r{rnd.randint(0, 30)}" for _ in range(rnd.randint(0, 60)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    training, states = F.col("doc_id") % 5 != 0, 3
+    got = {r["doc_id"]: r["score"] for r in hmm_lm.train_and_score(df, training, states=states, dictionary=9, rounds=3).collect()}
+    words = {i: t.split() for i, t in rows}
+    c = Counter(w for i in words for w in words[i] if i % 5)
+    ends = sum(1 for i in words if i % 5)
+    top = sorted((w for w in c if len(w) == 1), key=lambda w: (-c[w], w))
+    assert len(top) == 8 and min(c[w] for w in top) > 2 * max(c[w] for w in c if len(w) > 1)
+    number, rare, end = {w: i for i, w in enumerate(top)}, 8, 9
+    beyond = {w: k for w, k in c.items() if w not in number}
+    shares = np.array([*(c[w] for w in top), sum(beyond.values()), ends], dtype=float) + 0.1
+    encode = lambda own: ([*(number.get(w, rare) for w in own), end], [w for w in own if w not in number])
+    m, tails = brute_baum_welch([encode(words[i]) for i in words if i % 5], shares / shares.sum(), states, 3, rare)
+    total, floor = sum(tails.values()), sum(beyond.values()) + 0.1 * (len(beyond) + 1)
+    for i, own in words.items():
+        a = None
+        for w in [*own, None]:
+            e = m.emits[end if w is None else number.get(w, rare)]
+            if w is not None and w not in number:
+                e = e * (0.5 * tails.get(w, 0) / total + 0.5 * (c.get(w, 0) + 0.1) / floor)
+            a = (m.start if a is None else a @ m.moves) * e
+        assert math.isclose(got[i], math.log10(a.sum()), rel_tol=1e-4), i
+
+
+def test_likelihood_rises_from_round_to_round(spark):
+    df = spark.createDataFrame([(bytes(np.array([*[x % 5] * 20, 6], dtype="<u2").tobytes()), None) for x in range(60)], "ids binary, tail string")
+    model, beyond = hmm_lm.baum_welch(df, np.full(7, 1 / 7), 3, 5)
+    assert len(model.log_likelihood) == 5 and list(model.log_likelihood) == sorted(model.log_likelihood) and beyond.count() == 0

@@ -66,6 +66,7 @@ def test_likeness_feels_moved_passages():
 def test_ties_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, "e")], "doc_id long, text string")
     got = om.compare(df).collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 1, 1, 2]
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 1, 1, 2]  # a null id comes first
+    assert [r["edited_sha256"] for r in got if r["doc_id"] is None] == [hashlib.sha256(b"d").hexdigest()]
     assert om.compare(df.limit(0)).count() == 0
     assert om.fingerprints(df).count() == 5

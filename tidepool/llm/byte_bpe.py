@@ -1,6 +1,6 @@
 """Byte-level BPE as a monoid: texts are encoded by halves and joined at their borders.
 
-Encoding. A text of up to LEAF characters is a leaf. A longer one is halved, recursively, and neighbours are joined by
+Encoding. A piece of up to LEAF characters is a leaf. A longer text is halved, recursively, and neighbours are joined by
 re-encoding a window round the border that grows until both its ends are *stable*: a place between a visible character
 and white space that follows it. No match of the split pattern spans such a place and none looks past it to the left, so
 that tokens before the window and after it are those of the whole text; only the window's are made anew.
@@ -21,17 +21,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import doc_text, documents
+from .common import add_columns, doc_text, documents
 
-LEAF = 8192
+LEAF = 256
 LEAF_BYTES = 512
 #: Runs without white space of over so many characters are split into matches here and go through the byte tree.
 LONG_RUN = 2048
@@ -142,34 +141,36 @@ def default_vocabulary() -> tuple[str, str]:
 def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers as binary), decoded (bytes of the decoded ids)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = codec(*(vocabulary or default_vocabulary()))
-        for b in batches:
-            ids = [own.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x.astype("<u4").tobytes() for x in ids], "decoded": [own.decode(x) for x in ids]})
 
-    return doc_text(docs).mapInPandas(run, _id_type(docs) + ", ids binary, decoded binary")
+        def one(texts: list[str]) -> list[pa.Array]:
+            ids = [own.encode(t) for t in texts]
+            return [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
+
+        return one
+
+    return add_columns(doc_text(docs), ["text"], "ids binary, decoded binary", make).drop("text")
 
 
 def digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Length and hashes of what encode() gives, made where the ids are so that they needn't leave the task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = codec(*(vocabulary or default_vocabulary()))
-        for b in batches:
+
+        def one(texts: list[str]) -> list[pa.Array]:
             n, a, d = [], [], []
-            for t in b["text"]:
+            for t in texts:
                 ids = own.encode(t)
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 d.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.array(n, dtype=np.int64), "ids_sha256": a, "decoded_sha256": d})
-
-    return doc_text(docs).mapInPandas(run, _id_type(docs) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
+            return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
 
+        return one
 
-def _id_type(docs: DataFrame) -> str:
-    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    return add_columns(doc_text(docs), ["text"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make).drop("text")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 #: ASCII white space that separates words: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,15 +20,30 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def doc_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text, null texts as empty ones; whatever other columns there are stays out of the plan."""
+    """Only doc_id and text, null texts as empty ones; whatever other columns there are stays out of the plan.
+
+    All operators take integer doc_ids and refuse others alike.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id is {kind.simpleString()}; the operators take integers")
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def id_type(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where the session names none, as in tests."""
+    """The folder that the cluster shares. A local one is made only on a local master, where the session names none, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = f"file://{os.path.join(tempfile.gettempdir(), 'tidepool-shared')}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        import tempfile
+
+        top = f"file://{tempfile.mkdtemp(prefix='tidepool-shared-')}"
         spark.conf.set("spark.checkpoint.dir", top)
         spark.sparkContext.setCheckpointDir(top)
     return top
@@ -39,27 +55,49 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read back: lineage ends here, and a lost executor costs a read.
 
-    The table outlives the shuffles it was made by, whose files go as soon as it is written.
+    The table outlives the shuffles it was made by. Their files go as soon as it is written: the session is set to clean up
+    after each query once, at the first cut, and stays so.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
+    if spark.conf.get(_CLEAN, "false") != "true":
+        spark.conf.set(_CLEAN, "true")
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path
     return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote and nothing will read again: what was made from them has been cut in its turn."""
+    """Empties tables that cut() wrote and nothing will read again: what was made from them has been cut in its turn."""
     for table in tables:
-        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(table.cut_path)
-        path.getFileSystem(conf).delete(path, True)
+        table.sparkSession.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(table.cut_path)
+
+
+def map_batches(df: DataFrame, schema: StructType | str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """Arrow batches of df by a function that make() gives in each task, to lists of arrays by the schema's columns.
+
+    Columns that only pass through stay Arrow: 64-bit ids beside nulls keep their values, which pandas would make floats.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in one(b)], names=names)
+
+    shape = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    names = shape.names
+    return df.mapInArrow(run, shape)
+
+
+def add_columns(df: DataFrame, reads: list[str], shape: str, make: Callable[[], Callable[..., list]]) -> DataFrame:
+    """df with further columns, ``shape`` their DDL. make() gives, in each task, a function from lists of the columns read to the arrays of the new ones."""
+
+    def wrapped():
+        one = make()
+        return lambda b: [*b.columns, *one(*[b.column(b.schema.get_field_index(r)).to_pylist() for r in reads])]
+
+    return map_batches(df, StructType([*df.schema.fields, *StructType.fromDDL(shape).fields]), wrapped)
 
 
 def fresh(taken: list[str], name: str) -> str:

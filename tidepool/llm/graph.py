@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(rank(F.col("b")).alias("by"), F.col("b").alias("to"))).alias("m"))
         to = cut(near.select("v", F.least(F.struct(rank(F.col("v")).alias("by"), F.col("v").alias("to")), "m")["to"].alias("r")))
         step = live.join(to.select(F.col("v").alias("a"), F.col("r").alias("ra")), "a").join(to.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b")
-        live = cut(step.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        past, live = live, cut(step.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(past)
         if labels is None:
             labels = to.select("v", F.col("r").alias("root"))
         else:

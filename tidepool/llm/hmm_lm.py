@@ -1,20 +1,22 @@
 """Hidden Markov language model: Baum-Welch over all training documents, scores by scaled forward recursion.
 
-Tokens are the words of a text and an end. The model's symbols are the SYMBOLS most frequent words, one symbol for all
-rarer words, and the end. A rare word's probability is that of its symbol times its smoothed share among rare words, so
-that the model spreads one unit over the training vocabulary and one unseen word, as the base model does.
-
-* Counts: each task counts the words of its batches; one grouping with partial sums makes the corpus counts.
-* Words are numbered for the DICTIONARY most frequent (a bounded table, sent to all tasks). The counts of the words
-  beyond come by a join on the word, so that nothing that grows with the vocabulary is sent around; frequent words, the
-  skewed ones, never enter that join.
-* Each Baum-Welch round is one pass over all training tokens in windows of WINDOW tokens, vectorised over windows; expected
-  counts are summed per symbol across partitions by a grouping, SYMBOLS + 2 rows of STATES numbers come back.
-* Scoring runs the forward recursion over whole documents, vectorised over the documents of a batch.
+Tokens are the words of a text and an end. Every word has emissions of its own; only where they are kept differs:
+
+* The DICTIONARY most frequent words are numbered (a table of bounded size, sent to all tasks), and their emissions are
+  part of the model that each Baum-Welch round sends out.
+* The words beyond share one symbol while the rounds run (tied emissions). The last round also sums the expected counts of
+  each of them across the partitions, into a table by word that grows with the vocabulary and stays distributed. Their
+  emissions, an even mix of these counts and of the word's smoothed share among such words, are joined to the tokens when
+  texts are scored. Frequent words, the skewed ones, never enter that join.
+
+Each round is one pass over the whole sequences of all training documents: alpha and beta run from a document's first token
+to its end, vectorised over the documents of a group. Sequences lie by place (all first tokens, then all second ones, longer
+documents first), so that those that go on are always the leading rows. Expected counts are summed per symbol across
+partitions by a grouping; DICTIONARY + 2 rows of STATES numbers come back. Model.log_likelihood holds one number a round.
 
 Training documents are those whose crc32(doc_id as text) mod 10 is not 0. Null texts count as empty: their only token is
 the end. Rows are told apart by a row number, so repeated rows and repeated ids are scored each. With no training
-document nothing is known and base scores are 0. Extra columns are ignored.
+document nothing is known and base scores are 0. Extra columns are ignored. A null doc_id doesn't train and is scored.
 """
 
 from __future__ import annotations
@@ -23,37 +25,52 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_text, documents, held_out
+from .common import add_columns, cut, doc_text, documents, held_out, id_type, map_batches
 
 STATES = 8
-SYMBOLS = 1 << 13
-DICTIONARY = 1 << 17
+#: Words numbered for all tasks; two more symbols make 16 bits.
+DICTIONARY = (1 << 16) - 2
 ROUNDS = 6
-WINDOW = 32
 #: Weight, in tokens, of the corpus distribution in each state's emissions, and of uniform moves in its transitions.
 PRIOR = 200.0
-_BLOCK = 4096
+#: Share of the state-free part in the emissions of words beyond the dictionary.
+TIED = 0.5
+#: Sequences are taken together until they have so many tokens.
+GROUP = 1_500_000
+_COUNTED = 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def _as_text(words) -> pa.Array:
+    return pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, c over all rows of texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([_as_text(own), pa.array(list(own.values()), pa.int64())], names=["word", "c"])
+            own.clear()
+            return got
+
         for b in batches:
-            own: Counter[bytes] = Counter()
-            for t in b["text"]:
+            for t in b.column(0).to_pylist():
                 own.update(words_of(t))
-            yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in own], "c": np.fromiter(own.values(), dtype=np.int64, count=len(own))})
+                if len(own) > _COUNTED:
+                    yield out()
+        yield out()
 
-    return texts.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
@@ -69,11 +86,26 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["word"]))
 
 
+class Sequences:
+    """Sequences of symbols, laid out by place. ``place`` holds, document after document in ``order``, where each symbol lies."""
+
+    def __init__(self, docs: list[np.ndarray]) -> None:
+        self.order = np.argsort([-len(d) for d in docs], kind="stable")
+        lengths = np.array([len(docs[i]) for i in self.order])
+        self.live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # sequences longer than t
+        self.at = np.concatenate([[0], np.cumsum(self.live)])
+        self.flat = np.concatenate([docs[i] for i in self.order])
+        first = np.cumsum(lengths) - lengths
+        self.place = self.at[np.arange(len(self.flat)) - np.repeat(first, lengths)] + np.repeat(np.arange(len(docs)), lengths)
+        self.x = np.empty_like(self.flat)
+        self.x[self.place] = self.flat
+
+
 class Model:
     """Start, moves and emissions; emissions by symbol: rows of STATES probabilities."""
 
-    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> None:
-        self.start, self.moves, self.emits = start, moves, emits
+    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, log_likelihood: tuple[float, ...] = ()) -> None:
+        self.start, self.moves, self.emits, self.log_likelihood = start, moves, emits, log_likelihood
 
     @classmethod
     def first(cls, shares: np.ndarray, states: int, seed: int = 7) -> Model:
@@ -84,109 +116,131 @@ class Model:
         np.fill_diagonal(moves, 0.95 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), moves, emits / emits.sum(axis=0))
 
-    def expect(self, x: np.ndarray, length: np.ndarray, fresh: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-        """Adds the expected starts, moves and emissions of windows x (padded to their lengths) to out; their log likelihood."""
-        n, width = x.shape
-        starts, moves, emits = out
-        alpha, scale = np.empty((width, n, len(self.start))), np.ones((width, n))
-        seen = np.empty_like(alpha)
-        inside = np.arange(width)[:, None] < length[None, :]
-        for t in range(width):
-            seen[t] = self.emits[x[:, t]]
-            a = (self.start if t == 0 else alpha[t - 1] @ self.moves) * seen[t]
-            total = a.sum(axis=1)
-            total[total <= 0] = 1e-300
+    def forward(self, seqs: Sequences, seen: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
+        """Scales by place: their product is a sequence's probability. alpha takes the scaled forward vectors, if they are wanted."""
+        start, moves, ones = self.start.astype(seen.dtype), self.moves.astype(seen.dtype), np.ones(len(self.start), dtype=seen.dtype)
+        scale, a, o = np.empty(len(seen), dtype=seen.dtype), None, 0
+        for k in seqs.live.tolist():
+            a = start * seen[o : o + k] if a is None else (a[:k] @ moves) * seen[o : o + k]
+            total = np.maximum(a @ ones, 1e-37)
             a /= total[:, None]
-            alpha[t], scale[t] = a, np.where(inside[t], total, 1.0)
-        beta = np.ones((n, len(self.start)))
-        for t in range(width - 1, -1, -1):
-            post = alpha[t] * beta
-            post /= np.maximum(post.sum(axis=1), 1e-300)[:, None]
-            post[~inside[t]] = 0
-            seen_t = seen[t]
+            scale[o : o + k] = total
+            if alpha is not None:
+                alpha[o : o + k] = a
+            o += k
+        return scale
+
+    def expect(self, seqs: Sequences, out: tuple[np.ndarray, np.ndarray, np.ndarray], dtype=np.float64) -> tuple[float, np.ndarray]:
+        """Adds the expected starts, moves and emissions of whole sequences to out; their log likelihood, and the states' posteriors by place."""
+        starts, moves, emits = out
+        seen = self.emits.astype(dtype)[seqs.x]
+        alpha = np.empty_like(seen)
+        scale = self.forward(seqs, seen, alpha)
+        seen /= scale[:, None]
+        post, back = np.empty_like(seen), self.moves.T.astype(dtype)
+        live, at = seqs.live.tolist(), seqs.at.tolist()
+        beta = np.ones((0, len(self.start)), dtype=dtype)
+        for t in range(len(live) - 1, -1, -1):
+            k, o = live[t], at[t]
+            if len(beta) < k:  # sequences that end here
+                beta = np.concatenate([beta, np.ones((k - len(beta), len(self.start)), dtype=dtype)])
+            post[o : o + k] = beta
+            ahead = seen[o : o + k]
+            ahead *= beta
             if t:
-                ahead = seen_t * beta / scale[t][:, None]
-                ahead[~inside[t]] = 0
-                moves += (alpha[t - 1].T @ ahead) * self.moves
-                beta = np.where(inside[t][:, None], ahead @ self.moves.T, 1.0)
-            alpha[t] = post
-        starts += alpha[0][fresh].sum(axis=0)
-        flat = x.T.ravel()
+                beta = ahead @ back
+        before = np.arange(at[1], len(seen)) - np.repeat(seqs.live[:-1], seqs.live[1:])  # a place earlier in the same sequence
+        for k in range(0, len(before), 1 << 18):
+            moves += (alpha[before[k : k + (1 << 18)]].T @ seen[at[1] + k : at[1] + k + (1 << 18)]).astype(float) * self.moves
+        post *= alpha
+        post /= np.maximum(post @ np.ones(len(self.start), dtype=dtype), 1e-37)[:, None]
+        starts += post[: at[1]].sum(axis=0)
         for s in range(len(self.start)):
-            emits[:, s] += np.bincount(flat, weights=alpha[:, :, s].ravel(), minlength=len(emits))
-        return float(np.log(scale).sum())
+            emits[:, s] += np.bincount(seqs.x, weights=post[:, s], minlength=len(emits))
+        return float(np.log(scale.astype(float)).sum()), post
 
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence of symbols."""
-        out = np.zeros(len(docs))
+    def score(self, docs: list[np.ndarray], symbol: int = -1, factors: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each sequence of symbols. factors: by state, what the occurrences of ``symbol`` are worth beside its emission, in order."""
+        got = np.zeros(len(docs))
         if not docs:
-            return out
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        lengths = np.array([len(docs[i]) for i in order])
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
-        a, got = None, np.zeros(len(docs))
-        live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")  # sequences longer than t
-        for t in range(int(lengths[0])):
-            k = int(live[t])
-            seen = self.emits[flat[at[:k] + t]]
-            a = self.start * seen if a is None else (a[:k] @ self.moves) * seen
-            total = a.sum(axis=1)
-            total[total <= 0] = 1e-300
-            a = a / total[:, None]
-            got[:k] += np.log10(total)
-        out[order] = got
-        return out
-
-
-def _windows(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.array([len(d) for d in docs])
-    each = -(-lengths // width)
-    n = int(each.sum())
-    x = np.zeros((n, width), dtype=np.int32)
-    first = np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
-    place = np.repeat(first * width, lengths) + (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-    x.ravel()[place] = np.concatenate(docs)
-    length = np.full(n, width)
-    length[first + each - 1] = lengths - (each - 1) * width
-    fresh = np.zeros(n, dtype=bool)
-    fresh[first] = True
-    return x, length, fresh
-
-
-def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """encoded: a column ids of the training documents' symbols (16-bit). shares: the symbols' shares in them."""
+            return got
+        seqs = Sequences(docs)
+        seen = self.emits[seqs.x]
+        if factors is not None and len(factors):
+            lengths = np.array([len(d) for d in docs])
+            first = np.cumsum([(d == symbol).sum() for d in docs]) - np.array([(d == symbol).sum() for d in docs])
+            own = np.concatenate([np.arange(first[i], first[i] + (docs[i] == symbol).sum()) for i in seqs.order])
+            seen[seqs.place[seqs.flat == symbol]] *= factors[own]
+        else:
+            lengths = np.array([len(d) for d in docs])
+        logs = np.log10(self.forward(seqs, seen))[seqs.place]
+        ends = np.cumsum(lengths[seqs.order])
+        got[seqs.order] = np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
+        return got
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], list[str]]]:
+    """ids and tails of rows, up to about ``most`` tokens together."""
+    ids: list[np.ndarray] = []
+    tails: list[str] = []
+    size = 0
+    for b in batches:
+        for i, tail in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(i, "<u2")
+            ids.append(own)
+            tails.append(tail)
+            size += len(own)
+            if size >= most:
+                yield ids, tails
+                ids, tails, size = [], [], 0
+    if ids:
+        yield ids, tails
+
+
+def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None]:
+    """The model, and word, s0, s1, ...: expected counts of the words of tails (the last symbol but one) in the last round.
+
+    encoded: columns ids (the training documents' symbols, 16-bit) and tail (blank-joined words beyond the dictionary, in
+    order). shares: the symbols' shares in them.
+    """
     sc, model, size = encoded.sparkSession.sparkContext, Model.first(shares, states), len(shares)
-    names = [f"s{i}" for i in range(states)]
-    for _ in range(rounds):
-        sent = sc.broadcast(model)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            own = sent.value
-            out = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-            any_rows = False
-            for b in batches:
-                docs = [np.frombuffer(i, "<u2") for i in b["ids"]]
-                for k in range(0, len(docs), 1024):
-                    x, length, fresh = _windows(docs[k : k + 1024], WINDOW)
-                    any_rows = True
-                    for at in range(0, len(x), _BLOCK):
-                        own.expect(x[at : at + _BLOCK], length[at : at + _BLOCK], fresh[at : at + _BLOCK], out)
-            if any_rows:
-                table = np.concatenate([out[2], out[1], out[0][None, :]])
-                used = np.flatnonzero(table.sum(axis=1) > 0)
-                yield pd.DataFrame(table[used], columns=names).assign(k=used.astype(np.int32))[["k", *names]]
-
-        summed = encoded.select("ids").mapInPandas(run, "k int, " + ", ".join(f"{n} double" for n in names)).groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        table = np.zeros((size + states + 1, states))
-        table[summed["k"].to_numpy()] = summed[names].to_numpy()
-        emits, moves, start = table[:size] + PRIOR * shares[:, None], table[size : size + states] + 1.0, table[-1] + 1.0
-        model = Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    names, rare, beyond = [f"s{i}" for i in range(states)], size - 2, None
+    for turn in range(rounds):
+        sent, last = sc.broadcast(model), turn == rounds - 1
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            own, out, total = sent.value, (np.zeros(states), np.zeros((states, states)), np.zeros((size, states))), 0.0
+            shape = lambda k, words, table: pa.RecordBatch.from_arrays([k, words, *[pa.array(table[:, s], pa.float64()) for s in range(states)]], names=["k", "word", *names])
+            for ids, tails in _grouped(batches, GROUP):
+                seqs = Sequences(ids)
+                more, post = own.expect(seqs, out, np.float32)
+                total += more
+                if last:
+                    number: dict[str, int] = {}
+                    which = [number.setdefault(w, len(number)) for i in seqs.order if tails[i] is not None for w in tails[i].split(" ")]
+                    if which:
+                        at = seqs.place[seqs.flat == rare]
+                        table = np.stack([np.bincount(which, weights=post[at, s], minlength=len(number)) for s in range(states)], axis=1)
+                        yield shape(pa.nulls(len(number), pa.int32()), pa.array(list(number), pa.string()), table)
+            table = np.concatenate([out[2], out[1], out[0][None, :], np.full((1, states), total)])
+            used = np.flatnonzero(table.any(axis=1))
+            yield shape(pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), table[used])
+
+        found = encoded.select("ids", "tail").mapInArrow(run, "k int, word string, " + ", ".join(f"{n} double" for n in names))
+        summed = found.groupBy("k", "word").agg(*[F.sum(n).alias(n) for n in names])
+        if last:
+            summed = cut(summed)
+            beyond = summed.where("word is not null").drop("k")
+        rows = summed.where("k is not null").drop("word").toPandas()  # a row a symbol
+        table = np.zeros((size + states + 2, states))
+        table[rows["k"].to_numpy()] = rows[names].to_numpy()
+        emits, moves, start = table[:size] + PRIOR * shares[:, None], table[size : size + states] + 1.0, table[-2] + 1.0
+        model = Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0), (*model.log_likelihood, float(table[-1, 0])))
         sent.unpersist()
-    return model
+    return model, beyond
 
 
-def train_and_score(docs: DataFrame, training, states: int = STATES, symbols: int = SYMBOLS, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> DataFrame:
+def train_and_score(docs: DataFrame, training, states: int = STATES, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, training flag, counts and scores of every row. training: a boolean column of doc_id."""
     rows = doc_text(docs).withColumn("trains", F.coalesce(training, F.lit(False)))
     counts = cut(word_counts(rows.where("trains")))
@@ -196,58 +250,76 @@ def train_and_score(docs: DataFrame, training, states: int = STATES, symbols: in
     top = most_frequent(counts, dictionary)
     number = {r["word"].encode("utf-8", "surrogatepass"): i for i, r in enumerate(top)}
     c = np.array([r["c"] for r in top], dtype=np.float64)
-    symbols = min(symbols, len(top))
-    rare, end = symbols, symbols + 1
-    n_rare, v_rare = words - c[:symbols].sum(), distinct - symbols
+    rare, end = len(top), len(top) + 1
+    n_rare, v_rare = words - c.sum(), distinct - len(top)
     base_floor, rare_floor = float(n + 0.1 * (v + 1)), float(n_rare + 0.1 * (v_rare + 1))
-    base_of, rare_of = np.log10((c + 0.1) / base_floor), np.log10((c + 0.1) / rare_floor)
-    rare_of[:symbols] = 0.0
+    base_of = np.log10((c + 0.1) / base_floor)
     end_base = float(np.log10((n_docs + 0.1) / base_floor))
-    sent = docs.sparkSession.sparkContext.broadcast((number, base_of, rare_of))
+    sent = docs.sparkSession.sparkContext.broadcast((number, base_of))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode():
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        number, base_of, rare_of = sent.value
-        for b in batches:
-            ids, base, more, n_tokens, known, tail = [], [], [], [], [], []
-            for t in b["text"]:
+        number, base_of = sent.value
+
+        def one(texts: list[str]) -> list:
+            nonlocal row
+            ids, base, n_tokens, known, tail = [], [], [], [], []
+            for t in texts:
                 own = words_of(t)
                 at = np.array([number.get(w, -1) for w in own], dtype=np.int64)
                 hit = at >= 0
                 here = at[hit]
                 base.append(base_of[here].sum() + end_base)
-                more.append(rare_of[here].sum())
                 known.append(len(here) + (n_docs > 0))
                 n_tokens.append(len(own) + 1)
                 tail.append(b" ".join([own[i] for i in np.flatnonzero(~hit)]).decode("utf-8", "surrogatepass") if len(here) < len(own) else None)
-                ids.append(np.append(np.where(hit & (at < symbols), at, rare), end).astype("<u2").tobytes())
-            yield pd.DataFrame({"row": row + np.arange(len(b), dtype=np.int64), "doc_id": b["doc_id"], "trains": b["trains"], "ids": ids, "n_tokens": np.array(n_tokens, dtype=np.int64), "known": np.array(known, dtype=np.int64), "base": np.array(base), "more": np.array(more), "tail": tail})
-            row += len(b)
+                ids.append(np.append(np.where(hit, at, rare), end).astype("<u2").tobytes())
+            row += len(texts)
+            return [pa.array(np.arange(row - len(texts), row), pa.int64()), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tail, pa.string())]
+
+        return one
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    encoded = cut(rows.mapInPandas(encode, f"row long, doc_id {kind}, trains boolean, ids binary, n_tokens long, known long, base double, more double, tail string"))
+    encoded = cut(add_columns(rows, ["text"], "row long, ids binary, n_tokens long, known long, base double, tail string", encode).drop("text"))
 
-    shares = np.append(c[:symbols], [max(n_rare, 0), n_docs]).astype(float) + 0.1
-    model = baum_welch(encoded.where("trains"), shares / shares.sum(), states, rounds)
+    shares = np.append(c, [max(n_rare, 0), n_docs]).astype(float) + 0.1
+    model, beyond = baum_welch(encoded.where("trains"), shares / shares.sum(), states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="ids").assign(score=shared.value.score([np.frombuffer(i, "<u2") for i in b["ids"]]))
-
-    scored = encoded.drop("tail").mapInPandas(forward, f"row long, doc_id {kind}, trains boolean, n_tokens long, known long, base double, more double, score double")
-    # words beyond the dictionary: their counts by a join, one row per document again
-    beyond = counts.select("word", "c")
-    rest = encoded.where("tail is not null").select("row", F.explode(F.split("tail", " ")).alias("word")).join(beyond, "word", "left")
-    seen = F.coalesce(F.col("c"), F.lit(0))
-    sums = rest.groupBy("row").agg(F.sum(F.log10((seen + 0.1) / base_floor)).alias("tail_base"), F.sum(F.log10((seen + 0.1) / rare_floor)).alias("tail_more"), F.count("c").alias("tail_known"))
+    # words beyond the dictionary: their counts and emissions by a join on the word, one row per document again
+    names = [f"s{i}" for i in range(states)]
+    sums = beyond.agg(*[F.sum(s) for s in names]).first()
+    by_word = counts.join(beyond.withColumnRenamed("word", "own"), F.col("word") == F.col("own")).select("word", "c", *[(F.col(s) / (x or 1.0)).alias(s) for s, x in zip(names, sums, strict=True)])
+    seen = F.coalesce(F.col("c"), F.lit(0)) + 0.1
+    tails = encoded.where("tail is not null").select("row", F.posexplode(F.split("tail", " ")).alias("pos", "word")).join(by_word, "word", "left")
+    worth = [(F.coalesce(F.col(s), F.lit(0.0)) * (1 - TIED) + seen / rare_floor * TIED).alias(s) for s in names]
+    of = cut(tails.groupBy("row").agg(F.sum(F.log10(seen / base_floor)).alias("tail_base"), F.count("c").alias("tail_known"), F.sort_array(F.collect_list(F.struct("pos", *worth))).alias("words")))
+
+    def forward():
+        own = shared.value
+
+        def one(b: pa.RecordBatch) -> list:
+            get = lambda name: b.column(b.schema.get_field_index(name))
+            words = get("words").flatten()
+            factors = np.stack([words.field(s).to_numpy(zero_copy_only=False) for s in names], axis=1) if len(words) else None
+            docs, score, at, begin = [np.frombuffer(i, "<u2") for i in get("ids").to_pylist()], [], 0, 0
+            while begin < len(docs):
+                upto, size = begin, 0
+                while upto < len(docs) and (size < GROUP or upto == begin):
+                    size += len(docs[upto])
+                    upto += 1
+                m = sum(int((d == rare).sum()) for d in docs[begin:upto])
+                score.append(own.score(docs[begin:upto], rare, None if factors is None else factors[at : at + m]))
+                at, begin = at + m, upto
+            return [get(x) for x in kept] + [pa.array(np.concatenate(score) if score else [], pa.float64())]
+
+        return one
+
+    kept = ["doc_id", "trains", "n_tokens", "known", "base", "tail_base", "tail_known"]
+    scored = map_batches(encoded.drop("tail").join(of, "row", "left"), f"{id_type(docs)}, trains boolean, n_tokens long, known long, base double, tail_base double, tail_known long, score double", forward)
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.join(sums, "row", "left").select(
-        "doc_id", "trains", "n_tokens", (F.col("known") + zero("tail_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("score") + F.col("more") + zero("tail_more")).alias("score"),
-    )
+    return scored.select("doc_id", "trains", "n_tokens", (F.col("known") + zero("tail_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + zero("tail_base")).alias("base_score"), "score")
 
 
 def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

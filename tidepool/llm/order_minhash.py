@@ -7,8 +7,8 @@ the share of sketches that agree.
 
 A text of fewer than K words has its words together as its only k-mer; one of fewer than TAKEN k-mers uses all of them;
 an empty text (or null) has the fingerprint of no k-mers, equal to that of any other text without words. Rows with equal
-doc_id follow each other by text. A table of one row is its own next document. Rows with a
-null doc_id have no place in the order and are left out; extra columns are ignored.
+doc_id follow each other by text. A table of one row is its own next document. A null doc_id
+comes before all others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents
+from .common import add_columns, doc_text, documents, id_type
 
 K, TAKEN, SKETCHES = 2, 2, 64
 _CACHE_WORDS = 300_000
@@ -109,41 +109,43 @@ def _hex(v: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, k: int = K, taken: int = TAKEN, sketches: int = SKETCHES) -> DataFrame:
     """doc_id, fingerprint (hex)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         omh = OrderMinHash(k, taken, sketches)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [_hex(omh(t)) for t in b["text"]]})
+        return lambda texts: [pa.array([_hex(omh(t)) for t in texts], pa.string())]
 
-    return doc_text(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return add_columns(doc_text(docs), ["text"], "fingerprint string", make).drop("text")
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, text, range, spare: rows of one range lie in one partition in ascending doc_id, and each range ends with the
-    spare rows of the id that the following one begins with.
+    """doc_id, text, range, spare: rows of one range lie in one partition of their own, in ascending doc_id, and each range ends
+    with the spare rows of the id that the following one begins with.
 
     The ids that begin the ranges are percentiles of doc_id (one light pass over that column; ``ranges`` numbers come to
     the driver), and only rows with these ids are dealt out twice, so that the text is shuffled once.
     """
-    rows = doc_text(docs).where(F.col("doc_id").isNotNull())
-    cuts = rows.agg(F.expr(f"percentile_approx(doc_id, array({', '.join(str(i / ranges) for i in range(1, ranges))}), 10000)") if ranges > 1 else F.lit(None), F.min("doc_id")).first()
+    rows = doc_text(docs).withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    cuts = rows.agg(F.expr(f"percentile_approx(place, array({', '.join(str(i / ranges) for i in range(1, ranges))}), 10000)") if ranges > 1 else F.lit(None), F.min("place")).first()
     begin = sorted({*(cuts[0] or ()), *([] if cuts[1] is None else [cuts[1]])})
     if not begin:
-        return rows.select("*", F.lit(0).alias("range"), F.lit(False).alias("spare"))
-    begins = F.array(*[F.lit(b) for b in begin])
-    # bisection by built-ins: the number of beginnings at or below the id
-    at = F.greatest(F.size(F.filter(begins, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
-    spare = F.when(F.col("doc_id").isin(begin), F.pmod(F.col("range") - 1, F.lit(len(begin)))).otherwise(F.lit(None).cast("int"))
+        return rows.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("spare"))
+    # the last beginning at or below the id, by bisection: steps of falling powers of two
+    begins, steps = F.array(*[F.lit(b) for b in begin]), F.array(*[F.lit(1 << k) for k in reversed(range(len(begin).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(begins, low + step) <= F.col("place"), low + step).otherwise(low))
+    spare = F.when(F.col("place").isin(begin), F.pmod(F.col("range") - 1, F.lit(len(begin))))
+    one = lambda r, s: F.struct(r.cast("int").alias("range"), F.lit(s).alias("spare"))
     placed = rows.withColumn("range", at)
-    both = placed.withColumn("to", F.explode(F.when(spare.isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("spare")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("spare")), F.struct(spare.cast("int").alias("range"), F.lit(True).alias("spare"))))))
-    return both.select("doc_id", "text", "to.range", "to.spare").repartition(ranges, "range").sortWithinPartitions("range", "spare", "doc_id", "text")
+    both = placed.withColumn("to", F.explode(F.when(spare.isNull(), F.array(one(F.col("range"), False))).otherwise(F.array(one(F.col("range"), False), one(spare, True)))))
+    dealt = both.select("doc_id", "text", "to.range", "to.spare", "place").repartitionById(len(begin), F.col("range"))
+    return dealt.sortWithinPartitions("range", "spare", "place", "doc_id", "text").drop("place")
 
 
 def compare(docs: DataFrame, k: int = K, taken: int = TAKEN, sketches: int = SKETCHES) -> DataFrame:
     """Fingerprints of each text, and likeness to its edited text and to the next document's."""
     spark = docs.sparkSession
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omh = OrderMinHash(k, taken, sketches)
         last = None  # doc_id, text, range, fingerprint of the row whose next one is awaited
 
@@ -155,7 +157,7 @@ def compare(docs: DataFrame, k: int = K, taken: int = TAKEN, sketches: int = SKE
 
         for b in batches:
             out = []
-            for name, text, at, spare in zip(b["doc_id"].tolist(), b["text"].tolist(), b["range"].tolist(), b["spare"].tolist(), strict=True):
+            for name, text, at, spare in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                 if last is not None and last[2] != at:
                     raise ValueError("a range has no row that follows its last one")
                 if spare and last is None:
@@ -164,10 +166,10 @@ def compare(docs: DataFrame, k: int = K, taken: int = TAKEN, sketches: int = SKE
                 if last is not None:
                     out.append(result(last, text, own))
                 last = None if spare else (name, text, at, own)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": b["doc_id"].dtype})
+            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_next(docs, ranges).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, ranges).mapInArrow(run, f"{id_type(docs)}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 Documents are tokenised where they lie (a word's tokens don't depend on its neighbours, so each task keeps a bounded
 cache by word) and cut into pieces of at most ``capacity`` tokens. Each partition packs its pieces best-fit decreasing.
 Sequences that are nearly full are final; the others become items themselves and go up a tree: each node takes the
-items of ``FAN_IN`` nodes below, packs them best-fit again and passes on what is still not nearly full. An item that
-went up carries the list of first-level bins in it and their offsets, so that placing a piece is one join in the end.
+items of ``FAN_IN`` nodes below, packs them best-fit again and passes on what is still not nearly full.
 
-A node passes on at most CARRY bins, the least filled; fuller ones are then final as they are, which bounds a task's
-memory whatever the corpus holds and leaves every piece placed.
+Best fit is worked out on counts: a node's task gets how many items of each size there are, ``capacity`` numbers at most,
+and tells for each size which ranks go to which bins. The items themselves stay in tables. Their ranks are numbered within
+chunks of at most 65,536 items of a node and size, and the chunks' beginnings by sums over their counts, so that neither
+equal sizes nor the tree's root gather in one task. A piece's place is found by one join a level.
 
 A null text counts as empty and has the end token only. Every row of documents is packed, rows with equal doc_id too
 (their pieces then have equal names, and are told apart by sequence_id and offset). Extra columns are ignored; an empty
@@ -27,18 +28,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, doc_text, documents
+from .common import cut, discard, doc_text, documents, fresh, id_type
 
 CAPACITY = 4096
 END = 1
 #: Bins filled to this share are final at once.
 NEARLY_FULL = 0.98
 FAN_IN = 8
-CARRY = 50_000
 _CACHE_WORDS = 300_000
 _CACHE_PAIRS = 500_000
 _END = b"\xff"  # after a run's last byte: no byte of UTF-8
@@ -195,117 +196,143 @@ def default_tokenizer() -> str:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and the ids themselves (binary) if asked for."""
+    """doc_id, piece, start, length, ids_crc32, and the ids themselves (little-endian unsigned 32-bit integers, binary) if asked for."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = word_tokens(path or default_tokenizer()), np.array([end], dtype="<u4").tobytes()
         for b in batches:
             who, k, start, length, crc, own = [], [], [], [], [], []
-            names = b["doc_id"].tolist()
-            for name, got in zip(names, coder.batch(b["text"].tolist()), strict=True):
+            for row, got in enumerate(coder.batch(b.column(1).to_pylist())):
                 got += last
                 for j, at in enumerate(range(0, len(got), 4 * capacity)):
                     part = got[at : at + 4 * capacity]
-                    who.append(name)
+                    who.append(row)
                     k.append(j)
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     own.append(part)
-            yield pd.DataFrame({"doc_id": pd.Series(who, dtype=b["doc_id"].dtype), "piece": np.array(k, dtype=np.int32), "start": np.array(start, dtype=np.int64), "length": np.array(length, dtype=np.int64), "ids_crc32": np.array(crc, dtype=np.int64)} | ({"ids": own} if ids else {}))
+            columns = [b.column(0).take(pa.array(who, pa.int64())), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.binary())] * ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
 
-    return doc_text(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    return doc_text(docs).mapInArrow(run, f"{id_type(docs)}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers. Items go by decreasing size (ties by number) to the fullest bin that takes them."""
-    bins: list[list[int]] = []
-    open_at: dict[int, list[int]] = {}  # room: bins that have it
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit by decreasing size of so many items of each size. Rows: size, lo, hi, each, bin, used.
+
+    The items of that size with ranks lo to hi (exclusive) go to the bins from ``bin`` on, ``each`` in turn to every bin, which
+    already hold ``used``. A bin takes items of a size for as long as they fit, as it stays the fullest one that takes them.
+    """
+    out, bins = [], 0
+    open_at: dict[int, list[tuple[int, int]]] = {}  # room: ranges of bins (first, how many) that have it
     rooms: list[int] = []  # rooms that some bin has, ascending
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        k = bisect_left(rooms, sizes[i])
-        if k == len(rooms):
-            at, room = len(bins), capacity
-            bins.append([])
-        else:
-            room = rooms[k]
-            at = open_at[room].pop()
-            if not open_at[room]:
-                del open_at[room], rooms[k]
-        bins[at].append(i)
-        room -= sizes[i]
-        if room:
+
+    def put(room: int, first: int, n: int) -> None:
+        if room and n:
             if room not in open_at:
                 open_at[room] = []
                 insort(rooms, room)
-            open_at[room].append(at)
-    return bins
+            open_at[room].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        left, lo = counts[size], 0
+        while left:
+            k = bisect_left(rooms, size)
+            if k == len(rooms):
+                room, first, have = capacity, bins, -(-left // (capacity // size))
+                bins += have
+            else:
+                room = rooms[k]
+                first, have = open_at[room].pop()
+                if not open_at[room]:
+                    del open_at[room], rooms[k]
+            each = room // size
+            took = min(left, have * each)
+            whole, rest = divmod(took, each)
+            out.append((size, lo, lo + took, each, first, capacity - room))
+            put(room - each * size, first, whole)
+            put(room - rest * size, first + whole, int(rest > 0))
+            put(room, first + whole + (rest > 0), have - whole - (rest > 0))
+            left, lo = left - took, lo + took
+    return out
 
 
-def _first_level(capacity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_level(capacity: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = [b for b in batches if len(b)]
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        b = pd.concat(held, ignore_index=True)
-        sizes = b["length"].tolist()
-        at, offset, fill = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-        base = TaskContext.get().partitionId() << 32
-        for k, items in enumerate(best_fit(sizes, capacity)):
-            full = 0
-            for i in items:
-                at[i], offset[i] = base + k, full
-                full += sizes[i]
-            fill[items] = full
-        yield b.assign(bin=at, offset=offset, fill=fill)
+        sizes = np.concatenate([b.column(b.schema.get_field_index("length")).to_numpy() for b in held])
+        at, offset, fill = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        own, first, count = np.unique(sizes[order], return_index=True, return_counts=True)
+        begin = dict(zip(own.tolist(), first.tolist(), strict=True))
+        for size, lo, hi, each, to, used in best_fit(dict(zip(own.tolist(), count.tolist(), strict=True)), capacity):
+            items, k = order[begin[size] + lo : begin[size] + hi], np.arange(hi - lo)
+            at[items], offset[items] = to + k // each, used + k % each * size
+        np.add.at(fill, at, sizes)  # by bin; there are no more of them than items
+        base, row = TaskContext.get().partitionId() << 32, 0
+        for b in held:
+            part = slice(row, row + b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + at[part]), pa.array(offset[part]), pa.array(fill[at[part]])], names=names)
+            row += b.num_rows
 
     return run
 
 
-def _node(capacity: int, last: bool):
-    """Packs the items of a tree node. Rows: node, item, fill, members; done says whether the item is final."""
-
+def _node(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("item", ignore_index=True)
-        fills, members = rows["fill"].tolist(), rows["members"].tolist()
-        out = []
-        for items in best_fit(fills, capacity):
-            full, own = 0, []
-            for i in items:
-                own += [{"bin": m["bin"], "base": m["base"] + full} for m in members[i]]
-                full += fills[i]
-            out.append((int(rows["item"][items[0]]), full, own))
-        out.sort(key=lambda x: (x[1], x[0]))
-        done = [last or full >= NEARLY_FULL * capacity or k >= CARRY for k, (_, full, _) in enumerate(out)]
-        return pd.DataFrame({"node": rows["node"][0] // FAN_IN, "item": [x[0] for x in out], "fill": [x[1] for x in out], "members": [x[2] for x in out], "done": done})
+        found = best_fit(dict(zip(rows["fill"].tolist(), rows["n"].tolist(), strict=True)), capacity)
+        return pd.DataFrame(found, columns=["fill", "lo", "hi", "each", "to", "used"]).assign(node=rows["node"][0])[["node", "fill", "lo", "hi", "each", "to", "used"]]
 
     return run
 
 
+def _level(live: DataFrame, level: int, capacity: int) -> DataFrame:
+    """node, item, fill, parent, base: the bin of its node that each item goes to, and its place there. live: node, item, fill."""
+    chunked = live.withColumn("chunk", F.shiftright("item", 16))
+    counts = chunked.groupBy("node", "fill", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    begin = counts.withColumn("before", F.sum("n").over(Window.partitionBy("node", "fill").orderBy("chunk")) - F.col("n")).drop("n")
+    rules = counts.groupBy("node", "fill").agg(F.sum("n").alias("n")).groupBy("node").applyInPandas(_node(capacity), "node long, fill long, lo long, hi long, each long, to long, used long")
+    own = F.row_number().over(Window.partitionBy("node", "fill", "chunk").orderBy("item")) - 1
+    ranked = chunked.withColumn("own", own).join(begin, ["node", "fill", "chunk"]).select("node", "item", "fill", (F.col("before") + F.col("own")).alias("rank"))
+    placed = ranked.join(rules, ["node", "fill"]).where("rank >= lo and rank < hi")
+    k = F.col("rank") - F.col("lo")
+    tag = F.lit(level << 56).cast("long") + F.call_function("shiftleft", F.col("node"), F.lit(32))
+    return placed.select("node", "item", "fill", (tag + F.col("to") + F.expr("(rank - lo) div each")).alias("parent"), (F.col("used") + k % F.col("each") * F.col("fill")).alias("base"))
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """items (with a column length, 1 to capacity) with sequence_id and offset."""
-    first = cut(items.mapInPandas(_first_level(capacity), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", bin long, offset long, fill long"))
-    bins = first.where(F.col("fill") < NEARLY_FULL * capacity).groupBy("bin").agg(F.max("fill").alias("fill"))
-    nodes = bins.agg(F.max(F.shiftright("bin", 32))).first()[0]
-    shape = "node long, item long, fill long, members array<struct<bin:long,base:long>>"
+    """items (with a column length, 1 to capacity) with sequence_id and offset, in place of columns of these names if there are any."""
+    items = items.drop("sequence_id", "offset")
+    bin_, full = fresh(items.columns, "_bin"), fresh(items.columns, "_fill")
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields]
+    first = cut(items.mapInArrow(_first_level(capacity, [*items.columns, bin_, "offset", full]), ", ".join([*shape, f"`{bin_}` long", "offset long", f"`{full}` long"])))
+    bins = first.where(F.col(full) < NEARLY_FULL * capacity).select(F.col(bin_).alias("item"), F.col(full).alias("fill")).distinct()
+    live = bins.select((F.shiftright("item", 32) / FAN_IN).cast("long").alias("node"), "item", "fill")
+    nodes = bins.agg(F.max(F.shiftright("item", 32))).first()[0]
+    levels, span = [], FAN_IN
+    while nodes is not None:
+        levels.append(cut(_level(live, len(levels) + 1, capacity)))
+        if span > nodes:
+            break
+        above = levels[-1].groupBy("node", "parent").agg(F.sum("fill").alias("fill")).where(F.col("fill") < NEARLY_FULL * capacity)
+        live, span = above.select((F.col("node") / FAN_IN).cast("long").alias("node"), F.col("parent").alias("item"), "fill"), span * FAN_IN
     moved = None
-    if nodes is not None:
-        live = bins.select((F.shiftright("bin", 32) / FAN_IN).cast("long").alias("node"), F.col("bin").alias("item"), "fill", F.array(F.struct("bin", F.lit(0).cast("long").alias("base"))).alias("members"))
-        span = FAN_IN
-        while True:
-            last = span > nodes
-            step = cut(live.groupBy("node").applyInPandas(_node(capacity, last), shape + ", done boolean"))
-            final = step.where("done").select("item", F.explode("members").alias("m")).select(F.col("m.bin").alias("bin"), F.col("item").alias("sequence_id"), F.col("m.base").alias("base"))
-            moved = final if moved is None else moved.unionAll(final)
-            if last:
-                break
-            live, span = step.where("not done").drop("done"), span * FAN_IN
+    for level in reversed(levels):
+        own = level.select("item", "parent", "base")
+        if moved is not None:
+            up = moved.select(F.col("item").alias("parent"), F.col("sequence_id").alias("top"), F.col("base").alias("more"))
+            own = own.join(up, "parent", "left").select("item", F.coalesce("top", "parent").alias("parent"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
+        moved = own.select("item", F.col("parent").alias("sequence_id"), "base")
     if moved is None:
-        return first.withColumn("sequence_id", F.col("bin")).drop("bin", "fill")
-    placed = first.join(moved, "bin", "left")
-    return placed.withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0))).withColumn("sequence_id", F.coalesce("sequence_id", "bin")).drop("bin", "fill", "base")
+        return first.withColumn("sequence_id", F.col(bin_)).drop(bin_, full)
+    top, more = fresh(items.columns, "_top"), fresh(items.columns, "_more")
+    placed = first.join(moved.select(F.col("item").alias(bin_), F.col("sequence_id").alias(top), F.col("base").alias(more)), bin_, "left")
+    return placed.select(*items.columns, F.coalesce(top, bin_).alias("sequence_id"), (F.col("offset") + F.coalesce(more, F.lit(0))).alias("offset"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

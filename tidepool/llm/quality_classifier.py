@@ -2,7 +2,7 @@
 
 Fitting reads a bounded sample of the labelled rows (``max_rows``, the documented bound: rows are chosen by a hash of
 doc_id, so every labelled row is as likely as any other). Features of the sample are made where the texts are; one task
-then runs the sequential updates over at most that many sparse rows. Scoring is a sparse dot product per text against
+then runs PASSES passes of sequential updates over at most that many sparse rows. Scoring is a sparse dot product per text against
 one weight vector of 2**20 floats, whatever the size of the corpus.
 
 Nulls and empty texts have no features and score the bias. Rows whose label is null don't train. A doc_id that has
@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, held_out
+from .common import add_columns, doc_text, documents, held_out
 from .hashed_text import BITS, Runs, slots
 
 #: Bound of the training sample.
 MAX_ROWS = 20_000
+PASSES = 8
 SCALE = 20.0
 
 
@@ -38,18 +40,18 @@ def features(text: str, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, text, label of at most about max_rows rows that may train: crc32 of doc_id mod 4 is not 2."""
-    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
     n = own.count()
     if n > max_rows:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * max_rows / n))
         own = F.broadcast(own)  # max_rows pairs of numbers
-    one = doc_text(docs).where(F.col("doc_id").isNotNull())
+    one = doc_text(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     return one.join(own, "doc_id")
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int = 1 << BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, updates: int = 60_000, balance: bool = True) -> tuple[np.ndarray, float]:
-    """Weights and bias after about ``updates`` updates in a fixed shuffled order (two passes at least)."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int = 1 << BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``passes`` passes over the rows, each in a fixed shuffled order."""
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     share = sum(y for *_, y in rows) / max(1, len(rows))
     if not rows or share in (0.0, 1.0):
@@ -57,7 +59,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int = 1 << BITS,
     bias = float(np.log(share / (1 - share)))
     bias_n = 1.0
     order = np.random.default_rng(17)
-    for _ in range(min(30, max(2, updates // len(rows)))):
+    for _ in range(passes):
         for k in order.permutation(len(rows)):
             at, x, y = rows[k]
             own_z, own_n = z[at], n[at]
@@ -100,18 +102,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], into: str = "score")
     """docs with a column ``into``, in place of one of that name if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         w, bias = shared.value
         runs = Runs()
-        for b in batches:
-            z = np.empty(len(b))
-            for i, t in enumerate(b["text"]):
+
+        def one(texts: list[str | None]) -> list[pa.Array]:
+            z = np.empty(len(texts))
+            for i, t in enumerate(texts):
                 at, x = features(t or "", runs)
                 z[i] = w[at] @ x + bias
-            yield b.assign(**{into: 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))})
+            return [pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))))]
+
+        return one
 
-    kept = docs.drop(into)
-    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{into}` double")
+    return add_columns(docs.drop(into), ["text"], f"`{into}` double", make)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,19 +55,17 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words in windows of ``width`` words that are found twice or more, the first included."""
 
     def count(h: Column, n: Column) -> Column:
-        shift = F.ceil(F.log2(n + 1.0)).cast("int")
-        place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1).cast("int")
-        packed = F.transform(h, lambda x, i: F.call_function("shiftleft", x, shift) + i)  # hash, then place: neighbours when sorted are equal windows
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))  # neighbours when sorted are equal windows
 
         def twice(s: Column) -> Column:
             # two neighbours with the same hash: both their places, those of a run's inner members twice
-            same = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: F.get(h, place(F.get(s, j))) == F.get(h, place(F.get(s, j - 1))))
-            return F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda j: F.array(place(F.get(s, j)), place(F.get(s, j - 1)))))))
+            same = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: F.get(s, j)["h"] == F.get(s, j - 1)["h"])
+            return F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda j: F.array(F.get(s, j)["i"], F.get(s, j - 1)["i"])))))
 
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         covered = lambda at: F.aggregate(at, start, lambda a, i: F.struct((i + width).alias("end"), (a["n"] + i + width - F.greatest(i, a["end"])).alias("n")), lambda a: a["n"])
         # most texts repeat no window: for them a hash set is all it takes
-        return F.when(F.size(F.array_distinct(h)) == n, F.lit(0)).otherwise(let(F.sort_array(packed), lambda s: covered(twice(s))))
+        return F.when(F.size(F.array_distinct(h)) == n, F.lit(0)).otherwise(let(F.sort_array(placed), lambda s: covered(twice(s))))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     windows = lambda x: F.slice(F.transform(x, lambda v, i: F.xxhash64(v, *[F.get(x, i + k) for k in range(1, width)])), F.lit(1), F.size(x) - (width - 1))

@@ -30,11 +30,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_text, documents, unsigned_hex
+from .common import add_columns, cut, discard, doc_text, documents, unsigned_hex
 from .graph import components
 
 BITS = 64
@@ -71,12 +72,7 @@ def majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp long."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([majority(shingle_hashes(t, k)) for t in b["text"]], dtype=np.int64)})
-
-    return doc_text(docs).mapInPandas(run, docs.select("doc_id").schema.simpleString()[7:-1].replace("doc_id:", "doc_id ") + ", fp long")
+    return add_columns(doc_text(docs), ["text"], "fp long", lambda: lambda texts: [pa.array([majority(shingle_hashes(t, k)) for t in texts], pa.int64())]).drop("text")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -211,8 +207,11 @@ def _bucket_links(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
-    """Edges a, b whose components are those of all pairs of fingerprints within radius. fps: distinct longs fp, in a table that is cheap to read again."""
+def links(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Edges a, b whose components are those of all pairs of fingerprints within radius, and the table they are made from.
+
+    fps: distinct longs fp, in a table that is cheap to read again.
+    """
     probed = probes(fps, plan(fps, radius))
     buckets = cut(probed.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
     two = buckets.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -222,14 +221,16 @@ def links(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     masks = [as_long(set(range(BITS)) - set(off)) for off in combinations(range(BITS), radius)]
     tight = hot.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("k", "mask")).groupBy("k", F.col("fp").bitwiseAND(F.col("mask")).alias("key")).agg(F.collect_set("fp").alias("members")).where("size(members) > 1")
     tied = tight.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
-    return two.unionAll(near).unionAll(tied)
+    return two.unionAll(near).unionAll(tied), buckets
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id among all documents that links reach."""
     own = cut(fingerprints(docs, k))
     first = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(first.select("fp"), radius))
+    edges, buckets = links(first.select("fp"), radius)
+    roots = components(edges)
+    discard(buckets)
     classed = first.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classed.join(least, "root").select("fp", "component_id")

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, doc_text, documents, fresh
+from .common import add_columns, cut, discard, doc_text, documents, fresh
 
 WIDTH = 50
 GRAM = 16
@@ -40,7 +41,6 @@ BLOCK = 1 << 20
 HOT = 1 << 21
 #: Runs are split into ones of so many strings at most.
 LONGEST = 1024
-_SPLIT = np.uint8(0xFF)  # no byte of UTF-8
 
 
 def runs(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def _least_by_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _owned(docs: DataFrame) -> DataFrame:
-    return doc_text(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
+    return doc_text(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -292,32 +292,28 @@ def digests(docs: DataFrame) -> DataFrame:
 
     found, begin, end = _with_removals(doc_text(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for name, text, at, upto in zip(b["doc_id"].tolist(), b["text"], b[begin], b[end], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                spans = unite(at, upto)
-                rest = rest_of(raw, spans)
-                out.append((name, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": b["doc_id"].dtype})
+    def one(texts: list[str], ats: list, uptos: list) -> list[pa.Array]:
+        out = []
+        for text, at, upto in zip(texts, ats, uptos, strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            spans = unite(at, upto)
+            rest = rest_of(raw, spans)
+            out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
+        return [pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(4)]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return add_columns(found, ["text", begin, end], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda: one).drop("text", begin, end)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs whose texts lack the removed bytes."""
-    names = docs.columns
     found, begin, end = _with_removals(docs)
+    rest = fresh([*docs.columns, begin, end], "_rest")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t if at is None or not len(at) else rest_of(t.encode("utf-8", "surrogatepass"), unite(at, upto)).decode("utf-8", "ignore") for t, at, upto in zip(b["text"], b[begin], b[end], strict=True)]
-            yield b.assign(text=texts)[names]
+    def one(texts: list[str | None], ats: list, uptos: list) -> list[pa.Array]:
+        return [pa.array([None if not at else rest_of(t.encode("utf-8", "surrogatepass"), unite(at, upto)).decode("utf-8", "ignore") for t, at, upto in zip(texts, ats, uptos, strict=True)], pa.string())]
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return found.mapInPandas(run, shape)
+    changed = add_columns(found, ["text", begin, end], f"`{rest}` string", lambda: one)
+    return changed.withColumn("text", F.coalesce(rest, "text")).select(docs.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

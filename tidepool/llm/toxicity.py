@@ -7,8 +7,9 @@ to the logistic loss. Terms of one kind are so pulled to one weight, and as neut
 small one.
 
 Fitting reads a bounded sample of labelled rows (see quality_classifier.MAX_ROWS), whose features are made where the
-texts are. One task keeps the slots most associated with the label and minimises the l1-penalised loss by accelerated
-proximal steps. Scoring sums the few weights other than zero whose slots a text has.
+texts are. One task minimises the l1-penalised loss by accelerated proximal steps. A slot that at most l1 * n texts of either
+class have can't leave zero whatever the other weights are (its gradient never exceeds the penalty), and is passed over.
+Scoring sums the few weights other than zero whose slots a text has.
 
 Nulls and empty texts have no features and score the bias. Rows whose label is null don't train; several labels of one
 doc_id count as their maximum; with no labels or one class all texts score the base rate. Extra columns are ignored.
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, held_out
+from .common import add_columns, doc_text, documents, held_out
 from .quality_classifier import MAX_ROWS, labelled_sample
 
-#: Identity terms by kind; a term is swapped within its kind only.
+#: Identity terms by kind, in the four languages of the corpus; a term is swapped within its kind only.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender people"),
     ("woman", "man", "girl", "boy"),
@@ -40,6 +42,18 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("old", "young", "elderly", "teenage"),
     ("blind", "deaf", "disabled", "autistic"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("ausländer", "flüchtlinge", "einheimische", "zuwanderer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
 )
 BITS = 22
 _RUNS = re.compile(r"\w+|[^\w\s]+")
@@ -66,7 +80,6 @@ def word_slots(word: str) -> list[int]:
     """Slots of one white-space word: of each of its runs, and of the run's beginnings."""
     out = []
     for run in _RUNS.findall(word.lower()):
-        run = run[:64]
         for x in (run + "$", *(run[:k] for k in range(4, min(9, len(run)) + 1))):
             out.append(xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) >> (32 - BITS))
     return out
@@ -76,22 +89,17 @@ def features(text: str) -> np.ndarray:
     return np.array(sorted({s for w in set(text.split()) for s in word_slots(w)}), dtype=np.int64)
 
 
-def fit_pairs(rows: list[tuple[np.ndarray, np.ndarray | None, int]], keep: int = 1 << 14, l1: float = 4e-4, pairing: float = 0.5, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_pairs(rows: list[tuple[np.ndarray, np.ndarray | None, int]], l1: float = 4e-4, pairing: float = 0.5, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, their weights and the bias. rows: slots of the text, of its twin or None, label."""
     n, y = len(rows), np.array([r[2] for r in rows], dtype=float)
     none = np.zeros(0, dtype=np.int64), np.zeros(0)
     if not n or y.mean() in (0.0, 1.0):
         return *none, 0.0 if not n else float(np.log((y.mean() + 1e-2) / (1 - y.mean() + 1e-2)))
-    # the slots most associated with the label, and all that tell a text from its twin
-    size, at = 1 << BITS, np.concatenate([r[0] for r in rows])
-    all_n = np.bincount(at, minlength=size)
-    hit_n = np.bincount(np.concatenate([r[0] for r in rows if r[2]]), minlength=size)
-    odd = (hit_n - all_n * y.mean()) ** 2 / np.maximum(1, all_n)
-    odd[all_n < 3] = 0
-    best = np.argsort(-odd, kind="stable")[:keep]
-    best = best[odd[best] > 0]
+    size = 1 << BITS
+    hit_n, other_n = (np.bincount(np.concatenate([r[0] for r in rows if r[2] == label]), minlength=size) for label in (1, 0))
+    able = np.flatnonzero(np.maximum(hit_n, other_n) > l1 * n)
     swapped = [np.setxor1d(r[0], r[1]) for r in rows if r[1] is not None]
-    slots = np.unique(np.concatenate([best, *swapped])) if swapped else np.sort(best)
+    slots = np.unique(np.concatenate([able, *swapped])) if swapped else able
     if not len(slots):
         return *none, float(np.log(y.mean() / (1 - y.mean())))
     own = np.full(size, -1, dtype=np.int32)
@@ -150,12 +158,13 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], into: str = "s
     """docs with a column ``into``, in place of one of that name if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         weights, bias = shared.value
         known: dict[str, tuple[int, ...]] = {}  # words to those of their slots that count
-        for b in batches:
-            z = np.empty(len(b))
-            for i, text in enumerate(b["text"]):
+
+        def one(texts: list[str | None]) -> list[pa.Array]:
+            z = np.empty(len(texts))
+            for i, text in enumerate(texts):
                 found: set[int] = set()
                 for word in set((text or "").split()):
                     own = known.get(word)
@@ -168,10 +177,11 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], into: str = "s
                     if own:
                         found.update(own)
                 z[i] = sum(weights[s] for s in sorted(found)) + bias
-            yield b.assign(**{into: 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))})
+            return [pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))))]
+
+        return one
 
-    kept = docs.drop(into)
-    return kept.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{into}` double")
+    return add_columns(docs.drop(into), ["text"], f"`{into}` double", make)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
