@@ -17,10 +17,15 @@ def test_clamp_score(spark):
         assert one(spark, kernel.clamp_score, x) == y
 
 
-def test_percentiles(spark):
-    df = spark.createDataFrame([([4.0, 1.0, 3.0, 2.0],), ([],)], "v array<double>")
-    got = [tuple(r) for r in df.select(kernel.percentile_floor(F.col("v"), 0.75), kernel.percentile_floor_n(F.col("v"), 0.75)).collect()]
-    assert got == [(3.0, 4.0), (None, None)]
+def test_finite(spark):
+    for x, y in ((float("inf"), None), (float("-inf"), None), (float("nan"), None), (None, None), (-12.25, -12.25), (0.1, 0.1)):
+        assert one(spark, kernel.finite, x) == y
+
+
+def test_percentiles_of_counts(spark):
+    df = spark.createDataFrame([("a", 4.0, 1), ("a", 1.0, 1), ("a", 3.0, 1), ("a", 2.0, 1), ("b", 7.0, 3)], "k string, x double, n long")
+    assert sorted(tuple(r) for r in kernel.percentile_of_counts(df, {"a": 0.75, "b": 0.5}).collect()) == [("a", 3.0, 4), ("b", 7.0, 3)]
+    assert kernel.percentile_of_counts(df.limit(0), {"a": 0.75}).count() == 0
 
 
 def test_text_helpers(spark):

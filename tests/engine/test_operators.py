@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import scan, scores, series
+from tidepool.operators import matching, scan, scores, series
 from tidepool.plans.order import global_row_number
 from tidepool.sources import io
 from tidepool.streaming import live
@@ -63,11 +63,12 @@ def test_missing_numbers_sort_as_minus_one(snapshot):
     assert tuple(scan.page_info(snapshot, None, 2, 2).first()) == (3, None)
 
 
-def test_band_join_equals_nested_loop(spark):
+def test_band_pairs_equal_nested_loop(spark):
     values = [0.0, 0.5, 1.9, 2.0, 4.1, -0.1, -1.9]
-    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
-    got = {(r["a_id"], r["b_id"]) for r in scan.band_join(df, df, "v", 2.0).collect()}
-    assert got == {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if abs(a - b) < 2}
+    df = spark.createDataFrame(list(enumerate(values)), "asset_id long, v double")
+    pairs = [(r["a_asset_id"], r["b_asset_id"]) for r in matching.band_pairs(df, df, "v", 2.0).collect()]
+    want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if abs(a - b) < 2}
+    assert set(pairs) == want and len(pairs) == len(want)
 
 
 def test_global_row_number(spark):

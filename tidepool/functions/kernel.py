@@ -5,27 +5,32 @@ Scores are rounded half up on the binary product (floor(x * 100 + 0.5) / 100), n
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The remainder by it is the number itself, or NaN for an infinite one. So one mention of x tells both, and expressions that
+#: nest these functions don't grow with the power of their depth.
+_HUGE = 1e300
+
+
 def finite(x: Column) -> Column:
     """x, or null if it is NaN or infinite."""
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    return F.nanvl(x.cast("double") % _HUGE, F.lit(None).cast("double"))
+
+
+def _known(x: Column) -> Column:
+    return F.nanvl(F.coalesce(x.cast("double") % _HUGE, F.lit(0.0)), F.lit(0.0))
 
 
 def round2(x: Column) -> Column:
     """Two decimals, half towards positive infinity; null and non-finite become 0."""
-    return F.floor(F.coalesce(finite(x), F.lit(0.0)) * 100 + 0.5) / 100
+    return F.floor(_known(x) * 100 + 0.5) / 100
 
 
 def clamp_score(x: Column) -> Column:
     """0 to 100 with two decimals; null and non-finite become 0."""
-    return F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(finite(x), F.lit(0.0)))) * 100 + 0.5) / 100
-
-
-def clamp_score_or_null(x: Column) -> Column:
-    return F.when(finite(x).isNotNull(), clamp_score(x))
+    return F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), _known(x))) * 100 + 0.5) / 100
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -37,16 +42,30 @@ def pct_change(before: Column, after: Column) -> Column:
     return F.when(before == 0, 0.0).otherwise((after - before) / F.abs(before) * 100)
 
 
-def percentile_floor(values: Column, p: float) -> Column:
-    """Element floor(p * (n - 1)) of the sorted array; null if it is empty."""
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.floor(F.lit(p) * (F.size(ordered) - 1)).cast("int"))
+def count_if(x: Column) -> Column:
+    return F.sum(F.when(x, 1).otherwise(0)).cast("long")
+
+
+def mean_score(x: Column) -> Column:
+    """Mean of values with two decimals, null for none. Sums are of whole hundredths, so that the order of rows can't tip a rounding."""
+    return F.sum(F.round(x * 100).cast("long")) / (F.count(x) * 100)
+
+
+def deviation_score(x: Column) -> Column:
+    """Population deviation of values with two decimals, null for none; likewise from whole sums."""
+    whole, n = F.round(x * 100).cast("long"), F.count(x)
+    return F.sqrt((n * F.sum(whole * whole) - F.sum(whole) * F.sum(whole)).cast("double")) / (n * 100)
 
 
-def percentile_floor_n(values: Column, p: float) -> Column:
-    """Element min(n - 1, floor(p * n)) of the sorted array; null if it is empty."""
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(p) * F.size(ordered)).cast("int")))
+def percentile_of_counts(counts: DataFrame, at: dict[str, float]) -> DataFrame:
+    """k, x, total: the value with index floor(at[k] * (n - 1)) of the n values of each k, from how often each occurs (k, x, n)."""
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("x"))
+    total = F.sum("n").over(Window.partitionBy("k"))
+    place = F.lit(0)
+    for k, p in at.items():
+        place = F.when(F.col("k") == k, F.floor((F.col("total") - 1) * p)).otherwise(place)
+    ranked = counts.withColumns({"upto": upto, "total": total}).withColumn("place", place)
+    return ranked.where("upto > place and upto - n <= place").select("k", "x", "total")
 
 
 def blend(*terms: tuple[float, Column]) -> Column:

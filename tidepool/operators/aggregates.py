@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.kernel import clamp_score, percentile_floor, round2
+from tidepool.functions.kernel import clamp_score, count_if, round2
 
 ACTIONS = ("ALLOW", "WATCH", "BLOCK")
 REGIMES = ("STABLE", "TRANSITION", "VOLATILE")
 
 
-def count_if(x: Column) -> Column:
-    return F.sum(F.when(x, 1).otherwise(0)).cast("long")
-
-
 def market_summary(snapshot: DataFrame) -> DataFrame:
     """Mean price and changes, total capitalisation and volume, how many assets have each."""
     return snapshot.agg(F.count("*").alias("n_assets"), round2(F.avg("price")).alias("avg_price"), round2(F.avg("chg_24h_pct")).alias("avg_24h"), round2(F.avg("chg_7d_pct")).alias("avg_7d"), round2(F.sum("market_cap")).alias("total_market_cap"), round2(F.sum("volume_24h")).alias("total_volume"))
@@ -52,8 +48,8 @@ def structure_summary(labelled: DataFrame) -> DataFrame:
 def memory_stats(records: DataFrame) -> DataFrame:
     """Open and resolved records, positive, negative and neutral results, win rate."""
     result = F.col("observed_result_pct")
-    g = records.agg(F.count("*").alias("total"), count_if(F.col("status") == "open").alias("n_open"), count_if(F.col("status") == "resolved").alias("n_resolved"), count_if(result > 0).alias("positive"), count_if(result < 0).alias("negative"), count_if(result == 0).alias("neutral"), round2(F.avg("observed_result_pct")).alias("avg_result"))
-    return g.withColumn("winrate", F.when(F.col("n_resolved") > 0, round2(F.col("positive") / F.col("n_resolved") * 100)).otherwise(0.0))
+    g = records.agg(F.count("*").alias("total"), count_if(F.col("status") == "open").alias("n_open"), count_if(F.col("status") == "resolved").alias("n_resolved"), count_if(result > 0).alias("positive"), count_if(result < 0).alias("negative"), count_if(result == 0).alias("neutral"), round2(F.avg("observed_result_pct")).alias("avg_result"), round2(F.avg(F.when(result > 0, result))).alias("avg_positive"), round2(F.avg(F.when(result < 0, result))).alias("avg_negative"))
+    return g.withColumn("winrate", F.when(F.col("n_resolved") > 0, round2(F.col("positive") / F.col("n_resolved") * 100)))
 
 
 def by_action(records: DataFrame) -> DataFrame:
@@ -78,30 +74,6 @@ def reason_histogram(decided: DataFrame) -> DataFrame:
     return decided.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def calibration_policy(decided: DataFrame) -> DataFrame:
-    """Thresholds: floor-index percentiles of the decision scores and risks; fixed ones for no samples."""
-    p = lambda c, q, d: F.coalesce(percentile_floor(F.collect_list(clamp_score(F.col(c))), q), F.lit(float(d)))
-    return decided.agg(F.count("*").alias("n"), p("decision_score", 0.75, 76).alias("allow_threshold"), p("decision_score", 0.5, 72).alias("support_threshold"), p("rupture", 0.75, 70).alias("block_threshold"), p("market_confidence", 0.5, 50).alias("confidence_threshold"))
-
-
-# Per regime the column, its percentile and the band the threshold is held to.
-ADAPTIVE = {
-    "STABLE": (("stability", 0.72, 68, 86), ("support_probability", 0.72, 58, 82), ("market_confidence", 0.68, 55, 80), ("rupture", 0.35, 18, 50)),
-    "TRANSITION": (("stability", 0.82, 68, 84), ("support_probability", 0.84, 60, 85), ("market_confidence", 0.8, 58, 82), ("rupture", 0.28, 20, 48)),
-    "VOLATILE": (("stability", 0.12, 25, 42), ("rupture", 0.88, 65, 90), ("market_confidence", 0.1, 15, 35), ("support_probability", 0.12, 15, 35)),
-}
-
-
-def adaptive_thresholds(decided: DataFrame) -> DataFrame:
-    """Linear percentiles per regime, each held to its band, in one aggregation."""
-    out = []
-    for regime, rules in ADAPTIVE.items():
-        for column, p, low, high in rules:
-            x = F.percentile(F.when(F.col("regime") == regime, F.col(column)), p)
-            out.append(round2(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.coalesce(x, F.lit(float(low)))))).alias(f"{regime.lower()}_{column}"))
-    return decided.agg(F.count("*").alias("n"), *out)
-
-
 def score_stats(decided: DataFrame, columns: tuple[str, ...] = ("stability", "rupture", "market_confidence")) -> DataFrame:
     """Least, largest, mean, median and quartiles of each score, one row each."""
     long = decided.unpivot([], list(columns), "metric", "x")
@@ -109,9 +81,17 @@ def score_stats(decided: DataFrame, columns: tuple[str, ...] = ("stability", "ru
 
 
 def outcome_rates(occurrences: DataFrame) -> DataFrame:
-    """Correction and continuation rates by series."""
-    rate = lambda o: round2(F.avg(F.when(F.col("outcome") == o, 100.0).otherwise(0.0)))
-    return occurrences.groupBy("asset_id").agg(F.count("*").alias("n"), rate("CORRECTION").alias("correction_rate"), rate("CONTINUATION").alias("continuation_rate"))
+    """Correction and continuation rates and mean similarity of the windows of each class in a series."""
+    rate = lambda x: round2(F.avg(F.when(x, 100.0).otherwise(0.0)))
+    return occurrences.groupBy("asset_id", "kind").agg(F.count(F.lit(1)).alias("n"), rate(~F.col("continued")).alias("correction_rate"), rate(F.col("continued")).alias("continuation_rate"), round2(F.avg("similarity")).alias("avg_similarity"))
+
+
+def backtest_summary(signals: DataFrame, steps: tuple[int, ...] = (24, 48, 72)) -> DataFrame:
+    """Counts by decision and mean later returns of all signals, of ALLOW and BLOCK ones, and of those with opportunity 60 or more."""
+    groups = {"": F.lit(True), "allow_": F.col("decision") == "ALLOW", "block_": F.col("decision") == "BLOCK", "high_opportunity_": F.col("opportunity") >= 60}
+    means = [round2(F.avg(F.when(when, F.col(f"return_{k}")))).alias(f"{name}avg_return_{k}") for name, when in groups.items() for k in steps]
+    counts = [count_if(F.col("decision") == d).alias(f"{d.lower()}_count") for d in ACTIONS]
+    return signals.agg(F.count(F.lit(1)).alias("total_signals"), *counts, count_if(groups["high_opportunity_"]).alias("high_opportunity_count"), *means)
 
 
 def usage_totals(events: DataFrame) -> DataFrame:

@@ -75,17 +75,12 @@ def collisions(df: DataFrame, fingerprint: Column) -> DataFrame:
     return own.join(counts, "fingerprint")
 
 
-def band_join(a: DataFrame, b: DataFrame, column: str, width: float) -> DataFrame:
-    """Pairs of rows whose ``column`` differs by less than ``width``, by buckets and a residual: no cross join."""
-    left = a.select([F.col(c).alias(f"a_{c}") for c in a.columns]).withColumn("bucket", F.floor(F.col(f"a_{column}") / width))
-    right = b.select([F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(f"b_{column}") / width) + d)))
-    return left.join(right, "bucket").where(F.abs(F.col(f"a_{column}") - F.col(f"b_{column}")) < width).drop("bucket")
-
-
-def issues(snapshot: DataFrame) -> DataFrame:
-    """Reasons why a row is no valid asset, in order; empty for valid ones."""
+def asset_issues(snapshot: DataFrame) -> DataFrame:
+    """Reasons why a row is no valid public asset, in order; empty for valid ones."""
     reason = lambda bad, name: F.when(bad, F.lit(name))
-    found = F.array_compact(F.array(reason(F.coalesce(F.trim("symbol"), F.lit("")) == "", "symbol_missing"), reason(F.col("price").isNull() | (F.col("price") <= 0), "price_invalid"), reason(F.size("sparkline_7d") < 5, "sparkline_short"), reason(F.col("market_cap").isNull() | (F.col("market_cap") <= 0), "market_cap_invalid")))
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    found = F.array_compact(F.array(*[reason(blank(c), f"{c}_missing") for c in ("id", "symbol", "name")], *[reason(odd(c), f"{c}_not_finite") for c in ("price", "chg_24h_pct", "chg_7d_pct", "market_cap", "volume_24h")]))
     return snapshot.select("id", found.alias("issues"))
 
 

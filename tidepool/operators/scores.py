@@ -1,4 +1,4 @@
-"""Scoring engines: row functions over per-series statistics. Inner terms are rounded one by one; weights aren't merged."""
+"""Market structure of a series, and public labels of an asset: row functions. Inner terms are rounded one by one; weights aren't merged."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.kernel import blend, clamp, clamp_score, finite, round2
-from tidepool.operators.series import return_stats, shape
+from tidepool.operators.series import profile
 
 # Support that a confirmation gives to convergence and to correlation.
 CONVERGENCE_SUPPORT = {"ALIGNED": 100, "NEUTRAL": 55, "UNAVAILABLE": 40, "OPPOSED": 15}
@@ -26,7 +26,7 @@ def rfs_market(ticks: DataFrame, facts: DataFrame | None = None, least: int = 5)
     facts: asset_id, chg_24h_pct, chg_7d_pct, market_cap, volume_24h; where there is none they are taken from the series
     (changes) or missing (liquidity). Series under ``least`` prices have too little data and confidence 15.
     """
-    base = shape(ticks).join(return_stats(ticks), "asset_id", "left")
+    base = profile(ticks)
     if facts is None:
         base = base.withColumns({"chg_24h_pct": F.col("slope_pct"), "chg_7d_pct": F.col("slope_pct"), "market_cap": F.lit(None).cast("double"), "volume_24h": F.lit(None).cast("double")})
     else:
@@ -74,76 +74,6 @@ def rfs_market(ticks: DataFrame, facts: DataFrame | None = None, least: int = 5)
     )
 
 
-def market_gate(rfs: DataFrame) -> DataFrame:
-    """Convergence, opportunity, confidence and probabilities of a market, and the ALLOW / WATCH / BLOCK gate with its neutralisation."""
-    s, r, c, o = F.col("stability"), F.col("rupture"), F.col("convergence"), F.col("opportunity")
-    base = rfs.withColumn("opportunity", clamp_score(blend((0.5, F.col("mid_term")), (0.3, F.col("structure")), (0.2, F.col("continuity"))))).withColumn("market_convergence", clamp_score(F.col("convergence") * 0.5 + F.col("correlation") * 0.5))
-    inner = clamp_score(100 - F.abs(s - c) * 0.35 - F.abs(c - o) * 0.25 - F.abs(s - o) * 0.2)
-    reliability = clamp_score(blend((0.28, s), (0.24, c), (0.16, o), (0.14, inner), (0.12, F.col("confidence")), (0.06, F.col("liquidity"))))
-    scored = base.withColumn("reliability", reliability).withColumn("market_confidence", clamp_score(F.col("reliability") - r * 0.38)).withColumn("support_probability", clamp_score(blend((0.28, s), (0.28, c), (0.22, F.col("opportunity")), (0.12, F.col("confidence")), (0.1, 100 - r))))
-    scored = scored.withColumn("recovery_probability", clamp_score(blend((0.35, F.col("continuity")), (0.25, s), (0.2, F.col("mid_term")), (0.1, F.col("duration")), (0.1, F.col("frequency")))))
-    decision = F.when((s < 40) | (r > 70), "BLOCK").when((s > 80) & (r < 30) & (F.col("opportunity") > 75), "ALLOW").otherwise("WATCH")
-    conf = F.col("market_confidence")
-    neutral = F.when((F.col("decision") == "BLOCK") & (r >= 65), "RESTRICTIVE_RUPTURE").when((F.col("regime") == "VOLATILE") & (conf < 50), "DEFENSIVE_LOW_CONFIDENCE").when(conf < 40, "LOW_CONFIDENCE").when(r >= 80, "EXTREME_RUPTURE").when(F.col("market_convergence") < 35, "LOW_CONVERGENCE")
-    mode = F.when(F.col("decision") == "ALLOW", "progressive").when(F.col("decision") == "WATCH", "confirmation").otherwise("none")
-    return scored.withColumn("decision", decision).withColumn("neutralization", F.coalesce(neutral, F.lit("NONE"))).withColumn("execution_mode", mode).select("asset_id", "regime", "status", "stability", "rupture", "opportunity", "market_convergence", "reliability", "market_confidence", "support_probability", "recovery_probability", "decision", "neutralization", "execution_mode")
-
-
-def decision_funnel(gated: DataFrame, allow: float = 76, support: float = 72, risk: float = 68, watch: float = 64) -> DataFrame:
-    """Final decision with its reason: the first gate that speaks wins."""
-    score = clamp_score(blend((0.24, F.col("stability")), (0.18, F.col("market_convergence")), (0.18, F.col("support_probability")), (0.14, F.col("opportunity")), (0.1, F.col("market_confidence")), (0.08, F.col("recovery_probability"))) - F.col("rupture") * 0.26)
-    dominance = clamp_score(F.col("recovery_probability") - F.col("rupture"))
-    x = gated.withColumn("decision_score", score).withColumn("dominance", dominance)
-    gates = (
-        F.when(F.col("rupture") >= risk + 10, F.struct(F.lit("BLOCK").alias("decision"), F.lit("rupture_kill_switch").alias("reason")))
-        .when((F.col("stability") < 55) | (F.col("market_convergence") < 50), F.struct(F.lit("WATCH").alias("decision"), F.lit("temporal_support_low").alias("reason")))
-        .when(F.col("support_probability") < support, F.struct(F.lit("WATCH").alias("decision"), F.lit("support_low").alias("reason")))
-        .when(F.col("market_confidence") < 40, F.struct(F.lit("WATCH").alias("decision"), F.lit("confidence_low").alias("reason")))
-        .when((F.col("regime") == "VOLATILE") | ((F.col("regime") == "TRANSITION") & (F.col("rupture") >= risk - 8)), F.struct(F.lit("WATCH").alias("decision"), F.lit("transition_unsafe").alias("reason")))
-        .when((F.col("regime") == "TRANSITION") & (F.col("dominance") < 8), F.struct(F.lit("WATCH").alias("decision"), F.lit("dominance_low").alias("reason")))
-        .when(F.col("decision_score") >= allow, F.struct(F.lit("ALLOW").alias("decision"), F.lit("score_allows").alias("reason")))
-        .otherwise(F.struct(F.lit("WATCH").alias("decision"), F.lit("score_low").alias("reason")))
-    )
-    return x.withColumn("g", gates).select("asset_id", "regime", "decision_score", "dominance", F.col("g.decision").alias("decision"), F.col("g.reason").alias("reason"), "stability", "rupture", "market_confidence", "support_probability", "recovery_probability", "opportunity", "market_convergence")
-
-
-# Slope and offset of each axis' calibration, then the factor to its probability.
-TEMPORAL_AXES = {"occurrence": (0.92, 4, 0.95), "frequency": (0.9, 5, 0.93), "convergence": (0.94, 3, 0.96), "correlation": (0.96, 2, 0.97), "duration": (0.9, 4, 0.94)}
-
-
-def temporal_analysis(rfs: DataFrame) -> DataFrame:
-    """Calibrated axes and their probabilities, coherence and structural score."""
-    out = rfs.select("asset_id", *TEMPORAL_AXES)
-    for name, (a, b, _) in TEMPORAL_AXES.items():
-        out = out.withColumn(f"{name}_calibrated", clamp_score(F.col(name) * a + b))
-    for name, (_, _, p) in TEMPORAL_AXES.items():
-        out = out.withColumn(f"{name}_probability", clamp_score(F.col(f"{name}_calibrated") * p))
-    each = [F.col(f"{n}_probability") for n in TEMPORAL_AXES]
-    mean = clamp_score((each[0] + each[1] + each[2] + each[3] + each[4]) / 5)
-    out = out.withColumn("mean_probability", mean)
-    gap = [(x - F.col("mean_probability")) * (x - F.col("mean_probability")) for x in each]
-    return out.withColumn("coherence", clamp_score(100 - F.sqrt((gap[0] + gap[1] + gap[2] + gap[3] + gap[4]) / 5) * 2.2)).withColumn("structural", clamp_score(blend(*zip((0.2, 0.18, 0.24, 0.24, 0.14), each, strict=True)))).withColumn("support", clamp_score(F.col("structural") * 0.72 + F.col("coherence") * 0.28))
-
-
-def impulse_state(rfs: DataFrame) -> DataFrame:
-    """Pressure, instability, saturation and exhaustion of a market, and the state they stand for."""
-    x = rfs.select(
-        "asset_id",
-        clamp_score(blend((0.34, F.col("convergence")), (0.18, F.col("frequency")), (0.14, F.col("occurrence")), (0.14, F.col("duration")), (0.12, F.col("correlation")), (0.08, F.col("mid_term")))).alias("pressure"),
-        clamp_score(blend((0.28, F.col("rupture")), (0.22, 100 - F.col("frequency")), (0.22, 100 - F.col("stability")), (0.16, 100 - F.col("duration")), (0.12, 100 - F.col("correlation")))).alias("instability"),
-        clamp_score(blend((0.34, F.col("occurrence")), (0.22, F.col("duration")), (0.18, F.col("stability")), (0.16, F.col("structure")), (0.1, F.col("correlation")))).alias("saturation"),
-        clamp_score(blend((0.22, F.col("rupture")), (0.18, F.col("occurrence")), (0.2, 100 - F.col("convergence")), (0.16, 100 - F.col("frequency")), (0.14, 100 - F.col("structure")), (0.1, 100 - F.col("mid_term")))).alias("exhaustion"),
-    )
-    return x.withColumn("state", F.when(F.col("exhaustion") >= 70, "EXHAUSTION").when((F.col("pressure") >= 68) & (F.col("instability") >= 62), "RELEASE").when((F.col("pressure") >= 60) & (F.col("saturation") >= 55), "PRESSURE_BUILDING").when((F.col("pressure") >= 45) & (F.col("instability") <= 55), "COMPRESSION").otherwise("NEUTRAL"))
-
-
-def comparator(rfs: DataFrame) -> DataFrame:
-    """Recovery against rupture: which of them dominates."""
-    x = rfs.select("asset_id", clamp_score(blend((0.55, F.col("rupture")), (0.25, 100 - F.col("stability")), (0.1, 100 - F.col("frequency")), (0.1, 100 - F.col("correlation")))).alias("rupture_pressure"), clamp_score(blend((0.3, F.col("continuity")), (0.2, F.col("stability")), (0.2, F.col("convergence")), (0.15, F.col("duration")), (0.15, F.col("mid_term")))).alias("recovery_strength"))
-    x = x.withColumn("dominance", clamp_score(F.col("recovery_strength") - F.col("rupture_pressure") + 50))
-    return x.withColumn("dominant", F.when(F.col("dominance") >= 60, "RECOVERY").when(F.col("dominance") <= 40, "RUPTURE").otherwise("NEUTRAL"))
-
-
 def simple_decision(rfs: DataFrame) -> DataFrame:
     s = F.col("stability")
     return rfs.select("asset_id", F.when(s < 40, "BLOCK").when((s > 70) & (F.col("convergence") > 65) & (F.col("continuity") > 0.6), "ALLOW").otherwise("WATCH").alias("decision"))
@@ -165,8 +95,9 @@ def stability_index(snapshot: DataFrame, timeframe: str = "24H") -> DataFrame:
 
 def public_structure(snapshot: DataFrame) -> DataFrame:
     """Public labels of an asset: activity, direction and structure transition."""
-    line = F.col("sparkline_7d")
-    amplitude = F.when(F.element_at(line, -1) > 0, round2((F.array_max(line) - F.array_min(line)) / F.element_at(line, -1) * 100)).otherwise(0.0)
+    if "low" not in snapshot.columns:
+        snapshot = snapshot.withColumns({"low": F.array_min("sparkline_7d"), "high": F.array_max("sparkline_7d")})
+    amplitude = F.when(F.col("price") > 0, round2((F.col("high") - F.col("low")) / F.col("price") * 100)).otherwise(0.0)
     activity = F.when(F.col("market_cap").isNull() | (F.col("market_cap") <= 0), "Unknown").when(F.col("volume_24h") / F.col("market_cap") >= 0.08, "High").when(F.col("volume_24h") / F.col("market_cap") >= 0.025, "Normal").otherwise("Low")
     x = snapshot.select("id", "symbol", "volume_24h", F.coalesce("chg_24h_pct", F.lit(0.0)).alias("d"), F.coalesce("chg_7d_pct", F.lit(0.0)).alias("w"), amplitude.alias("amplitude"), activity.alias("activity"))
     x = x.withColumn("direction", F.when(F.col("w") >= 1, "up").when(F.col("w") <= -1, "down").otherwise("flat"))

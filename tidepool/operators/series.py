@@ -11,27 +11,60 @@ def by_asset() -> WindowSpec:
     return Window.partitionBy("asset_id").orderBy("idx")
 
 
+def moves(points: DataFrame, keys: tuple[str, ...] = ("asset_id",), order: str = "idx") -> DataFrame:
+    """points with r (percent return; none from a price of 0), before (the return before it) and k (its number, from 1)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    prev = F.lag("price").over(w)
+    x = points.withColumn("r", F.when(prev.isNotNull() & (prev != 0), (F.col("price") - prev) / F.abs(prev) * 100))
+    return x.withColumns({"before": F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "k": F.count("r").over(w)})
+
+
 def returns(ticks: DataFrame) -> DataFrame:
     """Percent returns; a pair whose first price is 0 has none."""
-    prev = F.lag("price").over(by_asset())
-    return ticks.withColumn("prev", prev).where("prev is not null and prev <> 0").select("asset_id", "idx", "price", ((F.col("price") - F.col("prev")) / F.abs("prev") * 100).alias("r"))
+    return moves(ticks).where("r is not null").select("asset_id", "idx", "price", "r")
+
 
+def profile(ticks: DataFrame, rupture: float = 2.5, calm: float = 1.4) -> DataFrame:
+    """Shape and return statistics of each series: one window and two groupings on its key.
 
-def return_stats(ticks: DataFrame, rupture: float = 2.5, calm: float = 1.4) -> DataFrame:
-    """Per series: returns, direction changes, ruptures, longest calm run, mean and deviation of returns."""
-    r = returns(ticks)
-    before = F.lag("r").over(by_asset())
-    breaks = F.sum(F.when(F.abs("r") < calm, 0).otherwise(1)).over(by_asset())
-    marked = r.withColumn("turn", F.when(F.col("r") * before < 0, 1).otherwise(0)).withColumn("island", breaks)
+    Of returns: their number, direction changes, ruptures, longest calm run, ups and downs, mean size, deviation.
+    """
+    loud = F.sum(F.when(F.col("r").isNull() | (F.abs("r") < calm), 0).otherwise(1)).over(by_asset())
+    marked = moves(ticks).withColumn("island", loud)
+    one = lambda x: F.sum(F.when(x, 1).otherwise(0))
     runs = marked.groupBy("asset_id", "island").agg(
-        F.sum(F.when(F.abs("r") < calm, 1).otherwise(0)).alias("run"), F.count("*").alias("n"), F.sum("turn").alias("turns"), F.sum(F.when(F.abs("r") >= rupture, 1).otherwise(0)).alias("ruptures"),
-        F.sum(F.when(F.col("r") > 0, 1).otherwise(0)).alias("ups"), F.sum(F.when(F.col("r") < 0, 1).otherwise(0)).alias("downs"), F.sum(F.abs("r")).alias("abs_r"), F.sum("r").alias("sum_r"), F.sum(F.col("r") * F.col("r")).alias("sum_rr"),
+        one(F.abs("r") < calm).alias("run"), F.count("r").alias("n"), one(F.col("r") * F.col("before") < 0).alias("turns"), one(F.abs("r") >= rupture).alias("ruptures"), one(F.col("r") > 0).alias("ups"), one(F.col("r") < 0).alias("downs"), F.sum(F.abs("r")).alias("abs_r"), F.sum("r").alias("sum_r"), F.sum(F.col("r") * F.col("r")).alias("sum_rr"),
+        F.count(F.lit(1)).alias("n_prices"), F.min_by("price", "idx").alias("first_price"), F.min("idx").alias("first_idx"), F.max_by("price", "idx").alias("last_price"), F.max("idx").alias("last_idx"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
     )
     n = F.sum("n")
-    return runs.groupBy("asset_id").agg(
+    g = runs.groupBy("asset_id").agg(
+        F.sum("n_prices").alias("n_prices"), F.min_by("first_price", "first_idx").alias("first_price"), F.max_by("last_price", "last_idx").alias("last_price"), F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"),
         n.alias("n_returns"), F.sum("turns").alias("direction_changes"), F.sum("ruptures").alias("rupture_events"), F.max("run").alias("stable_run_length"), F.sum("ups").alias("ups"), F.sum("downs").alias("downs"),
         round2(F.sum("abs_r") / n).alias("avg_abs_return"), round2(F.when(n < 2, 0.0).otherwise(F.sqrt(F.greatest(F.sum("sum_rr") / n - (F.sum("sum_r") / n) * (F.sum("sum_r") / n), F.lit(0.0))))).alias("volatility"),
+        (F.sum("sum_r") / n).alias("mean_return"), F.sqrt(F.greatest(F.sum("sum_rr") / n - (F.sum("sum_r") / n) * (F.sum("sum_r") / n), F.lit(0.0))).alias("sd_return"),
     )
+    return g.withColumns({"slope_pct": round2(slope("first_price", "last_price")), "amplitude_pct": round2(amplitude("min_price", "max_price"))})
+
+
+def slope(first: str, last: str) -> Column:
+    return F.when(F.col(first) == 0, 0.0).otherwise((F.col(last) - F.col(first)) / F.abs(first) * 100)
+
+
+def amplitude(low: str, high: str) -> Column:
+    return F.when(F.col(low) <= 0, 0.0).otherwise((F.col(high) - F.col(low)) / F.col(low) * 100)
+
+
+STATS = ("n_returns", "direction_changes", "rupture_events", "stable_run_length", "ups", "downs", "avg_abs_return", "volatility")
+SHAPE = ("n_prices", "first_price", "last_price", "min_price", "max_price", "slope_pct", "amplitude_pct")
+
+
+def return_stats(ticks: DataFrame) -> DataFrame:
+    return profile(ticks).where("n_returns > 0").select("asset_id", *STATS)
+
+
+def shape(ticks: DataFrame) -> DataFrame:
+    """First, last, least and largest price, slope and amplitude in percent."""
+    return profile(ticks).select("asset_id", *SHAPE)
 
 
 def streaks(ticks: DataFrame) -> DataFrame:
@@ -43,32 +76,36 @@ def streaks(ticks: DataFrame) -> DataFrame:
     return runs.groupBy("asset_id").agg(F.sum(one(1)).alias("up_moves"), F.sum(one(-1)).alias("down_moves"), F.max(one(1)).alias("up_streak"), F.max(one(-1)).alias("down_streak"))
 
 
-def break_rate(ticks: DataFrame, jump: float = 4.0) -> DataFrame:
-    """Share of returns after the first that flip sign or jump by ``jump`` points."""
-    r = returns(ticks).withColumn("before", F.lag("r").over(by_asset())).where("before is not null")
+def signatures(points: DataFrame, keys: tuple[str, ...] = ("asset_id",), order: str = "idx", jump: float = 4.0) -> DataFrame:
+    """Of each series (keys): size, slope, amplitude, instability, break rate, reversal, kind, quality and bias.
+
+    The break rate is the share of returns after the first that flip sign or jump by ``jump`` points; a reversal is a change of
+    sign between the mean returns of the halves (4 returns or more; the first half has floor(n / 2)).
+    """
+    own = Window.partitionBy(*keys)
+    x = moves(points, keys, order).withColumn("n_r", F.count("r").over(own))
+    half = F.col("k") <= F.floor(F.col("n_r") / 2)
     broken = (F.col("r") * F.col("before") < 0) | (F.abs(F.col("r") - F.col("before")) >= jump)
-    return r.groupBy("asset_id").agg(round2(F.avg(F.when(broken, 1.0).otherwise(0.0))).alias("break_rate"))
+    g = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_prices"), F.max("n_r").alias("n_r"), F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.min(order).alias("begin"), F.max(order).alias("end"), F.stddev_pop("r").alias("sd"),
+        F.avg(F.when(F.col("r").isNotNull() & F.col("before").isNotNull(), F.when(broken, 1.0).otherwise(0.0))).alias("broken"), F.avg(F.when(half & F.col("r").isNotNull(), F.col("r"))).alias("first_mean"), F.avg(F.when(~half & F.col("r").isNotNull(), F.col("r"))).alias("second_mean"),
+    )
+    g = g.withColumns({"slope_pct": round2(slope("first_price", "last_price")), "amplitude_pct": round2(amplitude("min_price", "max_price")), "break_rate": round2(F.col("broken")), "reversal": F.coalesce((F.col("n_r") >= 4) & (F.signum("first_mean") * F.signum("second_mean") < 0), F.lit(False))})
+    unstable = F.when(F.col("n_r") == 0, 0.0).otherwise(clamp(F.col("sd") / 12 * 100, 0, 100) * 0.7 + clamp(F.col("amplitude_pct") / 40 * 100, 0, 100) * 0.3)
+    g = g.withColumn("instability", round2(unstable))
+    quality = blend((0.26, clamp(F.abs("slope_pct") * 8, 0, 100)), (0.32, 100 - clamp(F.col("break_rate") * 100, 0, 100)), (0.28, 100 - clamp(F.col("instability"), 0, 100)), (0.14, 100 - clamp(F.col("amplitude_pct") / 45 * 100, 0, 100)))
+    return g.withColumns({
+        "kind": pattern_kind(F.col("n_prices"), F.col("reversal"), F.col("amplitude_pct"), F.col("slope_pct"), F.col("instability"), F.col("break_rate")),
+        "quality": F.when(F.col("n_prices") < 3, 0.0).otherwise(clamp_score(quality)), "bias": clamp_score(F.abs("slope_pct") * 2 - F.col("break_rate") * 40),
+    }).drop("broken", "sd")
 
 
-def shape(ticks: DataFrame) -> DataFrame:
-    """First, last, least and largest price, slope and amplitude in percent."""
-    first, last = F.min_by("price", "idx"), F.max_by("price", "idx")
-    s = ticks.groupBy("asset_id").agg(F.count("*").alias("n_prices"), first.alias("first_price"), last.alias("last_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
-    slope = F.when(F.col("first_price") == 0, 0.0).otherwise((F.col("last_price") - F.col("first_price")) / F.abs("first_price") * 100)
-    amplitude = F.when(F.col("min_price") <= 0, 0.0).otherwise((F.col("max_price") - F.col("min_price")) / F.col("min_price") * 100)
-    return s.withColumn("slope_pct", round2(slope)).withColumn("amplitude_pct", round2(amplitude))
+def break_rate(ticks: DataFrame) -> DataFrame:
+    return signatures(ticks).where("n_r > 1").select("asset_id", "break_rate")
 
 
 def reversal(ticks: DataFrame) -> DataFrame:
-    """Whether the mean returns of the halves differ in sign (4 returns or more; the first half has floor(n / 2))."""
-    r = returns(ticks).withColumn("k", F.row_number().over(by_asset())).withColumn("n", F.count("*").over(Window.partitionBy("asset_id")))
-    half = F.col("k") <= F.floor(F.col("n") / 2)
-    means = r.groupBy("asset_id").agg(F.max("n").alias("n"), round2(F.avg(F.when(half, F.col("r")))).alias("first_mean"), round2(F.avg(F.when(~half, F.col("r")))).alias("second_mean"))
-    return means.select("asset_id", "first_mean", "second_mean", ((F.col("n") >= 4) & (F.col("first_mean") * F.col("second_mean") < 0)).alias("reversal"))
-
-
-def instability(volatility: Column, amplitude: Column) -> Column:
-    return clamp_score(clamp(volatility / 12 * 100, 0, 100) * 0.7 + clamp(amplitude / 40 * 100, 0, 100) * 0.3)
+    return signatures(ticks).where("n_r > 0").select("asset_id", round2(F.col("first_mean")).alias("first_mean"), round2(F.col("second_mean")).alias("second_mean"), "reversal")
 
 
 def pattern_kind(n: Column, is_reversal: Column, amplitude: Column, slope: Column, unstable: Column, breaks: Column) -> Column:
@@ -83,100 +120,108 @@ def pattern_kind(n: Column, is_reversal: Column, amplitude: Column, slope: Colum
     )
 
 
+# Classes of the older eight-class scheme for each kind, and back.
+LEGACY_OF_KIND = {"UPTREND": "UP_STREAK", "DOWNTREND": "DOWN_STREAK", "COMPRESSION": "COMPRESSION", "REVERSAL": "MEAN_REVERTING", "RANGE": "MIXED"}
+KIND_OF_LEGACY = {"UP_STREAK": "UPTREND", "BREAKOUT": "UPTREND", "DOWN_STREAK": "DOWNTREND", "BREAKDOWN": "DOWNTREND", "COMPRESSION": "COMPRESSION", "MEAN_REVERTING": "REVERSAL"}
+
+
+def recode(x: Column, table: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for key, value in table.items():
+        out = F.when(x == key, value).otherwise(out)
+    return out
+
+
+def kind_similarity(a: Column, b: Column) -> Column:
+    both = lambda *of: a.isin(*of) & b.isin(*of)
+    return F.when(a == b, 100.0).when(both("UPTREND", "DOWNTREND"), 60.0).when(both("RANGE", "COMPRESSION"), 78.0).when(both("REVERSAL", "RANGE"), 42.0).when(both("REVERSAL", "COMPRESSION"), 38.0).otherwise(25.0)
+
+
 def pattern(ticks: DataFrame) -> DataFrame:
     """Metrics, class, quality and directional bias of each series."""
-    all_of = shape(ticks).join(return_stats(ticks).select("asset_id", "volatility"), "asset_id", "left").join(break_rate(ticks), "asset_id", "left").join(reversal(ticks).select("asset_id", "reversal"), "asset_id", "left")
-    m = all_of.select("asset_id", "n_prices", "slope_pct", "amplitude_pct", F.coalesce("break_rate", F.lit(0.0)).alias("break_rate"), F.coalesce("reversal", F.lit(False)).alias("reversal"), instability(F.coalesce("volatility", F.lit(0.0)), F.col("amplitude_pct")).alias("instability"))
-    quality = blend((0.26, clamp(F.abs("slope_pct") * 8, 0, 100)), (0.32, 100 - F.col("break_rate") * 100), (0.28, 100 - F.col("instability")), (0.14, 100 - clamp(F.col("amplitude_pct") / 45 * 100, 0, 100)))
-    return m.select("*", pattern_kind(F.col("n_prices"), F.col("reversal"), F.col("amplitude_pct"), F.col("slope_pct"), F.col("instability"), F.col("break_rate")).alias("kind"), clamp_score(quality).alias("quality"), clamp_score(F.abs("slope_pct") * 2 - F.col("break_rate") * 40).alias("bias"))
+    x = signatures(ticks)
+    return x.select("asset_id", "n_prices", "slope_pct", "amplitude_pct", "break_rate", "reversal", "instability", "kind", "quality", "bias", recode(F.col("kind"), LEGACY_OF_KIND, "MIXED").alias("legacy_kind"))
 
 
 def lead_returns(ticks: DataFrame, steps: tuple[int, ...] = (24, 48, 72)) -> DataFrame:
     """Percent return to the price so many places ahead; null past the end or from 0."""
-    out = ticks
-    for k in steps:
-        ahead = F.lead("price", k).over(by_asset())
-        out = out.withColumn(f"return_{k}", F.when(F.col("price") != 0, round2((ahead - F.col("price")) / F.col("price") * 100)) if k == 0 else F.when(ahead.isNotNull() & (F.col("price") != 0), round2((ahead - F.col("price")) / F.col("price") * 100)))
-    return out
+    ahead = {f"return_{k}": F.lead("price", k).over(by_asset()) for k in steps}
+    return ticks.withColumns({name: F.when(x.isNotNull() & (F.col("price") != 0), round2((x - F.col("price")) / F.col("price") * 100)) for name, x in ahead.items()})
 
 
 def occurrences(ticks: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
-    """Sliding windows of ``least`` to ``most`` prices that a further price follows: change within, change after, outcome."""
-    parts = []
-    for k in range(least, most + 1):
-        first = F.lag("price", k - 1).over(by_asset())
-        after = F.lead("price").over(by_asset())
-        own = ticks.withColumn("begin", first).withColumn("after", after).where("begin is not null and after is not null and begin <> 0 and price <> 0")
-        parts.append(own.select("asset_id", (F.col("idx") - (k - 1)).alias("start"), F.lit(k).alias("size"), round2((F.col("price") - F.col("begin")) / F.abs("begin") * 100).alias("inside_pct"), round2((F.col("after") - F.col("price")) / F.abs("price") * 100).alias("after_pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.withColumn("outcome", F.when(F.col("inside_pct") * F.col("after_pct") > 0, "CONTINUATION").when(F.col("inside_pct") * F.col("after_pct") < 0, "CORRECTION").otherwise("NEUTRAL"))
+    """Windows of ``least`` to ``most`` positive prices that a further price follows, in series of five prices or more.
+
+    Each has its class, how near its last price is to its mean, and whether the next price is at least the last one. One window
+    takes the ``most`` newest prices and the next one of each row; the sizes are exploded from it.
+    """
+    w = by_asset()
+    own = ticks.where("price > 0")
+    x = own.withColumns({"place": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("asset_id")), "ps": F.array(*[F.lag("price", k).over(w) for k in reversed(range(1, most))], F.col("price")), "after": F.lead("price").over(w)})
+    sizes = F.array(*[F.lit(k) for k in range(least, most + 1)])
+    x = x.where("n >= 5 and after is not null").select("asset_id", "place", "ps", "after", F.explode(F.filter(sizes, lambda k: k <= F.col("place") + 1)).alias("size"))
+    x = x.select("asset_id", (F.col("place") - F.col("size") + 1).cast("long").alias("start"), "size", "after", F.slice("ps", F.lit(most) - F.col("size") + 1, F.col("size")).alias("p"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    x = x.withColumns({"mean": total(F.col("p")) / F.col("size"), "first": F.get("p", F.lit(0)), "last": F.element_at("p", -1), "d": F.transform(F.slice("p", F.lit(2), F.col("size") - 1), lambda v, i: F.signum(v - F.get("p", i)))})
+    sd = F.sqrt(total(F.transform("p", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.col("size"))
+    count = lambda s: F.size(F.filter("d", lambda v: v == s))
+    streak = lambda s: F.exists(F.sequence(F.lit(0), F.size("d") - 1), lambda i: (F.get("d", i) == s) & (F.get("d", i + 1) == s) & (F.get("d", i + 2) == s))
+    change, off = (F.col("last") - F.col("first")) / F.col("first") * 100, F.abs((F.col("last") - F.col("mean")) / F.col("mean") * 100)
+    kind = (
+        F.when(F.coalesce(streak(1.0), F.lit(False)) & (change > 0), "UP_STREAK")
+        .when(F.coalesce(streak(-1.0), F.lit(False)) & (change < 0), "DOWN_STREAK")
+        .when(sd < F.col("mean") * 0.01, "COMPRESSION")
+        .when((change > 4) & (count(1.0) > count(-1.0) * 1.5), "BREAKOUT")
+        .when((change < -4) & (count(-1.0) > count(1.0) * 1.5), "BREAKDOWN")
+        .when(off < 1.5, "MEAN_REVERTING")
+        .when(sd > F.col("mean") * 0.04, "CHAOTIC")
+        .otherwise("MIXED")
+    )
+    return x.select("asset_id", "start", "size", kind.alias("kind"), round2(clamp(100 - off * 8, 0, 100)).alias("similarity"), (F.col("after") >= F.col("last")).alias("continued"))
 
 
 def month_segments(hist: DataFrame, least: int = 4) -> DataFrame:
-    """Calendar months of a dated series (asset_id, ts, price) with ``least`` points or more."""
-    return (
-        hist.groupBy("asset_id", F.year("ts").alias("year"), F.month("ts").alias("month"))
-        .agg(F.count("*").alias("n"), F.min_by("price", "ts").alias("first_price"), F.max_by("price", "ts").alias("last_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.min("ts").alias("begin_ts"), F.max("ts").alias("end_ts"))
-        .where(F.col("n") >= least)
-        .withColumn("slope_pct", round2(F.when(F.col("first_price") == 0, 0.0).otherwise((F.col("last_price") - F.col("first_price")) / F.abs("first_price") * 100)))
-        .withColumn("amplitude_pct", round2(F.when(F.col("min_price") <= 0, 0.0).otherwise((F.col("max_price") - F.col("min_price")) / F.col("min_price") * 100)))
-        .withColumn("duration", clamp_score(F.least(F.datediff("end_ts", "begin_ts"), F.lit(120)) / 120 * 100))
-    )
+    """Signatures of the calendar months of a dated series (asset_id, ts, price) with ``least`` points or more."""
+    x = hist.where("price > 0").withColumns({"year": F.year("ts"), "month": F.month("ts")})
+    return signatures(x, ("asset_id", "year", "month"), "ts").where(F.col("n_prices") >= least).withColumn("duration", duration(F.col("begin"), F.col("end")))
+
+
+def duration(begin: Column, end: Column) -> Column:
+    """Share of 120 days that a span covers."""
+    days = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))) / 86_400_000_000.0
+    return F.when(days <= 0, 0.0).otherwise(clamp_score(F.least(days, F.lit(120.0)) / 120 * 100))
 
 
 def quarters(months: DataFrame) -> DataFrame:
     """Quarters made of the months that were kept."""
     q = F.ceil(F.col("month") / 3).cast("int")
-    return months.groupBy("asset_id", "year", q.alias("quarter")).agg(F.count("*").alias("n_months"), F.sum("n").alias("n"), F.min_by("first_price", "month").alias("first_price"), F.max_by("last_price", "month").alias("last_price"))
-
-
-def compare_with_history(months: DataFrame) -> DataFrame:
-    """The latest month of each asset against those of the same quarter in earlier years: an equi join with a residual."""
-    latest = Window.partitionBy("asset_id").orderBy(F.desc("year"), F.desc("month"))
-    marked = months.withColumn("k", F.row_number().over(latest)).withColumn("quarter", F.ceil(F.col("month") / 3).cast("int"))
-    now = marked.where("k = 1").select("asset_id", "quarter", F.col("year").alias("now_year"), F.col("slope_pct").alias("now_slope"), F.col("amplitude_pct").alias("now_amplitude"), F.col("duration").alias("now_duration"))
-    past = marked.where("k > 1").select("asset_id", "quarter", "year", "month", "slope_pct", "amplitude_pct", "duration")
-    near = lambda a, b, tol: clamp(100 - F.abs(a - b) / tol * 100, 0, 100)
-    pairs = past.join(now, ["asset_id", "quarter"]).where("year < now_year")
-    similarity = blend((0.4, near(F.col("now_slope"), F.col("slope_pct"), 20)), (0.35, near(F.col("now_amplitude"), F.col("amplitude_pct"), 30)), (0.25, near(F.col("now_duration"), F.col("duration"), 40)))
-    return pairs.select("asset_id", "year", "month", clamp_score(similarity).alias("similarity"), clamp_score(near(F.col("now_duration"), F.col("duration"), 40)).alias("duration_similarity"))
-
-
-def temporal_windows(ticks: DataFrame, days: int = 7) -> DataFrame:
-    """Change over the first and the last ``days`` of a series, both ends included."""
-    whole = Window.partitionBy("asset_id")
-    span = F.expr(f"interval {days} days")
-    w = ticks.withColumn("t0", F.min("ts").over(whole)).withColumn("t1", F.max("ts").over(whole))
-    initial, rolling = F.col("ts") <= F.col("t0") + span, F.col("ts") >= F.col("t1") - span
-    g = w.groupBy("asset_id").agg(
-        F.sum(F.when(initial, 1).otherwise(0)).alias("initial_n"), F.min_by("price", "idx").alias("i0"), F.max_by(F.when(initial, F.col("price")), F.when(initial, F.col("idx"))).alias("i1"),
-        F.sum(F.when(rolling, 1).otherwise(0)).alias("rolling_n"), F.min_by(F.when(rolling, F.col("price")), F.when(rolling, F.col("idx"))).alias("r0"), F.max_by("price", "idx").alias("r1"),
-    )
-    change = lambda a, b: F.when(F.col(a) == 0, 0.0).otherwise((F.col(b) - F.col(a)) / F.abs(a) * 100)
-    score = lambda c: clamp_score(50 + clamp(c, -50, 50))
-    status = lambda n: F.when(F.col(n) >= 4, "computed").otherwise("partial")
-    return g.select("asset_id", "initial_n", score(change("i0", "i1")).alias("initial_price_score"), status("initial_n").alias("initial_status"), "rolling_n", score(change("r0", "r1")).alias("rolling_price_score"), status("rolling_n").alias("rolling_status"))
+    return months.groupBy("asset_id", "year", q.alias("quarter")).agg(F.count("*").alias("n_months"), F.sum("n_prices").alias("n"), F.min_by("first_price", "month").alias("first_price"), F.max_by("last_price", "month").alias("last_price"))
 
 
 def structure_7d(ticks: DataFrame) -> DataFrame:
-    """Directional consistency, convergence and rupture penalty of a series, with its validation state."""
-    s = return_stats(ticks).join(shape(ticks).select("asset_id", "n_prices", "slope_pct"), "asset_id")
-    bias = F.greatest("ups", "downs") / F.greatest(F.col("n_returns"), F.lit(1))
-    noise = F.col("volatility") / F.greatest(F.abs("avg_abs_return"), F.lit(1.0))
-    consistency = clamp_score(bias * 100 - F.least(F.lit(70.0), noise * 12) + 20)
-    convergence = clamp_score(clamp(F.col("slope_pct") + 50, 0, 100) * 0.45 + bias * 100 * 0.4 - F.least(F.lit(60.0), noise * 10) + 15)
-    penalty = clamp_score((F.col("direction_changes") / F.greatest(F.col("n_returns"), F.lit(1)) * 0.65 + F.least(F.lit(1.0), noise / 5) * 0.35) * 100)
-    scored = s.select("asset_id", "n_prices", consistency.alias("consistency"), convergence.alias("convergence"), penalty.alias("rupture_penalty"))
-    total = clamp_score(blend((0.35, F.col("consistency")), (0.4, F.col("convergence")), (0.25, 100 - F.col("rupture_penalty"))))
-    state = F.when(F.col("rupture_penalty") >= 65, "BREAK").when(F.col("validation_score") >= 60, "CONFIRM").when(F.col("validation_score") >= 40, "WEAKEN").otherwise("BREAK")
-    return scored.withColumn("validation_score", total).withColumn("validation_state", state).withColumn("status", F.when(F.col("n_prices") >= 7, "computed").otherwise("partial"))
+    """Directional consistency, convergence and rupture penalty of a series, with its validation and pattern states."""
+    s = profile(ticks)
+    active = F.col("ups") + F.col("downs")
+    bias = F.when(F.col("n_returns") == 0, F.lit(None)).otherwise(F.when(active == 0, 0.0).otherwise(round2(F.abs(F.col("ups") - F.col("downs")) / active)))
+    noise = F.when(F.col("n_returns") >= 2, round2(clamp(F.col("sd_return") / F.greatest(F.abs("mean_return"), F.lit(1.0)), 0, 10)))
+    x = s.withColumns({"bias": bias, "noise": noise}).where("n_prices >= 2")
+    consistency = F.when(F.col("n_returns") >= 1, round2(clamp(clamp(F.col("bias") * 100, 0, 100) - F.coalesce(clamp(F.col("noise") * 12, 0, 70), F.lit(20.0)) + 20, 0, 100)))
+    convergence = F.when(F.col("first_price") != 0, round2(clamp(clamp(50 + F.col("slope_pct"), 0, 100) * 0.45 + F.coalesce(clamp(F.col("bias") * 100, 0, 100), F.lit(50.0)) * 0.4 - F.coalesce(clamp(F.col("noise") * 10, 0, 60), F.lit(15.0)) + 15, 0, 100)))
+    ratio = F.when(F.col("n_returns") < 2, 0.0).otherwise(clamp(F.col("direction_changes") / F.greatest(F.col("n_returns"), F.lit(1)), 0, 1))
+    penalty = F.when(F.col("n_returns") >= 1, round2(clamp((ratio * 0.65 + F.coalesce(clamp(F.col("noise") / 5, 0, 1), F.lit(0.0)) * 0.35) * 100, 0, 100)))
+    x = x.select("asset_id", "n_prices", consistency.alias("consistency"), convergence.alias("convergence"), penalty.alias("rupture_penalty"))
+    total = F.when(F.col("consistency").isNotNull() & F.col("convergence").isNotNull() & F.col("rupture_penalty").isNotNull(), clamp_score(blend((0.35, F.col("consistency")), (0.4, F.col("convergence")), (0.25, 100 - F.col("rupture_penalty")))))
+    x = x.withColumn("validation_score", total)
+    none, broken, score = F.col("validation_score").isNull(), F.col("rupture_penalty") >= 65, F.col("validation_score")
+    return x.withColumns({
+        "validation_state": F.when(none, "UNAVAILABLE").when(broken, "BREAK").when(score >= 60, "CONFIRM").when(score >= 40, "WEAKEN").otherwise("BREAK"), "pattern_state": F.when(none, "UNAVAILABLE").when(broken, "UNSTABLE").when(score >= 60, "COHERENT").when(score >= 40, "MIXED").otherwise("UNSTABLE"),
+        "status": F.when(none, "partial").when(F.col("n_prices") >= 7, "computed").otherwise("partial"),
+    })
 
 
 def behavior_7d(ticks: DataFrame) -> DataFrame:
     """PUMA, KANGAROO or SERPENT by trend, volatility and amplitude."""
-    s = shape(ticks).join(return_stats(ticks).select("asset_id", "volatility"), "asset_id", "left")
+    s = profile(ticks)
     trend, vol, amp = F.col("slope_pct") / 100, F.coalesce("volatility", F.lit(0.0)) / 100, F.col("amplitude_pct") / 100
     raw = trend * 120 - vol * 80 + amp * 40
     damped = F.when(F.abs(trend) < 0.01, raw * 0.6).otherwise(raw)

@@ -24,24 +24,40 @@ stats AS (SELECT t.asset_id, count(*) AS n_returns, CAST(sum(CASE WHEN r * b < 0
  {r2("avg(abs(r))")} AS avg_abs_return, CASE WHEN count(*) < 2 THEN 0e0 ELSE {r2("stddev_pop(r)")} END AS volatility FROM turns t GROUP BY t.asset_id)"""
 SHAPE = f"""shape0 AS (SELECT asset_id, count(*) AS n_prices, arg_min(price, idx) AS first_price, arg_max(price, idx) AS last_price, min(price) AS min_price, max(price) AS max_price FROM tick GROUP BY asset_id),
 shape AS (SELECT *, {r2("CASE WHEN first_price = 0 THEN 0e0 ELSE (last_price - first_price) / abs(first_price) * 100 END")} AS slope_pct, {r2("CASE WHEN min_price <= 0 THEN 0e0 ELSE (max_price - min_price) / min_price * 100 END")} AS amplitude_pct FROM shape0)"""
-BREAKS = f"breaks AS (SELECT asset_id, {r2('avg(CASE WHEN r * b < 0 OR abs(r - b) >= 4 THEN 1e0 ELSE 0e0 END)')} AS break_rate FROM turns WHERE b IS NOT NULL GROUP BY asset_id)"
-REVERSAL = f"""halves AS (SELECT asset_id, r, row_number() OVER (PARTITION BY asset_id ORDER BY idx) AS k, count(*) OVER (PARTITION BY asset_id) AS n FROM ret),
-half_means AS (SELECT asset_id, max(n) AS n, {r2("avg(CASE WHEN k <= floor(n / 2) THEN r END)")} AS first_mean, {r2("avg(CASE WHEN k > floor(n / 2) THEN r END)")} AS second_mean FROM halves GROUP BY asset_id),
-rev AS (SELECT asset_id, first_mean, second_mean, n >= 4 AND first_mean * second_mean < 0 AS reversal FROM half_means)"""
-PATTERN = f"""pat0 AS (SELECT s.asset_id, n_prices, slope_pct, amplitude_pct, coalesce(break_rate, 0e0) AS break_rate, coalesce(reversal, false) AS reversal, {cl(within("coalesce(volatility, 0e0) / 12 * 100", 0, 100) + " * 0.7e0 + " + within("amplitude_pct / 40 * 100", 0, 100) + " * 0.3e0")} AS instability FROM shape s LEFT JOIN stats USING (asset_id) LEFT JOIN breaks USING (asset_id) LEFT JOIN rev USING (asset_id)),
-pat AS (SELECT *, CASE WHEN n_prices < 3 THEN 'RANGE' WHEN reversal AND amplitude_pct >= 4 THEN 'REVERSAL' WHEN amplitude_pct <= 6 AND abs(slope_pct) <= 2 AND instability <= 35 THEN 'COMPRESSION' WHEN abs(slope_pct) <= 3 AND amplitude_pct <= 12 AND break_rate <= 0.45e0 THEN 'RANGE' WHEN slope_pct >= 3 THEN 'UPTREND' WHEN slope_pct <= -3 THEN 'DOWNTREND' ELSE 'RANGE' END AS kind,
- {cl(within("abs(slope_pct) * 8", 0, 100) + " * 0.26e0 + (100 - break_rate * 100) * 0.32e0 + (100 - instability) * 0.28e0 + (100 - " + within("amplitude_pct / 45 * 100", 0, 100) + ") * 0.14e0")} AS quality, {cl("abs(slope_pct) * 2 - break_rate * 40")} AS bias FROM pat0)"""
-OCC = " UNION ALL ".join(
-    f"SELECT asset_id, idx - {k - 1} AS start, {k} AS size, {r2('(price - b) / abs(b) * 100')} AS inside_pct, {r2('(nx - price) / abs(price) * 100')} AS after_pct FROM (SELECT *, lag(price, {k - 1}) OVER (PARTITION BY asset_id ORDER BY idx) AS b, lead(price) OVER (PARTITION BY asset_id ORDER BY idx) AS nx FROM tick) WHERE b IS NOT NULL AND nx IS NOT NULL AND b <> 0 AND price <> 0"
-    for k in range(3, 7)
-)
-OCC = f"occ AS (SELECT *, CASE WHEN inside_pct * after_pct > 0 THEN 'CONTINUATION' WHEN inside_pct * after_pct < 0 THEN 'CORRECTION' ELSE 'NEUTRAL' END AS outcome FROM ({OCC}))"
-MONTHS = f"""hist AS (SELECT l_suppkey AS asset_id, l_shipdate AS ts, {r2("avg(l_extendedprice / l_quantity)")} AS price FROM lineitem GROUP BY ALL),
-months AS (SELECT *, {r2("CASE WHEN first_price = 0 THEN 0e0 ELSE (last_price - first_price) / abs(first_price) * 100 END")} AS slope_pct, {r2("CASE WHEN min_price <= 0 THEN 0e0 ELSE (max_price - min_price) / min_price * 100 END")} AS amplitude_pct, {cl("least(days, 120) / 120e0 * 100")} AS duration FROM
- (SELECT asset_id, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, count(*) AS n, arg_min(price, ts) AS first_price, arg_max(price, ts) AS last_price, min(price) AS min_price, max(price) AS max_price, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS days FROM hist GROUP BY asset_id, year(ts), month(ts) HAVING count(*) >= 4))"""
+def signed(source: str, keys: str, order: str, name: str) -> str:
+    """Signatures of the series of a relation (keys, price, order)."""
+    k = f"PARTITION BY {keys}"
+    return f"""{name}_r AS (SELECT *, CASE WHEN lag(price) OVER ({k} ORDER BY {order}) <> 0 THEN (price - lag(price) OVER ({k} ORDER BY {order})) / abs(lag(price) OVER ({k} ORDER BY {order})) * 100 END AS r FROM {source}),
+{name}_b AS (SELECT *, last_value(r IGNORE NULLS) OVER ({k} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, count(r) OVER ({k} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS k, count(r) OVER ({k}) AS n_r FROM {name}_r),
+{name}_g AS (SELECT {keys}, count(*) AS n_prices, max(n_r) AS n_r, arg_min(price, {order}) AS first_price, arg_max(price, {order}) AS last_price, min(price) AS min_price, max(price) AS max_price, min({order}) AS t0, max({order}) AS t1, stddev_pop(r) AS sd, {r2("avg(CASE WHEN r IS NOT NULL AND b IS NOT NULL THEN CASE WHEN r * b < 0 OR abs(r - b) >= 4 THEN 1e0 ELSE 0e0 END END)")} AS break_rate, avg(CASE WHEN k <= floor(n_r / 2) THEN r END) AS m1, avg(CASE WHEN k > floor(n_r / 2) THEN r END) AS m2 FROM {name}_b GROUP BY {keys}),
+{name}_m AS (SELECT *, {r2("CASE WHEN first_price = 0 THEN 0e0 ELSE (last_price - first_price) / abs(first_price) * 100 END")} AS slope_pct, {r2("CASE WHEN min_price <= 0 THEN 0e0 ELSE (max_price - min_price) / min_price * 100 END")} AS amplitude_pct, coalesce(n_r >= 4 AND sign(m1) * sign(m2) < 0, false) AS reversal FROM {name}_g),
+{name}_i AS (SELECT *, CASE WHEN n_r = 0 THEN 0e0 ELSE {r2(within("sd / 12 * 100", 0, 100) + " * 0.7e0 + " + within("amplitude_pct / 40 * 100", 0, 100) + " * 0.3e0")} END AS instability FROM {name}_m),
+{name} AS (SELECT *, CASE WHEN n_prices < 3 THEN 'RANGE' WHEN reversal AND amplitude_pct >= 4 THEN 'REVERSAL' WHEN amplitude_pct <= 6 AND abs(slope_pct) <= 2 AND instability <= 35 THEN 'COMPRESSION' WHEN abs(slope_pct) <= 3 AND amplitude_pct <= 12 AND break_rate <= 0.45e0 THEN 'RANGE' WHEN slope_pct >= 3 THEN 'UPTREND' WHEN slope_pct <= -3 THEN 'DOWNTREND' ELSE 'RANGE' END AS kind,
+ CASE WHEN n_prices < 3 THEN 0e0 ELSE {cl(within("abs(slope_pct) * 8", 0, 100) + " * 0.26e0 + (100 - " + within("break_rate * 100", 0, 100) + ") * 0.32e0 + (100 - " + within("instability", 0, 100) + ") * 0.28e0 + (100 - " + within("amplitude_pct / 45 * 100", 0, 100) + ") * 0.14e0")} END AS quality, {cl("abs(slope_pct) * 2 - break_rate * 40")} AS bias FROM {name}_i)"""
+
+
+PATTERN = signed("tick", "asset_id", "idx", "pat")
+
+
+def _window(k: int) -> str:
+    """Windows of k prices: p1 to pk are the prices, nx the next one."""
+    p = [f"p{i}" for i in range(1, k + 1)]
+    lags = ", ".join([f"lag(price, {k - i}) OVER o AS p{i}" for i in range(1, k)] + [f"price AS p{k}"])
+    ups, downs = (" + ".join(f"CASE WHEN {b} {op} {a} THEN 1 ELSE 0 END" for a, b in zip(p, p[1:])) for op in (">", "<"))
+    streak = lambda op: " OR ".join([f"({p[i + 1]} {op} {p[i]} AND {p[i + 2]} {op} {p[i + 1]} AND {p[i + 3]} {op} {p[i + 2]})" for i in range(k - 3)] or ["false"])
+    mean = f"(({' + '.join(p)}) / {k})"
+    sd = f"sqrt(({' + '.join(f'({x} - mean) * ({x} - mean)' for x in p)}) / {k})"
+    return f"""SELECT asset_id, start, {k} AS size, CASE WHEN ({streak('>')}) AND change > 0 THEN 'UP_STREAK' WHEN ({streak('<')}) AND change < 0 THEN 'DOWN_STREAK' WHEN {sd} < mean * 0.01e0 THEN 'COMPRESSION' WHEN change > 4 AND ({ups}) > ({downs}) * 1.5e0 THEN 'BREAKOUT' WHEN change < -4 AND ({downs}) > ({ups}) * 1.5e0 THEN 'BREAKDOWN' WHEN off < 1.5e0 THEN 'MEAN_REVERTING' WHEN {sd} > mean * 0.04e0 THEN 'CHAOTIC' ELSE 'MIXED' END AS kind, {r2(within('100 - off * 8', 0, 100))} AS similarity, nx >= p{k} AS continued
+ FROM (SELECT *, (p{k} - p1) / p1 * 100 AS change, abs((p{k} - mean) / mean * 100) AS off FROM (SELECT *, {mean} AS mean FROM (SELECT asset_id, place - {k - 1} AS start, n, {lags}, lead(price) OVER o AS nx FROM priced WINDOW o AS (PARTITION BY asset_id ORDER BY idx)) WHERE p1 IS NOT NULL AND nx IS NOT NULL AND n >= 5))"""
+
+
+OCC = "priced AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY asset_id) AS n FROM tick WHERE price > 0), occ AS (" + " UNION ALL ".join(_window(k) for k in range(3, 7)) + ")"
+HIST = f"hist AS (SELECT l_suppkey AS asset_id, l_shipdate AS ts, {r2('avg(l_extendedprice / l_quantity)')} AS price FROM lineitem GROUP BY ALL)"
+_DURATION = "CASE WHEN t1 <= t0 THEN 0e0 ELSE " + cl("least(date_diff('microsecond', t0, t1) / 86400000000e0, 120e0) / 120 * 100") + " END AS duration"
+MONTHS = f"{HIST}, dated AS (SELECT *, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month FROM hist WHERE price > 0), {signed('dated', 'asset_id, year, month', 'ts', 'mon')}, months AS (SELECT *, {_DURATION} FROM mon WHERE n_prices >= 4)"
 SNAP = f"""line AS (SELECT l_partkey AS id, l_extendedprice / l_quantity AS price, l_extendedprice AS volume, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity, l_extendedprice)),
 shaped AS (SELECT id, max(n) AS n, max(CASE WHEN k = n THEN price END) AS price, max(CASE WHEN k = n - 1 THEN price END) AS prev, max(CASE WHEN k = 1 THEN price END) AS first, min(price) AS low, max(price) AS high, {r2("sum(volume)")} AS market_cap, {r2("sum(CASE WHEN k > n - 5 THEN volume END)")} AS volume_24h FROM line GROUP BY id),
-snap AS (SELECT s.id, upper(p_brand) || '-' || CAST(p_partkey AS VARCHAR) AS symbol, p_name AS name, price, CASE WHEN n > 1 THEN CASE WHEN prev = 0 THEN 0e0 ELSE (price - prev) / abs(prev) * 100 END END AS chg_24h_pct, CASE WHEN n > 1 THEN CASE WHEN first = 0 THEN 0e0 ELSE (price - first) / abs(first) * 100 END END AS chg_7d_pct, market_cap, volume_24h, n, low, high, row_number() OVER (ORDER BY market_cap DESC, s.id) AS rank FROM shaped s JOIN part ON p_partkey = s.id)"""
+snap AS (SELECT s.id, upper(p_brand) || '-' || CAST(p_partkey AS VARCHAR) AS symbol, p_name AS name, price, CASE WHEN n > 1 THEN CASE WHEN prev = 0 THEN 0e0 ELSE (price - prev) / abs(prev) * 100 END END AS chg_24h_pct, CASE WHEN n > 1 THEN CASE WHEN first = 0 THEN 0e0 ELSE (price - first) / abs(first) * 100 END END AS chg_7d_pct, market_cap, volume_24h, n AS n_prices, low, high, row_number() OVER (ORDER BY market_cap DESC, s.id) AS rank FROM shaped s JOIN part ON p_partkey = s.id)"""
 PUBLIC = "id, symbol, name, rank, chg_24h_pct, market_cap, volume_24h"
 LABEL = f"""lab0 AS (SELECT id, symbol, volume_24h, coalesce(chg_24h_pct, 0e0) AS d, coalesce(chg_7d_pct, 0e0) AS w, CASE WHEN price > 0 THEN {r2("(high - low) / price * 100")} ELSE 0e0 END AS amplitude, CASE WHEN market_cap IS NULL OR market_cap <= 0 THEN 'Unknown' WHEN volume_24h / market_cap >= 0.08e0 THEN 'High' WHEN volume_24h / market_cap >= 0.025e0 THEN 'Normal' ELSE 'Low' END AS activity FROM snap),
 lab1 AS (SELECT *, CASE WHEN w >= 1 THEN 'up' WHEN w <= -1 THEN 'down' ELSE 'flat' END AS direction FROM lab0),
@@ -57,63 +73,50 @@ f3 AS (SELECT *, CASE WHEN n > 0 THEN {cl("presence * 0.45e0 + duration * 0.55e0
 f4 AS (SELECT *, {cl("occurrence * 0.18e0 + convergence * 0.24e0 + duration * 0.2e0 + frequency * 0.22e0 + correlation * 0.16e0")} AS structure, {cl("rupture_ratio * 55 + turn_ratio * 20 + avg_abs * 6 + vol * 8 + penalty")} AS rupture, {cl("occurrence * 0.18e0 + convergence * 0.24e0 + duration * 0.22e0 + frequency * 0.2e0 + correlation * 0.16e0 + bonus")} AS stability, {cl("net * 4 + 50")} AS mid_term FROM f3),
 rfs AS (SELECT asset_id, n_prices AS sample_size, CAST(greatest(1, CASE WHEN rupture_events > 0 THEN rupture_events + 1 ELSE 1 END) AS BIGINT) AS pattern_count, direction_changes, rupture_events, stable_run_length, dom_s AS dominant_direction_ratio, liquidity, alignment, occurrence, convergence, duration, frequency, correlation, structure, rupture, stability, mid_term, {cl("100 - rupture + bonus")} AS continuity, CASE WHEN n_prices < 5 THEN 15e0 ELSE {cl("stability * 0.25e0 + structure * 0.2e0 + correlation * 0.15e0 + duration * 0.15e0 + liquidity * 0.1e0 + (100 - rupture) * 0.15e0")} END AS confidence,
  CASE WHEN stability >= 70 AND rupture <= 30 AND frequency >= 60 AND convergence >= 60 THEN 'STABLE' WHEN stability < 40 OR rupture >= 65 OR frequency < 35 THEN 'VOLATILE' ELSE 'TRANSITION' END AS regime, CASE WHEN n_prices < 5 THEN 'INSUFFICIENT_DATA' WHEN structure < 40 OR stability < 40 THEN 'WEAK_STRUCTURE' ELSE 'VALID' END AS status, CASE WHEN week >= 4 THEN 'FAVORABLE' WHEN week <= -4 THEN 'UNFAVORABLE' ELSE 'NEUTRAL' END AS mid_term_state FROM f4)"""
-GATE = f"""g0 AS (SELECT *, {cl("mid_term * 0.5e0 + structure * 0.3e0 + continuity * 0.2e0")} AS opportunity, {cl("convergence * 0.5e0 + correlation * 0.5e0")} AS market_convergence FROM rfs),
-g1 AS (SELECT *, {cl("100 - abs(stability - convergence) * 0.35e0 - abs(convergence - opportunity) * 0.25e0 - abs(stability - opportunity) * 0.2e0")} AS inner_s FROM g0),
-g2 AS (SELECT *, {cl("stability * 0.28e0 + convergence * 0.24e0 + opportunity * 0.16e0 + inner_s * 0.14e0 + confidence * 0.12e0 + liquidity * 0.06e0")} AS reliability, {cl("stability * 0.28e0 + convergence * 0.28e0 + opportunity * 0.22e0 + confidence * 0.12e0 + (100 - rupture) * 0.1e0")} AS support_probability, {cl("continuity * 0.35e0 + stability * 0.25e0 + mid_term * 0.2e0 + duration * 0.1e0 + frequency * 0.1e0")} AS recovery_probability, CASE WHEN stability < 40 OR rupture > 70 THEN 'BLOCK' WHEN stability > 80 AND rupture < 30 AND opportunity > 75 THEN 'ALLOW' ELSE 'WATCH' END AS decision FROM g1),
-g3 AS (SELECT *, {cl("reliability - rupture * 0.38e0")} AS market_confidence FROM g2),
-gate AS (SELECT asset_id, regime, status, stability, rupture, opportunity, market_convergence, reliability, market_confidence, support_probability, recovery_probability, decision, coalesce(CASE WHEN decision = 'BLOCK' AND rupture >= 65 THEN 'RESTRICTIVE_RUPTURE' WHEN regime = 'VOLATILE' AND market_confidence < 50 THEN 'DEFENSIVE_LOW_CONFIDENCE' WHEN market_confidence < 40 THEN 'LOW_CONFIDENCE' WHEN rupture >= 80 THEN 'EXTREME_RUPTURE' WHEN market_convergence < 35 THEN 'LOW_CONVERGENCE' END, 'NONE') AS neutralization, CASE decision WHEN 'ALLOW' THEN 'progressive' WHEN 'WATCH' THEN 'confirmation' ELSE 'none' END AS execution_mode FROM g3)"""
-FUNNEL = f"""d0 AS (SELECT *, {cl("stability * 0.24e0 + market_convergence * 0.18e0 + support_probability * 0.18e0 + opportunity * 0.14e0 + market_confidence * 0.1e0 + recovery_probability * 0.08e0 - rupture * 0.26e0")} AS decision_score, {cl("recovery_probability - rupture")} AS dominance FROM gate),
-d1 AS (SELECT *, CASE WHEN rupture >= 78 THEN 'rupture_kill_switch' WHEN stability < 55 OR market_convergence < 50 THEN 'temporal_support_low' WHEN support_probability < 72 THEN 'support_low' WHEN market_confidence < 40 THEN 'confidence_low' WHEN regime = 'VOLATILE' OR (regime = 'TRANSITION' AND rupture >= 60) THEN 'transition_unsafe' WHEN regime = 'TRANSITION' AND dominance < 8 THEN 'dominance_low' WHEN decision_score >= 76 THEN 'score_allows' ELSE 'score_low' END AS reason FROM d0),
-dec AS (SELECT asset_id, regime, decision_score, dominance, CASE reason WHEN 'rupture_kill_switch' THEN 'BLOCK' WHEN 'score_allows' THEN 'ALLOW' ELSE 'WATCH' END AS decision, reason, stability, rupture, market_confidence, support_probability, recovery_probability, opportunity, market_convergence FROM d1)"""
-_T = f"WITH {TICK}, {RET}, {STATS}, {SHAPE}, {BREAKS}, {REVERSAL}, {PATTERN}, {RFS}, {GATE}, {FUNNEL}"
+GATE = f"""g0 AS (SELECT *, {cl("convergence * 0.5e0 + correlation * 0.5e0")} AS market_convergence FROM rfs),
+g1 AS (SELECT *, {cl("stability * 0.5e0 + market_convergence * 0.3e0 + (100 - rupture) * 0.2e0")} AS opportunity, {cl("rupture * 0.38e0")} AS toll FROM g0),
+g2 AS (SELECT *, {cl("100 - abs(stability - market_convergence) * 0.35e0 - abs(market_convergence - opportunity) * 0.25e0 - abs(stability - opportunity) * 0.2e0")} AS agreement FROM g1),
+g3 AS (SELECT *, {cl("stability * 0.28e0 + market_convergence * 0.24e0 + frequency * 0.16e0 + duration * 0.14e0 + correlation * 0.12e0 + agreement * 0.06e0")} AS reliable FROM g2),
+g4 AS (SELECT *, {cl("reliable - toll")} AS market_confidence FROM g3),
+g5 AS (SELECT *, {cl("stability * 0.28e0 + market_convergence * 0.28e0 + opportunity * 0.22e0 + market_confidence * 0.12e0 + (100 - rupture) * 0.1e0")} AS support_probability, {cl("(100 - rupture) * 0.35e0 + stability * 0.25e0 + market_convergence * 0.2e0 + duration * 0.1e0 + correlation * 0.1e0")} AS recovery_probability, {cl("market_confidence * 0.4e0 + market_convergence * 0.3e0 + duration * 0.2e0 + correlation * 0.1e0")} AS temporal_coherence, {cl("opportunity * 0.35e0 + market_convergence * 0.25e0 + stability * 0.2e0 + market_confidence * 0.2e0")} AS temporal_support, {cl("rupture * 0.6e0 + rupture * 0.4e0")} AS rupture_evolution FROM g4),
+gate AS (SELECT asset_id, regime, status, stability, rupture, market_convergence, opportunity, market_confidence, support_probability, recovery_probability, temporal_coherence, temporal_support, CASE WHEN stability < 40 OR rupture > 70 THEN 'BLOCK' WHEN stability > 80 AND rupture < 30 AND opportunity > 75 THEN 'ALLOW' ELSE 'WATCH' END AS core_decision, 'unavailable' AS governance, market_confidence < 40 OR rupture >= 80 OR market_convergence < 35 AS neutralized,
+ CASE WHEN market_confidence < 40 THEN 'low_confidence' WHEN rupture >= 80 THEN 'excessive_rupture' WHEN market_convergence < 35 THEN 'contradictory_structure' ELSE 'none' END AS neutralization_reason, CASE WHEN market_confidence < 25 THEN 'high' WHEN market_confidence < 40 THEN 'medium' WHEN rupture >= 90 THEN 'critical' WHEN rupture >= 80 THEN 'high' WHEN market_convergence < 35 THEN 'medium' ELSE 'none' END AS neutralization_severity,
+ rupture_evolution, CASE WHEN rupture_evolution >= 85 THEN 'explosive' WHEN rupture_evolution >= 65 THEN 'worsening' WHEN rupture_evolution <= 25 THEN 'improving' ELSE 'stable' END AS rupture_state FROM g5)"""
+
+
+def funnel(source: str, allow: str, risk: str, support: str, name: str) -> str:
+    return f"""{name}_0 AS (SELECT *, {cl("stability * 0.24e0 + market_convergence * 0.18e0 + support_probability * 0.18e0 + opportunity * 0.14e0 + market_confidence * 0.1e0 + recovery_probability * 0.08e0 - rupture * 0.26e0")} AS decision_score, {cl("recovery_probability - rupture")} AS recovery_rupture_dominance, rupture >= {risk} AS rupture_dominant, temporal_coherence >= 55 AND temporal_support >= 50 AS temporal_gate, support_probability >= {support} AS support_gate, regime <> 'TRANSITION' OR rupture < {risk} - 8 AS safety_gate FROM {source}),
+{name}_1 AS (SELECT *, regime <> 'TRANSITION' OR recovery_rupture_dominance >= 8 AS dominance_gate FROM {name}_0),
+{name}_2 AS (SELECT *, CASE WHEN rupture_dominant THEN 'rupture_kill_switch' WHEN NOT temporal_gate THEN 'temporal_gate_failed' WHEN NOT support_gate THEN 'support_gate_failed' WHEN market_confidence < 40 THEN 'support_gate_failed' WHEN NOT safety_gate OR regime = 'VOLATILE' THEN 'transition_safety_gate_failed' WHEN NOT dominance_gate THEN 'transition_dominance_gate_failed' WHEN decision_score >= {allow} THEN 'allow_score_passed' ELSE 'allow_score_below_threshold' END AS reason FROM {name}_1),
+{name} AS (SELECT *, CASE reason WHEN 'rupture_kill_switch' THEN 'BLOCK' WHEN 'allow_score_passed' THEN 'ALLOW' ELSE 'WATCH' END AS decision FROM {name}_2)"""
+
+
+FUNNEL = funnel("gate", "76", "68", "64", "dec")
+DECIDED = "asset_id, regime, decision_score, recovery_rupture_dominance, decision, reason, rupture_dominant, temporal_gate, support_gate, safety_gate, dominance_gate, stability, rupture, market_confidence, support_probability, recovery_probability, opportunity, market_convergence, neutralized, neutralization_reason, neutralization_severity, rupture_evolution, rupture_state"
+_T = f"WITH {TICK}, {RET}, {STATS}, {SHAPE}, {PATTERN}, {RFS}, {GATE}, {FUNNEL}"
 _S = f"WITH {SNAP}, {LABEL}"
 
 
-def floor_p(x: str, p: float, default: int) -> str:
-    return f"coalesce(list_sort(list({cl(x)}))[CAST(floor({p}e0 * (count(*) - 1)) AS INT) + 1], {default}e0)"
-
-
-def band(regime: str, column: str, p: float, low: int, high: int) -> str:
-    x = f"quantile_cont(CASE WHEN regime = '{regime}' THEN {column} END, {p})"
-    return f"{r2(f'greatest({low}e0, least({high}e0, coalesce({x}, {low}e0)))')} AS {regime.lower()}_{column}"
-
-
 def pct_of(column: str, value: str) -> str:
     return r2(f"avg(CASE WHEN {column} = '{value}' THEN 100e0 ELSE 0e0 END)")
 
 
 _change = lambda a, b: f"CASE WHEN {a} = 0 THEN 0e0 ELSE ({b} - {a}) / abs({a}) * 100 END"
-_AXES = {"occurrence": (0.92, 4, 0.95), "frequency": (0.9, 5, 0.93), "convergence": (0.94, 3, 0.96), "correlation": (0.96, 2, 0.97), "duration": (0.9, 4, 0.94)}
-_ADAPTIVE = [("STABLE", "stability", 0.72, 68, 86), ("STABLE", "support_probability", 0.72, 58, 82), ("STABLE", "market_confidence", 0.68, 55, 80), ("STABLE", "rupture", 0.35, 18, 50), ("TRANSITION", "stability", 0.82, 68, 84), ("TRANSITION", "support_probability", 0.84, 60, 85), ("TRANSITION", "market_confidence", 0.8, 58, 82), ("TRANSITION", "rupture", 0.28, 20, 48), ("VOLATILE", "stability", 0.12, 25, 42), ("VOLATILE", "rupture", 0.88, 65, 90), ("VOLATILE", "market_confidence", 0.1, 15, 35), ("VOLATILE", "support_probability", 0.12, 15, 35)]
 _ORDER = "rank ASC, coalesce(market_cap, -1) DESC, coalesce(volume_24h, -1) DESC, symbol ASC"
 
 ORACLE_SQL: dict[str, str] = {
     "w1_returns": f"WITH {TICK}, {RET} SELECT asset_id, idx, {r2('r')} AS return_pct FROM ret",
     "w2_w3_return_stats": f"{_T} SELECT * FROM stats",
     "w4_streaks": f"WITH {TICK}, st AS (SELECT asset_id, idx, sign(price - lag(price) OVER (PARTITION BY asset_id ORDER BY idx)) AS d FROM tick), s2 AS (SELECT *, lag(d) OVER (PARTITION BY asset_id ORDER BY idx) AS b FROM st WHERE d IS NOT NULL), s3 AS (SELECT *, sum(CASE WHEN d = b THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id ORDER BY idx) AS island FROM s2), s4 AS (SELECT asset_id, island, d, count(*) AS c FROM s3 GROUP BY ALL) SELECT asset_id, CAST(sum(CASE WHEN d = 1 THEN c ELSE 0 END) AS BIGINT) AS up_moves, CAST(sum(CASE WHEN d = -1 THEN c ELSE 0 END) AS BIGINT) AS down_moves, CAST(max(CASE WHEN d = 1 THEN c ELSE 0 END) AS BIGINT) AS up_streak, CAST(max(CASE WHEN d = -1 THEN c ELSE 0 END) AS BIGINT) AS down_streak FROM s4 GROUP BY asset_id",
-    "w5_break_rate": f"{_T} SELECT * FROM breaks",
     "w6_shape": f"{_T} SELECT * FROM shape",
-    "w7_reversal": f"{_T} SELECT * FROM rev",
-    "w8_w9_pattern": f"{_T} SELECT * FROM pat",
-    "w11_month_segments": f"WITH {MONTHS} SELECT * EXCLUDE (days) FROM months",
-    "w12_quarters": f"WITH {MONTHS} SELECT asset_id, year, CAST(ceil(month / 3) AS INT) AS quarter, count(*) AS n_months, CAST(sum(n) AS BIGINT) AS n, arg_min(first_price, month) AS first_price, arg_max(last_price, month) AS last_price FROM months GROUP BY asset_id, year, ceil(month / 3)",
-    "w13_temporal_windows": f"WITH {TICK}, t AS (SELECT *, min(ts) OVER p AS t0, max(ts) OVER p AS t1 FROM tick WINDOW p AS (PARTITION BY asset_id)), g AS (SELECT asset_id, CAST(sum(CASE WHEN ts <= t0 + INTERVAL 7 DAY THEN 1 ELSE 0 END) AS BIGINT) AS initial_n, arg_min(price, idx) AS i0, arg_max(price, idx) FILTER (ts <= t0 + INTERVAL 7 DAY) AS i1, CAST(sum(CASE WHEN ts >= t1 - INTERVAL 7 DAY THEN 1 ELSE 0 END) AS BIGINT) AS rolling_n, arg_min(price, idx) FILTER (ts >= t1 - INTERVAL 7 DAY) AS r0, arg_max(price, idx) AS r1 FROM t GROUP BY asset_id) SELECT asset_id, initial_n, {cl('50 + greatest(-50e0, least(50e0, ' + _change('i0', 'i1') + '))')} AS initial_price_score, CASE WHEN initial_n >= 4 THEN 'computed' ELSE 'partial' END AS initial_status, rolling_n, {cl('50 + greatest(-50e0, least(50e0, ' + _change('r0', 'r1') + '))')} AS rolling_price_score, CASE WHEN rolling_n >= 4 THEN 'computed' ELSE 'partial' END AS rolling_status FROM g",
-    "w14_occurrences": f"WITH {TICK}, {OCC} SELECT * FROM occ",
     "w16_lead_returns": f"WITH {TICK} SELECT asset_id, idx, " + ", ".join(f"CASE WHEN lead(price, {k}) OVER p IS NOT NULL AND price <> 0 THEN {r2(f'(lead(price, {k}) OVER p - price) / price * 100')} END AS return_{k}" for k in (24, 48, 72)) + " FROM tick WINDOW p AS (PARTITION BY asset_id ORDER BY idx)",
-    "w19_structure_7d": f"{_T}, a AS (SELECT *, greatest(ups, downs) / greatest(n_returns, 1) AS bias_r, volatility / greatest(abs(avg_abs_return), 1e0) AS noise FROM stats JOIN (SELECT asset_id, n_prices, slope_pct FROM shape) USING (asset_id)), b AS (SELECT asset_id, n_prices, {cl('bias_r * 100 - least(70e0, noise * 12) + 20')} AS consistency, {cl(within('slope_pct + 50', 0, 100) + ' * 0.45e0 + bias_r * 100 * 0.4e0 - least(60e0, noise * 10) + 15')} AS convergence, {cl('(direction_changes / greatest(n_returns, 1) * 0.65e0 + least(1e0, noise / 5) * 0.35e0) * 100')} AS rupture_penalty FROM a), c AS (SELECT *, {cl('consistency * 0.35e0 + convergence * 0.4e0 + (100 - rupture_penalty) * 0.25e0')} AS validation_score FROM b) SELECT *, CASE WHEN rupture_penalty >= 65 THEN 'BREAK' WHEN validation_score >= 60 THEN 'CONFIRM' WHEN validation_score >= 40 THEN 'WEAKEN' ELSE 'BREAK' END AS validation_state, CASE WHEN n_prices >= 7 THEN 'computed' ELSE 'partial' END AS status FROM c",
     "w20_behavior_7d": f"{_T}, a AS (SELECT asset_id, n_prices, slope_pct / 100 AS t, coalesce(volatility, 0e0) / 100 AS v, amplitude_pct / 100 AS m FROM shape LEFT JOIN stats USING (asset_id)), b AS (SELECT *, CASE WHEN abs(t) < 0.01e0 THEN (t * 120 - v * 80 + m * 40) * 0.6e0 ELSE t * 120 - v * 80 + m * 40 END AS raw FROM a), c AS (SELECT asset_id, CASE WHEN n_prices < 5 THEN 50e0 ELSE floor((greatest(-100e0, least(100e0, raw)) + 100) / 200 * 100 + 0.5e0) END AS score FROM b) SELECT asset_id, score, CASE WHEN score >= 65 THEN 'PUMA' WHEN score <= 35 THEN 'SERPENT' ELSE 'KANGAROO' END AS behavior FROM c",
     "w22_newest_per_key": f"WITH {MEMORY} SELECT id, symbol, action, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, id DESC) AS place FROM mem) WHERE place <= 3",
     "j1_last_wins_join": "SELECT c_custkey, c_mktsegment, o_orderkey, o_orderpriority FROM customer JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey",
     "j2_collisions": "SELECT * FROM (SELECT lower(p_brand) || '|' || lower(p_type) || '|' || CAST(p_size AS VARCHAR) AS fingerprint, p_partkey, p_brand, p_type, p_size, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n FROM part) WHERE n > 1",
-    "j4_compare_with_history": f"WITH {MONTHS}, m AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY year DESC, month DESC) AS k, ceil(month / 3) AS quarter FROM months) SELECT p.asset_id, p.year, p.month, {cl(within('100 - abs(c.slope_pct - p.slope_pct) / 20 * 100', 0, 100) + ' * 0.4e0 + ' + within('100 - abs(c.amplitude_pct - p.amplitude_pct) / 30 * 100', 0, 100) + ' * 0.35e0 + ' + within('100 - abs(c.duration - p.duration) / 40 * 100', 0, 100) + ' * 0.25e0')} AS similarity, {cl(within('100 - abs(c.duration - p.duration) / 40 * 100', 0, 100))} AS duration_similarity FROM m p JOIN m c ON c.k = 1 AND p.k > 1 AND p.asset_id = c.asset_id AND p.quarter = c.quarter AND p.year < c.year",
-    "j5_band_join": f"{_T} SELECT a.asset_id, count(*) AS n_comparable, {r2('avg(abs(a.stability - b.stability))')} AS avg_gap FROM rfs a JOIN rfs b ON a.asset_id < b.asset_id AND a.regime = b.regime AND abs(a.stability - b.stability) < 2 GROUP BY a.asset_id",
     "j10_preferred_record": "SELECT key, source, id, balance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY balance DESC, source, id) AS k FROM (SELECT c_nationkey AS key, 'registry' AS source, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, 'env', s_suppkey, s_acctbal FROM supplier)) WHERE k = 1",
     "e1_rfs_market": f"{_T} SELECT * FROM rfs",
-    "e3_impulse_state": f"{_T}, i AS (SELECT asset_id, {cl('convergence * 0.34e0 + frequency * 0.18e0 + occurrence * 0.14e0 + duration * 0.14e0 + correlation * 0.12e0 + mid_term * 0.08e0')} AS pressure, {cl('rupture * 0.28e0 + (100 - frequency) * 0.22e0 + (100 - stability) * 0.22e0 + (100 - duration) * 0.16e0 + (100 - correlation) * 0.12e0')} AS instability, {cl('occurrence * 0.34e0 + duration * 0.22e0 + stability * 0.18e0 + structure * 0.16e0 + correlation * 0.1e0')} AS saturation, {cl('rupture * 0.22e0 + occurrence * 0.18e0 + (100 - convergence) * 0.2e0 + (100 - frequency) * 0.16e0 + (100 - structure) * 0.14e0 + (100 - mid_term) * 0.1e0')} AS exhaustion FROM rfs) SELECT *, CASE WHEN exhaustion >= 70 THEN 'EXHAUSTION' WHEN pressure >= 68 AND instability >= 62 THEN 'RELEASE' WHEN pressure >= 60 AND saturation >= 55 THEN 'PRESSURE_BUILDING' WHEN pressure >= 45 AND instability <= 55 THEN 'COMPRESSION' ELSE 'NEUTRAL' END AS state FROM i",
-    "e6_temporal_analysis": f"{_T}, c AS (SELECT asset_id, {', '.join(_AXES)}, " + ", ".join(f"{cl(f'{n} * {a}e0 + {b}')} AS {n}_calibrated" for n, (a, b, _) in _AXES.items()) + " FROM rfs), p AS (SELECT *, " + ", ".join(f"{cl(f'{n}_calibrated * {p}e0')} AS {n}_probability" for n, (*_, p) in _AXES.items()) + f" FROM c), m AS (SELECT *, {cl('(' + ' + '.join(f'{n}_probability' for n in _AXES) + ') / 5')} AS mean_probability FROM p), s AS (SELECT *, {cl('100 - sqrt((' + ' + '.join(f'({n}_probability - mean_probability) * ({n}_probability - mean_probability)' for n in _AXES) + ') / 5) * 2.2e0')} AS coherence, {cl(' + '.join(f'{n}_probability * {w}e0' for n, w in zip(_AXES, (0.2, 0.18, 0.24, 0.24, 0.14), strict=True)))} AS structural FROM m) SELECT *, {cl('structural * 0.72e0 + coherence * 0.28e0')} AS support FROM s",
-    "e9_comparator": f"{_T}, x AS (SELECT asset_id, {cl('rupture * 0.55e0 + (100 - stability) * 0.25e0 + (100 - frequency) * 0.1e0 + (100 - correlation) * 0.1e0')} AS rupture_pressure, {cl('continuity * 0.3e0 + stability * 0.2e0 + convergence * 0.2e0 + duration * 0.15e0 + mid_term * 0.15e0')} AS recovery_strength FROM rfs), y AS (SELECT *, {cl('recovery_strength - rupture_pressure + 50')} AS dominance FROM x) SELECT *, CASE WHEN dominance >= 60 THEN 'RECOVERY' WHEN dominance <= 40 THEN 'RUPTURE' ELSE 'NEUTRAL' END AS dominant FROM y",
     "e10_market_gate": f"{_T} SELECT * FROM gate",
-    "e11_decision_funnel": f"{_T} SELECT * FROM dec",
     "e22_public_structure": f"{_S} SELECT * FROM lab",
     "e24_simple_decision": f"{_T} SELECT asset_id, CASE WHEN stability < 40 THEN 'BLOCK' WHEN stability > 70 AND convergence > 65 AND continuity > 0.6e0 THEN 'ALLOW' ELSE 'WATCH' END AS decision FROM rfs",
     "e25_stability_index": f"{_S} SELECT id, {r2('(' + within('1 - abs(chg_24h_pct) / 10', 0, 1) + ' * 0.6e0 + ' + within('(log10(market_cap) - 8) / 4', 0, 1) + ' * 0.25e0 + ' + within('(log10(volume_24h) - 7) / 4', 0, 1) + ' * 0.15e0) * 100')} AS stability_index, CASE WHEN abs(chg_24h_pct) <= 3 THEN 'STABLE' WHEN abs(chg_24h_pct) <= 8 THEN 'TRANSITION' ELSE 'VOLATILE' END AS regime FROM snap WHERE chg_24h_pct IS NOT NULL",
@@ -123,27 +126,32 @@ ORACLE_SQL: dict[str, str] = {
     "a3_market_state": f"{_S} SELECT count(price) AS n_price, count(chg_24h_pct) AS n_24h, count(chg_7d_pct) AS n_7d, {r2('avg(chg_24h_pct)')} AS avg_24h, {r2('avg(abs(chg_24h_pct))')} AS avg_abs_24h, {r2('avg(chg_7d_pct)')} AS avg_7d, {r2('avg(abs(chg_7d_pct))')} AS avg_abs_7d FROM snap",
     "a5_market_context": f"{_T}, c AS (SELECT count(*) AS n_assets, {pct_of('regime', 'STABLE')} AS stable_pct, {pct_of('regime', 'TRANSITION')} AS transition_pct, {pct_of('regime', 'VOLATILE')} AS volatile_pct, {r2('avg(stability)')} AS avg_stability, {r2('median(stability)')} AS median_stability FROM rfs), g AS (SELECT *, {cl('avg_stability * 0.6e0 + median_stability * 0.4e0')} AS global_score FROM c) SELECT *, {cl('volatile_pct * 0.42e0 + transition_pct * 0.2e0 + (100 - global_score) * 0.1e0')} AS risk, CASE WHEN volatile_pct >= 45 OR global_score < 35 THEN 'VOLATILE' WHEN stable_pct >= 55 AND global_score >= 60 THEN 'STABLE' ELSE 'TRANSITION' END AS global_regime FROM g",
     "a6_structure_summary": f"{_S}, c AS (SELECT count(*) AS n_assets, {r2('avg(CASE WHEN transition = ' + chr(39) + 'Fragmented' + chr(39) + ' THEN 1e0 ELSE 0e0 END) * 100')} AS fragmented_pct, {r2('avg(CASE WHEN transition IN (' + chr(39) + 'Expansion' + chr(39) + ', ' + chr(39) + 'Active Expansion' + chr(39) + ') THEN 1e0 ELSE 0e0 END) * 100')} AS expanding_pct, {pct_of('activity', 'High')} AS active_pct, {r2('avg(CASE WHEN transition = ' + chr(39) + 'Compression' + chr(39) + ' THEN 1e0 ELSE 0e0 END) * 100')} AS compressed_pct FROM lab) SELECT *, CASE WHEN fragmented_pct >= 30 THEN 'Fragmented' WHEN expanding_pct >= 35 THEN 'Expanding' WHEN active_pct >= 35 THEN 'Active' WHEN compressed_pct >= 45 THEN 'Compressed' ELSE 'Transitioning' END AS climate FROM c",
-    "a8_memory_stats": f"WITH {MEMORY}, c AS (SELECT count(*) AS total, count(*) FILTER (status = 'open') AS n_open, count(*) FILTER (status = 'resolved') AS n_resolved, count(*) FILTER (res > 0) AS positive, count(*) FILTER (res < 0) AS negative, count(*) FILTER (res = 0) AS neutral, {r2('avg(res)')} AS avg_result FROM mem) SELECT *, CASE WHEN n_resolved > 0 THEN {r2('positive / n_resolved * 100')} ELSE 0e0 END AS winrate FROM c",
+    "a8_memory_stats": f"WITH {MEMORY}, c AS (SELECT count(*) AS total, count(*) FILTER (status = 'open') AS n_open, count(*) FILTER (status = 'resolved') AS n_resolved, count(*) FILTER (res > 0) AS positive, count(*) FILTER (res < 0) AS negative, count(*) FILTER (res = 0) AS neutral, {r2('avg(res)')} AS avg_result, {r2('avg(res) FILTER (res > 0)')} AS avg_positive, {r2('avg(res) FILTER (res < 0)')} AS avg_negative FROM mem) SELECT *, CASE WHEN n_resolved > 0 THEN {r2('positive / n_resolved * 100')} END AS winrate FROM c",
     "a9_by_action": f"WITH {MEMORY} SELECT a.action, CAST(a.place AS INT) AS place, count(id) AS total, count(*) FILTER (res > 0) AS positive FROM (VALUES ('ALLOW', 0), ('WATCH', 1), ('BLOCK', 2)) a(action, place) LEFT JOIN mem ON mem.action = a.action GROUP BY ALL",
     "a10_by_regime": f"WITH {MEMORY} SELECT market_regime, count(*) AS total, count(*) FILTER (status = 'resolved') AS n_resolved, count(*) FILTER (res > 0) AS positive, {r2('avg(res)')} AS avg_result FROM mem GROUP BY market_regime",
     "a11_decision_distribution": f"{_T} SELECT CASE WHEN grouping(regime) = 1 THEN 'ALL' ELSE regime END AS regime, count(*) AS n, {pct_of('decision', 'ALLOW')} AS allow_pct, {pct_of('decision', 'WATCH')} AS watch_pct, {pct_of('decision', 'BLOCK')} AS block_pct FROM dec GROUP BY GROUPING SETS ((), (regime))",
     "a12_reason_histogram": f"{_T} SELECT reason, count(*) AS n FROM dec GROUP BY reason",
-    "a13_calibration_policy": f"{_T} SELECT count(*) AS n, {floor_p('decision_score', 0.75, 76)} AS allow_threshold, {floor_p('decision_score', 0.5, 72)} AS support_threshold, {floor_p('rupture', 0.75, 70)} AS block_threshold, {floor_p('market_confidence', 0.5, 50)} AS confidence_threshold FROM dec",
-    "a17_adaptive_thresholds": f"{_T} SELECT count(*) AS n, " + ", ".join(band(*x) for x in _ADAPTIVE) + " FROM dec",
     "a19_score_stats": f"{_T} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS n, min({c}) AS least, max({c}) AS largest, {r2(f'avg({c})')} AS mean, {r2(f'quantile_cont({c}, 0.25)')} AS p25, {r2(f'median({c})')} AS median, {r2(f'quantile_cont({c}, 0.75)')} AS p75 FROM dec" for c in ("stability", "rupture", "market_confidence")),
-    "a25_outcome_rates": f"WITH {TICK}, {OCC} SELECT asset_id, count(*) AS n, {pct_of('outcome', 'CORRECTION')} AS correction_rate, {pct_of('outcome', 'CONTINUATION')} AS continuation_rate FROM occ GROUP BY asset_id",
     "a29_usage_totals": f"WITH {USAGE} SELECT key, count(*) AS calls, arg_max(endpoint, (ts, event_id)) AS last_endpoint, max(plan) AS plan FROM use GROUP BY key",
     "a29_usage_by_endpoint": f"WITH {USAGE} SELECT endpoint, count(*) AS calls, count(DISTINCT key) AS keys FROM use GROUP BY endpoint",
     "f1_search": f"{_S} SELECT {PUBLIC} FROM snap WHERE contains(lower(CAST(id AS VARCHAR)), 'brand#1') OR contains(lower(symbol), 'brand#1') OR contains(lower(name), 'brand#1')",
-    "f4_issues": f"{_S} SELECT id, array_to_string(list_filter([CASE WHEN coalesce(trim(symbol), '') = '' THEN 'symbol_missing' END, CASE WHEN price IS NULL OR price <= 0 THEN 'price_invalid' END, CASE WHEN n < 5 THEN 'sparkline_short' END, CASE WHEN market_cap IS NULL OR market_cap <= 0 THEN 'market_cap_invalid' END], lambda x: x IS NOT NULL), ',') AS issues FROM snap",
     "o1_scan_page": f"{_S} SELECT {PUBLIC} FROM snap ORDER BY coalesce(chg_24h_pct, -1) DESC, {_ORDER} LIMIT 50 OFFSET 25",
     "o4_page_info": f"{_S} SELECT count(*) AS total, CASE WHEN count(*) > 75 THEN CAST(75 AS BIGINT) END AS next_cursor FROM snap",
     "o5_top_volume": f"{_S} SELECT {PUBLIC} FROM snap ORDER BY coalesce(volume_24h, -1) DESC, {_ORDER} LIMIT 5",
     "o6_highlights": f"{_S} SELECT id, symbol, transition FROM lab ORDER BY list_position(['Active Expansion', 'Expansion', 'Recovery', 'Fragmented', 'Compression', 'Stable', 'Neutral'], transition), volume_24h DESC, symbol LIMIT 3",
     "o8_top_movers": f"{_S} SELECT {PUBLIC} FROM snap WHERE chg_24h_pct IS NOT NULL ORDER BY abs(chg_24h_pct) DESC, symbol LIMIT 8",
     "u1_union_distinct": "SELECT event_id, event_type || ',base' AS warnings FROM events",
-    "u3_rejected_count": f"{_S} SELECT count(*) AS rejected FROM snap WHERE n < 25",
+    "u3_rejected_count": f"{_S} SELECT count(*) AS rejected FROM snap WHERE n_prices < 25",
     "x_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "t1_usage_windows": f"WITH {USAGE}, w AS (SELECT plan, key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) AS calls FROM use GROUP BY ALL), q AS (SELECT * FROM (VALUES ('demo', 100), ('trader', 5000), ('pro', 50000), ('internal', 1000000000), ('enterprise', 1000000000)) q(plan, quota)) SELECT plan, key, window_start, calls, CAST(quota AS BIGINT) AS quota, CAST(greatest(0, quota - calls) AS BIGINT) AS remaining, calls <= quota AS allowed FROM w JOIN q USING (plan)",
     "t2_live_windows": f"WITH {TICK}, g AS (SELECT asset_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) AS n, {r2('avg(price)')} AS avg_price, {r2('quantile_cont(price, 0.5)')} AS median_price, min(price) AS least, max(price) AS largest FROM tick GROUP BY ALL), h AS (SELECT *, CASE WHEN avg_price > 0 THEN {r2('(largest - least) / avg_price * 100')} ELSE 0e0 END AS noise FROM g) SELECT asset_id, window_start, n, avg_price, median_price, noise, noise >= 75 AS rupture FROM h",
+    "w5_break_rate": f"{_T} SELECT asset_id, break_rate FROM pat WHERE n_r > 1",
+    "w7_reversal": f"{_T} SELECT asset_id, {r2('m1')} AS first_mean, {r2('m2')} AS second_mean, reversal FROM pat WHERE n_r > 0",
+    "w8_w9_pattern": f"{_T} SELECT asset_id, n_prices, slope_pct, amplitude_pct, break_rate, reversal, instability, kind, quality, bias, CASE kind WHEN 'UPTREND' THEN 'UP_STREAK' WHEN 'DOWNTREND' THEN 'DOWN_STREAK' WHEN 'COMPRESSION' THEN 'COMPRESSION' WHEN 'REVERSAL' THEN 'MEAN_REVERTING' ELSE 'MIXED' END AS legacy_kind FROM pat",
+    "w11_month_segments": f"WITH {MONTHS} SELECT asset_id, year, month, n_prices, first_price, last_price, min_price, max_price, slope_pct, amplitude_pct, instability, break_rate, kind, quality, duration FROM months",
+    "w12_quarters": f"WITH {MONTHS} SELECT asset_id, year, CAST(ceil(month / 3) AS INT) AS quarter, count(*) AS n_months, CAST(sum(n_prices) AS BIGINT) AS n, arg_min(first_price, month) AS first_price, arg_max(last_price, month) AS last_price FROM months GROUP BY asset_id, year, ceil(month / 3)",
+    "w14_occurrences": f"WITH {TICK}, {OCC} SELECT * FROM occ",
+    "a25_outcome_rates": f"WITH {TICK}, {OCC} SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THEN 0e0 ELSE 100e0 END)')} AS correction_rate, {r2('avg(CASE WHEN continued THEN 100e0 ELSE 0e0 END)')} AS continuation_rate, {r2('avg(similarity)')} AS avg_similarity FROM occ GROUP BY asset_id, kind",
+    "e11_decision_funnel": f"{_T} SELECT {DECIDED} FROM dec",
+    "f2_asset_issues": f"{_S} SELECT id, CASE WHEN trim(name) = '' THEN 'name_missing' ELSE '' END AS issues FROM snap",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
-from tidepool.operators import aggregates, scan, scores, series
+from tidepool.operators import aggregates, decisions, history, matching, scan, scores, series
 from tidepool.sources import tables
 from tidepool.streaming import live
 
@@ -30,11 +30,67 @@ def _rfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.market_gate(_rfs(spark, sf_dir))
+    return decisions.market_gate(_rfs(spark, sf_dir))
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.decision_funnel(_gated(spark, sf_dir))
+    return decisions.funnel(_gated(spark, sf_dir)).select(*decisions.FUNNEL)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.decision_samples(_decided(spark, sf_dir), F.col("asset_id"))
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of which some break the contract, by rules on their number."""
+    every = lambda k: F.col("seq") % k == 0
+    return _samples(spark, sf_dir).withColumns({
+        "decision": F.when(every(5), "MAYBE").otherwise(F.col("decision")), "version": F.when(every(7), " ").otherwise(F.col("version")), "support_probability": F.when(every(3), F.lit(None)).when(every(4), F.col("support_probability") + 100).otherwise(F.col("support_probability")),
+        "neutralization_severity": F.when(every(6), "extreme").otherwise(F.col("neutralization_severity")),
+    })
+
+
+def _orchestrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions in order of asset_id, each by thresholds that the samples before it set.
+
+    What is stored of a decision's scores doesn't depend on its thresholds, so the thresholds of all come from one window.
+    """
+    learnt = decisions.prior_thresholds(_samples(spark, sf_dir)).select("asset_id", "n_prior", "maturity", *[f"{k}_threshold" for k in decisions.FALLBACK])
+    gated = _gated(spark, sf_dir).join(learnt, "asset_id")
+    return decisions.funnel(gated, {k: F.col(f"{k}_threshold") for k in decisions.FALLBACK}).select("asset_id", "n_prior", "maturity", *[f"{k}_threshold" for k in decisions.FALLBACK], "decision_score", "decision", "reason")
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.recovery_analysis(decisions.rupture_analysis(decisions.temporal_analysis(_rfs(spark, sf_dir))))
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = tables.price_tick(spark, sf_dir)
+    return _rfs(spark, sf_dir).join(series.behavior_7d(ticks).select("asset_id", "behavior"), "asset_id").select(*matching.CONTEXT)
+
+
+def _queries(contexts: DataFrame) -> DataFrame:
+    """The stated set of queries: contexts whose id is divisible by 100."""
+    return contexts.where(F.col("asset_id") % 100 == 0)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = _contexts(spark, sf_dir)
+    found = matching.comparable(_queries(contexts), contexts)
+    return found.select(F.col("a_asset_id").alias("asset_id"), F.col("b_asset_id").alias("match_id"), "similarity", "weighted_similarity", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the contexts within reach of each query: a context's outcome is that of its newest window of three prices."""
+    contexts, ticks = _contexts(spark, sf_dir), tables.price_tick(spark, sf_dir)
+    newest = series.occurrences(ticks, 3, 3).groupBy("asset_id").agg(F.max_by("continued", "start").alias("continued"), F.max("start").alias("start"))
+    past = newest.select(F.col("asset_id").alias("b_asset_id"), F.when(F.col("continued"), "CONTINUATION").otherwise("CORRECTION").alias("outcome"), (F.col("start") % 7).cast("double").alias("recency"))
+    pairs = matching.compared(matching.band_pairs(_queries(contexts), contexts, "stability", matching.GAP)).where("a_asset_id <> b_asset_id").join(past, "b_asset_id")
+    return matching.outcome_statistics(pairs).withColumnRenamed("a_asset_id", "asset_id")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.history(tables.price_hist(spark, sf_dir))
 
 
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +108,6 @@ def _public(df: DataFrame) -> DataFrame:
     return df.select(*PUBLIC)
 
 
-def _band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rfs = _rfs(spark, sf_dir).select("asset_id", "stability", "regime")
-    pairs = scan.band_join(rfs, rfs, "stability", 2.0).where("a_asset_id < b_asset_id and a_regime = b_regime")
-    return pairs.groupBy(F.col("a_asset_id").alias("asset_id")).agg(F.count("*").alias("n_comparable"), kernel.round2(F.avg(F.abs(F.col("a_stability") - F.col("b_stability")))).alias("avg_gap"))
-
-
 def _last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")
     return scan.last_wins_join(tables.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), orders, "c_custkey", "o_orderkey")
@@ -70,7 +120,7 @@ def _collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = tables.asset_snapshot(spark, sf_dir)
-    return scan.rejected_count(snap, snap.where(F.size("sparkline_7d") >= 25), "id")
+    return scan.rejected_count(snap, snap.where("n_prices >= 25"), "id")
 
 
 def _preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +162,9 @@ QUERIES: dict[str, Query] = {
     "w6_shape": _on(tables.price_tick, series.shape),
     "w7_reversal": _on(tables.price_tick, series.reversal),
     "w8_w9_pattern": _on(tables.price_tick, series.pattern),
-    "w11_month_segments": _on(_months, lambda d: d.drop("begin_ts", "end_ts")),
+    "w11_month_segments": _on(_months, lambda d: d.select("asset_id", "year", "month", "n_prices", "first_price", "last_price", "min_price", "max_price", "slope_pct", "amplitude_pct", "instability", "break_rate", "kind", "quality", "duration")),
     "w12_quarters": _on(_months, series.quarters),
-    "w13_temporal_windows": _on(tables.price_tick, series.temporal_windows),
+    "w13_temporal_blocks": _on(tables.price_hist, history.temporal_blocks),
     "w14_occurrences": _on(tables.price_tick, series.occurrences),
     "w16_lead_returns": _on(tables.price_tick, series.lead_returns, lambda d: d.select("asset_id", "idx", "return_24", "return_48", "return_72")),
     "w19_structure_7d": _on(tables.price_tick, series.structure_7d),
@@ -122,15 +172,21 @@ QUERIES: dict[str, Query] = {
     "w22_newest_per_key": _on(tables.memory_record, lambda d: scan.newest_per_key(d, "symbol", 3).select("id", "symbol", "action", "place")),
     "j1_last_wins_join": _last_wins,
     "j2_collisions": _collisions,
-    "j4_compare_with_history": _on(_months, series.compare_with_history),
-    "j5_band_join": _band,
+    "j4_compare_with_history": _on(tables.price_hist, history.compare_with_history),
+    "j4_compare_month_to_month": _on(tables.price_hist, lambda d: history.compare_with_history(d, "MONTH_TO_MONTH")),
+    "j5_context_matches": _matched,
     "j10_preferred_record": _preferred,
     "e1_rfs_market": _rfs,
-    "e3_impulse_state": _on(_rfs, scores.impulse_state),
-    "e6_temporal_analysis": _on(_rfs, scores.temporal_analysis),
-    "e9_comparator": _on(_rfs, scores.comparator),
-    "e10_market_gate": _gated,
+    "e2_history": _on(_history, lambda d: d.select(*history.HISTORY)),
+    "e3_impulse_state": _on(_history, history.impulse_state, lambda d: d.select(*history.IMPULSE)),
+    "e6_temporal_analysis": _on(_rfs, decisions.temporal_analysis, lambda d: d.select("asset_id", *[f"t_{a}{x}" for a in decisions.TEMPORAL_AXES for x in ("", "_calibrated", "_probability")], "t_coherence", "t_structural", "t_support", F.array_join("t_warnings", ",").alias("t_warnings"))),
+    "e7_rupture_analysis": _on(_analysed, lambda d: d.select("asset_id", "r_density", "r_turning", "r_anti_continuity", *[f"r_{a}{x}" for a in decisions.RUPTURE_AXES for x in ("", "_probability")], "r_coherence", "r_structural", "rupture_probability", "risk_rupture", F.array_join("r_warnings", ",").alias("r_warnings"))),
+    "e8_recovery_analysis": _on(_analysed, lambda d: d.select("asset_id", "restart_support", "anti_rupture_pressure", "reconstruction_quality", "recovery_score", F.array_join("recovery_warnings", ",").alias("recovery_warnings"))),
+    "e9_comparator": _on(_rfs, decisions.comparator, lambda d: d.withColumn("warnings", F.array_join("warnings", ","))),
+    "e10_market_gate": _on(_gated, lambda d: d.select(*decisions.GATE)),
     "e11_decision_funnel": _decided,
+    "e12_orchestrator": _orchestrated,
+    "e14_context_comparison": _on(_contexts, lambda d: matching.compared(matching.band_pairs(_queries(d), d, "stability", matching.GAP)).select(F.col("a_asset_id").alias("asset_id"), F.col("b_asset_id").alias("match_id"), "regime_score", "behavior_score", "stability_score", "axes_score", "similarity", "weighted_similarity", "comparable", F.array_join("reasons", ",").alias("reasons"))),
     "e22_public_structure": _labelled,
     "e24_simple_decision": _on(_rfs, scores.simple_decision),
     "e25_stability_index": _on(tables.asset_snapshot, scores.stability_index),
@@ -145,19 +201,23 @@ QUERIES: dict[str, Query] = {
     "a10_by_regime": _on(tables.memory_record, aggregates.by_regime),
     "a11_decision_distribution": _on(_decided, aggregates.decision_distribution),
     "a12_reason_histogram": _on(_decided, aggregates.reason_histogram),
-    "a13_calibration_policy": _on(_decided, aggregates.calibration_policy),
-    "a17_adaptive_thresholds": _on(_decided, aggregates.adaptive_thresholds),
+    "a13_calibration_policy": _on(_samples, decisions.policy_samples, decisions.calibration_policy),
+    "a15_calibration_summary": _on(_samples, decisions.calibration_summary),
+    "a17_adaptive_thresholds": _on(_decided, decisions.adaptive_thresholds),
     "a19_score_stats": _on(_decided, aggregates.score_stats),
+    "a24_outcome_statistics": _outcomes,
     "a25_outcome_rates": _on(tables.price_tick, series.occurrences, aggregates.outcome_rates),
     "a29_usage_totals": _on(tables.usage_event, aggregates.usage_totals),
     "a29_usage_by_endpoint": _on(tables.usage_event, aggregates.usage_by_endpoint),
-    "f1_search": _on(tables.asset_snapshot, lambda d: scan.search(d, "Brand#1"), _public),
-    "f4_issues": _on(tables.asset_snapshot, scan.issues, lambda d: d.select("id", F.array_join("issues", ",").alias("issues"))),
-    "o1_scan_page": _on(tables.asset_snapshot, lambda d: scan.scan(d, sort="chg_24h", order="desc", limit=50, cursor=25), _public),
+    "f1_search": _on(tables.ranked_snapshot, lambda d: scan.search(d, "Brand#1"), _public),
+    "f2_asset_issues": _on(tables.asset_snapshot, scan.asset_issues, lambda d: d.select("id", F.array_join("issues", ",").alias("issues"))),
+    "f4_sample_issues": _on(_faulty, decisions.sample_issues, lambda d: d.select("seq", F.array_join("issues", ",").alias("issues"))),
+    "f5_policy_samples": _on(_faulty, decisions.policy_samples, lambda d: d.select("seq", "regime", "decision", "decision_score")),
+    "o1_scan_page": _on(tables.ranked_snapshot, lambda d: scan.scan(d, sort="chg_24h", order="desc", limit=50, cursor=25), _public),
     "o4_page_info": _on(tables.asset_snapshot, lambda d: scan.page_info(d, None, 50, 25)),
-    "o5_top_volume": _on(tables.asset_snapshot, lambda d: scan.top_by(d, "volume"), _public),
+    "o5_top_volume": _on(tables.ranked_snapshot, lambda d: scan.top_by(d, "volume"), _public),
     "o6_highlights": _on(_labelled, scan.highlights, lambda d: d.select("id", "symbol", "transition")),
-    "o8_top_movers": _on(tables.asset_snapshot, scan.top_movers, _public),
+    "o8_top_movers": _on(tables.ranked_snapshot, scan.top_movers, _public),
     "u1_union_distinct": _warnings,
     "u3_rejected_count": _rejected,
     "x_json": _json,

@@ -33,21 +33,25 @@ def price_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_snapshot(spark: SparkSession, sf_dir: str, last: int = 5) -> DataFrame:
-    """One row per part: price, changes, capitalisation, volume, rank and the ordered price array."""
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_extendedprice").alias("volume")).alias("x"))
-    series = line.groupBy("l_partkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    prices, n = F.col("xs.price"), F.size("xs")
-    shaped = series.select(
-        F.col("l_partkey").alias("id"),
-        F.element_at(prices, -1).alias("price"),
-        F.when(n > 1, pct_change(F.get(prices, n - 2), F.element_at(prices, -1))).alias("chg_24h_pct"),
-        F.when(n > 1, pct_change(F.get(prices, F.lit(0)), F.element_at(prices, -1))).alias("chg_7d_pct"),
-        round2(F.aggregate("xs.volume", F.lit(0.0), lambda a, v: a + v)).alias("market_cap"),
-        round2(F.aggregate(F.slice("xs.volume", F.greatest(n - last + 1, F.lit(1)), F.lit(last)), F.lit(0.0), lambda a, v: a + v)).alias("volume_24h"),
-        prices.alias("sparkline_7d"),
-    )
+    """One row per part: price, changes, capitalisation, volume, number of prices, lowest and highest price.
+
+    The newest ``last`` lines of a part come from a ranked window that is limited before the shuffle, all else from a grouping
+    with partial results, so that a part with very many lines is no burden on one task.
+    """
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "price", "volume")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_shipdate", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_extendedprice").alias("volume"))
+    whole = line.groupBy("id").agg(F.count(F.lit(1)).alias("n_prices"), F.min_by("price", F.struct(*order)).alias("first"), round2(F.sum("volume")).alias("market_cap"), F.min("price").alias("low"), F.max("price").alias("high"))
+    newest = line.withColumn("back", F.row_number().over(Window.partitionBy("id").orderBy(*[F.desc(c) for c in order]))).where(F.col("back") <= last)
+    recent = newest.groupBy("id").agg(F.max(F.when(F.col("back") == 1, F.col("price"))).alias("price"), F.max(F.when(F.col("back") == 2, F.col("price"))).alias("before"), round2(F.sum("volume")).alias("volume_24h"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("-", F.upper("p_brand"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_name").alias("name"))
-    return global_row_number(part.join(shaped, "id"), "market_cap", "id", "rank")
+    some = F.col("n_prices") > 1
+    changes = {"chg_24h_pct": F.when(some, pct_change(F.col("before"), F.col("price"))), "chg_7d_pct": F.when(some, pct_change(F.col("first"), F.col("price")))}
+    return part.join(whole, "id").join(recent, "id").withColumns(changes).drop("before", "first")
+
+
+def ranked_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset_snapshot with the rank by capitalisation."""
+    return global_row_number(asset_snapshot(spark, sf_dir), "market_cap", "id", "rank")
 
 
 def memory_record(spark: SparkSession, sf_dir: str) -> DataFrame:
