@@ -43,7 +43,7 @@ def pct_change(before: Column, after: Column) -> Column:
 
 
 def count_if(x: Column) -> Column:
-    return F.sum(F.when(x, 1).otherwise(0)).cast("long")
+    return F.coalesce(F.sum(F.when(x, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
 def mean_score(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.plans.oracles import _DURATION, _T, HIST, OCC, RET, RFS, SHAPE, STATS, TICK, cl, funnel, r2, signed, within
+from tidepool.plans.oracles import _DURATION, _S, _T, HIST, OCC, RET, RFS, SHAPE, STATS, TICK, cl, funnel, r2, signed, within
 
 _CHAIN = f"{TICK}, {RET}, {STATS}, {SHAPE}, {RFS}"
 
@@ -186,7 +186,93 @@ w1 AS (SELECT asset_id, n_prices, CASE WHEN n_returns >= 1 THEN {r2(within(withi
 w2 AS (SELECT asset_id, n_prices, c0 AS consistency, convergence, rupture_penalty, CASE WHEN c0 IS NOT NULL AND convergence IS NOT NULL AND rupture_penalty IS NOT NULL THEN {cl(dot((0.35, 'c0'), (0.4, 'convergence'), (0.25, '100 - rupture_penalty')))} END AS validation_score FROM w1)"""
 _nums = ("allow_raw_score", "block_raw_score", "risk_probability", "support_probability")
 
+_IMP = """compression pressure_min pressure 0.45 30 58 35
+compression instability_max instability 0.62 42 68 58
+compression exhaustion_max exhaustion 0.62 38 66 55
+compression core_min core 0.45 35 62 45
+pressure_building pressure_min pressure 0.55 38 68 45
+pressure_building saturation_min saturation 0.52 35 65 42
+pressure_building instability_min instability 0.42 28 62 35
+pressure_building growth_min growth 0.42 30 62 38
+release pressure_min pressure 0.58 42 72 52
+release instability_min instability 0.55 38 70 48
+release saturation_min saturation 0.52 36 68 45
+release growth_min growth 0.48 34 66 42
+release decay_max decay 0.7 52 82 72
+exhaustion exhaustion_min exhaustion 0.58 48 78 62
+exhaustion instability_min instability 0.52 35 72 45
+exhaustion saturation_min saturation 0.52 36 72 48
+exhaustion decay_min decay 0.5 35 72 45
+neutral pressure_max pressure 0.65 25 52 34
+neutral instability_max instability 0.65 25 56 34
+neutral saturation_max saturation 0.65 25 56 34
+neutral exhaustion_max exhaustion 0.65 25 56 34"""
+_STATES = ("COMPRESSION", "PRESSURE_BUILDING", "RELEASE", "EXHAUSTION", "NEUTRAL")
+
+
+def _impulse(line: str) -> str:
+    state, name, score, p, low, high, fixed = line.split()
+    other = {"core": "pressure", "growth": "pressure", "decay": "exhaustion"}.get(score, score)
+    x = f"coalesce(quantile_cont({score}, {p}) FILTER (state = '{state.upper()}'), quantile_cont({other}, {p}), 0e0)"
+    return f"CASE WHEN count(*) < 40 THEN {fixed}e0 ELSE {r2(within(x, int(low), int(high)))} END AS {state}_{name}"
+
+
+def _fits(state: str) -> str:
+    return " AND ".join(f"{score} {'>=' if name.endswith('_min') else '<='} {state}_{name}" for st, name, score, *_ in map(str.split, _IMP.splitlines()) if st == state)
+
+
+_q = chr(39)
+_STATE = "CASE WHEN impulse_exhaustion >= 70 THEN 'EXHAUSTION' WHEN impulse_pressure >= 68 AND impulse_instability >= 62 AND abs(r24_change_pct) >= 3 THEN 'RELEASE' WHEN impulse_pressure >= 60 AND impulse_saturation >= 55 THEN 'PRESSURE_BUILDING' WHEN impulse_pressure >= 45 AND impulse_instability <= 55 AND abs(r7_change_pct) <= 4 THEN 'COMPRESSION' ELSE 'NEUTRAL' END"
+_IS = f"{_H}, {_HISTORY}, {_IMPULSE}, imp AS (SELECT asset_id, impulse_pressure AS pressure, impulse_instability AS instability, impulse_saturation AS saturation, impulse_exhaustion AS exhaustion, occurrence AS growth, quality AS core, penalty AS decay, {_STATE} AS state FROM i2), pol AS (SELECT count(*) AS n, CASE WHEN count(*) < 40 THEN 'fallback' ELSE 'adaptive' END AS source, {', '.join(f'count(*) FILTER (state = {_q}{x}{_q}) AS n_{x.lower()}' for x in _STATES)}, {', '.join(_impulse(x) for x in _IMP.splitlines())}, CASE WHEN count(*) < 40 THEN 'impulse_adaptive_thresholds_insufficient_global_sample' ELSE array_to_string({_listed(*[(f'count(*) FILTER (state = {_q}{x}{_q}) < 8', f'impulse_adaptive_thresholds_insufficient_{x.lower()}_sample') for x in _STATES[:4]])}, ',') END AS warnings FROM imp)"
+_pct = lambda part, whole="count(*)": f"CASE WHEN {whole} > 0 THEN CAST(floor({part} / {whole} * 100 + 0.5e0) AS BIGINT) ELSE 0 END"
+_REPORTED = "rep AS (SELECT dec.*, rfs.continuity, rfs.mid_term - 50 AS day, rfs.continuity - 50 AS week FROM dec JOIN rfs USING (asset_id))"
+_whole = lambda x: f"CAST(floor({x} + 0.5e0) AS BIGINT)"
+_quart = {"p25": 0.25, "p40": 0.4, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+_REGIMES, _DECIDE = ("STABLE", "TRANSITION", "VOLATILE"), ("ALLOW", "WATCH", "BLOCK")
+_shares = ", ".join(f"{_pct(f'count(*) FILTER ({w} decision = {_q}{d}{_q})', n)} AS {k}{d.lower()}_pct" for k, w, n in [("", "", "count(*)")] + [(f"{r.lower()}_", f"regime = '{r}' AND", f"count(*) FILTER (regime = '{r}')") for r in _REGIMES] for d in _DECIDE)
+_fl = lambda c, p: f"coalesce(list_sort(list({c}))[CAST(least(count(*) - 1, floor(count(*) * {p}e0)) AS INT) + 1], 0e0)"
+_PAT = f"""prc AS (SELECT asset_id, ts, price, row_number() OVER (PARTITION BY asset_id ORDER BY ts) AS k, sign(price - lag(price) OVER (PARTITION BY asset_id ORDER BY ts)) AS d FROM hist WHERE price > 0),
+isl AS (SELECT *, sum(CASE WHEN d = b THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id ORDER BY ts) AS island FROM (SELECT *, lag(d) OVER (PARTITION BY asset_id ORDER BY ts) AS b FROM prc WHERE d IS NOT NULL)),
+strk AS (SELECT asset_id, max(CASE WHEN d = 1 THEN c ELSE 0 END) AS up, max(CASE WHEN d = -1 THEN c ELSE 0 END) AS down, sum(CASE WHEN d = 1 THEN c ELSE 0 END) AS ups, sum(CASE WHEN d = -1 THEN c ELSE 0 END) AS downs FROM (SELECT asset_id, island, d, count(*) AS c FROM isl GROUP BY ALL) GROUP BY asset_id),
+shp AS (SELECT asset_id, count(*) AS np, avg(price) AS mean, stddev_pop(price) AS sd, arg_max(price, ts) AS last, (arg_max(price, ts) - arg_min(price, ts)) / arg_min(price, ts) * 100 AS change FROM prc GROUP BY asset_id HAVING count(*) >= 3),
+kn AS (SELECT *, abs((last - mean) / mean * 100) AS off FROM shp JOIN strk USING (asset_id)),
+knd AS (SELECT *, CASE WHEN up >= 3 AND change > 0 THEN 'UP_STREAK' WHEN down >= 3 AND change < 0 THEN 'DOWN_STREAK' WHEN sd < mean * 0.01e0 THEN 'COMPRESSION' WHEN change > 4 AND ups > downs * 1.5e0 THEN 'BREAKOUT' WHEN change < -4 AND downs > ups * 1.5e0 THEN 'BREAKDOWN' WHEN off < 1.5e0 THEN 'MEAN_REVERTING' WHEN sd > mean * 0.04e0 THEN 'CHAOTIC' ELSE 'MIXED' END AS kind, {r2(within(dot((0.45, within('greatest(up, down) * 12', 0, 100)), (0.25, '100 - ' + within('sd / mean * 100', 0, 100)), (0.3, 'CASE WHEN ups + downs > 0 THEN abs(ups - downs) / (ups + downs) ELSE 0e0 END * 100')), 0, 100))} AS pattern_similarity FROM kn),
+tick AS (SELECT asset_id, ts AS idx, ts, price FROM hist), {OCC},
+rates AS (SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THEN 0e0 ELSE 100e0 END)')} AS correction_rate, {r2('avg(CASE WHEN continued THEN 100e0 ELSE 0e0 END)')} AS continuation_rate, {r2('avg(similarity)')} AS avg_similarity FROM occ GROUP BY asset_id, kind),
+pm0 AS (SELECT knd.asset_id, knd.kind, coalesce(r.n, 0) AS n, pattern_similarity, coalesce(correction_rate, 0e0) AS cr, coalesce(continuation_rate, 0e0) AS co, coalesce(avg_similarity, 0e0) AS si, hh.stability, rupture_probability, continuity_probability, CAST(CASE WHEN rupture_probability >= 60 THEN 30 ELSE 0 END + CASE WHEN hh.stability >= 60 THEN 20 WHEN hh.stability >= 45 THEN 10 ELSE 0 END + CASE hh.regime WHEN 'STABLE' THEN 20 WHEN 'TRANSITION' THEN 12 ELSE 0 END + CASE WHEN knd.kind <> 'CHAOTIC' THEN 10 ELSE 0 END + CASE WHEN off <= 4 THEN 20 WHEN off <= 8 THEN 10 ELSE 0 END AS DOUBLE) AS convergence FROM knd JOIN hh ON hh.asset_id = knd.asset_id LEFT JOIN rates r ON r.asset_id = knd.asset_id AND r.kind = knd.kind),
+pm1 AS (SELECT *, {cl(dot((0.45, 'cr'), (0.3, 'convergence'), (0.15, 'rupture_probability'), (0.1, 'si')))} AS correction_probability, {cl(dot((0.45, 'co'), (0.35, 'continuity_probability'), (0.2, 'pattern_similarity')))} AS continuation_probability FROM pm0),
+pm AS (SELECT *, {cl(dot((0.55, 'correction_probability'), (0.25, 'convergence'), (0.2, 'stability')))} AS opportunity FROM pm1)"""
+_pads = {x: "".join(f"{b ^ x:02X}" for b in b"secret".ljust(64, b"\0")) for x in (0x36, 0x5C)}
+
+_BY_RANK = "CASE decision WHEN 'ALLOW' THEN 3 WHEN 'WATCH' THEN 2 ELSE 1 END"
+_SHARE3 = "SELECT CASE WHEN grouping(regime) = 1 THEN 'ALL' ELSE regime END AS regime, " + ", ".join(f"CAST(floor(CASE WHEN {x} <= 1 THEN {x} * 100 ELSE {x} END + 0.5e0) AS BIGINT) AS {d.lower()}".replace(f"AS {d.lower()}", f'AS "{d}"') for d in ("ALLOW", "WATCH", "BLOCK") for x in [r2(f"avg(CASE WHEN decision = '{d}' THEN 100e0 ELSE 0e0 END)")]) + " FROM dec GROUP BY GROUPING SETS ((), (regime))"
+
 ORACLE_SQL: dict[str, str] = {
+    "w18_market_history": f"WITH {TICK}, o AS (SELECT *, lag(price) OVER (PARTITION BY asset_id ORDER BY idx) AS b FROM tick), g AS (SELECT asset_id, count(*) AS n, arg_min(price, idx) AS f, arg_max(price, idx) AS l, arg_max(CASE WHEN b IS NULL OR b = 0 THEN 0e0 ELSE (price - b) / abs(b) * 100 END, idx) AS step FROM o GROUP BY asset_id) SELECT asset_id, l AS price_now, {r2('step')} AS chg_24h_pct, {r2('CASE WHEN f = 0 THEN 0e0 ELSE (l - f) / abs(f) * 100 END')} AS chg_7d_pct, n AS history_days, CAST(floor(n / 30) AS BIGINT) AS history_months, CASE WHEN n < 365 THEN 'SHORT' ELSE 'LONG_READY' END AS history_mode FROM g",
+    "w21_priority": f"{_T} SELECT asset_id, stability, regime, opportunity, decision FROM dec ORDER BY stability DESC, CASE regime WHEN 'STABLE' THEN 3 WHEN 'TRANSITION' THEN 2 ELSE 1 END DESC, opportunity DESC, {_BY_RANK} DESC, asset_id LIMIT 20",
+    "p1_identity": "WITH q AS (SELECT CASE WHEN p_partkey % 3 <> 0 THEN 'p-' || CAST(p_partkey AS VARCHAR) END AS i, CASE WHEN p_partkey % 2 <> 0 THEN upper(p_brand) END AS s, CASE WHEN p_partkey % 5 <> 0 THEN trim(p_name) END AS n FROM part) SELECT i AS provider_id, s AS canonical_symbol, coalesce(n, s) AS canonical_name, coalesce(i, lower(s), nullif(regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')) AS canonical_id, CASE WHEN i IS NOT NULL THEN 'provider_id' WHEN s IS NOT NULL THEN 'symbol_fallback' ELSE 'name_fallback' END AS identity_source, 'market|' || coalesce(i, '') || '|' || coalesce(s, '') || '|' || lower(coalesce(n, '')) AS identity_fingerprint, CASE WHEN coalesce(i, s) IS NOT NULL THEN 'market|' || coalesce(i, '') || '|' || coalesce(s, '') || '|usd' END AS market_fingerprint FROM q WHERE coalesce(i, s, n) IS NOT NULL",
+    "f10_access_policy": f"{_T}, f AS (SELECT asset_id, asset_id % 11 <> 0 AS is_visible, stability >= 50 AS is_stable_enough, decision IN ('ALLOW', 'WATCH') OR (opportunity >= 50 AND stability >= 55) AS is_actionable, decision = 'ALLOW' OR (regime <> 'VOLATILE' AND stability >= 60 AND opportunity >= 55) AS can_trade FROM dec) SELECT *, CASE WHEN NOT is_visible THEN 'hidden' WHEN can_trade THEN 'tradable' WHEN is_actionable THEN 'watch' WHEN is_stable_enough THEN 'stable_but_not_actionable' ELSE 'unstable' END AS reason FROM f",
+    "j3_first_match": f"{_S} SELECT id, symbol, name FROM snap WHERE upper(symbol) = 'BRAND#11-1' ORDER BY id LIMIT 1",
+    "o2_engine_sort": f"WITH {_CHAIN} SELECT asset_id, stability FROM rfs ORDER BY stability DESC NULLS LAST, asset_id LIMIT 30",
+    "o7_top_opportunities": f"{_T}, s AS (SELECT asset_id, {r2(f'{_BY_RANK} * 100000 + opportunity * 1000 + stability * 100 - asset_id')} AS score, decision FROM dec) SELECT * FROM s ORDER BY score DESC, asset_id LIMIT 3",
+    "a4_availability": f"{_S} SELECT count(*) AS asset_count, count(price) AS priced_asset_count, count(market_cap) AS market_cap_available_count, count(volume_24h) AS volume_available_count FROM snap",
+    "a31_summary_view": f"WITH {_CHAIN} SELECT count(*) AS total, count(*) FILTER (regime = 'STABLE') AS stable, CAST(floor(count(*) FILTER (regime = 'STABLE') / count(*) * 100 + 0.5e0) AS BIGINT) AS confidence FROM rfs",
+    "a32_simple_distribution": f"{_T} {_SHARE3}",
+    "k3_bounded_log": f"{_T} SELECT asset_id AS seq, decision, decision_score FROM dec ORDER BY asset_id DESC LIMIT 50",
+    "k7_current_state": "SELECT id, version, deleted, l_quantity FROM (SELECT l_orderkey AS id, l_linenumber AS version, l_returnflag = 'R' AS deleted, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_returnflag DESC) AS k FROM lineitem) WHERE k = 1 AND NOT deleted",
+    "e4_adaptive_impulse": f"{_IS} SELECT asset_id, state, CASE WHEN {_fits('exhaustion')} THEN 'EXHAUSTION' WHEN {_fits('release')} THEN 'RELEASE' WHEN {_fits('pressure_building')} THEN 'PRESSURE_BUILDING' WHEN {_fits('compression')} THEN 'COMPRESSION' ELSE 'NEUTRAL' END AS adaptive_state FROM imp, pol",
+    "a18_impulse_policy": f"{_IS} SELECT * FROM pol",
+    "a20_impulse_governance": f"{_IS}, gv AS (SELECT n, source, {', '.join(f'CASE WHEN n > 0 THEN {r2(f'n_{x} / n')} ELSE 0e0 END AS {x}_ratio' for x in ('release', 'exhaustion', 'compression'))}, n_neutral / n AS nr, greatest({', '.join('n_' + x.lower() for x in _STATES)}) AS most, CASE {' '.join(f'WHEN n_{x.lower()} = greatest({', '.join('n_' + y.lower() for y in _STATES)}) THEN {_q}{x}{_q}' for x in _STATES)} END AS dominant_state FROM pol), gw AS (SELECT *, CASE WHEN n <= 0 THEN 'unknown' WHEN nr >= 0.85e0 THEN 'neutral_dominant' WHEN release_ratio >= 0.35e0 THEN 'release_overactive' WHEN exhaustion_ratio >= 0.35e0 THEN 'exhaustion_overactive' WHEN most / n <= 0.32e0 THEN 'fragmented' ELSE 'balanced' END AS dominance FROM gv) SELECT n, source, dominant_state, release_ratio, exhaustion_ratio, compression_ratio, dominance, CASE WHEN n <= 0 THEN 'invalid' WHEN source = 'fallback' THEN 'fallback' WHEN dominance IN ('neutral_dominant', 'release_overactive', 'exhaustion_overactive') THEN 'degraded' ELSE 'computed' END AS validity FROM gw",
+    "e13_pattern_decision": f"{_H}, {_HISTORY}, {_PAT} SELECT asset_id, kind, n, pattern_similarity, convergence, correction_probability, continuation_probability, opportunity, CASE WHEN rupture_probability >= 60 AND correction_probability >= 60 AND convergence >= 55 AND stability >= 55 THEN 'ALLOW' WHEN (rupture_probability >= 60 AND correction_probability >= 40) OR opportunity >= 45 THEN 'WATCH' ELSE 'BLOCK' END AS decision FROM pm",
+    "e15_calibration_layer": f"WITH {_CHAIN}, y0 AS (SELECT asset_id, regime, confidence, {cl(dot((0.2, 'occurrence'), (0.25, 'convergence'), (0.2, 'duration'), (0.2, 'frequency'), (0.15, 'correlation')))} AS structure, {cl(dot((0.4, 'convergence'), (0.3, 'duration'), (0.3, '100 - rupture')))} AS continuity, {cl(dot((0.3, 'stability'), (0.2, 'mid_term'), (0.2, 'convergence'), (0.15, 'correlation'), (0.15, '100 - rupture')))} AS context FROM rfs), y1 AS (SELECT *, {', '.join(f'{cl(f"100 / (1 + exp(-4 * {within(f'({c} - 50) / {w}', -3, 3)}))")} AS p_{c}' for c, w in (('structure', 35), ('continuity', 32), ('context', 35)))} FROM y0) SELECT asset_id, structure, continuity, {cl('100 - continuity')} AS rupture, context, p_structure, p_continuity, {cl('100 - p_continuity')} AS p_rupture, p_context, {cl('(' + dot((0.45, 'p_structure'), (0.3, 'p_continuity'), (0.25, 'p_context')) + ") * CASE regime WHEN 'STABLE' THEN 1.08e0 WHEN 'TRANSITION' THEN 0.96e0 ELSE 0.72e0 END * (confidence / 100)")} AS adjusted_final FROM y1",
+    "e23_zone_decision": f"WITH {_CHAIN}, z AS (SELECT asset_id, regime, CASE WHEN asset_id % 9 <> 0 THEN structure END AS zone_score FROM rfs) SELECT *, CASE WHEN zone_score IS NULL THEN 'WATCH' WHEN regime = 'VOLATILE' THEN CASE WHEN zone_score >= 80 THEN 'WATCH' ELSE 'BLOCK' END WHEN zone_score >= 80 THEN 'ALLOW' ELSE 'WATCH' END AS action, CASE WHEN zone_score IS NULL THEN 'NO_ZONE' ELSE 'REGIME_' || regime || ',' || CASE WHEN zone_score >= 80 THEN 'ZONE_HIGH' WHEN regime = 'VOLATILE' THEN 'ZONE_NOT_STRONG' WHEN zone_score >= 60 THEN 'ZONE_MID' ELSE 'ZONE_LOW' END END AS reason_codes, CASE WHEN zone_score IS NULL THEN 'none' WHEN regime = 'VOLATILE' THEN CASE WHEN zone_score >= 80 THEN 'reduced' ELSE 'none' END WHEN regime = 'STABLE' THEN CASE WHEN zone_score >= 80 THEN 'progressive' WHEN zone_score >= 60 THEN 'confirmation' ELSE 'none' END WHEN zone_score >= 60 THEN 'confirmation' ELSE 'reduced' END AS execution_mode FROM z",
+    "e26_live_hints": f"WITH {TICK}, g AS (SELECT asset_id, date_trunc('day', ts) AS ws, {r2('avg(price)')} AS a, {r2('quantile_cont(price, 0.5)')} AS m, min(price) AS lo, max(price) AS hi FROM tick GROUP BY ALL), h AS (SELECT *, CASE WHEN a > 0 THEN {r2('(hi - lo) / a * 100')} ELSE 0e0 END AS noise, row_number() OVER (PARTITION BY asset_id ORDER BY ws DESC) AS k FROM g), l AS (SELECT asset_id, {cl('100 - noise / 2')} AS quality_score, {cl('noise')} AS noise_score, {cl('noise / 3')} AS micro_volatility, {r2('(a - m) / 10')} AS price_velocity, noise >= 75 AS torn, CASE WHEN a > m THEN 'UP' WHEN a < m THEN 'DOWN' ELSE 'FLAT' END AS trend FROM h WHERE k = 1) SELECT asset_id, quality_score, noise_score, micro_volatility, price_velocity, {cl(dot((0.45, cl('least(100, abs(price_velocity) * 18)')), (0.35, 'quality_score'), (0.2, '100 - noise_score')))} AS temporal_growth_hint, {cl(dot((0.45, "CASE WHEN trend = 'FLAT' THEN 35 WHEN abs(price_velocity) >= 0.2e0 THEN 80 ELSE 55 END"), (0.35, 'quality_score'), (0.2, '100 - noise_score')))} AS temporal_convergence_hint, {cl(dot((0.4, 'quality_score'), (0.25, '100 - micro_volatility'), (0.25, '100 - noise_score'), (0.1, '100 - CASE WHEN torn THEN 25 ELSE 0 END')))} AS temporal_evolution_hint, {cl(dot((0.4, 'CASE WHEN torn THEN 85 ELSE 25 END'), (0.25, 'micro_volatility'), (0.2, 'noise_score'), (0.15, cl('least(100, abs(price_velocity) * 20)'))))} AS micro_rupture_pressure FROM l",
+    "a7_assets_summary": f"{_T}, {_REPORTED}, sm AS (SELECT count(*) AS n, {', '.join(f'count(*) FILTER (regime = {_q}{r}{_q}) AS n_{r.lower()}' for r in _REGIMES)}, {', '.join(f'{r2(mean2(c))} AS avg_{k}' for k, c in (('stability', 'stability'), ('opportunity', 'opportunity'), ('confidence', 'market_confidence'), ('convergence', 'market_convergence'), ('rupture', 'rupture'), ('continuity', 'continuity')))} FROM rep) SELECT *, CASE WHEN avg_stability < 40 OR avg_rupture >= 70 THEN 'BLOCK' WHEN avg_stability >= 75 AND avg_opportunity >= 70 AND avg_convergence >= 65 AND avg_confidence >= 60 AND avg_continuity >= 60 AND avg_rupture < 40 THEN 'ALLOW' ELSE 'WATCH' END AS decision FROM sm",
+    "a21_decision_report": f"{_T}, {_REPORTED}, sc AS (SELECT *, floor(stability * 0.4e0 + opportunity * 0.3e0 + CASE regime WHEN 'STABLE' THEN 100 WHEN 'VOLATILE' THEN 20 ELSE 60 END * 0.2e0 + CASE WHEN day > 0 AND week > 0 THEN 100 WHEN day < 0 AND week < 0 THEN 20 ELSE 60 END * 0.1e0 + 0.5e0) AS score FROM rep), dr AS (SELECT count(*) AS n, min(score) AS least, max(score) AS largest, {', '.join(f'quantile_cont(score, {v}) AS {k}' for k, v in _quart.items())}, {_shares} FROM sc) SELECT *, {_whole('p75')} AS allow_min, {_whole('p40')} AS watch_min, array_to_string({_listed(('allow_pct < 2', 'ALLOW too rare: possible over-filtering'), ('block_pct > 80', 'BLOCK too dominant: thresholds too strict'), ('watch_pct < 20', 'WATCH too rare: watch zone likely too narrow'), ('transition_block_pct > 70', 'TRANSITION over-blocked: WATCH zone likely too narrow'), ('stable_block_pct > 60', 'STABLE over-blocked: MCI may be too restrictive'))}, ',') AS warnings FROM dr",
+    "a22_opportunity_report": f"{_T}, orp AS (SELECT count(*) AS n, min(opportunity) AS least, max(opportunity) AS largest, {', '.join(f'{cl(f"quantile_cont(opportunity, {v})")} AS {k}' for k, v in _quart.items())}, {', '.join(f'count(*) FILTER (regime = {_q}{r}{_q}) AS n_{r.lower()}, coalesce({_whole(mean2("opportunity", f" FILTER (regime = {_q}{r}{_q})"))}, 0) AS avg_{r.lower()}' for r in _REGIMES)} FROM dec) SELECT *, {_whole('p40')} AS medium_min, {_whole('p75')} AS high_min, array_to_string({_listed(('n < 20', 'LOW_SAMPLE_SIZE'), ('p75 - p40 < 5', 'LOW_SCORE_SPREAD'))}, ',') AS warnings FROM orp",
+    "a23_threshold_report": f"{_T}, tr AS (SELECT count(*) AS n, {', '.join(f'{_pct(f"count(*) FILTER ({c} = {_q}{v}{_q})")} AS {v.lower()}_pct' for c, vs in (('regime', _REGIMES), ('decision', _DECIDE)) for v in vs)}, {', '.join(f'{_fl(c, p)} AS {c}_p{int(p * 100)}' for c in ('stability', 'opportunity') for p in (0.25, 0.5, 0.75, 0.9))} FROM dec) SELECT *, {', '.join(f'{_whole(f"{c}_{p}")} AS {c}_{k}' for c in ('stability', 'opportunity') for k, p in (('high_min', 'p75'), ('medium_min', 'p50')))} FROM tr",
+    "a28_store_stats": f"{_T}, {_SAMPLES} SELECT count(*) AS n, max(seq) AS last_seq, {', '.join(f'count(*) FILTER ({c} = {_q}{v}{_q}) AS n_{v.lower()}' for c, vs in (('decision', _DECIDE), ('regime', _REGIMES)) for v in vs)} FROM smp",
+    "k11_integrity_chain": f"WITH m AS (SELECT o_custkey AS symbol, o_orderdate AS ts, o_orderkey AS id, concat_ws('|', CAST(o_orderkey AS VARCHAR), CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 'VOLATILE' WHEN left(o_orderpriority, 1) = '3' THEN 'TRANSITION' ELSE 'STABLE' END, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END) AS p FROM orders), c AS (SELECT symbol, count(*) AS n, list_reduce(list_prepend('', list(p ORDER BY ts, id)), lambda a, x: sha256(x || a)) AS hash FROM m GROUP BY symbol) SELECT *, sha256(unhex('{_pads[0x5C]}' || sha256(unhex('{_pads[0x36]}' || hex(hash))))) AS signature FROM c",
     "w13_temporal_blocks": f"WITH {HIST}, {_SEG}, {_BLOCKS} SELECT * FROM blocks",
     "w19_structure_7d": f"WITH {TICK}, {RET}, {STATS}, {SHAPE}, {_W19} SELECT *, CASE WHEN validation_score IS NULL THEN 'UNAVAILABLE' WHEN rupture_penalty >= 65 THEN 'BREAK' WHEN validation_score >= 60 THEN 'CONFIRM' WHEN validation_score >= 40 THEN 'WEAKEN' ELSE 'BREAK' END AS validation_state, CASE WHEN validation_score IS NULL THEN 'UNAVAILABLE' WHEN rupture_penalty >= 65 THEN 'UNSTABLE' WHEN validation_score >= 60 THEN 'COHERENT' WHEN validation_score >= 40 THEN 'MIXED' ELSE 'UNSTABLE' END AS pattern_state, CASE WHEN validation_score IS NULL THEN 'partial' WHEN n_prices >= 7 THEN 'computed' ELSE 'partial' END AS status FROM w2",
     "j4_compare_with_history": f"{_H} SELECT * FROM cmp",

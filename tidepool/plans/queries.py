@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
-from tidepool.operators import aggregates, decisions, history, matching, scan, scores, series
+from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, scan, scores, series
 from tidepool.sources import tables
 from tidepool.streaming import live
 
@@ -154,6 +154,57 @@ def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.array_join(scan.union_distinct(F.array("event_type", F.lit(None).cast("string")), F.array(F.lit("base"), F.lit(" ")), F.array("event_type")), ",").alias("warnings"))
 
 
+def _impulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = history.impulse_state(_history(spark, sf_dir))
+    return x.select("asset_id", *[F.col(f"impulse_{c}").alias(c) for c in ("pressure", "instability", "saturation", "exhaustion")], F.col("occurrence").alias("growth"), F.col("quality").alias("core"), F.col("penalty").alias("decay"), F.col("impulse_state").alias("state"))
+
+
+def _relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    impulses = _impulses(spark, sf_dir)
+    return calibration.relabelled(impulses, calibration.impulse_policy(impulses)).select("asset_id", "state", "adaptive_state")
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions with what else the reports read: continuity and the changes of a series' price."""
+    facts = _rfs(spark, sf_dir).select("asset_id", "continuity", "mid_term")
+    return _decided(spark, sf_dir).join(facts, "asset_id").withColumns({"chg_24h_pct": F.col("mid_term") - 50, "chg_7d_pct": F.col("continuity") - 50})
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = tables.price_hist(spark, sf_dir).where("price > 0")
+    shapes = hist.groupBy("asset_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "price"))), lambda x: x["price"]).alias("p"))
+    rates = aggregates.outcome_rates(series.occurrences(hist.withColumnRenamed("ts", "idx")))
+    return calibration.pattern_decision(shapes, rates, _history(spark, sf_dir))
+
+
+def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints from each asset's newest day: noise as measured, quality as its complement, volatility and velocity from the day's prices."""
+    day = _live(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("window_start")))).where("k = 1")
+    trend = F.when(F.col("avg_price") > F.col("median_price"), "UP").when(F.col("avg_price") < F.col("median_price"), "DOWN").otherwise("FLAT")
+    return calibration.live_hints(day.select("asset_id", (100 - F.col("noise") / 2).alias("quality_score"), F.col("noise").alias("noise_score"), (F.col("noise") / 3).alias("micro_volatility"), kernel.round2((F.col("avg_price") - F.col("median_price")) / 10).alias("price_velocity"), F.col("rupture").alias("micro_rupture"), trend.alias("trend")))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.concat_ws("|", F.col("id").cast("string"), "action", "market_regime", "status")
+    return calibration.integrity_chain(tables.memory_record(spark, sf_dir), "symbol", F.struct("ts", "id"), payload, "secret")
+
+
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as provider rows of which some lack an id, a symbol or a name."""
+    gone = lambda k, x: F.when(F.col("p_partkey") % k != 0, x)
+    return listing.mapped_identity(tables.table(spark, sf_dir, "part").select(gone(3, F.concat(F.lit(" P-"), F.col("p_partkey").cast("string"))).alias("id"), gone(2, F.lower("p_brand")).alias("symbol"), gone(5, F.col("p_name")).alias("name")), "market")
+
+
+def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.access_policy(_decided(spark, sf_dir).withColumns({"symbol": F.when(F.col("asset_id") % 11 != 0, F.col("asset_id").cast("string")), "name": F.lit("series")}))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as versions of their order; a returned line deletes it."""
+    line = tables.table(spark, sf_dir, "lineitem")
+    return listing.latest_per_id(line.select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").alias("version"), (F.col("l_returnflag") == "R").alias("deleted"), "l_quantity")).select("id", F.col("version.l_linenumber").alias("version"), "deleted", "l_quantity")
+
+
 QUERIES: dict[str, Query] = {
     "w1_returns": _on(tables.price_tick, series.returns, lambda d: d.select("asset_id", "idx", kernel.round2(F.col("r")).alias("return_pct"))),
     "w2_w3_return_stats": _on(tables.price_tick, series.return_stats),
@@ -167,6 +218,18 @@ QUERIES: dict[str, Query] = {
     "w13_temporal_blocks": _on(tables.price_hist, history.temporal_blocks),
     "w14_occurrences": _on(tables.price_tick, series.occurrences),
     "w16_lead_returns": _on(tables.price_tick, series.lead_returns, lambda d: d.select("asset_id", "idx", "return_24", "return_48", "return_72")),
+    "w18_market_history": _on(tables.price_tick, listing.market_history),
+    "w21_priority": _on(_decided, lambda d: d.orderBy(*listing.by_priority(d)).limit(20).select("asset_id", "stability", "regime", "opportunity", "decision")),
+    "p1_identity": _identities,
+    "f10_access_policy": _access,
+    "j3_first_match": _on(tables.asset_snapshot, lambda d: listing.first_match(d, "brand#11-1", "id").select("id", "symbol", "name")),
+    "o2_engine_sort": _on(_rfs, lambda d: d.orderBy(*listing.by_score("stability")).limit(30).select("asset_id", "stability")),
+    "o7_top_opportunities": _on(_decided, lambda d: listing.top_opportunities(d.withColumn("rank", F.col("asset_id"))).select("asset_id", "score", "decision")),
+    "a4_availability": _on(tables.asset_snapshot, listing.availability),
+    "a31_summary_view": _on(_rfs, listing.summary_view),
+    "a32_simple_distribution": _on(_decided, aggregates.decision_distribution, listing.simple_distribution),
+    "k3_bounded_log": _on(_samples, lambda d: listing.bounded_log(d, 50).select("seq", "decision", "decision_score")),
+    "k7_current_state": _log,
     "w19_structure_7d": _on(tables.price_tick, series.structure_7d),
     "w20_behavior_7d": _on(tables.price_tick, series.behavior_7d),
     "w22_newest_per_key": _on(tables.memory_record, lambda d: scan.newest_per_key(d, "symbol", 3).select("id", "symbol", "action", "place")),
@@ -186,6 +249,19 @@ QUERIES: dict[str, Query] = {
     "e10_market_gate": _on(_gated, lambda d: d.select(*decisions.GATE)),
     "e11_decision_funnel": _decided,
     "e12_orchestrator": _orchestrated,
+    "e4_adaptive_impulse": _relabelled,
+    "e13_pattern_decision": _patterns,
+    "e15_calibration_layer": _on(_rfs, calibration.calibration_layer),
+    "e23_zone_decision": _on(_rfs, lambda d: calibration.zone_decision(d.select("asset_id", "regime", F.when(F.col("asset_id") % 9 != 0, F.col("structure")).alias("zone_score")))),
+    "e26_live_hints": _hints,
+    "k11_integrity_chain": _chains,
+    "a7_assets_summary": _on(_reported, calibration.assets_summary),
+    "a18_impulse_policy": _on(_impulses, calibration.impulse_policy),
+    "a20_impulse_governance": _on(_impulses, calibration.impulse_policy, calibration.impulse_governance),
+    "a21_decision_report": _on(_reported, calibration.decision_report),
+    "a22_opportunity_report": _on(_decided, calibration.opportunity_report),
+    "a23_threshold_report": _on(_decided, calibration.threshold_report),
+    "a28_store_stats": _on(_samples, calibration.store_stats),
     "e14_context_comparison": _on(_contexts, lambda d: matching.compared(matching.band_pairs(_queries(d), d, "stability", matching.GAP)).select(F.col("a_asset_id").alias("asset_id"), F.col("b_asset_id").alias("match_id"), "regime_score", "behavior_score", "stability_score", "axes_score", "similarity", "weighted_similarity", "comparable", F.array_join("reasons", ",").alias("reasons"))),
     "e22_public_structure": _labelled,
     "e24_simple_decision": _on(_rfs, scores.simple_decision),
