@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
 from .hmm_lm import op10_hmm_lm
+from .oracles import ORACLE_SQL
 from .order_minhash import op5_order_minhash
 from .packing import op2_packing
 from .pii import op9_pii
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm_lm": op10_hmm_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
