@@ -7,8 +7,9 @@ to the logistic loss. Terms of one kind are so pulled to one weight, and as neut
 small one.
 
 Fitting reads a bounded sample of labelled rows (see quality_classifier.MAX_ROWS), whose features are made where the
-texts are. One task minimises the l1-penalised loss by accelerated proximal steps. A slot that at most l1 * n texts of either
-class have can't leave zero whatever the other weights are (its gradient never exceeds the penalty), and is passed over.
+texts are. One task minimises the l1-penalised loss by accelerated proximal steps over the slots that are not at zero; slots join
+until none that is left out would move. One that at most l1 * n texts of either class have can't leave zero whatever the
+other weights are (its gradient never exceeds the penalty), and is passed over.
 Scoring sums the few weights other than zero whose slots a text has.
 
 Nulls and empty texts have no features and score the bias. Rows whose label is null don't train; several labels of one
@@ -102,34 +103,60 @@ def fit_pairs(rows: list[tuple[np.ndarray, np.ndarray | None, int]], l1: float =
     slots = np.unique(np.concatenate([able, *swapped])) if swapped else able
     if not len(slots):
         return *none, float(np.log(y.mean() / (1 - y.mean())))
-    own = np.full(size, -1, dtype=np.int32)
-    own[slots] = np.arange(len(slots))
+    place_of = np.full(size, -1, dtype=np.int32)
+    place_of[slots] = np.arange(len(slots))
 
     def flat(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        got = [c[c >= 0] for c in (own[x] for x in of)]
+        got = [c[c >= 0] for c in (place_of[x] for x in of)]
         return np.concatenate(got), np.repeat(np.arange(len(got)), [len(c) for c in got])
 
     col, row = flat([r[0] for r in rows])
     pairs = [r for r in rows if r[1] is not None]
     pair_col, pair_row = (flat([r[0] for r in pairs]), flat([r[1] for r in pairs])) if pairs else (None, None)
-    m = len(slots)
-    bound = (0.25 * np.bincount(col, minlength=m) + 1) / n  # curvature along one slot
-    if pairs:
-        bound += 2 * pairing * (np.bincount(pair_col[0], minlength=m) + np.bincount(pair_row[0], minlength=m)) / n
-    bound = np.maximum(bound, 4 / n) * 8
-    w, ahead, t = np.zeros(m), np.zeros(m), 1.0
-    bias = float(np.log(y.mean() / (1 - y.mean())))
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(row, weights=ahead[col], minlength=n) + bias, -35, 35)))
-        g = np.bincount(col, weights=(p - y)[row], minlength=m) / n
-        if pairs:
-            gap = np.bincount(pair_col[1], weights=ahead[pair_col[0]], minlength=len(pairs)) - np.bincount(pair_row[1], weights=ahead[pair_row[0]], minlength=len(pairs))
-            g += 2 * pairing * (np.bincount(pair_col[0], weights=gap[pair_col[1]], minlength=m) - np.bincount(pair_row[0], weights=gap[pair_row[1]], minlength=m)) / n
-        u = ahead - g / bound
-        new = np.sign(u) * np.maximum(np.abs(u) - l1 / bound, 0)
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / after * 0.9 * (new - w), new, after
-        bias -= 2 * float((p - y).mean())
+    m, q = len(slots), len(pairs)
+
+    def slope(w: np.ndarray, bias: float, own: tuple, paired: tuple | None, size: int) -> tuple[np.ndarray, float]:
+        """Gradients of the smooth part of the loss: by slot, and of the bias."""
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(own[1], weights=w[own[0]], minlength=n) + bias, -35, 35)))
+        g = np.bincount(own[0], weights=(p - y)[own[1]], minlength=size) / n
+        if paired:
+            (a, i), (b, j) = paired
+            gap = np.bincount(i, weights=w[a], minlength=q) - np.bincount(j, weights=w[b], minlength=q)
+            g += 2 * pairing * (np.bincount(a, weights=gap[i], minlength=size) - np.bincount(b, weights=gap[j], minlength=size)) / n
+        return g, float((p - y).mean())
+
+    def descend(live: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Accelerated proximal steps over the slots ``live``."""
+        place = np.full(m, -1, dtype=np.int64)
+        place[live] = np.arange(len(live))
+        keep = lambda x: (place[x[0]][place[x[0]] >= 0], x[1][place[x[0]] >= 0])
+        own, paired, k = keep((col, row)), (keep(pair_col), keep(pair_row)) if pairs else None, len(live)
+        bound = (0.25 * np.bincount(own[0], minlength=k) + 1) / n  # curvature along one slot
+        if paired:
+            bound += 2 * pairing * (np.bincount(paired[0][0], minlength=k) + np.bincount(paired[1][0], minlength=k)) / n
+        bound = np.maximum(bound, 4 / n) * 8
+        x, t = w[live], 1.0
+        ahead = x.copy()
+        for _ in range(steps):
+            g, shift = slope(ahead, bias, own, paired, k)
+            u = ahead - g / bound
+            new = np.sign(u) * np.maximum(np.abs(u) - l1 / bound, 0)
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead, x, t = new + (t - 1) / after * 0.9 * (new - x), new, after
+            bias -= 2 * shift
+        out = np.zeros(m)
+        out[live] = x
+        return out, bias
+
+    # slots join for as long as some slot that is left at zero would move: at the end none would, as if all had been there from the start
+    w, bias, live = np.zeros(m), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(m, dtype=bool)
+    for _ in range(20):
+        g, _ = slope(w, bias, (col, row), (pair_col, pair_row) if pairs else None, m)
+        moved = (np.abs(g) > l1 * 1.001) & ~live
+        if not moved.any():
+            break
+        live |= moved
+        w, bias = descend(np.flatnonzero(live), w, bias)
     return slots[w != 0], w[w != 0], bias
 
 
