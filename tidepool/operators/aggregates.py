@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.kernel import clamp_score, count_if, round2
+from tidepool.functions.kernel import clamp_score, count_if, mean_score, round2
 
 ACTIONS = ("ALLOW", "WATCH", "BLOCK")
 REGIMES = ("STABLE", "TRANSITION", "VOLATILE")
@@ -89,7 +89,7 @@ def outcome_rates(occurrences: DataFrame) -> DataFrame:
 def backtest_summary(signals: DataFrame, steps: tuple[int, ...] = (24, 48, 72)) -> DataFrame:
     """Counts by decision and mean later returns of all signals, of ALLOW and BLOCK ones, and of those with opportunity 60 or more."""
     groups = {"": F.lit(True), "allow_": F.col("decision") == "ALLOW", "block_": F.col("decision") == "BLOCK", "high_opportunity_": F.col("opportunity") >= 60}
-    means = [round2(F.avg(F.when(when, F.col(f"return_{k}")))).alias(f"{name}avg_return_{k}") for name, when in groups.items() for k in steps]
+    means = [round2(mean_score(F.when(when, F.col(f"return_{k}")))).alias(f"{name}avg_return_{k}") for name, when in groups.items() for k in steps]
     counts = [count_if(F.col("decision") == d).alias(f"{d.lower()}_count") for d in ACTIONS]
     return signals.agg(F.count(F.lit(1)).alias("total_signals"), *counts, count_if(groups["high_opportunity_"]).alias("high_opportunity_count"), *means)
 

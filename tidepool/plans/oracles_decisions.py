@@ -271,6 +271,7 @@ ORACLE_SQL: dict[str, str] = {
     "a21_decision_report": f"{_T}, {_REPORTED}, sc AS (SELECT *, floor(stability * 0.4e0 + opportunity * 0.3e0 + CASE regime WHEN 'STABLE' THEN 100 WHEN 'VOLATILE' THEN 20 ELSE 60 END * 0.2e0 + CASE WHEN day > 0 AND week > 0 THEN 100 WHEN day < 0 AND week < 0 THEN 20 ELSE 60 END * 0.1e0 + 0.5e0) AS score FROM rep), dr AS (SELECT count(*) AS n, min(score) AS least, max(score) AS largest, {', '.join(f'quantile_cont(score, {v}) AS {k}' for k, v in _quart.items())}, {_shares} FROM sc) SELECT *, {_whole('p75')} AS allow_min, {_whole('p40')} AS watch_min, array_to_string({_listed(('allow_pct < 2', 'ALLOW too rare: possible over-filtering'), ('block_pct > 80', 'BLOCK too dominant: thresholds too strict'), ('watch_pct < 20', 'WATCH too rare: watch zone likely too narrow'), ('transition_block_pct > 70', 'TRANSITION over-blocked: WATCH zone likely too narrow'), ('stable_block_pct > 60', 'STABLE over-blocked: MCI may be too restrictive'))}, ',') AS warnings FROM dr",
     "a22_opportunity_report": f"{_T}, orp AS (SELECT count(*) AS n, min(opportunity) AS least, max(opportunity) AS largest, {', '.join(f'{cl(f"quantile_cont(opportunity, {v})")} AS {k}' for k, v in _quart.items())}, {', '.join(f'count(*) FILTER (regime = {_q}{r}{_q}) AS n_{r.lower()}, coalesce({_whole(mean2("opportunity", f" FILTER (regime = {_q}{r}{_q})"))}, 0) AS avg_{r.lower()}' for r in _REGIMES)} FROM dec) SELECT *, {_whole('p40')} AS medium_min, {_whole('p75')} AS high_min, array_to_string({_listed(('n < 20', 'LOW_SAMPLE_SIZE'), ('p75 - p40 < 5', 'LOW_SCORE_SPREAD'))}, ',') AS warnings FROM orp",
     "a23_threshold_report": f"{_T}, tr AS (SELECT count(*) AS n, {', '.join(f'{_pct(f"count(*) FILTER ({c} = {_q}{v}{_q})")} AS {v.lower()}_pct' for c, vs in (('regime', _REGIMES), ('decision', _DECIDE)) for v in vs)}, {', '.join(f'{_fl(c, p)} AS {c}_p{int(p * 100)}' for c in ('stability', 'opportunity') for p in (0.25, 0.5, 0.75, 0.9))} FROM dec) SELECT *, {', '.join(f'{_whole(f"{c}_{p}")} AS {c}_{k}' for c in ('stability', 'opportunity') for k, p in (('high_min', 'p75'), ('medium_min', 'p50')))} FROM tr",
+    "a27_backtest_summary": f"{_T}, sg AS (SELECT t.*, decision, opportunity FROM (SELECT asset_id, {', '.join(f'CASE WHEN lead(price, {k}) OVER p IS NOT NULL AND price <> 0 THEN {r2(f"(lead(price, {k}) OVER p - price) / price * 100")} END AS return_{k}' for k in (24, 48, 72))} FROM tick WINDOW p AS (PARTITION BY asset_id ORDER BY idx)) t JOIN dec USING (asset_id)) SELECT count(*) AS total_signals, {', '.join(f'count(*) FILTER (decision = {_q}{d}{_q}) AS {d.lower()}_count' for d in _DECIDE)}, count(*) FILTER (opportunity >= 60) AS high_opportunity_count, {', '.join(f'{r2(mean2(f"return_{k}", w))} AS {n}avg_return_{k}' for n, w in (('', ''), ('allow_', f' FILTER (decision = {_q}ALLOW{_q})'), ('block_', f' FILTER (decision = {_q}BLOCK{_q})'), ('high_opportunity_', ' FILTER (opportunity >= 60)')) for k in (24, 48, 72))} FROM sg",
     "a28_store_stats": f"{_T}, {_SAMPLES} SELECT count(*) AS n, max(seq) AS last_seq, {', '.join(f'count(*) FILTER ({c} = {_q}{v}{_q}) AS n_{v.lower()}' for c, vs in (('decision', _DECIDE), ('regime', _REGIMES)) for v in vs)} FROM smp",
     "k11_integrity_chain": f"WITH m AS (SELECT o_custkey AS symbol, o_orderdate AS ts, o_orderkey AS id, concat_ws('|', CAST(o_orderkey AS VARCHAR), CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 'VOLATILE' WHEN left(o_orderpriority, 1) = '3' THEN 'TRANSITION' ELSE 'STABLE' END, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END) AS p FROM orders), c AS (SELECT symbol, count(*) AS n, list_reduce(list_prepend('', list(p ORDER BY ts, id)), lambda a, x: sha256(x || a)) AS hash FROM m GROUP BY symbol) SELECT *, sha256(unhex('{_pads[0x5C]}' || sha256(unhex('{_pads[0x36]}' || hex(hash))))) AS signature FROM c",
     "w13_temporal_blocks": f"WITH {HIST}, {_SEG}, {_BLOCKS} SELECT * FROM blocks",

@@ -205,6 +205,12 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.latest_per_id(line.select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").alias("version"), (F.col("l_returnflag") == "R").alias("deleted"), "l_quantity")).select("id", F.col("version.l_linenumber").alias("version"), "deleted", "l_quantity")
 
 
+def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary over every tick as a signal: its later returns, with the decision on its series."""
+    signals = series.lead_returns(tables.price_tick(spark, sf_dir)).join(_decided(spark, sf_dir).select("asset_id", "decision", "opportunity"), "asset_id")
+    return aggregates.backtest_summary(signals)
+
+
 QUERIES: dict[str, Query] = {
     "w1_returns": _on(tables.price_tick, series.returns, lambda d: d.select("asset_id", "idx", kernel.round2(F.col("r")).alias("return_pct"))),
     "w2_w3_return_stats": _on(tables.price_tick, series.return_stats),
@@ -261,6 +267,7 @@ QUERIES: dict[str, Query] = {
     "a21_decision_report": _on(_reported, calibration.decision_report),
     "a22_opportunity_report": _on(_decided, calibration.opportunity_report),
     "a23_threshold_report": _on(_decided, calibration.threshold_report),
+    "a27_backtest_summary": _backtest,
     "a28_store_stats": _on(_samples, calibration.store_stats),
     "e14_context_comparison": _on(_contexts, lambda d: matching.compared(matching.band_pairs(_queries(d), d, "stability", matching.GAP)).select(F.col("a_asset_id").alias("asset_id"), F.col("b_asset_id").alias("match_id"), "regime_score", "behavior_score", "stability_score", "axes_score", "similarity", "weighted_similarity", "comparable", F.array_join("reasons", ",").alias("reasons"))),
     "e22_public_structure": _labelled,
