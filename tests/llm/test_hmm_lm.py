@@ -131,15 +131,16 @@ def test_training_and_scores_equal_brute_force(spark):
     shares = np.array([*(c[w] for w in top), sum(beyond.values()), ends], dtype=float) + 0.1
     encode = lambda own: ([*(number.get(w, rare) for w in own), end], [w for w in own if w not in number])
     m, tails = brute_baum_welch([encode(words[i]) for i in words if i % 5], shares / shares.sum(), states, 3, rare)
-    total, floor = sum(tails.values()), sum(beyond.values()) + 0.1 * (len(beyond) + 1)
+    share = {w: np.round(255 * v / v.sum()) / np.round(255 * v / v.sum()).sum() * beyond[w] for w, v in tails.items()}  # kept in 8 bits
+    total, floor = sum(share.values()), sum(beyond.values()) + 0.1 * (len(beyond) + 1)
     for i, own in words.items():
         a = None
         for w in [*own, None]:
             e = m.emits[end if w is None else number.get(w, rare)]
             if w is not None and w not in number:
-                e = e * (0.5 * tails.get(w, 0) / total + 0.5 * (c.get(w, 0) + 0.1) / floor)
+                e = e * (0.5 * share.get(w, 0) / total + 0.5 * (c.get(w, 0) + 0.1) / floor)
             a = (m.start if a is None else a @ m.moves) * e
-        assert math.isclose(got[i], math.log10(a.sum()), rel_tol=1e-4), i
+        assert math.isclose(got[i], math.log10(a.sum()), rel_tol=3e-4), i
 
 
 def test_likelihood_rises_from_round_to_round(spark):

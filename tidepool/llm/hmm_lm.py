@@ -5,9 +5,10 @@ Tokens are the words of a text and an end. Every word has emissions of its own;
 * The DICTIONARY most frequent words are numbered (a table of bounded size, sent to all tasks), and their emissions are
   part of the model that each Baum-Welch round sends out.
 * The words beyond share one symbol while the rounds run (tied emissions). The last round also sums the expected counts of
-  each of them across the partitions, into a table by word that grows with the vocabulary and stays distributed. Their
-  emissions, an even mix of these counts and of the word's smoothed share among such words, are joined to the tokens when
-  texts are scored. Frequent words, the skewed ones, never enter that join.
+  each of them across the partitions, into a table by word that grows with the vocabulary and stays distributed. A word's
+  shares by state are kept in 8 bits each, and its emissions are an even mix of its count in these shares, normalised over
+  all such words, and of its smoothed share among them. They are joined to the tokens when texts are scored. Frequent words,
+  the skewed ones, never enter that join.
 
 Each round is one pass over the whole sequences of all training documents: alpha and beta run from a document's first token
 to its end, vectorised over the documents of a group. Sequences lie by place (all first tokens, then all second ones, longer
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut, doc_text, documents, held_out, id_type, map_batches
+from .common import add_columns, cut, discard, doc_text, documents, held_out, id_type, map_batches
 
 STATES = 8
 #: Words numbered for all tasks; two more symbols make 16 bits.
@@ -41,6 +42,8 @@ PRIOR = 200.0
 TIED = 0.5
 #: Sequences are taken together until they have so many tokens.
 GROUP = 1_500_000
+#: Tokens held at once (two bytes each) to be sorted by the length of their sequences.
+BUFFER = 16_000_000
 _COUNTED = 1_000_000
 
 
@@ -180,25 +183,42 @@ class Model:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], list[str]]]:
-    """ids and tails of rows, up to about ``most`` tokens together."""
+    """ids and tails of rows, about ``most`` tokens together. Of up to BUFFER tokens the longest sequences come first, so that
+    few groups have long ones, each place of which costs a step."""
     ids: list[np.ndarray] = []
     tails: list[str] = []
     size = 0
+
+    def groups() -> Iterator[tuple[list[np.ndarray], list[str]]]:
+        for own in by_length(ids, most):
+            yield [ids[i] for i in own], [tails[i] for i in own]
+
     for b in batches:
         for i, tail in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(i, "<u2")
-            ids.append(own)
+            ids.append(np.frombuffer(i, "<u2"))
             tails.append(tail)
-            size += len(own)
-            if size >= most:
-                yield ids, tails
+            size += len(ids[-1])
+            if size >= BUFFER:
+                yield from groups()
                 ids, tails, size = [], [], 0
-    if ids:
-        yield ids, tails
+    yield from groups()
+
+
+def by_length(docs: list[np.ndarray], most: int) -> list[list[int]]:
+    """Numbers of the sequences, the longest first, in groups of about ``most`` symbols."""
+    out: list[list[int]] = []
+    size = most
+    for i in np.argsort([-len(d) for d in docs], kind="stable").tolist():
+        if size >= most:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += len(docs[i])
+    return out
 
 
 def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None]:
-    """The model, and word, s0, s1, ...: expected counts of the words of tails (the last symbol but one) in the last round.
+    """The model, and word, n, s0, s1, ...: counts of the words of tails (the last symbol but one), and expected ones by state in the last round.
 
     encoded: columns ids (the training documents' symbols, 16-bit) and tail (blank-joined words beyond the dictionary, in
     order). shares: the symbols' shares in them.
@@ -210,28 +230,37 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rou
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             own, out, total = sent.value, (np.zeros(states), np.zeros((states, states)), np.zeros((size, states))), 0.0
-            shape = lambda k, words, table: pa.RecordBatch.from_arrays([k, words, *[pa.array(table[:, s], pa.float64()) for s in range(states)]], names=["k", "word", *names])
+            shape = lambda k, words, n, table: pa.RecordBatch.from_arrays([k, words, pa.array(n, pa.int64()), *[pa.array(table[:, s], pa.float64()) for s in range(states)]], names=["k", "word", "n", *names])
+            number, counted = {}, np.zeros((0, states + 1))  # words of tails, and their counts and expected ones so far
+
+            def words() -> pa.RecordBatch:
+                return shape(pa.nulls(len(number), pa.int32()), pa.array(list(number), pa.string()), counted[:, -1].astype(np.int64), np.rint(counted[:, :-1] * 1024) / 1024)  # short numbers take less room
+
             for ids, tails in _grouped(batches, GROUP):
                 seqs = Sequences(ids)
                 more, post = own.expect(seqs, out, np.float32)
                 total += more
                 if last:
-                    number: dict[str, int] = {}
-                    which = [number.setdefault(w, len(number)) for i in seqs.order if tails[i] is not None for w in tails[i].split(" ")]
-                    if which:
-                        at = seqs.place[seqs.flat == rare]
-                        table = np.stack([np.bincount(which, weights=post[at, s], minlength=len(number)) for s in range(states)], axis=1)
-                        yield shape(pa.nulls(len(number), pa.int32()), pa.array(list(number), pa.string()), table)
+                    which = np.array([number.setdefault(w, len(number)) for i in seqs.order if tails[i] is not None for w in tails[i].split(" ")], dtype=np.int64)
+                    at, size_now = seqs.place[seqs.flat == rare], len(number)
+                    table = np.stack([*[np.bincount(which, weights=post[at, s], minlength=size_now) for s in range(states)], np.bincount(which, minlength=size_now)], axis=1).astype(float)
+                    table[: len(counted)] += counted
+                    counted = table
+                    if len(number) > _COUNTED:
+                        yield words()
+                        number, counted = {}, np.zeros((0, states + 1))
+            if number:
+                yield words()
             table = np.concatenate([out[2], out[1], out[0][None, :], np.full((1, states), total)])
             used = np.flatnonzero(table.any(axis=1))
-            yield shape(pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), table[used])
+            yield shape(pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), np.zeros(len(used), dtype=np.int64), table[used])
 
-        found = encoded.select("ids", "tail").mapInArrow(run, "k int, word string, " + ", ".join(f"{n} double" for n in names))
-        summed = found.groupBy("k", "word").agg(*[F.sum(n).alias(n) for n in names])
+        found = encoded.select("ids", "tail").mapInArrow(run, "k int, word string, n long, " + ", ".join(f"{n} double" for n in names))
+        summed = found.groupBy("k", "word").agg(*[F.sum(n).alias(n) for n in ["n", *names]])
         if last:
             summed = cut(summed)
             beyond = summed.where("word is not null").drop("k")
-        rows = summed.where("k is not null").drop("word").toPandas()  # a row a symbol
+        rows = summed.where("k is not null").drop("word", "n").toPandas()  # a row a symbol
         table = np.zeros((size + states + 2, states))
         table[rows["k"].to_numpy()] = rows[names].to_numpy()
         emits, moves, start = table[:size] + PRIOR * shares[:, None], table[size : size + states] + 1.0, table[-2] + 1.0
@@ -242,6 +271,8 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rou
 
 def train_and_score(docs: DataFrame, training, states: int = STATES, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, training flag, counts and scores of every row. training: a boolean column of doc_id."""
+    if states > 8:
+        raise ValueError("a word's shares are kept for eight states at most")
     rows = doc_text(docs).withColumn("trains", F.coalesce(training, F.lit(False)))
     counts = cut(word_counts(rows.where("trains")))
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -284,42 +315,50 @@ def train_and_score(docs: DataFrame, training, states: int = STATES, dictionary:
     encoded = cut(add_columns(rows, ["text"], "row long, ids binary, n_tokens long, known long, base double, tail string", encode).drop("text"))
 
     shares = np.append(c, [max(n_rare, 0), n_docs]).astype(float) + 0.1
+    discard(counts)
     model, beyond = baum_welch(encoded.where("trains"), shares / shares.sum(), states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    # words beyond the dictionary: their counts and emissions by a join on the word, one row per document again
+    # words beyond the dictionary: counts and shares by a join on the word, one row per document again
     names = [f"s{i}" for i in range(states)]
-    sums = beyond.agg(*[F.sum(s) for s in names]).first()
-    by_word = counts.join(beyond.withColumnRenamed("word", "own"), F.col("word") == F.col("own")).select("word", "c", *[(F.col(s) / (x or 1.0)).alias(s) for s, x in zip(names, sums, strict=True)])
-    seen = F.coalesce(F.col("c"), F.lit(0)) + 0.1
+    total = sum((F.col(s) for s in names[1:]), F.col(names[0]))
+    bits = [F.call_function("shiftleft", F.round(F.col(s) / total * 255).cast("long"), F.lit(8 * i)) for i, s in enumerate(names)]
+    packed = bits[0]
+    for x in bits[1:]:
+        packed = packed.bitwiseOR(x)
+    by_word = beyond.select("word", F.col("n").alias("c"), F.when(total > 0, packed).otherwise(F.lit(0).cast("long")).alias("shares"))
+    byte = lambda i: F.call_function("shiftrightunsigned", F.col("shares"), F.lit(8 * i)).bitwiseAND(F.lit(255).cast("long"))
+    every = sum((byte(i) for i in range(1, states)), byte(0))
+    sums = by_word.where("shares <> 0").agg(*[F.sum(F.col("c") * byte(i) / every) for i in range(states)]).first()
+    weights = np.array([(1 - TIED) / x if x else 0.0 for x in sums])
     tails = encoded.where("tail is not null").select("row", F.posexplode(F.split("tail", " ")).alias("pos", "word")).join(by_word, "word", "left")
-    worth = [(F.coalesce(F.col(s), F.lit(0.0)) * (1 - TIED) + seen / rare_floor * TIED).alias(s) for s in names]
-    of = cut(tails.groupBy("row").agg(F.sum(F.log10(seen / base_floor)).alias("tail_base"), F.count("c").alias("tail_known"), F.sort_array(F.collect_list(F.struct("pos", *worth))).alias("words")))
+    of = tails.groupBy("row").agg(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(-1)).alias("c"), F.coalesce("shares", F.lit(0)).alias("shares"))).alias("words"))
 
     def forward():
         own = shared.value
 
         def one(b: pa.RecordBatch) -> list:
             get = lambda name: b.column(b.schema.get_field_index(name))
-            words = get("words").flatten()
-            factors = np.stack([words.field(s).to_numpy(zero_copy_only=False) for s in names], axis=1) if len(words) else None
-            docs, score, at, begin = [np.frombuffer(i, "<u2") for i in get("ids").to_pylist()], [], 0, 0
-            while begin < len(docs):
-                upto, size = begin, 0
-                while upto < len(docs) and (size < GROUP or upto == begin):
-                    size += len(docs[upto])
-                    upto += 1
-                m = sum(int((d == rare).sum()) for d in docs[begin:upto])
-                score.append(own.score(docs[begin:upto], rare, None if factors is None else factors[at : at + m]))
-                at, begin = at + m, upto
-            return [get(x) for x in kept] + [pa.array(np.concatenate(score) if score else [], pa.float64())]
+            words, n = get("words").flatten(), np.diff(get("words").offsets.to_numpy())
+            n[~get("words").is_valid().to_numpy(zero_copy_only=False)] = 0
+            doc = np.repeat(np.arange(b.num_rows), n)
+            order = np.lexsort((words.field("pos").to_numpy(), doc))
+            c = words.field("c").to_numpy()[order]
+            share = words.field("shares").to_numpy()[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :states].astype(float)
+            seen = np.maximum(c, 0)
+            factors = share / np.maximum(share.sum(axis=1), 1)[:, None] * seen[:, None] * weights + ((seen + 0.1) / rare_floor * TIED)[:, None]
+            tail_base = np.bincount(doc, weights=np.log10((seen + 0.1) / base_floor), minlength=b.num_rows)
+            docs, score, first = [np.frombuffer(i, "<u2") for i in get("ids").to_pylist()], np.zeros(b.num_rows), np.cumsum(n) - n
+            for group in by_length(docs, GROUP):
+                at = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in group])
+                score[group] = own.score([docs[i] for i in group], rare, factors[at])
+            known = get("known").to_numpy() + np.bincount(doc, weights=c >= 0, minlength=b.num_rows).astype(np.int64)
+            return [get("doc_id"), get("trains"), get("n_tokens"), pa.array(known, pa.int64()), pa.array(get("base").to_numpy() + tail_base, pa.float64()), pa.array(score, pa.float64())]
 
         return one
 
-    kept = ["doc_id", "trains", "n_tokens", "known", "base", "tail_base", "tail_known"]
-    scored = map_batches(encoded.drop("tail").join(of, "row", "left"), f"{id_type(docs)}, trains boolean, n_tokens long, known long, base double, tail_base double, tail_known long, score double", forward)
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.select("doc_id", "trains", "n_tokens", (F.col("known") + zero("tail_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + zero("tail_base")).alias("base_score"), "score")
+    scored = map_batches(encoded.drop("tail").join(of, "row", "left"), f"{id_type(docs)}, trains boolean, n_tokens long, n_known long, base_score double, score double", forward)
+    return scored.select("doc_id", "trains", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
