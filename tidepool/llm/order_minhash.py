@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import add_columns, doc_text, documents, id_type
@@ -116,21 +116,28 @@ def fingerprints(docs: DataFrame, k: int = K, taken: int = TAKEN, sketches: int
     return add_columns(doc_text(docs), ["text"], "fingerprint string", make).drop("text")
 
 
+def _last_at_most(marks: list[int], x: Column) -> Column:
+    """Place of the last of the ascending marks that is at most x, -1 if none is: bisection by steps of falling powers of two."""
+    if not marks:
+        return F.lit(-1)
+    every, steps = F.array(*[F.lit(m) for m in marks]), F.array(*[F.lit(1 << k) for k in reversed(range(len(marks).bit_length()))])
+    return F.aggregate(steps, F.lit(-1), lambda low, step: F.when(F.get(every, low + step) <= x, low + step).otherwise(low))
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, range, spare: rows of one range lie in one partition of their own, in ascending doc_id, and each range ends
     with the spare rows of the id that the following one begins with.
 
-    The ids that begin the ranges are percentiles of doc_id (one light pass over that column; ``ranges`` numbers come to
-    the driver), and only rows with these ids are dealt out twice, so that the text is shuffled once.
+    Ranges are cut at percentiles of doc_id (two light passes over that column; ``ranges`` numbers come to the driver), and
+    only rows with these ids are dealt out twice, so that the text is shuffled once.
     """
     rows = doc_text(docs).withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    cuts = rows.agg(F.expr(f"percentile_approx(place, array({', '.join(str(i / ranges) for i in range(1, ranges))}), 10000)") if ranges > 1 else F.lit(None), F.min("place")).first()
-    begin = sorted({*(cuts[0] or ()), *([] if cuts[1] is None else [cuts[1]])})
+    cuts = rows.agg(F.expr(f"percentile_approx(place, array({', '.join(str(i / ranges) for i in range(1, ranges))}), 10000)")).first()[0] if ranges > 1 else None
+    # the percentiles may be no ids themselves: a range begins with the least id in it
+    begin = sorted(r["b"] for r in rows.select("place", _last_at_most(sorted({*(cuts or ())}), F.col("place")).alias("r")).groupBy("r").agg(F.min("place").alias("b")).collect())
     if not begin:
         return rows.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("spare"))
-    # the last beginning at or below the id, by bisection: steps of falling powers of two
-    begins, steps = F.array(*[F.lit(b) for b in begin]), F.array(*[F.lit(1 << k) for k in reversed(range(len(begin).bit_length()))])
-    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(begins, low + step) <= F.col("place"), low + step).otherwise(low))
+    at = _last_at_most(begin, F.col("place"))
     spare = F.when(F.col("place").isin(begin), F.pmod(F.col("range") - 1, F.lit(len(begin))))
     one = lambda r, s: F.struct(r.cast("int").alias("range"), F.lit(s).alias("spare"))
     placed = rows.withColumn("range", at)
@@ -168,6 +175,8 @@ def compare(docs: DataFrame, k: int = K, taken: int = TAKEN, sketches: int = SKE
                 last = None if spare else (name, text, at, own)
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=names)
+        if last is not None:
+            raise ValueError("a range has no row that follows its last one")
 
     return with_next(docs, ranges).mapInArrow(run, f"{id_type(docs)}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
