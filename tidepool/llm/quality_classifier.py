@@ -62,6 +62,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int = 1 << BITS,
     for _ in range(passes):
         for k in order.permutation(len(rows)):
             at, x, y = rows[k]
+            x = x.astype(float)  # rows are kept as they came, in half the room
             own_z, own_n = z[at], n[at]
             own_w = np.where(np.abs(own_z) <= l1, 0.0, -(own_z - np.sign(own_z) * l1) / ((beta + np.sqrt(own_n)) / alpha + l2))
             p = 1.0 / (1.0 + np.exp(-np.clip(own_w @ x + bias, -35, 35)))
@@ -83,16 +84,19 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "slot": [a.astype("<i4").tobytes() for a, _ in got], "x": [x.astype("<f4").tobytes() for _, x in got], "label": b["label"]})
 
 
-def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.doc_id)
-    w, bias = ftrl([(np.frombuffer(r.slot, "<i4"), np.frombuffer(r.x, "<f4").astype(float), int(r.label)) for r in rows])
-    yield pd.DataFrame({"w": [w.astype("<f4").tobytes()], "bias": [bias]})
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, bytes, bytes, int]] = []
+    for b in batches:
+        rows += zip(*[b.column(k).to_pylist() for k in range(4)], strict=True)
+    rows.sort(key=lambda r: r[0])
+    w, bias = ftrl([(np.frombuffer(slot, "<i4"), np.frombuffer(x, "<f4"), label) for _, slot, x, label in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["w", "bias"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
     sample = labelled_sample(docs, labels, label, max_rows)
     made = sample.mapInPandas(_featurise, "doc_id long, slot binary, x binary, label int").repartition(1)
-    got = made.mapInPandas(_fit, "w binary, bias double").collect()
+    got = made.mapInArrow(_fit, "w binary, bias double").collect()
     if not got:
         return np.zeros(1 << BITS), 0.0
     return np.frombuffer(got[0]["w"], "<f4").astype(float), got[0]["bias"]
