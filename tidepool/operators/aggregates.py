@@ -83,7 +83,7 @@ def score_stats(decided: DataFrame, columns: tuple[str, ...] = ("stability", "ru
 def outcome_rates(occurrences: DataFrame) -> DataFrame:
     """Correction and continuation rates and mean similarity of the windows of each class in a series."""
     rate = lambda x: round2(F.avg(F.when(x, 100.0).otherwise(0.0)))
-    return occurrences.groupBy("asset_id", "kind").agg(F.count(F.lit(1)).alias("n"), rate(~F.col("continued")).alias("correction_rate"), rate(F.col("continued")).alias("continuation_rate"), round2(F.avg("similarity")).alias("avg_similarity"))
+    return occurrences.groupBy("asset_id", "kind").agg(F.count(F.lit(1)).alias("n"), rate(~F.col("continued")).alias("correction_rate"), rate(F.col("continued")).alias("continuation_rate"), round2(mean_score(F.col("similarity"))).alias("avg_similarity"))
 
 
 def backtest_summary(signals: DataFrame, steps: tuple[int, ...] = (24, 48, 72)) -> DataFrame:

@@ -151,7 +151,7 @@ ORACLE_SQL: dict[str, str] = {
     "w11_month_segments": f"WITH {MONTHS} SELECT asset_id, year, month, n_prices, first_price, last_price, min_price, max_price, slope_pct, amplitude_pct, instability, break_rate, kind, quality, duration FROM months",
     "w12_quarters": f"WITH {MONTHS} SELECT asset_id, year, CAST(ceil(month / 3) AS INT) AS quarter, count(*) AS n_months, CAST(sum(n_prices) AS BIGINT) AS n, arg_min(first_price, month) AS first_price, arg_max(last_price, month) AS last_price FROM months GROUP BY asset_id, year, ceil(month / 3)",
     "w14_occurrences": f"WITH {TICK}, {OCC} SELECT * FROM occ",
-    "a25_outcome_rates": f"WITH {TICK}, {OCC} SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THEN 0e0 ELSE 100e0 END)')} AS correction_rate, {r2('avg(CASE WHEN continued THEN 100e0 ELSE 0e0 END)')} AS continuation_rate, {r2('avg(similarity)')} AS avg_similarity FROM occ GROUP BY asset_id, kind",
+    "a25_outcome_rates": f"WITH {TICK}, {OCC} SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THEN 0e0 ELSE 100e0 END)')} AS correction_rate, {r2('avg(CASE WHEN continued THEN 100e0 ELSE 0e0 END)')} AS continuation_rate, {r2('sum(CAST(round(similarity * 100) AS BIGINT)) / (count(similarity) * 100)')} AS avg_similarity FROM occ GROUP BY asset_id, kind",
     "e11_decision_funnel": f"{_T} SELECT {DECIDED} FROM dec",
     "f2_asset_issues": f"{_S} SELECT id, CASE WHEN trim(name) = '' THEN 'name_missing' ELSE '' END AS issues FROM snap",
 }

@@ -238,7 +238,7 @@ shp AS (SELECT asset_id, count(*) AS np, avg(price) AS mean, stddev_pop(price) A
 kn AS (SELECT *, abs((last - mean) / mean * 100) AS off FROM shp JOIN strk USING (asset_id)),
 knd AS (SELECT *, CASE WHEN up >= 3 AND change > 0 THEN 'UP_STREAK' WHEN down >= 3 AND change < 0 THEN 'DOWN_STREAK' WHEN sd < mean * 0.01e0 THEN 'COMPRESSION' WHEN change > 4 AND ups > downs * 1.5e0 THEN 'BREAKOUT' WHEN change < -4 AND downs > ups * 1.5e0 THEN 'BREAKDOWN' WHEN off < 1.5e0 THEN 'MEAN_REVERTING' WHEN sd > mean * 0.04e0 THEN 'CHAOTIC' ELSE 'MIXED' END AS kind, {r2(within(dot((0.45, within('greatest(up, down) * 12', 0, 100)), (0.25, '100 - ' + within('sd / mean * 100', 0, 100)), (0.3, 'CASE WHEN ups + downs > 0 THEN abs(ups - downs) / (ups + downs) ELSE 0e0 END * 100')), 0, 100))} AS pattern_similarity FROM kn),
 tick AS (SELECT asset_id, ts AS idx, ts, price FROM hist), {OCC},
-rates AS (SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THEN 0e0 ELSE 100e0 END)')} AS correction_rate, {r2('avg(CASE WHEN continued THEN 100e0 ELSE 0e0 END)')} AS continuation_rate, {r2('avg(similarity)')} AS avg_similarity FROM occ GROUP BY asset_id, kind),
+rates AS (SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THEN 0e0 ELSE 100e0 END)')} AS correction_rate, {r2('avg(CASE WHEN continued THEN 100e0 ELSE 0e0 END)')} AS continuation_rate, {r2(mean2('similarity'))} AS avg_similarity FROM occ GROUP BY asset_id, kind),
 pm0 AS (SELECT knd.asset_id, knd.kind, coalesce(r.n, 0) AS n, pattern_similarity, coalesce(correction_rate, 0e0) AS cr, coalesce(continuation_rate, 0e0) AS co, coalesce(avg_similarity, 0e0) AS si, hh.stability, rupture_probability, continuity_probability, CAST(CASE WHEN rupture_probability >= 60 THEN 30 ELSE 0 END + CASE WHEN hh.stability >= 60 THEN 20 WHEN hh.stability >= 45 THEN 10 ELSE 0 END + CASE hh.regime WHEN 'STABLE' THEN 20 WHEN 'TRANSITION' THEN 12 ELSE 0 END + CASE WHEN knd.kind <> 'CHAOTIC' THEN 10 ELSE 0 END + CASE WHEN off <= 4 THEN 20 WHEN off <= 8 THEN 10 ELSE 0 END AS DOUBLE) AS convergence FROM knd JOIN hh ON hh.asset_id = knd.asset_id LEFT JOIN rates r ON r.asset_id = knd.asset_id AND r.kind = knd.kind),
 pm1 AS (SELECT *, {cl(dot((0.45, 'cr'), (0.3, 'convergence'), (0.15, 'rupture_probability'), (0.1, 'si')))} AS correction_probability, {cl(dot((0.45, 'co'), (0.35, 'continuity_probability'), (0.2, 'pattern_similarity')))} AS continuation_probability FROM pm0),
 pm AS (SELECT *, {cl(dot((0.55, 'correction_probability'), (0.25, 'convergence'), (0.2, 'stability')))} AS opportunity FROM pm1)"""
