@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
+from .filter_audit import op12_filter_audit
 from .hmm_lm import op10_hmm_lm
 from .oracles import ORACLE_SQL
 from .order_minhash import op5_order_minhash
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
     "op10_hmm_lm": op10_hmm_lm,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
