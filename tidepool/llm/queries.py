@@ -16,6 +16,7 @@ from .pii import op9_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op1_quality_rules
 from .simhash import op3_simhash
+from .spelling import op11_spelling
 from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op6_toxicity
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
     "op10_hmm_lm": op10_hmm_lm,
+    "op11_spelling": op11_spelling,
     "op12_filter_audit": op12_filter_audit,
 }
 
