@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op8_byte_bpe
 from .filter_audit import op12_filter_audit
 from .hmm_lm import op10_hmm_lm
+from .nn_descent import op13_nn_descent
 from .oracles import ORACLE_SQL
 from .order_minhash import op5_order_minhash
 from .packing import op2_packing
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm_lm": op10_hmm_lm,
     "op11_spelling": op11_spelling,
     "op12_filter_audit": op12_filter_audit,
+    "op13_nn_descent": op13_nn_descent,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
