@@ -193,33 +193,52 @@ def live_hints(live: DataFrame) -> DataFrame:
     )
 
 
-def pattern_decision(shapes: DataFrame, rates: DataFrame, history: DataFrame) -> DataFrame:
-    """Decision by what usually followed the class that a series has now.
-
-    shapes: asset_id, prices in order (p); rates: outcome_rates; history: rows with stability, regime, rupture_probability and
-    continuity_probability.
-    """
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    x = shapes.where(F.size("p") >= 3).withColumn("mean", total(F.col("p")) / F.size("p"))
-    x = x.withColumns({"sd": F.sqrt(total(F.transform("p", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.size("p")), "last": F.element_at("p", -1), "change": F.when(F.get("p", F.lit(0)) == 0, 0.0).otherwise((F.element_at("p", -1) - F.get("p", F.lit(0))) / F.get("p", F.lit(0)) * 100), "d": F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda v, i: F.signum(v - F.get("p", i)))})
-    streak = lambda s: F.aggregate("d", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, v: F.struct(F.when(v == s, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["most"], F.when(v == s, a["now"] + 1).otherwise(0)).alias("most")), lambda a: a["most"])
-    count = lambda s: F.size(F.filter("d", lambda v: v == s))
-    x = x.withColumns({"up": streak(1.0), "down": streak(-1.0), "ups": count(1.0), "downs": count(-1.0), "off": F.when(F.col("mean") > 0, F.abs((F.col("last") - F.col("mean")) / F.col("mean") * 100)).otherwise(0.0)})
+def pattern_class(x: DataFrame) -> DataFrame:
+    """x with kind, pattern_similarity and off (percent between last price and mean), from up and down (longest streaks), ups, downs, mean, sd, first and last price."""
+    change = F.when(F.col("first") == 0, 0.0).otherwise((F.col("last") - F.col("first")) / F.col("first") * 100)
+    x = x.withColumns({"change": change, "off": F.when(F.col("mean") > 0, F.abs((F.col("last") - F.col("mean")) / F.col("mean") * 100)).otherwise(0.0)})
     kind = (
         F.when((F.col("up") >= 3) & (F.col("change") > 0), "UP_STREAK").when((F.col("down") >= 3) & (F.col("change") < 0), "DOWN_STREAK").when(F.col("sd") < F.col("mean") * 0.01, "COMPRESSION")
         .when((F.col("change") > 4) & (F.col("ups") > F.col("downs") * 1.5), "BREAKOUT").when((F.col("change") < -4) & (F.col("downs") > F.col("ups") * 1.5), "BREAKDOWN").when(F.col("off") < 1.5, "MEAN_REVERTING").when(F.col("sd") > F.col("mean") * 0.04, "CHAOTIC").otherwise("MIXED")
     )
     moves = F.col("ups") + F.col("downs")
     alike = blend((0.45, clamp(F.greatest("up", "down") * 12.0, 0, 100)), (0.25, 100 - clamp(F.col("sd") / F.col("mean") * 100, 0, 100)), (0.3, F.when(moves > 0, F.abs(F.col("ups") - F.col("downs")) / moves).otherwise(0.0) * 100))
-    x = x.select("asset_id", kind.alias("kind"), round2(clamp(alike, 0, 100)).alias("pattern_similarity"), "off")
-    x = x.join(history.select("asset_id", "stability", "regime", "rupture_probability", "continuity_probability"), "asset_id").join(rates, ["asset_id", "kind"], "left").fillna(0, ["n", "correction_rate", "continuation_rate", "avg_similarity"])
+    return x.withColumns({"kind": kind, "pattern_similarity": round2(clamp(alike, 0, 100))}).drop("change")
+
+
+def pattern_verdict(x: DataFrame) -> DataFrame:
+    """x with convergence, correction_probability, continuation_probability, opportunity and decision, from pattern_class, outcome rates and a history row's scores."""
     torn = F.col("rupture_probability") >= 60
     points = F.when(torn, 30).otherwise(0) + F.when(F.col("stability") >= 60, 20).when(F.col("stability") >= 45, 10).otherwise(0) + F.when(F.col("regime") == "STABLE", 20).when(F.col("regime") == "TRANSITION", 12).otherwise(0) + F.when(F.col("kind") != "CHAOTIC", 10).otherwise(0) + F.when(F.col("off") <= 4, 20).when(F.col("off") <= 8, 10).otherwise(0)
     x = x.withColumn("convergence", points.cast("double"))
     x = x.withColumns({"correction_probability": clamp_score(blend((0.45, F.col("correction_rate")), (0.3, F.col("convergence")), (0.15, F.col("rupture_probability")), (0.1, F.col("avg_similarity")))), "continuation_probability": clamp_score(blend((0.45, F.col("continuation_rate")), (0.35, F.col("continuity_probability")), (0.2, F.col("pattern_similarity"))))})
     x = x.withColumn("opportunity", clamp_score(blend((0.55, F.col("correction_probability")), (0.25, F.col("convergence")), (0.2, F.col("stability")))))
     decision = F.when(torn & (F.col("correction_probability") >= 60) & (F.col("convergence") >= 55) & (F.col("stability") >= 55), "ALLOW").when((torn & (F.col("correction_probability") >= 40)) | (F.col("opportunity") >= 45), "WATCH").otherwise("BLOCK")
-    return x.select("asset_id", "kind", "n", "pattern_similarity", "convergence", "correction_probability", "continuation_probability", "opportunity", decision.alias("decision"))
+    return x.withColumn("decision", decision)
+
+
+PATTERN_DECISION = ("asset_id", "kind", "n", "pattern_similarity", "convergence", "correction_probability", "continuation_probability", "opportunity", "decision", "reason")
+
+
+def pattern_decision(shapes: DataFrame, rates: DataFrame, history: DataFrame) -> DataFrame:
+    """Decision by what usually followed the class that a series has now.
+
+    shapes: asset_id, prices in order (p); rates: outcome_rates; history: rows with stability, regime, rupture_probability and
+    continuity_probability. Under three prices the decision is BLOCK for insufficient_prices; without history, for
+    insufficient_history.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    few, none = F.coalesce(F.size("p"), F.lit(0)) < 3, F.col("stability").isNull()
+    x = shapes.withColumns({"mean": F.try_divide(total(F.col("p")), F.size("p")), "first": F.get("p", F.lit(0)), "last": F.element_at(F.when(~few, F.col("p")), -1), "d": F.when(~few, F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda v, i: F.signum(v - F.get("p", i))))})
+    streak = lambda s: F.aggregate("d", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, v: F.struct(F.when(v == s, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["most"], F.when(v == s, a["now"] + 1).otherwise(0)).alias("most")), lambda a: a["most"])
+    count = lambda s: F.size(F.filter("d", lambda v: v == s))
+    x = x.withColumns({"sd": F.sqrt(total(F.transform("p", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.greatest(F.size("p"), F.lit(1))), "up": streak(1.0), "down": streak(-1.0), "ups": count(1.0), "downs": count(-1.0)})
+    x = pattern_class(x).withColumn("kind", F.when(few, "MIXED").otherwise(F.col("kind")))
+    x = x.join(history.select("asset_id", "stability", "regime", "rupture_probability", "continuity_probability"), "asset_id", "left").join(rates, ["asset_id", "kind"], "left").fillna(0, ["n", "correction_rate", "continuation_rate", "avg_similarity"])
+    x = pattern_verdict(x).withColumn("reason", F.when(few, "insufficient_prices").when(none, "insufficient_history").otherwise("pattern"))
+    scores = ("pattern_similarity", "convergence", "correction_probability", "continuation_probability", "opportunity")
+    void = few | none
+    return x.withColumns({**{c: F.when(void, 0.0).otherwise(F.col(c)) for c in scores}, "n": F.when(few, F.lit(0)).otherwise(F.col("n")), "decision": F.when(void, "BLOCK").otherwise(F.col("decision"))}).select(*PATTERN_DECISION)
 
 
 def hmac_sha256(message: Column, secret: str) -> Column:

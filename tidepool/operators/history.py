@@ -55,15 +55,24 @@ def compared(signed: DataFrame, mode: str | None = None) -> DataFrame:
     q = lambda m: F.ceil(m / 3)
     same_phase = (q(F.col("month")) == q(F.col("now.month"))) & (F.col("year") < F.col("now.year"))
     x = x.withColumn("reference", (F.col("back") > 1) & F.when(F.col("mode") == "YEAR_PHASE_COMPARISON", same_phase).otherwise(True))
+    ref = lambda v: F.when(F.col("reference"), round2(v))
+    return x.withColumn("alike", likeness()).withColumns({k: ref(v) for k, v in comparisons().items()})
+
+
+def likeness() -> Column:
+    """How alike the signature now.* and the row's own are."""
+    c = lambda f: F.col(f"now.{f}")
+    return clamp(blend((0.14, kind_similarity(c("kind"), F.col("kind"))), (0.22, _near(c("slope_pct"), F.col("slope_pct"), 20)), (0.16, _near(c("amplitude_pct"), F.col("amplitude_pct"), 30)), (0.22, _near(c("instability"), F.col("instability"), 50)), (0.14, _near(c("break_rate"), F.col("break_rate"), 0.6)), (0.12, _near(c("duration"), F.col("duration"), 40))), 0, 100)
+
+
+def comparisons() -> dict[str, Column]:
+    """Similarity, rupture gap, continuity and likeness of durations of now.* and the row's own signature, whose likeness is in alike."""
     c = lambda f: F.col(f"now.{f}")
-    alike = blend((0.14, kind_similarity(c("kind"), F.col("kind"))), (0.22, _near(c("slope_pct"), F.col("slope_pct"), 20)), (0.16, _near(c("amplitude_pct"), F.col("amplitude_pct"), 30)), (0.22, _near(c("instability"), F.col("instability"), 50)), (0.14, _near(c("break_rate"), F.col("break_rate"), 0.6)), (0.12, _near(c("duration"), F.col("duration"), 40)))
-    x = x.withColumn("alike", clamp(alike, 0, 100))
     fragile = lambda p: F.col(f"{p}instability") * 0.38 + F.col(f"{p}break_rate") * 100 * 0.38 + (100 - F.col(f"{p}duration")) * 0.24
     gap = clamp(F.greatest(F.lit(0.0), fragile("now.") - fragile("")) * 0.62 + (100 - F.col("alike")) * 0.38, 0, 100)
     aligned = F.when(F.signum(c("slope_pct")) * F.signum("slope_pct") > 0, 100.0).otherwise(35.0)
     going_on = clamp(blend((0.54, F.col("alike")), (0.2, aligned), (0.16, _near(c("duration"), F.col("duration"), 40)), (0.1, 100 - clamp(F.abs(c("break_rate") - F.col("break_rate")) * 100, 0, 100))), 0, 100)
-    ref = lambda v: F.when(F.col("reference"), round2(v))
-    return x.withColumns({"similarity": ref(F.col("alike")), "rupture_gap": ref(gap), "continuity": ref(going_on), "duration_similarity": ref(_near(c("duration"), F.col("duration"), 40))})
+    return {"similarity": F.col("alike"), "rupture_gap": gap, "continuity": going_on, "duration_similarity": _near(c("duration"), F.col("duration"), 40)}
 
 
 def compare_with_history(hist: DataFrame, mode: str | None = None) -> DataFrame:
@@ -72,7 +81,7 @@ def compare_with_history(hist: DataFrame, mode: str | None = None) -> DataFrame:
     return x.select("asset_id", "year", "month", "mode", "similarity", "rupture_gap", "continuity", "duration_similarity", F.col("kind").alias("reference_kind"))
 
 
-def _block(p: str) -> dict[str, Column]:
+def block(p: str) -> dict[str, Column]:
     """Scores of a calendar block from its signature's columns p_*; neutral ones for fewer than two prices."""
     c = lambda f: F.col(f"{p}.{f}")
     few = F.coalesce(c("n_prices"), F.lit(0)) < 2
@@ -86,40 +95,67 @@ def _block(p: str) -> dict[str, Column]:
     }
 
 
-_SIGNED = ["n_prices", "first_price", "last_price", "slope_pct", "amplitude_pct", "instability", "break_rate", "quality", "duration"]
+SIGNED = ["n_prices", "first_price", "last_price", "slope_pct", "amplitude_pct", "instability", "break_rate", "quality", "duration"]
 
 
 def temporal_blocks(hist: DataFrame) -> DataFrame:
     """Scores of the first and last 7 days and 24 hours of each series, both ends included."""
-    return _blocks(segments(hist)).select("asset_id", *[c for p in BLOCKS for c in _block(p)])
+    return _blocks(segments(hist)).select("asset_id", *[c for p in BLOCKS for c in block(p)])
 
 
 def _blocks(signed: DataFrame) -> DataFrame:
-    one = lambda s: F.max(F.when(F.col("segment") == s, F.struct(*_SIGNED)))
+    one = lambda s: F.max(F.when(F.col("segment") == s, F.struct(*SIGNED)))
     g = signed.groupBy("asset_id").agg(*[one(p).alias(p) for p in BLOCKS], one("quarter").alias("quarter"), one("all").alias("whole"))
-    return g.withColumns({k: v for p in BLOCKS for k, v in _block(p).items()})
+    return g.withColumns({k: v for p in BLOCKS for k, v in block(p).items()})
 
 
 def history(hist: DataFrame) -> DataFrame:
     """Axes, rupture, crash, coherence, regime, timing and market scores of each series over its calendar history."""
     signed = segments(hist)
     x = compared(signed)
-    n, mean, over = F.count("similarity"), lambda c: mean_score(F.col(c)), lambda c: deviation_score(F.col(c))
     past = mean_score(F.when(F.col("back") > 1, F.col("quality")))
-    g = x.groupBy("asset_id").agg(
-        n.alias("n"), F.sum(F.when(F.col("similarity") >= 70, 1).otherwise(0)).alias("strong"), mean("continuity").alias("m_continuity"), over("similarity").alias("sd_similarity"), mean("duration_similarity").alias("m_duration"), F.sum(F.when(F.col("rupture_gap") >= 50, 1).otherwise(0)).alias("broken"), mean("rupture_gap").alias("m_gap"), over("rupture_gap").alias("sd_gap"),
-        past.alias("past_quality"), F.first("now").alias("now"), F.first("mode").alias("mode"),
-    )
+    g = x.groupBy("asset_id").agg(*summed(), past.alias("past_quality"), F.first("now").alias("now"), F.first("mode").alias("mode"))
     d = _blocks(signed).join(g, "asset_id", "left")
     own = lambda f: F.coalesce(F.col(f"now.{f}"), F.col(f"whole.{f}"))
-    none = F.coalesce(F.col("n"), F.lit(0)) == 0
     d = d.withColumns({"n": F.coalesce("n", F.lit(0)), "mode": F.coalesce("mode", F.lit("INSUFFICIENT_HISTORY")), **{f: own(f) for f in ("slope_pct", "amplitude_pct", "instability", "break_rate", "quality", "duration")}})
+    d = scored(d.withColumns({"quarter_score": F.coalesce("quarter.quality", "quality"), "baseline": F.coalesce("past_quality", "quality")}))
+    apart = lambda a, b: clamp_score(100 - F.abs(F.col(a) - F.col(b)))
+    d = d.withColumns({
+        "crash_state": F.when((F.col("n") == 0) | (F.col("crash") < 45), "NONE").when(F.col("crash") >= 75, "CRASH").otherwise("RISING"),
+        "coherence": clamp_score(blend((0.28, apart("stability", "quarter_score")), (0.24, apart("quarter_score", "quality")), (0.24, apart("quality", "r7_stability")), (0.08, apart("r7_stability", "r24_stability")), (0.16, 100 - F.col("penalty")))),
+        "structure": clamp_score(blend((0.34, F.col("quality")), (0.34, F.col("quarter_score")), (0.18, F.col("baseline")), (0.14, F.col("duration_axis")))),
+        "confidence": clamp_score(blend((0.2, F.col("occurrence")), (0.14, F.col("frequency")), (0.22, F.col("convergence")), (0.16, F.col("correlation")), (0.14, F.col("duration_axis")), (0.14, F.least(F.col("n") * 4, F.lit(100))))),
+    })
+    bad = (F.col("crash_state") == "CRASH") | (F.col("r24_rupture") >= 70) | (F.col("r24_stability") <= 35)
+    return d.withColumns({
+        "market": clamp_score(blend((0.36, F.col("stability")), (0.24, F.col("mid_term")), (0.16, F.col("coherence")), (0.14, F.col("continuity_probability")), (0.1, 100 - F.col("penalty")))),
+        "regime": regime(), "timing": F.when(bad, "BAD").when((F.col("r24_stability") >= 60) & (F.col("r24_rupture") <= 40), "GOOD").otherwise("NEUTRAL"),
+    })
+
+
+def summed() -> list[Column]:
+    """What the scores need of a series' comparisons: their number, how many are strong or broken, means and deviations."""
+    mean, over = lambda c: mean_score(F.col(c)), lambda c: deviation_score(F.col(c))
+    return [
+        F.count("similarity").alias("n"), F.sum(F.when(F.col("similarity") >= 70, 1).otherwise(0)).alias("strong"), mean("continuity").alias("m_continuity"), over("similarity").alias("sd_similarity"), mean("duration_similarity").alias("m_duration"),
+        F.sum(F.when(F.col("rupture_gap") >= 50, 1).otherwise(0)).alias("broken"), mean("rupture_gap").alias("m_gap"), over("rupture_gap").alias("sd_gap"),
+    ]
+
+
+def regime() -> Column:
+    volatile = (F.col("crash") >= 75) | (F.col("rupture_probability") >= 78) | (F.col("r7_rupture") >= 80)
+    stable = (F.col("stability") >= 70) & (F.col("rupture_probability") <= 35) & (F.col("quality") >= 60) & (F.col("quarter_score") >= 60) & (F.col("r7_stability") >= 50)
+    return F.when(volatile, "VOLATILE").when(stable, "STABLE").otherwise("TRANSITION")
+
+
+def scored(d: DataFrame) -> DataFrame:
+    """Axes, rupture, penalty, continuity, stability, mid term and crash from summed() comparisons, the newest signature, quarter_score and baseline."""
+    none = F.col("n") == 0
     d = d.withColumns({
         "occurrence": F.when(none, 0.0).otherwise(clamp_score(F.least(F.col("n"), F.lit(24)) / 24 * 100)), "frequency": F.when(none, 0.0).otherwise(clamp_score(F.col("strong") / F.col("n") * 100)), "convergence": F.when(none, 0.0).otherwise(clamp_score(F.col("m_continuity"))),
         "correlation": F.when(F.col("n") < 2, NEUTRAL).otherwise(clamp_score(100 - clamp(F.col("sd_similarity"), 0, 100))), "duration_axis": F.when(none, 0.0).otherwise(clamp_score(F.col("m_duration"))),
         "rupture_occurrence": F.when(none, NEUTRAL).otherwise(clamp_score(F.least(F.col("broken"), F.lit(24)) / 24 * 100)), "rupture_frequency": F.when(none, NEUTRAL).otherwise(clamp_score(F.col("broken") / F.col("n") * 100)), "rupture_convergence": F.when(none, NEUTRAL).otherwise(clamp_score(F.col("m_gap"))),
         "rupture_correlation": F.when(none, NEUTRAL).otherwise(clamp_score(100 - clamp(F.col("sd_gap"), 0, 100))), "rupture_duration": F.when(none, NEUTRAL).otherwise(clamp_score((100 - F.col("duration")) * 0.55 + F.col("break_rate") * 100 * 0.45)),
-        "quarter_score": F.coalesce("quarter.quality", "quality"), "baseline": F.coalesce("past_quality", "quality"),
     })
     d = d.withColumn("rupture_probability", clamp_score(blend((0.18, F.col("rupture_occurrence")), (0.22, F.col("rupture_frequency")), (0.26, F.col("rupture_convergence")), (0.14, F.col("rupture_correlation")), (0.2, F.col("rupture_duration")))))
     d = d.withColumn("penalty", clamp_score(F.col("rupture_probability") * 0.7 + F.col("rupture_frequency") * 0.3))
@@ -131,20 +167,7 @@ def history(hist: DataFrame) -> DataFrame:
         "mid_term": clamp_score(blend((0.46, F.col("quarter_score")), (0.22, F.col("convergence")), (0.2, F.col("baseline")), (0.12, 100 - F.col("penalty")))),
         "crash": F.when(none, NEUTRAL).otherwise(excess), "crash_status": F.when(none, "baseline_missing").otherwise("computed"),
     })
-    apart = lambda a, b: clamp_score(100 - F.abs(F.col(a) - F.col(b)))
-    d = d.withColumns({
-        "crash_state": F.when(none | (F.col("crash") < 45), "NONE").when(F.col("crash") >= 75, "CRASH").otherwise("RISING"),
-        "coherence": clamp_score(blend((0.28, apart("stability", "quarter_score")), (0.24, apart("quarter_score", "quality")), (0.24, apart("quality", "r7_stability")), (0.08, apart("r7_stability", "r24_stability")), (0.16, 100 - F.col("penalty")))),
-        "structure": clamp_score(blend((0.34, F.col("quality")), (0.34, F.col("quarter_score")), (0.18, F.col("baseline")), (0.14, F.col("duration_axis")))),
-        "confidence": clamp_score(blend((0.2, F.col("occurrence")), (0.14, F.col("frequency")), (0.22, F.col("convergence")), (0.16, F.col("correlation")), (0.14, F.col("duration_axis")), (0.14, F.least(F.col("n") * 4, F.lit(100))))),
-    })
-    volatile = (F.col("crash") >= 75) | (F.col("rupture_probability") >= 78) | (F.col("r7_rupture") >= 80)
-    stable = (F.col("stability") >= 70) & (F.col("rupture_probability") <= 35) & (F.col("quality") >= 60) & (F.col("quarter_score") >= 60) & (F.col("r7_stability") >= 50)
-    bad = (F.col("crash_state") == "CRASH") | (F.col("r24_rupture") >= 70) | (F.col("r24_stability") <= 35)
-    return d.withColumns({
-        "market": clamp_score(blend((0.36, F.col("stability")), (0.24, F.col("mid_term")), (0.16, F.col("coherence")), (0.14, F.col("continuity_probability")), (0.1, 100 - F.col("penalty")))),
-        "regime": F.when(volatile, "VOLATILE").when(stable, "STABLE").otherwise("TRANSITION"), "timing": F.when(bad, "BAD").when((F.col("r24_stability") >= 60) & (F.col("r24_rupture") <= 40), "GOOD").otherwise("NEUTRAL"),
-    })
+    return d
 
 
 HISTORY = ("asset_id", "mode", "n", "occurrence", "frequency", "convergence", "correlation", "duration_axis", "rupture_occurrence", "rupture_frequency", "rupture_convergence", "rupture_correlation", "rupture_duration", "rupture_probability", "penalty", "continuity_probability", "quality", "quarter_score", "baseline", "stability", "mid_term", "crash", "crash_status", "crash_state", "coherence", "structure", "confidence", "market", "regime", "timing")

@@ -90,6 +90,11 @@ def signatures(points: DataFrame, keys: tuple[str, ...] = ("asset_id",), order:
         F.count(F.lit(1)).alias("n_prices"), F.max("n_r").alias("n_r"), F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.min(order).alias("begin"), F.max(order).alias("end"), F.stddev_pop("r").alias("sd"),
         F.avg(F.when(F.col("r").isNotNull() & F.col("before").isNotNull(), F.when(broken, 1.0).otherwise(0.0))).alias("broken"), F.avg(F.when(half & F.col("r").isNotNull(), F.col("r"))).alias("first_mean"), F.avg(F.when(~half & F.col("r").isNotNull(), F.col("r"))).alias("second_mean"),
     )
+    return judged(g)
+
+
+def judged(g: DataFrame) -> DataFrame:
+    """The rest of a signature from what is summed of a series: n_prices, n_r, first, last, least and largest price, sd and broken (share), means of the halves."""
     g = g.withColumns({"slope_pct": round2(slope("first_price", "last_price")), "amplitude_pct": round2(amplitude("min_price", "max_price")), "break_rate": round2(F.col("broken")), "reversal": F.coalesce((F.col("n_r") >= 4) & (F.signum("first_mean") * F.signum("second_mean") < 0), F.lit(False))})
     unstable = F.when(F.col("n_r") == 0, 0.0).otherwise(clamp(F.col("sd") / 12 * 100, 0, 100) * 0.7 + clamp(F.col("amplitude_pct") / 40 * 100, 0, 100) * 0.3)
     g = g.withColumn("instability", round2(unstable))

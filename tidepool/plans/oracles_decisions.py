@@ -242,6 +242,16 @@ rates AS (SELECT asset_id, kind, count(*) AS n, {r2('avg(CASE WHEN continued THE
 pm0 AS (SELECT knd.asset_id, knd.kind, coalesce(r.n, 0) AS n, pattern_similarity, coalesce(correction_rate, 0e0) AS cr, coalesce(continuation_rate, 0e0) AS co, coalesce(avg_similarity, 0e0) AS si, hh.stability, rupture_probability, continuity_probability, CAST(CASE WHEN rupture_probability >= 60 THEN 30 ELSE 0 END + CASE WHEN hh.stability >= 60 THEN 20 WHEN hh.stability >= 45 THEN 10 ELSE 0 END + CASE hh.regime WHEN 'STABLE' THEN 20 WHEN 'TRANSITION' THEN 12 ELSE 0 END + CASE WHEN knd.kind <> 'CHAOTIC' THEN 10 ELSE 0 END + CASE WHEN off <= 4 THEN 20 WHEN off <= 8 THEN 10 ELSE 0 END AS DOUBLE) AS convergence FROM knd JOIN hh ON hh.asset_id = knd.asset_id LEFT JOIN rates r ON r.asset_id = knd.asset_id AND r.kind = knd.kind),
 pm1 AS (SELECT *, {cl(dot((0.45, 'cr'), (0.3, 'convergence'), (0.15, 'rupture_probability'), (0.1, 'si')))} AS correction_probability, {cl(dot((0.45, 'co'), (0.35, 'continuity_probability'), (0.2, 'pattern_similarity')))} AS continuation_probability FROM pm0),
 pm AS (SELECT *, {cl(dot((0.55, 'correction_probability'), (0.25, 'convergence'), (0.2, 'stability')))} AS opportunity FROM pm1)"""
+
+# ---- back-test: each prefix of each series as a series of its own
+_LATER = ", ".join(f"CASE WHEN lead(price, {k}) OVER o IS NOT NULL AND price <> 0 THEN {r2(f'(lead(price, {k}) OVER o - price) / price * 100')} END AS return_{k}" for k in (24, 48, 72))
+_REPLAY = f"""WITH {HIST.replace('hist AS', 'daily AS', 1)},
+idx AS (SELECT asset_id, ts, {r2('CAST(sum(CAST(round(price * 100) AS BIGINT)) OVER w AS DOUBLE) / (count(*) OVER w * 100)')} AS price FROM daily WINDOW w AS (PARTITION BY asset_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+pl AS (SELECT *, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY asset_id) AS n_all, {_LATER} FROM idx WHERE price > 0 WINDOW o AS (PARTITION BY asset_id ORDER BY ts)),
+sg AS (SELECT *, asset_id * 100000 + place AS key FROM pl WHERE n_all >= 192 AND place >= 120 AND place < n_all - 72),
+hist AS (SELECT sg.key AS asset_id, pl.ts, pl.price FROM sg JOIN pl ON pl.asset_id = sg.asset_id AND pl.place <= sg.place),
+{_SEG}, {_BLOCKS}, {_compared(_BY_SPAN)}, {_HISTORY}, {_PAT},
+back AS (SELECT sg.asset_id, sg.place, sg.ts, sg.price, hh.regime, hh.stability, pm.opportunity, CASE WHEN pm.rupture_probability >= 60 AND correction_probability >= 60 AND pm.convergence >= 55 AND hh.stability >= 55 THEN 'ALLOW' WHEN (pm.rupture_probability >= 60 AND correction_probability >= 40) OR opportunity >= 45 THEN 'WATCH' ELSE 'BLOCK' END AS decision, correction_probability, continuation_probability, return_24, return_48, return_72 FROM sg JOIN hh ON hh.asset_id = sg.key JOIN pm ON pm.asset_id = sg.key)"""
 _pads = {x: "".join(f"{b ^ x:02X}" for b in b"secret".ljust(64, b"\0")) for x in (0x36, 0x5C)}
 
 _BY_RANK = "CASE decision WHEN 'ALLOW' THEN 3 WHEN 'WATCH' THEN 2 ELSE 1 END"
@@ -263,7 +273,7 @@ ORACLE_SQL: dict[str, str] = {
     "e4_adaptive_impulse": f"{_IS} SELECT asset_id, state, CASE WHEN {_fits('exhaustion')} THEN 'EXHAUSTION' WHEN {_fits('release')} THEN 'RELEASE' WHEN {_fits('pressure_building')} THEN 'PRESSURE_BUILDING' WHEN {_fits('compression')} THEN 'COMPRESSION' ELSE 'NEUTRAL' END AS adaptive_state FROM imp, pol",
     "a18_impulse_policy": f"{_IS} SELECT * FROM pol",
     "a20_impulse_governance": f"{_IS}, gv AS (SELECT n, source, {', '.join(f'CASE WHEN n > 0 THEN {r2(f'n_{x} / n')} ELSE 0e0 END AS {x}_ratio' for x in ('release', 'exhaustion', 'compression'))}, n_neutral / n AS nr, greatest({', '.join('n_' + x.lower() for x in _STATES)}) AS most, CASE {' '.join(f'WHEN n_{x.lower()} = greatest({', '.join('n_' + y.lower() for y in _STATES)}) THEN {_q}{x}{_q}' for x in _STATES)} END AS dominant_state FROM pol), gw AS (SELECT *, CASE WHEN n <= 0 THEN 'unknown' WHEN nr >= 0.85e0 THEN 'neutral_dominant' WHEN release_ratio >= 0.35e0 THEN 'release_overactive' WHEN exhaustion_ratio >= 0.35e0 THEN 'exhaustion_overactive' WHEN most / n <= 0.32e0 THEN 'fragmented' ELSE 'balanced' END AS dominance FROM gv) SELECT n, source, dominant_state, release_ratio, exhaustion_ratio, compression_ratio, dominance, CASE WHEN n <= 0 THEN 'invalid' WHEN source = 'fallback' THEN 'fallback' WHEN dominance IN ('neutral_dominant', 'release_overactive', 'exhaustion_overactive') THEN 'degraded' ELSE 'computed' END AS validity FROM gw",
-    "e13_pattern_decision": f"{_H}, {_HISTORY}, {_PAT} SELECT asset_id, kind, n, pattern_similarity, convergence, correction_probability, continuation_probability, opportunity, CASE WHEN rupture_probability >= 60 AND correction_probability >= 60 AND convergence >= 55 AND stability >= 55 THEN 'ALLOW' WHEN (rupture_probability >= 60 AND correction_probability >= 40) OR opportunity >= 45 THEN 'WATCH' ELSE 'BLOCK' END AS decision FROM pm",
+    "e13_pattern_decision": f"{_H}, {_HISTORY}, {_PAT} SELECT asset_id, kind, n, pattern_similarity, convergence, correction_probability, continuation_probability, opportunity, CASE WHEN rupture_probability >= 60 AND correction_probability >= 60 AND convergence >= 55 AND stability >= 55 THEN 'ALLOW' WHEN (rupture_probability >= 60 AND correction_probability >= 40) OR opportunity >= 45 THEN 'WATCH' ELSE 'BLOCK' END AS decision, 'pattern' AS reason FROM pm",
     "e15_calibration_layer": f"WITH {_CHAIN}, y0 AS (SELECT asset_id, regime, confidence, {cl(dot((0.2, 'occurrence'), (0.25, 'convergence'), (0.2, 'duration'), (0.2, 'frequency'), (0.15, 'correlation')))} AS structure, {cl(dot((0.4, 'convergence'), (0.3, 'duration'), (0.3, '100 - rupture')))} AS continuity, {cl(dot((0.3, 'stability'), (0.2, 'mid_term'), (0.2, 'convergence'), (0.15, 'correlation'), (0.15, '100 - rupture')))} AS context FROM rfs), y1 AS (SELECT *, {', '.join(f'{cl(f"100 / (1 + exp(-4 * {within(f'({c} - 50) / {w}', -3, 3)}))")} AS p_{c}' for c, w in (('structure', 35), ('continuity', 32), ('context', 35)))} FROM y0) SELECT asset_id, structure, continuity, {cl('100 - continuity')} AS rupture, context, p_structure, p_continuity, {cl('100 - p_continuity')} AS p_rupture, p_context, {cl('(' + dot((0.45, 'p_structure'), (0.3, 'p_continuity'), (0.25, 'p_context')) + ") * CASE regime WHEN 'STABLE' THEN 1.08e0 WHEN 'TRANSITION' THEN 0.96e0 ELSE 0.72e0 END * (confidence / 100)")} AS adjusted_final FROM y1",
     "e23_zone_decision": f"WITH {_CHAIN}, z AS (SELECT asset_id, regime, CASE WHEN asset_id % 9 <> 0 THEN structure END AS zone_score FROM rfs) SELECT *, CASE WHEN zone_score IS NULL THEN 'WATCH' WHEN regime = 'VOLATILE' THEN CASE WHEN zone_score >= 80 THEN 'WATCH' ELSE 'BLOCK' END WHEN zone_score >= 80 THEN 'ALLOW' ELSE 'WATCH' END AS action, CASE WHEN zone_score IS NULL THEN 'NO_ZONE' ELSE 'REGIME_' || regime || ',' || CASE WHEN zone_score >= 80 THEN 'ZONE_HIGH' WHEN regime = 'VOLATILE' THEN 'ZONE_NOT_STRONG' WHEN zone_score >= 60 THEN 'ZONE_MID' ELSE 'ZONE_LOW' END END AS reason_codes, CASE WHEN zone_score IS NULL THEN 'none' WHEN regime = 'VOLATILE' THEN CASE WHEN zone_score >= 80 THEN 'reduced' ELSE 'none' END WHEN regime = 'STABLE' THEN CASE WHEN zone_score >= 80 THEN 'progressive' WHEN zone_score >= 60 THEN 'confirmation' ELSE 'none' END WHEN zone_score >= 60 THEN 'confirmation' ELSE 'reduced' END AS execution_mode FROM z",
     "e26_live_hints": f"WITH {TICK}, g AS (SELECT asset_id, date_trunc('day', ts) AS ws, {r2('avg(price)')} AS a, {r2('quantile_cont(price, 0.5)')} AS m, min(price) AS lo, max(price) AS hi FROM tick GROUP BY ALL), h AS (SELECT *, CASE WHEN a > 0 THEN {r2('(hi - lo) / a * 100')} ELSE 0e0 END AS noise, row_number() OVER (PARTITION BY asset_id ORDER BY ws DESC) AS k FROM g), l AS (SELECT asset_id, {cl('100 - noise / 2')} AS quality_score, {cl('noise')} AS noise_score, {cl('noise / 3')} AS micro_volatility, {r2('(a - m) / 10')} AS price_velocity, noise >= 75 AS torn, CASE WHEN a > m THEN 'UP' WHEN a < m THEN 'DOWN' ELSE 'FLAT' END AS trend FROM h WHERE k = 1) SELECT asset_id, quality_score, noise_score, micro_volatility, price_velocity, {cl(dot((0.45, cl('least(100, abs(price_velocity) * 18)')), (0.35, 'quality_score'), (0.2, '100 - noise_score')))} AS temporal_growth_hint, {cl(dot((0.45, "CASE WHEN trend = 'FLAT' THEN 35 WHEN abs(price_velocity) >= 0.2e0 THEN 80 ELSE 55 END"), (0.35, 'quality_score'), (0.2, '100 - noise_score')))} AS temporal_convergence_hint, {cl(dot((0.4, 'quality_score'), (0.25, '100 - micro_volatility'), (0.25, '100 - noise_score'), (0.1, '100 - CASE WHEN torn THEN 25 ELSE 0 END')))} AS temporal_evolution_hint, {cl(dot((0.4, 'CASE WHEN torn THEN 85 ELSE 25 END'), (0.25, 'micro_volatility'), (0.2, 'noise_score'), (0.15, cl('least(100, abs(price_velocity) * 20)'))))} AS micro_rupture_pressure FROM l",
@@ -271,7 +281,8 @@ ORACLE_SQL: dict[str, str] = {
     "a21_decision_report": f"{_T}, {_REPORTED}, sc AS (SELECT *, floor(stability * 0.4e0 + opportunity * 0.3e0 + CASE regime WHEN 'STABLE' THEN 100 WHEN 'VOLATILE' THEN 20 ELSE 60 END * 0.2e0 + CASE WHEN day > 0 AND week > 0 THEN 100 WHEN day < 0 AND week < 0 THEN 20 ELSE 60 END * 0.1e0 + 0.5e0) AS score FROM rep), dr AS (SELECT count(*) AS n, min(score) AS least, max(score) AS largest, {', '.join(f'quantile_cont(score, {v}) AS {k}' for k, v in _quart.items())}, {_shares} FROM sc) SELECT *, {_whole('p75')} AS allow_min, {_whole('p40')} AS watch_min, array_to_string({_listed(('allow_pct < 2', 'ALLOW too rare: possible over-filtering'), ('block_pct > 80', 'BLOCK too dominant: thresholds too strict'), ('watch_pct < 20', 'WATCH too rare: watch zone likely too narrow'), ('transition_block_pct > 70', 'TRANSITION over-blocked: WATCH zone likely too narrow'), ('stable_block_pct > 60', 'STABLE over-blocked: MCI may be too restrictive'))}, ',') AS warnings FROM dr",
     "a22_opportunity_report": f"{_T}, orp AS (SELECT count(*) AS n, min(opportunity) AS least, max(opportunity) AS largest, {', '.join(f'{cl(f"quantile_cont(opportunity, {v})")} AS {k}' for k, v in _quart.items())}, {', '.join(f'count(*) FILTER (regime = {_q}{r}{_q}) AS n_{r.lower()}, coalesce({_whole(mean2("opportunity", f" FILTER (regime = {_q}{r}{_q})"))}, 0) AS avg_{r.lower()}' for r in _REGIMES)} FROM dec) SELECT *, {_whole('p40')} AS medium_min, {_whole('p75')} AS high_min, array_to_string({_listed(('n < 20', 'LOW_SAMPLE_SIZE'), ('p75 - p40 < 5', 'LOW_SCORE_SPREAD'))}, ',') AS warnings FROM orp",
     "a23_threshold_report": f"{_T}, tr AS (SELECT count(*) AS n, {', '.join(f'{_pct(f"count(*) FILTER ({c} = {_q}{v}{_q})")} AS {v.lower()}_pct' for c, vs in (('regime', _REGIMES), ('decision', _DECIDE)) for v in vs)}, {', '.join(f'{_fl(c, p)} AS {c}_p{int(p * 100)}' for c in ('stability', 'opportunity') for p in (0.25, 0.5, 0.75, 0.9))} FROM dec) SELECT *, {', '.join(f'{_whole(f"{c}_{p}")} AS {c}_{k}' for c in ('stability', 'opportunity') for k, p in (('high_min', 'p75'), ('medium_min', 'p50')))} FROM tr",
-    "a27_backtest_summary": f"{_T}, sg AS (SELECT t.*, decision, opportunity FROM (SELECT asset_id, {', '.join(f'CASE WHEN lead(price, {k}) OVER p IS NOT NULL AND price <> 0 THEN {r2(f"(lead(price, {k}) OVER p - price) / price * 100")} END AS return_{k}' for k in (24, 48, 72))} FROM tick WINDOW p AS (PARTITION BY asset_id ORDER BY idx)) t JOIN dec USING (asset_id)) SELECT count(*) AS total_signals, {', '.join(f'count(*) FILTER (decision = {_q}{d}{_q}) AS {d.lower()}_count' for d in _DECIDE)}, count(*) FILTER (opportunity >= 60) AS high_opportunity_count, {', '.join(f'{r2(mean2(f"return_{k}", w))} AS {n}avg_return_{k}' for n, w in (('', ''), ('allow_', f' FILTER (decision = {_q}ALLOW{_q})'), ('block_', f' FILTER (decision = {_q}BLOCK{_q})'), ('high_opportunity_', ' FILTER (opportunity >= 60)')) for k in (24, 48, 72))} FROM sg",
+    "w15_backtest_signals": f"{_REPLAY} SELECT * FROM back",
+    "a27_backtest_summary": f"{_REPLAY} SELECT count(*) AS total_signals, {', '.join(f'count(*) FILTER (decision = {_q}{d}{_q}) AS {d.lower()}_count' for d in _DECIDE)}, count(*) FILTER (opportunity >= 60) AS high_opportunity_count, {', '.join(f'{r2(mean2(f"return_{k}", w))} AS {n}avg_return_{k}' for n, w in (('', ''), ('allow_', f' FILTER (decision = {_q}ALLOW{_q})'), ('block_', f' FILTER (decision = {_q}BLOCK{_q})'), ('high_opportunity_', ' FILTER (opportunity >= 60)')) for k in (24, 48, 72))} FROM back",
     "a28_store_stats": f"{_T}, {_SAMPLES} SELECT count(*) AS n, max(seq) AS last_seq, {', '.join(f'count(*) FILTER ({c} = {_q}{v}{_q}) AS n_{v.lower()}' for c, vs in (('decision', _DECIDE), ('regime', _REGIMES)) for v in vs)} FROM smp",
     "k11_integrity_chain": f"WITH m AS (SELECT o_custkey AS symbol, o_orderdate AS ts, o_orderkey AS id, concat_ws('|', CAST(o_orderkey AS VARCHAR), CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 'VOLATILE' WHEN left(o_orderpriority, 1) = '3' THEN 'TRANSITION' ELSE 'STABLE' END, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END) AS p FROM orders), c AS (SELECT symbol, count(*) AS n, list_reduce(list_prepend('', list(p ORDER BY ts, id)), lambda a, x: sha256(x || a)) AS hash FROM m GROUP BY symbol) SELECT *, sha256(unhex('{_pads[0x5C]}' || sha256(unhex('{_pads[0x36]}' || hex(hash))))) AS signature FROM c",
     "w13_temporal_blocks": f"WITH {HIST}, {_SEG}, {_BLOCKS} SELECT * FROM blocks",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
-from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, scan, scores, series
+from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, replay, scan, scores, series
 from tidepool.sources import tables
 from tidepool.streaming import live
 
@@ -205,10 +205,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.latest_per_id(line.select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").alias("version"), (F.col("l_returnflag") == "R").alias("deleted"), "l_quantity")).select("id", F.col("version.l_linenumber").alias("version"), "deleted", "l_quantity")
 
 
-def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary over every tick as a signal: its later returns, with the decision on its series."""
-    signals = series.lead_returns(tables.price_tick(spark, sf_dir)).join(_decided(spark, sf_dir).select("asset_id", "decision", "opportunity"), "asset_id")
-    return aggregates.backtest_summary(signals)
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(tables.price_index(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
@@ -224,6 +222,7 @@ QUERIES: dict[str, Query] = {
     "w13_temporal_blocks": _on(tables.price_hist, history.temporal_blocks),
     "w14_occurrences": _on(tables.price_tick, series.occurrences),
     "w16_lead_returns": _on(tables.price_tick, series.lead_returns, lambda d: d.select("asset_id", "idx", "return_24", "return_48", "return_72")),
+    "w15_backtest_signals": _signals,
     "w18_market_history": _on(tables.price_tick, listing.market_history),
     "w21_priority": _on(_decided, lambda d: d.orderBy(*listing.by_priority(d)).limit(20).select("asset_id", "stability", "regime", "opportunity", "decision")),
     "p1_identity": _identities,
@@ -267,7 +266,7 @@ QUERIES: dict[str, Query] = {
     "a21_decision_report": _on(_reported, calibration.decision_report),
     "a22_opportunity_report": _on(_decided, calibration.opportunity_report),
     "a23_threshold_report": _on(_decided, calibration.threshold_report),
-    "a27_backtest_summary": _backtest,
+    "a27_backtest_summary": _on(_signals, aggregates.backtest_summary),
     "a28_store_stats": _on(_samples, calibration.store_stats),
     "e14_context_comparison": _on(_contexts, lambda d: matching.compared(matching.band_pairs(_queries(d), d, "stability", matching.GAP)).select(F.col("a_asset_id").alias("asset_id"), F.col("b_asset_id").alias("match_id"), "regime_score", "behavior_score", "stability_score", "axes_score", "similarity", "weighted_similarity", "comparable", F.array_join("reasons", ",").alias("reasons"))),
     "e22_public_structure": _labelled,

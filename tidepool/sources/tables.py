@@ -32,6 +32,13 @@ def price_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), F.col("l_shipdate").alias("ts")).agg(round2(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("price"))
 
 
+def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset_id, ts, price: mean of a supplier's daily prices to date, which calms down as days go by."""
+    upto = Window.partitionBy("asset_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cents, n = F.sum(F.round(F.col("price") * 100).cast("long")).over(upto), F.count(F.lit(1)).over(upto)
+    return price_hist(spark, sf_dir).withColumn("price", round2(cents / (n * 100)))
+
+
 def asset_snapshot(spark: SparkSession, sf_dir: str, last: int = 5) -> DataFrame:
     """One row per part: price, changes, capitalisation, volume, number of prices, lowest and highest price.
 
