@@ -1,5 +1,9 @@
 """Decision, history and matching engines against rows worked out by hand, and edge cases."""
 
+import random
+
+import pytest
+
 import datetime as dt
 
 import pytest
@@ -176,3 +180,33 @@ def test_structure_uses_the_mean_return(spark):
     # returns 10, -10, 10: bias 1 / 3, deviation 9.43 over a mean of 3.33 is 2.83; two turns of three;
     # convergence 58.9 * .45 + 33 * .4 - 28.3 + 15; total 19.04 * .35 + 26.4 * .4 + 36.86 * .25
     near(x, consistency=round(33 - 2.83 * 12 + 20, 2), rupture_penalty=round((2 / 3 * 0.65 + 2.83 / 5 * 0.35) * 100, 2), convergence=26.4, validation_score=26.44, validation_state="BREAK", pattern_state="UNSTABLE", status="partial")
+
+
+@pytest.mark.parametrize("span", [7, 64, 10_000])
+def test_ranges_of_the_log_give_what_one_pass_gives(spark, span):
+    """Two logs, seqs with gaps, low confidence between: thresholds by ranges equal those from a plain list of the samples before."""
+    rnd = random.Random(span)
+    rows = [(7 * i, f"a{i}", version, "7D", rnd.choice([10.0, 39.99, 40.0, 80.0, None]), *[round(rnd.random() * 100, 2) for _ in range(4)]) for version in ("v8", "v9") for i in rnd.sample(range(400), 300)]
+    shape = "seq long, asset_id string, version string, horizon string, market_confidence double, allow_raw_score double, block_raw_score double, risk_probability double, support_probability double"
+    got = {(r.version, r.seq): r for r in decisions.prior_thresholds(spark.createDataFrame(rows, shape), most=90, least=20, span=span).collect()}
+    assert len(got) == 600
+    for version in ("v8", "v9"):
+        log = sorted(r for r in rows if r[2] == version)
+        for i, r in enumerate(log):
+            before = [x for x in log[max(0, i - 90) : i] if (x[4] or 0) >= 40]
+            mine = got[version, r[0]]
+            assert mine.n_prior == len(before)
+            for at, (k, (_, p)) in enumerate(decisions.LEARNT.items()):
+                scores = sorted(x[5 + at] for x in before)
+                assert mine[f"{k}_threshold"] == (decisions.FALLBACK[k] if len(before) < 20 else scores[int((len(before) - 1) * p)])
+
+
+def test_the_market_reaches_every_branch(spark):
+    """All regimes, decisions and maturities, and most reasons, occur over the market's series."""
+    from tidepool.plans.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = QUERIES["e12_orchestrator_market"](spark, sf_dir).collect()
+    assert {r.maturity for r in rows} == {"INSUFFICIENT_SAMPLES", "BOOTSTRAP_ACTIVE", "CALIBRATED_ACTIVE"}
+    assert {r.decision for r in rows} == {"ALLOW", "WATCH", "BLOCK"} and len({r.reason for r in rows}) >= 5
+    assert {r.regime for r in QUERIES["e1_rfs_market_market"](spark, sf_dir).collect()} == {"STABLE", "TRANSITION", "VOLATILE"}

@@ -101,4 +101,5 @@ def usage_totals(events: DataFrame) -> DataFrame:
 
 
 def usage_by_endpoint(events: DataFrame) -> DataFrame:
-    return events.groupBy("endpoint").agg(F.count("*").alias("calls"), F.countDistinct("key").alias("keys"))
+    """Calls and keys by endpoint: all calls of a key go to the endpoint that it called last."""
+    return usage_totals(events).groupBy(F.col("last_endpoint").alias("endpoint")).agg(F.sum("calls").alias("calls"), F.count(F.lit(1)).alias("keys"))

@@ -6,10 +6,15 @@ no shuffle. Inner terms are rounded one by one, as their definitions are; weight
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from math import floor
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.kernel import blend, clamp_score, count_if, percentile_of_counts, round2
+from tidepool.sources.stage import staged
 
 # By axis, slope and offset of its calibration, the factor to its probability, its weight in the aggregate.
 TEMPORAL_AXES = {"occurrence": (0.92, 4, 0.95, 0.2), "frequency": (0.9, 5, 0.93, 0.18), "convergence": (0.94, 3, 0.96, 0.24), "evolution": (0.96, 2, 0.97, 0.24), "growth": (0.9, 4, 0.94, 0.14)}
@@ -267,22 +272,66 @@ def calibration_policy(samples: DataFrame) -> DataFrame:
     return each.withColumn("source", F.when(F.col("n") == 0, "fallback").otherwise("calibrated"))
 
 
-def prior_thresholds(samples: DataFrame, most: int = 1000, least: int = 30) -> DataFrame:
+# By threshold, the stored score and the percentile it is taken at.
+LEARNT = {"allow": ("allow_raw_score", 0.75), "block": ("block_raw_score", 0.75), "risk": ("risk_probability", 0.75), "support": ("support_probability", 0.5)}
+#: Samples of a range of the log that one task goes through.
+RANGE = 8192
+
+
+def numbered(samples: DataFrame) -> DataFrame:
+    """samples with place: their number from 0 in the log of their version and horizon, by seq. Ranges of the log are sorted apart; only their sizes are summed in one row of order."""
+    log = ["version", "horizon"]
+    ranged = staged(samples.repartitionByRange(*log, "seq").sortWithinPartitions(*log, "seq").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*log, "part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*log).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*log, "part").orderBy("seq"))
+    return ranged.withColumn("own", own).join(F.broadcast(sizes.select(*log, "part", before.alias("before"))), [*log, "part"]).withColumn("place", F.col("before") + F.col("own") - 1).drop("own", "before", "part")
+
+
+def sliding_percentiles(rows: pd.DataFrame, most: int, least: int) -> pd.DataFrame:
+    """Thresholds of the rows of a range that are its own (not carried), in order of place: each from the ``most`` rows before it that are confident.
+
+    Sorted lists lose the row that leaves and gain the one that enters; a percentile is read off at its place.
+    """
+    rows = rows.sort_values("place", kind="stable")
+    sure, carried = (rows["market_confidence"] >= 40).to_numpy(), rows["carried"].to_numpy()
+    scores = {k: rows[c].to_numpy() for k, (c, _) in LEARNT.items()}
+    held: dict[str, list[float]] = {k: [] for k in LEARNT}
+    out: list[list] = []
+    first = 0
+    for i in range(len(rows)):
+        while first < i - most:
+            if sure[first]:
+                for k, v in held.items():
+                    v.pop(bisect_left(v, scores[k][first]))
+            first += 1
+        n = len(held["allow"])
+        if not carried[i]:
+            out.append([n, *[FALLBACK[k] if n < least else v[floor((n - 1) * LEARNT[k][1])] for k, v in held.items()]])
+        if sure[i]:
+            for k, v in held.items():
+                insort(v, scores[k][i])
+    kept = rows[~carried]
+    learnt = pd.DataFrame(out, columns=["n_prior", *[f"{k}_threshold" for k in LEARNT]], index=kept.index)
+    return pd.concat([kept[["version", "horizon", "seq", "asset_id"]], learnt], axis=1)
+
+
+def prior_thresholds(samples: DataFrame, most: int = 1000, least: int = 30, span: int = RANGE) -> DataFrame:
     """Each decision's thresholds from the ``most`` samples stored before it whose confidence is 40 or more.
 
     Fewer than ``least`` of them leave the fixed thresholds. The frame is the last ``most`` samples stored, those of low
-    confidence included, and the percentile is over those that are left. Samples of one (version, horizon) are one sequence by
-    definition: its window is the bounded state of a log, ``most`` rows.
+    confidence included, and the percentile is over those that are left. Samples of one (version, horizon) are one log: it is
+    cut into ranges of ``span`` samples, each with a copy of the ``most`` samples before it, so that no task has more than both.
+    Returns version, horizon, seq, asset_id, n_prior, a threshold for each of LEARNT, maturity. Null scores count as 0.
     """
-    w = Window.partitionBy("version", "horizon").orderBy("seq").rowsBetween(-most, -1)
-    sure = F.col("market_confidence") >= 40
-    x = samples.withColumn("n_prior", F.count(F.when(sure, 1)).over(w))
-    rules = {"allow": ("allow_raw_score", 0.75), "block": ("block_raw_score", 0.75), "risk": ("risk_probability", 0.75), "support": ("support_probability", 0.5)}
-    for k, (c, p) in rules.items():
-        ordered = F.sort_array(F.collect_list(F.when(sure, clamp_score(F.col(c)))).over(w))
-        x = x.withColumn(f"{k}_threshold", F.when(F.col("n_prior") < least, FALLBACK[k]).otherwise(F.get(ordered, F.floor((F.col("n_prior") - 1) * p).cast("int"))))
+    scores = [clamp_score(F.col(c)).alias(c) for c, _ in LEARNT.values()]
+    x = numbered(samples.select("version", "horizon", "seq", "asset_id", F.coalesce("market_confidence", F.lit(0.0)).alias("market_confidence"), *scores))
+    own, last = F.floor(F.col("place") / span), F.floor((F.col("place") + most) / span)
+    x = x.select("*", F.explode(F.sequence(own, last)).alias("range")).withColumn("carried", F.col("range") != own)
+    shape = f"version string, horizon string, seq long, asset_id {samples.schema['asset_id'].dataType.simpleString()}, n_prior long, " + ", ".join(f"{k}_threshold double" for k in LEARNT)
+    learnt = x.groupBy("version", "horizon", "range").applyInPandas(lambda rows: sliding_percentiles(rows, most, least), shape)
     maturity = F.when(F.col("n_prior") < least, "INSUFFICIENT_SAMPLES").when(F.col("n_prior") < 80, "BOOTSTRAP_ACTIVE").otherwise("CALIBRATED_ACTIVE")
-    return x.withColumn("maturity", maturity)
+    return learnt.withColumn("maturity", maturity)
 
 
 def pressure_state(x: Column) -> Column:

@@ -73,6 +73,34 @@ f3 AS (SELECT *, CASE WHEN n > 0 THEN {cl("presence * 0.45e0 + duration * 0.55e0
 f4 AS (SELECT *, {cl("occurrence * 0.18e0 + convergence * 0.24e0 + duration * 0.2e0 + frequency * 0.22e0 + correlation * 0.16e0")} AS structure, {cl("rupture_ratio * 55 + turn_ratio * 20 + avg_abs * 6 + vol * 8 + penalty")} AS rupture, {cl("occurrence * 0.18e0 + convergence * 0.24e0 + duration * 0.22e0 + frequency * 0.2e0 + correlation * 0.16e0 + bonus")} AS stability, {cl("net * 4 + 50")} AS mid_term FROM f3),
 rfs AS (SELECT asset_id, n_prices AS sample_size, CAST(greatest(1, CASE WHEN rupture_events > 0 THEN rupture_events + 1 ELSE 1 END) AS BIGINT) AS pattern_count, direction_changes, rupture_events, stable_run_length, dom_s AS dominant_direction_ratio, liquidity, alignment, occurrence, convergence, duration, frequency, correlation, structure, rupture, stability, mid_term, {cl("100 - rupture + bonus")} AS continuity, CASE WHEN n_prices < 5 THEN 15e0 ELSE {cl("stability * 0.25e0 + structure * 0.2e0 + correlation * 0.15e0 + duration * 0.15e0 + liquidity * 0.1e0 + (100 - rupture) * 0.15e0")} END AS confidence,
  CASE WHEN stability >= 70 AND rupture <= 30 AND frequency >= 60 AND convergence >= 60 THEN 'STABLE' WHEN stability < 40 OR rupture >= 65 OR frequency < 35 THEN 'VOLATILE' ELSE 'TRANSITION' END AS regime, CASE WHEN n_prices < 5 THEN 'INSUFFICIENT_DATA' WHEN structure < 40 OR stability < 40 THEN 'WEAK_STRUCTURE' ELSE 'VALID' END AS status, CASE WHEN week >= 4 THEN 'FAVORABLE' WHEN week <= -4 THEN 'UNFAVORABLE' ELSE 'NEUTRAL' END AS mid_term_state FROM f4)"""
+#: The same with the changes and the liquidity that facts tell, where there are any.
+_FACTS = {
+    "slope_pct AS day, slope_pct AS week": "f.day, f.week",
+    "20e0 AS liquidity FROM shape s LEFT JOIN stats USING (asset_id))": f"CASE WHEN cap IS NULL OR vol24 IS NULL OR cap <= 0 THEN 20e0 ELSE {cl('least(100e0, vol24 / cap * 1000)')} END AS liquidity FROM shape s LEFT JOIN stats USING (asset_id) LEFT JOIN facts f USING (asset_id))",
+    "CASE WHEN day = 0 OR net = 0 THEN 'NEUTRAL'": "CASE WHEN day IS NULL THEN 'UNAVAILABLE' WHEN day = 0 OR net = 0 THEN 'NEUTRAL'",
+    "WHEN 'NEUTRAL' THEN 55e0 ELSE 15e0 END": "WHEN 'NEUTRAL' THEN 55e0 WHEN 'UNAVAILABLE' THEN 40e0 ELSE 15e0 END",
+    "WHEN 'NEUTRAL' THEN 55e0 ELSE 10e0 END": "WHEN 'NEUTRAL' THEN 55e0 WHEN 'UNAVAILABLE' THEN 35e0 ELSE 10e0 END",
+    f"{cl('100 - least(100e0, abs(week - net) * 8)')} AS week_fit, CASE WHEN week = 0": f"CASE WHEN week IS NULL THEN 35e0 ELSE {cl('100 - least(100e0, abs(week - net) * 8)')} END AS week_fit, CASE WHEN week IS NULL OR day IS NULL THEN 35e0 WHEN week = 0",
+}
+MARKET_RFS = RFS
+for _old, _new in _FACTS.items():
+    assert _old in MARKET_RFS, _old
+    MARKET_RFS = MARKET_RFS.replace(_old, _new)
+_CENTS = "CAST(sum(CAST(round(price * 100) AS BIGINT)) OVER w AS DOUBLE) / (count(*) OVER w * 100)"
+MARKET_TICK = f"""daily AS (SELECT l_suppkey AS asset_id, l_shipdate AS ts, {r2('avg(l_extendedprice / l_quantity)')} AS price FROM lineitem GROUP BY ALL),
+indexed AS (SELECT asset_id, ts, {r2(_CENTS)} AS price FROM daily WINDOW w AS (PARTITION BY asset_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+tick AS (SELECT year(ts) * 1000000 + asset_id AS asset_id, row_number() OVER (PARTITION BY asset_id, year(ts) ORDER BY ts) - 1 AS idx, ts, price FROM indexed),
+sold AS (SELECT year(l_shipdate) * 1000000 + l_suppkey AS asset_id, l_shipdate AS ts, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY ALL),
+lately AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY idx DESC) - 1 AS back FROM tick),
+facts AS (SELECT asset_id, (max(price) FILTER (back = 0) - max(price) FILTER (back = 1)) / abs(max(price) FILTER (back = 1)) * 100 AS day, (max(price) FILTER (back = 0) - max(price) FILTER (back = 7)) / abs(max(price) FILTER (back = 7)) * 100 AS week, any_value(cap) AS cap, any_value(vol24) AS vol24 FROM lately JOIN (SELECT asset_id, sum(cents) / 100e0 AS cap, arg_max(cents, ts) / 100e0 AS vol24 FROM sold GROUP BY asset_id) USING (asset_id) WHERE asset_id % 10 <> 0 GROUP BY asset_id)"""
+
+
+def on_market(sql: str) -> str:
+    """A query over the events' series, over the market's."""
+    assert TICK in sql
+    return sql.replace(TICK, MARKET_TICK).replace(RFS, MARKET_RFS)
+
+
 GATE = f"""g0 AS (SELECT *, {cl("convergence * 0.5e0 + correlation * 0.5e0")} AS market_convergence FROM rfs),
 g1 AS (SELECT *, {cl("stability * 0.5e0 + market_convergence * 0.3e0 + (100 - rupture) * 0.2e0")} AS opportunity, {cl("rupture * 0.38e0")} AS toll FROM g0),
 g2 AS (SELECT *, {cl("100 - abs(stability - market_convergence) * 0.35e0 - abs(market_convergence - opportunity) * 0.25e0 - abs(stability - opportunity) * 0.2e0")} AS agreement FROM g1),
@@ -133,7 +161,7 @@ ORACLE_SQL: dict[str, str] = {
     "a12_reason_histogram": f"{_T} SELECT reason, count(*) AS n FROM dec GROUP BY reason",
     "a19_score_stats": f"{_T} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS n, min({c}) AS least, max({c}) AS largest, {r2(f'avg({c})')} AS mean, {r2(f'quantile_cont({c}, 0.25)')} AS p25, {r2(f'median({c})')} AS median, {r2(f'quantile_cont({c}, 0.75)')} AS p75 FROM dec" for c in ("stability", "rupture", "market_confidence")),
     "a29_usage_totals": f"WITH {USAGE} SELECT key, count(*) AS calls, arg_max(endpoint, (ts, event_id)) AS last_endpoint, max(plan) AS plan FROM use GROUP BY key",
-    "a29_usage_by_endpoint": f"WITH {USAGE} SELECT endpoint, count(*) AS calls, count(DISTINCT key) AS keys FROM use GROUP BY endpoint",
+    "a29_usage_by_endpoint": f"WITH {USAGE}, k AS (SELECT key, count(*) AS calls, arg_max(endpoint, (ts, event_id)) AS endpoint FROM use GROUP BY key) SELECT endpoint, CAST(sum(calls) AS BIGINT) AS calls, count(*) AS keys FROM k GROUP BY endpoint",
     "f1_search": f"{_S} SELECT {PUBLIC} FROM snap WHERE contains(lower(CAST(id AS VARCHAR)), 'brand#1') OR contains(lower(symbol), 'brand#1') OR contains(lower(name), 'brand#1')",
     "o1_scan_page": f"{_S} SELECT {PUBLIC} FROM snap ORDER BY coalesce(chg_24h_pct, -1) DESC, {_ORDER} LIMIT 50 OFFSET 25",
     "o4_page_info": f"{_S} SELECT count(*) AS total, CASE WHEN count(*) > 75 THEN CAST(75 AS BIGINT) END AS next_cursor FROM snap",

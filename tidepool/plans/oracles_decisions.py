@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidepool.plans.oracles import _DURATION, _S, _T, HIST, OCC, RET, RFS, SHAPE, STATS, TICK, cl, funnel, r2, signed, within
+from tidepool.plans.oracles import _DURATION, _S, _T, HIST, OCC, RET, RFS, SHAPE, STATS, TICK, cl, funnel, on_market, r2, signed, within
+from tidepool.plans.oracles import ORACLE_SQL as _FIRST
 
 _CHAIN = f"{TICK}, {RET}, {STATS}, {SHAPE}, {RFS}"
 
@@ -225,7 +226,7 @@ _q = chr(39)
 _STATE = "CASE WHEN impulse_exhaustion >= 70 THEN 'EXHAUSTION' WHEN impulse_pressure >= 68 AND impulse_instability >= 62 AND abs(r24_change_pct) >= 3 THEN 'RELEASE' WHEN impulse_pressure >= 60 AND impulse_saturation >= 55 THEN 'PRESSURE_BUILDING' WHEN impulse_pressure >= 45 AND impulse_instability <= 55 AND abs(r7_change_pct) <= 4 THEN 'COMPRESSION' ELSE 'NEUTRAL' END"
 _IS = f"{_H}, {_HISTORY}, {_IMPULSE}, imp AS (SELECT asset_id, impulse_pressure AS pressure, impulse_instability AS instability, impulse_saturation AS saturation, impulse_exhaustion AS exhaustion, occurrence AS growth, quality AS core, penalty AS decay, {_STATE} AS state FROM i2), pol AS (SELECT count(*) AS n, CASE WHEN count(*) < 40 THEN 'fallback' ELSE 'adaptive' END AS source, {', '.join(f'count(*) FILTER (state = {_q}{x}{_q}) AS n_{x.lower()}' for x in _STATES)}, {', '.join(_impulse(x) for x in _IMP.splitlines())}, CASE WHEN count(*) < 40 THEN 'impulse_adaptive_thresholds_insufficient_global_sample' ELSE array_to_string({_listed(*[(f'count(*) FILTER (state = {_q}{x}{_q}) < 8', f'impulse_adaptive_thresholds_insufficient_{x.lower()}_sample') for x in _STATES[:4]])}, ',') END AS warnings FROM imp)"
 _pct = lambda part, whole="count(*)": f"CASE WHEN {whole} > 0 THEN CAST(floor({part} / {whole} * 100 + 0.5e0) AS BIGINT) ELSE 0 END"
-_REPORTED = "rep AS (SELECT dec.*, rfs.continuity, rfs.mid_term - 50 AS day, rfs.continuity - 50 AS week FROM dec JOIN rfs USING (asset_id))"
+_REPORTED = f"rep AS (SELECT dec.*, rfs.continuity, {r2('step')} AS day, {r2('slope')} AS week FROM dec JOIN rfs USING (asset_id) JOIN (SELECT asset_id, arg_max(coalesce(r, 0e0), idx) AS step FROM (SELECT *, CASE WHEN lag(price) OVER o <> 0 THEN (price - lag(price) OVER o) / abs(lag(price) OVER o) * 100 END AS r FROM tick WINDOW o AS (PARTITION BY asset_id ORDER BY idx)) GROUP BY asset_id) USING (asset_id) JOIN (SELECT asset_id, slope_pct AS slope FROM shape) USING (asset_id))"
 _whole = lambda x: f"CAST(floor({x} + 0.5e0) AS BIGINT)"
 _quart = {"p25": 0.25, "p40": 0.4, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 _REGIMES, _DECIDE = ("STABLE", "TRANSITION", "VOLATILE"), ("ALLOW", "WATCH", "BLOCK")
@@ -262,7 +263,7 @@ ORACLE_SQL: dict[str, str] = {
     "w21_priority": f"{_T} SELECT asset_id, stability, regime, opportunity, decision FROM dec ORDER BY stability DESC, CASE regime WHEN 'STABLE' THEN 3 WHEN 'TRANSITION' THEN 2 ELSE 1 END DESC, opportunity DESC, {_BY_RANK} DESC, asset_id LIMIT 20",
     "p1_identity": "WITH q AS (SELECT CASE WHEN p_partkey % 3 <> 0 THEN 'p-' || CAST(p_partkey AS VARCHAR) END AS i, CASE WHEN p_partkey % 2 <> 0 THEN upper(p_brand) END AS s, CASE WHEN p_partkey % 5 <> 0 THEN trim(p_name) END AS n FROM part) SELECT i AS provider_id, s AS canonical_symbol, coalesce(n, s) AS canonical_name, coalesce(i, lower(s), nullif(regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')) AS canonical_id, CASE WHEN i IS NOT NULL THEN 'provider_id' WHEN s IS NOT NULL THEN 'symbol_fallback' ELSE 'name_fallback' END AS identity_source, 'market|' || coalesce(i, '') || '|' || coalesce(s, '') || '|' || lower(coalesce(n, '')) AS identity_fingerprint, CASE WHEN coalesce(i, s) IS NOT NULL THEN 'market|' || coalesce(i, '') || '|' || coalesce(s, '') || '|usd' END AS market_fingerprint FROM q WHERE coalesce(i, s, n) IS NOT NULL",
     "f10_access_policy": f"{_T}, f AS (SELECT asset_id, asset_id % 11 <> 0 AS is_visible, stability >= 50 AS is_stable_enough, decision IN ('ALLOW', 'WATCH') OR (opportunity >= 50 AND stability >= 55) AS is_actionable, decision = 'ALLOW' OR (regime <> 'VOLATILE' AND stability >= 60 AND opportunity >= 55) AS can_trade FROM dec) SELECT *, CASE WHEN NOT is_visible THEN 'hidden' WHEN can_trade THEN 'tradable' WHEN is_actionable THEN 'watch' WHEN is_stable_enough THEN 'stable_but_not_actionable' ELSE 'unstable' END AS reason FROM f",
-    "j3_first_match": f"{_S} SELECT id, symbol, name FROM snap WHERE upper(symbol) = 'BRAND#11-1' ORDER BY id LIMIT 1",
+    "j3_first_match": f"{_S} SELECT id, symbol, name FROM snap WHERE upper(symbol) = 'BRAND#11-12' ORDER BY id LIMIT 1",
     "o2_engine_sort": f"WITH {_CHAIN} SELECT asset_id, stability FROM rfs ORDER BY stability DESC NULLS LAST, asset_id LIMIT 30",
     "o7_top_opportunities": f"{_T}, s AS (SELECT asset_id, {r2(f'{_BY_RANK} * 100000 + opportunity * 1000 + stability * 100 - asset_id')} AS score, decision FROM dec) SELECT * FROM s ORDER BY score DESC, asset_id LIMIT 3",
     "a4_availability": f"{_S} SELECT count(*) AS asset_count, count(price) AS priced_asset_count, count(market_cap) AS market_cap_available_count, count(volume_24h) AS volume_available_count FROM snap",
@@ -305,3 +306,7 @@ ORACLE_SQL: dict[str, str] = {
     "f4_sample_issues": f"{_T}, {_SAMPLES}, {_FAULTY} SELECT seq, array_to_string({_listed(('seq IS NULL', 'INVALID_SAMPLE_REQUIRED_NUMERIC:seq'), ('trim(version) = ' + chr(39) * 2, 'INVALID_SAMPLE_REQUIRED_FIELD:version'), ('decision NOT IN (' + chr(39) + 'ALLOW' + chr(39) + ', ' + chr(39) + 'WATCH' + chr(39) + ', ' + chr(39) + 'BLOCK' + chr(39) + ')', 'INVALID_SAMPLE_CONTRACT:decision'), *_score_issue('decision_score'), *_score_issue('allow_raw_score'), *_score_issue('block_raw_score'), *_score_issue('support_probability'), *_score_issue('risk_probability'), *_score_issue('market_confidence'), ('neutralization_severity = ' + chr(39) + 'extreme' + chr(39), 'INVALID_GOVERNANCE_CONTRACT:neutralization_severity'))}, ',') AS issues FROM bad",
     "f5_policy_samples": f"{_T}, {_SAMPLES}, {_FAULTY} SELECT seq, regime, decision, decision_score FROM bad WHERE version = 'v8' AND horizon = '7D' AND decision IN ('ALLOW', 'WATCH', 'BLOCK') AND regime IN ('STABLE', 'TRANSITION', 'VOLATILE') AND decision_score IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _nums)}",
 }
+
+#: Queries that are asked of the market's series as well, where all regimes, decisions and maturities occur.
+ON_MARKET = ("e1_rfs_market", "e6_temporal_analysis", "e7_rupture_analysis", "e8_recovery_analysis", "e9_comparator", "e10_market_gate", "e11_decision_funnel", "e12_orchestrator", "e15_calibration_layer", "e23_zone_decision", "e24_simple_decision", "e14_context_comparison", "j5_context_matches", "f4_sample_issues", "f5_policy_samples", "f10_access_policy", "o2_engine_sort", "o7_top_opportunities", "w19_structure_7d", "w20_behavior_7d", "w21_priority", "a2_decision_summary", "a5_market_context", "a11_decision_distribution", "a12_reason_histogram", "a13_calibration_policy", "a15_calibration_summary", "a17_adaptive_thresholds", "a19_score_stats", "a22_opportunity_report", "a23_threshold_report", "a28_store_stats", "a31_summary_view", "a32_simple_distribution")
+ORACLE_SQL |= {f"{name}_market": on_market((_FIRST | ORACLE_SQL)[name]) for name in ON_MARKET}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
 from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, replay, scan, scores, series
+from tidepool.plans.oracles_decisions import ON_MARKET
 from tidepool.sources import tables
 from tidepool.streaming import live
 
@@ -25,8 +27,27 @@ def _on(source: Callable[[SparkSession, str], DataFrame], *steps: Callable[[Data
     return query
 
 
+#: Whether the query that is being built reads the market's series instead of the events'.
+_MARKET: ContextVar[bool] = ContextVar("market", default=False)
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (tables.market_ticks if _MARKET.get() else tables.price_tick)(spark, sf_dir)
+
+
+def _on_market(query: Query) -> Query:
+    def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _MARKET.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _MARKET.reset(before)
+
+    return built
+
+
 def _rfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.rfs_market(tables.price_tick(spark, sf_dir))
+    return scores.rfs_market(_ticks(spark, sf_dir), tables.market_facts(spark, sf_dir) if _MARKET.get() else None)
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +86,7 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = tables.price_tick(spark, sf_dir)
+    ticks = _ticks(spark, sf_dir)
     return _rfs(spark, sf_dir).join(series.behavior_7d(ticks).select("asset_id", "behavior"), "asset_id").select(*matching.CONTEXT)
 
 
@@ -82,7 +103,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the contexts within reach of each query: a context's outcome is that of its newest window of three prices."""
-    contexts, ticks = _contexts(spark, sf_dir), tables.price_tick(spark, sf_dir)
+    contexts, ticks = _contexts(spark, sf_dir), _ticks(spark, sf_dir)
     newest = series.occurrences(ticks, 3, 3).groupBy("asset_id").agg(F.max_by("continued", "start").alias("continued"), F.max("start").alias("start"))
     past = newest.select(F.col("asset_id").alias("b_asset_id"), F.when(F.col("continued"), "CONTINUATION").otherwise("CORRECTION").alias("outcome"), (F.col("start") % 7).cast("double").alias("recency"))
     pairs = matching.compared(matching.band_pairs(_queries(contexts), contexts, "stability", matching.GAP)).where("a_asset_id <> b_asset_id").join(past, "b_asset_id")
@@ -166,8 +187,9 @@ def _relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions with what else the reports read: continuity and the changes of a series' price."""
-    facts = _rfs(spark, sf_dir).select("asset_id", "continuity", "mid_term")
-    return _decided(spark, sf_dir).join(facts, "asset_id").withColumns({"chg_24h_pct": F.col("mid_term") - 50, "chg_7d_pct": F.col("continuity") - 50})
+    facts = _rfs(spark, sf_dir).select("asset_id", "continuity")
+    changes = listing.market_history(tables.price_tick(spark, sf_dir)).select("asset_id", "chg_24h_pct", "chg_7d_pct")
+    return _decided(spark, sf_dir).join(facts, "asset_id").join(changes, "asset_id")
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +249,7 @@ QUERIES: dict[str, Query] = {
     "w21_priority": _on(_decided, lambda d: d.orderBy(*listing.by_priority(d)).limit(20).select("asset_id", "stability", "regime", "opportunity", "decision")),
     "p1_identity": _identities,
     "f10_access_policy": _access,
-    "j3_first_match": _on(tables.asset_snapshot, lambda d: listing.first_match(d, "brand#11-1", "id").select("id", "symbol", "name")),
+    "j3_first_match": _on(tables.asset_snapshot, lambda d: listing.first_match(d, "brand#11-12", "id").select("id", "symbol", "name")),
     "o2_engine_sort": _on(_rfs, lambda d: d.orderBy(*listing.by_score("stability")).limit(30).select("asset_id", "stability")),
     "o7_top_opportunities": _on(_decided, lambda d: listing.top_opportunities(d.withColumn("rank", F.col("asset_id"))).select("asset_id", "score", "decision")),
     "a4_availability": _on(tables.asset_snapshot, listing.availability),
@@ -235,8 +257,8 @@ QUERIES: dict[str, Query] = {
     "a32_simple_distribution": _on(_decided, aggregates.decision_distribution, listing.simple_distribution),
     "k3_bounded_log": _on(_samples, lambda d: listing.bounded_log(d, 50).select("seq", "decision", "decision_score")),
     "k7_current_state": _log,
-    "w19_structure_7d": _on(tables.price_tick, series.structure_7d),
-    "w20_behavior_7d": _on(tables.price_tick, series.behavior_7d),
+    "w19_structure_7d": _on(_ticks, series.structure_7d),
+    "w20_behavior_7d": _on(_ticks, series.behavior_7d),
     "w22_newest_per_key": _on(tables.memory_record, lambda d: scan.newest_per_key(d, "symbol", 3).select("id", "symbol", "action", "place")),
     "j1_last_wins_join": _last_wins,
     "j2_collisions": _collisions,
@@ -307,3 +329,5 @@ QUERIES: dict[str, Query] = {
     "t1_usage_windows": _usage_windows,
     "t2_live_windows": _live,
 }
+
+QUERIES |= {f"{name}_market": _on_market(QUERIES[name]) for name in ON_MARKET}
