@@ -309,4 +309,16 @@ ORACLE_SQL: dict[str, str] = {
 
 #: Queries that are asked of the market's series as well, where all regimes, decisions and maturities occur.
 ON_MARKET = ("e1_rfs_market", "e6_temporal_analysis", "e7_rupture_analysis", "e8_recovery_analysis", "e9_comparator", "e10_market_gate", "e11_decision_funnel", "e12_orchestrator", "e15_calibration_layer", "e23_zone_decision", "e24_simple_decision", "e14_context_comparison", "j5_context_matches", "f4_sample_issues", "f5_policy_samples", "f10_access_policy", "o2_engine_sort", "o7_top_opportunities", "w19_structure_7d", "w20_behavior_7d", "w21_priority", "a2_decision_summary", "a5_market_context", "a11_decision_distribution", "a12_reason_histogram", "a13_calibration_policy", "a15_calibration_summary", "a17_adaptive_thresholds", "a19_score_stats", "a22_opportunity_report", "a23_threshold_report", "a28_store_stats", "a31_summary_view", "a32_simple_distribution")
+ORACLE_SQL["k1_versioned_memory"] = f"""WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END AS action, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 10000000000 ELSE 0 END AS created FROM orders),
+s AS (SELECT l_orderkey AS id, {r2('l_extendedprice / 1000 - 30')} AS result FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+k AS (SELECT id, action, CASE WHEN s.id IS NULL THEN 'open' ELSE 'resolved' END AS status, result, created FROM m LEFT JOIN s USING (id) WHERE action <> 'BLOCK'),
+n AS (SELECT *, row_number() OVER (ORDER BY created, id) AS place, count(*) OVER () AS n FROM k)
+SELECT id, action, status, result, created FROM n WHERE place > least(250, greatest(0, n - 10000))"""
+_STORE = """WITH ev AS (SELECT user_id % 4 AS shard, user_id AS key, event_id, epoch_us(ts) AS ts_us, CASE event_type WHEN 'purchase' THEN 'put' WHEN 'signup' THEN 'delete' ELSE 'get' END AS action, value FROM events),
+nu AS (SELECT *, count(*) FILTER (action = 'put') OVER (PARTITION BY shard ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS n FROM ev),
+la AS (SELECT g.shard, g.event_id, g.key, g.ts_us, g.n, arg_max(p.action, (p.ts_us, p.event_id)) AS action, arg_max(p.ts_us, (p.ts_us, p.event_id)) AS put_at, arg_max(p.n, (p.ts_us, p.event_id)) AS put_n, arg_max(p.value, (p.ts_us, p.event_id)) AS v FROM nu g LEFT JOIN nu p ON p.key = g.key AND p.action <> 'get' AND (p.ts_us, p.event_id) < (g.ts_us, g.event_id) WHERE g.action = 'get' GROUP BY ALL),
+oc AS (SELECT *, CASE WHEN action IS NULL OR action = 'delete' OR put_at + 2 * 129600000000 <= ts_us THEN 'miss' WHEN put_at + 129600000000 <= ts_us THEN 'expired' WHEN n - put_n >= 20 THEN 'evicted' ELSE 'hit' END AS outcome FROM la)
+SELECT shard, event_id, key, ts_us, outcome, CASE WHEN outcome = 'hit' THEN v END AS value FROM oc"""
+ORACLE_SQL |= {"t4_expiring_store": _STORE, "t4_expiring_store_table": _STORE}
+ORACLE_SQL["t8_online_thresholds"] = on_market(f"{_T}, {_SAMPLES}, {_PRIOR} SELECT 'v8' AS version, '7D' AS horizon, asset_id AS seq, asset_id, n_prior, allow_threshold, block_threshold, risk_threshold, support_threshold FROM learnt")
 ORACLE_SQL |= {f"{name}_market": on_market((_FIRST | ORACLE_SQL)[name]) for name in ON_MARKET}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
@@ -12,7 +13,9 @@ from tidepool.functions import kernel
 from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, replay, scan, scores, series
 from tidepool.plans.oracles_decisions import ON_MARKET
 from tidepool.sources import tables
-from tidepool.streaming import live
+from tidepool.sources.stage import shared_dir
+from tidepool.sources.versions import Versions
+from tidepool.streaming import live, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,6 +234,48 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(tables.price_index(spark, sf_dir))
 
 
+def _learnt_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thresholds of e12, from samples that arrive as a stream."""
+    return stores.played(_samples(spark, sf_dir), "seq", stores.online_thresholds, stores.THRESHOLDS)
+
+
+#: Records that the memory holds at most, and how many of the oldest go at a time.
+MEMORY_MOST, MEMORY_BATCH = 10_000, 250
+_FAR = 10_000_000_000
+
+
+def _memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in a versioned table: orders make them, in two writes; returned first lines resolve them; pending ones are deleted; then the oldest go."""
+    store = Versions(spark, f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}", "id long, action string, status string, result double")
+    store.create()
+    record = tables.memory_record(spark, sf_dir)
+    none = lambda kind: F.lit(None).cast(kind)
+    made = record.select(F.lit("create").alias("op"), F.col("id").alias("seq"), "id", "action", F.lit("open").alias("status"), none("double").alias("result"))
+    line = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'")
+    seen = line.select(F.lit("observe").alias("op"), (F.col("l_orderkey") + 2 * _FAR).alias("seq"), F.col("l_orderkey").alias("id"), none("string").alias("action"), F.lit("resolved").alias("status"), kernel.round2(F.col("l_extendedprice") / 1000 - 30).alias("result"))
+    gone = record.where("action = 'BLOCK'").select(F.lit("delete").alias("op"), (F.col("id") + 3 * _FAR).alias("seq"), "id", none("string").alias("action"), none("string").alias("status"), none("double").alias("result"))
+    store.write(made.where("id % 3 <> 0"))
+    store.write(made.where("id % 3 = 0").withColumn("seq", F.col("seq") + _FAR).unionByName(seen))
+    store.write(gone)
+    store.shed(MEMORY_MOST, MEMORY_BATCH)
+    return store.read()
+
+
+#: Time to live and places a shard of the store that the events write and read.
+STORE_TTL, STORE_PLACES = 36 * 3_600_000_000, 20
+
+
+def _store_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases put, sign-ups delete and all other events read their user's entry."""
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "put").when(kind == "signup", "delete").otherwise("get")
+    return tables.table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("shard"), F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), "value")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.played(_store_events(spark, sf_dir), "ts", lambda s: stores.stored_reads(s, STORE_PLACES, STORE_TTL), stores.READS, late="1 hour")
+
+
 QUERIES: dict[str, Query] = {
     "w1_returns": _on(tables.price_tick, series.returns, lambda d: d.select("asset_id", "idx", kernel.round2(F.col("r")).alias("return_pct"))),
     "w2_w3_return_stats": _on(tables.price_tick, series.return_stats),
@@ -255,6 +300,7 @@ QUERIES: dict[str, Query] = {
     "a4_availability": _on(tables.asset_snapshot, listing.availability),
     "a31_summary_view": _on(_rfs, listing.summary_view),
     "a32_simple_distribution": _on(_decided, aggregates.decision_distribution, listing.simple_distribution),
+    "k1_versioned_memory": _memory_store,
     "k3_bounded_log": _on(_samples, lambda d: listing.bounded_log(d, 50).select("seq", "decision", "decision_score")),
     "k7_current_state": _log,
     "w19_structure_7d": _on(_ticks, series.structure_7d),
@@ -328,6 +374,9 @@ QUERIES: dict[str, Query] = {
     "x_scalars": _scalars,
     "t1_usage_windows": _usage_windows,
     "t2_live_windows": _live,
+    "t4_expiring_store": _stored,
+    "t4_expiring_store_table": _on(_store_events, lambda d: stores.stored_reads(d, STORE_PLACES, STORE_TTL)),
+    "t8_online_thresholds": _on_market(_learnt_online),
 }
 
 QUERIES |= {f"{name}_market": _on_market(QUERIES[name]) for name in ON_MARKET}
