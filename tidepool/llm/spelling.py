@@ -9,7 +9,8 @@ The index is dealt out by file: the length and place of the shorter word, and a
 rarest (by frequency, then by place) is always one that the edit has left, and the first such is the same one in both words.
 So a word is filed under its three rarest grams, as a home at its own length and place, and as a probe among words one letter
 shorter at its place and the one before. Within a file a task keeps the postings of the homes by gram and place; each
-member's postings are merged by a heap, homes met often enough pass the count filter, and the pair is verified.
+member's shortest postings are merged by a heap, homes that have enough grams in common pass the count filter, and the pair is
+verified.
 
 A file of more than ``FILE`` members is not compared but filed again, each member under the three rarest of its other grams,
 and so on: what the edit left besides the grams used so far is bounded in the same way, so no pair is lost. It ends, for
@@ -43,7 +44,7 @@ RATIO = 2
 EDIT_EVERY = 97
 GRAM = 2
 #: Members up to which a file is compared.
-FILE = 256
+FILE = 4096
 #: Code points of a text that are read at once, and words that a task counts before it passes them on.
 SLICE, HELD = 1 << 20, 200_000
 
@@ -147,55 +148,99 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def near_in_file(members: list[tuple[str, bool, list[int]]]) -> Iterator[tuple[int, int]]:
-    """Numbers of near members: one is a home, the other a home or a probe. members: word, whether a probe, places of used grams."""
+    """Numbers of near members: one is a home, the other a home or a probe. members: word, whether a probe, places of used grams.
+
+    As an edit spoils two grams at most, a near home is in one of any three postings: the shortest three are merged, and the
+    grams in common with what they hold are counted.
+    """
     postings: dict[tuple[str, int], list[int]] = {}
-    homes: list[int] = []
+    held: dict[int, set[tuple[str, int]]] = {}
+    get = postings.get
     for i in sorted(range(len(members)), key=lambda i: members[i][1]):  # homes first
         word, probe, used = members[i]
-        own = [(at, g) for at, g in enumerate(grams(word)) if at not in used]
+        own = [x for x in zip(grams(word), range(len(word) + 1), strict=True) if x[1] not in used]
         bound = len(word) - 1 - len(used)
-        lists = [hit for at, g in own for place in ((at, at - 1) if probe else (at,)) if (hit := postings.get((g, place)))]
-        met = ((j, sum(1 for _ in run)) for j, run in groupby(merge(*lists))) if bound > 0 else ((j, 0) for j in homes)
-        for j, n in met:
-            if n >= bound and one_edit(members[j][0], word):
-                yield j, i
+        if held:
+            met = _merged(own, probe, get) if bound > 0 else held
+            mine = {*own, *((g, at - 1) for g, at in own)} if probe and met else set(own) if met else None
+            for j in met:
+                if len(mine & held[j]) >= bound and one_edit(members[j][0], word):
+                    yield j, i
         if not probe:
-            for at, g in own:
-                postings.setdefault((g, at), []).append(i)
-            homes.append(i)
+            for x in own:
+                if (hit := get(x)) is None:
+                    postings[x] = [i]
+                else:
+                    hit.append(i)
+            held[i] = set(own)
+
+
+def _merged(own: list[tuple[str, int]], probe: bool, get) -> list[int]:
+    """Homes in the shortest three of the postings of a member's grams, in order. A gram without postings is the shortest there is."""
+    lists, most = [], GRAM + 1
+    for g, at in own:
+        hits = [hit for hit in ((get((g, at)), get((g, at - 1))) if probe else (get((g, at)),)) if hit]
+        if hits:
+            lists.append(hits)
+        else:
+            most -= 1
+            if not most:
+                return []
+    lists.sort(key=lambda hits: len(hits[0]) if len(hits) == 1 else len(hits[0]) + len(hits[1]))
+    some = [hit for hits in lists[:most] for hit in hits]
+    return some[0] if len(some) == 1 else [j for j, _ in groupby(merge(*some))]
+
+
+_MET = pa.schema([("word", pa.string()), ("n", pa.int64()), ("near", pa.string()), ("near_n", pa.int64()), ("probe", pa.bool_()), ("home", pa.int64()), ("used", pa.list_(pa.int64())), ("file", pa.string())])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shape = pa.schema([("word", pa.string()), ("n", pa.int64()), ("near", pa.string()), ("near_n", pa.int64())])
-    for b in batches:
+def _compared(most: int):
+    """Near pairs of the files that come in order, and (near is null) the members of the files that are to be filed again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, over = None, [], False
         out: list[tuple] = []
-        for held in b.column(0):
-            members = held.as_py()
-            for i, j in near_in_file([(m["word"], m["probe"], m["used"]) for m in members]):
-                x, y = members[i], members[j]
-                out += [(x["word"], x["n"], y["word"], y["n"]), (y["word"], y["n"], x["word"], x["n"])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, shape, strict=True)], schema=shape)
+
+        def close() -> None:
+            if not over and len(held) > 1 and not all(m[2] for m in held):
+                for i, j in near_in_file([(m[0], m[2], m[4]) for m in held]):
+                    (x, n), (y, k) = held[i][:2], held[j][:2]
+                    out.extend([(x, n, y, k, None, None, None, None), (y, k, x, n, None, None, None, None)])
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(_MET), _MET, strict=True)], schema=_MET)
+            out.clear()
+            return made
+
+        for b in batches:
+            for m in zip(*[c.to_pylist() for c in b.columns], strict=True):  # word, n, probe, home, used, file
+                if m[5] != at:
+                    close()
+                    at, held, over = m[5], [], False
+                held.append(m)
+                if over or len(held) > most and len(m[4]) < m[3] - 1:
+                    over = True
+                    out.extend((w, n, None, None, probe, home, used, name) for w, n, probe, home, used, name in held)
+                    held = []
+            yield batch()
+        close()
+        yield batch()
+
+    return run
 
 
 def near_words(found: DataFrame, most: int = FILE) -> DataFrame:
     """word, n, near, near_n: all ordered pairs of words one edit apart. found: distinct words, in a table that is cheap to read again."""
     rank = gram_ranks(found)
     todo = found.select("word", "n", F.lit(False).alias("probe"), F.lit(None).cast("long").alias("home"), F.array().cast("array<long>").alias("used"), F.lit(None).cast("string").alias("file"))
-    pairs, before = None, None
+    pairs = None
     while True:
-        filed = cut(file(todo, rank))
-        if before is not None:
-            discard(before)
-        last = F.size("used") >= F.col("home") - 1
-        sizes = cut(filed.groupBy("file").agg(F.count(F.lit(1)).alias("members"), F.bool_and("probe").alias("idle"), F.first(last).alias("last")).where("members > 1 and not idle").drop("idle"))
-        some = filed.join(sizes.where((F.col("members") <= most) | F.col("last")).select("file"), "file")
-        got = cut(some.groupBy("file").agg(F.collect_list(F.struct("word", "n", "probe", "used")).alias("held")).select("held").mapInArrow(_compared, "word string, n long, near string, near_n long"))
+        met = cut(file(todo, rank).repartition("file").sortWithinPartitions("file").mapInArrow(_compared(most), FILED.replace("probe", "near string, near_n long, probe", 1)))
+        got = met.where("near is not null").select("word", "n", "near", "near_n")
         pairs = got if pairs is None else pairs.unionAll(got)
-        hot = sizes.where((F.col("members") > most) & ~F.col("last")).select("file")
-        if hot.isEmpty():
-            discard(filed, sizes)
+        todo = met.where("near is null").select("word", "n", "probe", "home", "used", "file")
+        if todo.isEmpty():
             return pairs.dropDuplicates(["word", "near"])
-        todo, before = filed.join(hot, "file").select("word", "n", "probe", "home", "used", "file"), filed
 
 
 def roots(forms: DataFrame) -> DataFrame:
