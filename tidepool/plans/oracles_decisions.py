@@ -310,7 +310,7 @@ ORACLE_SQL: dict[str, str] = {
 #: Queries that are asked of the market's series as well, where all regimes, decisions and maturities occur.
 ON_MARKET = ("e1_rfs_market", "e6_temporal_analysis", "e7_rupture_analysis", "e8_recovery_analysis", "e9_comparator", "e10_market_gate", "e11_decision_funnel", "e12_orchestrator", "e15_calibration_layer", "e23_zone_decision", "e24_simple_decision", "e14_context_comparison", "j5_context_matches", "f4_sample_issues", "f5_policy_samples", "f10_access_policy", "o2_engine_sort", "o7_top_opportunities", "w19_structure_7d", "w20_behavior_7d", "w21_priority", "a2_decision_summary", "a5_market_context", "a11_decision_distribution", "a12_reason_histogram", "a13_calibration_policy", "a15_calibration_summary", "a17_adaptive_thresholds", "a19_score_stats", "a22_opportunity_report", "a23_threshold_report", "a28_store_stats", "a31_summary_view", "a32_simple_distribution")
 ORACLE_SQL["k1_versioned_memory"] = f"""WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END AS action, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 10000000000 ELSE 0 END AS created FROM orders),
-s AS (SELECT l_orderkey AS id, {r2('l_extendedprice / 1000 - 30')} AS result FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+s AS (SELECT l_orderkey AS id, {r2('max(l_extendedprice) / 1000 - 30')} AS result FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' GROUP BY l_orderkey),
 k AS (SELECT id, action, CASE WHEN s.id IS NULL THEN 'open' ELSE 'resolved' END AS status, result, created FROM m LEFT JOIN s USING (id) WHERE action <> 'BLOCK'),
 n AS (SELECT *, row_number() OVER (ORDER BY created, id) AS place, count(*) OVER () AS n FROM k)
 SELECT id, action, status, result, created FROM n WHERE place > least(250, greatest(0, n - 10000))"""

@@ -251,7 +251,7 @@ def _memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = tables.memory_record(spark, sf_dir)
     none = lambda kind: F.lit(None).cast(kind)
     made = record.select(F.lit("create").alias("op"), F.col("id").alias("seq"), "id", "action", F.lit("open").alias("status"), none("double").alias("result"))
-    line = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'")
+    line = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("l_extendedprice"))
     seen = line.select(F.lit("observe").alias("op"), (F.col("l_orderkey") + 2 * _FAR).alias("seq"), F.col("l_orderkey").alias("id"), none("string").alias("action"), F.lit("resolved").alias("status"), kernel.round2(F.col("l_extendedprice") / 1000 - 30).alias("result"))
     gone = record.where("action = 'BLOCK'").select(F.lit("delete").alias("op"), (F.col("id") + 3 * _FAR).alias("seq"), "id", none("string").alias("action"), none("string").alias("status"), none("double").alias("result"))
     store.write(made.where("id % 3 <> 0"))
