@@ -309,6 +309,30 @@ ORACLE_SQL: dict[str, str] = {
 
 #: Queries that are asked of the market's series as well, where all regimes, decisions and maturities occur.
 ON_MARKET = ("e1_rfs_market", "e6_temporal_analysis", "e7_rupture_analysis", "e8_recovery_analysis", "e9_comparator", "e10_market_gate", "e11_decision_funnel", "e12_orchestrator", "e15_calibration_layer", "e23_zone_decision", "e24_simple_decision", "e14_context_comparison", "j5_context_matches", "f4_sample_issues", "f5_policy_samples", "f10_access_policy", "o2_engine_sort", "o7_top_opportunities", "w19_structure_7d", "w20_behavior_7d", "w21_priority", "a2_decision_summary", "a5_market_context", "a11_decision_distribution", "a12_reason_histogram", "a13_calibration_policy", "a15_calibration_summary", "a17_adaptive_thresholds", "a19_score_stats", "a22_opportunity_report", "a23_threshold_report", "a28_store_stats", "a31_summary_view", "a32_simple_distribution")
+
+def _regulator() -> str:
+    """Windows of 25 decisions one after another, each under the thresholds that the one before has left."""
+    valves = ((0, 0, 0), (2, 1, 0), (4, 2, 1), (1, 1, -3), (-8, -5, -1), (-6, -3, -1), (-4, -2, 0), (-2, -1, 0))
+    risky = lambda k: f"rupture >= {68 + valves[k][2]}"
+    allowed = lambda k: f"NOT ({risky(k)}) AND temporal_gate AND support_probability >= {64 + valves[k][1]} AND market_confidence >= 40 AND (regime <> 'TRANSITION' OR rupture < {60 + valves[k][2]}) AND regime <> 'VOLATILE' AND dominance_gate AND decision_score >= {76 + valves[k][0]}"
+    r4 = lambda x: f"floor(({x}) * 10000 + 0.5e0) / 10000"
+    mean = lambda c: cl(f"CAST(sum(CAST(round({c} * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100)")
+    near = dot((0.25, mean("decision_score")), (0.2, mean("support_probability")), (0.15, mean("recovery_probability")), (0.15, mean("stability")), (0.15, mean("market_convergence")), (0.1, mean("market_confidence")))
+    quality = dot((0.2, mean("occurrence")), (0.18, mean("frequency")), (0.24, mean("convergence")), (0.2, mean("correlation")), (0.18, mean("duration")))
+    pick = lambda at: f"CASE state {' '.join(f'WHEN {k} THEN {v[at]}' for k, v in enumerate(valves))} END"
+    names = ("BALANCED_FLOW", "STRUCTURE_TOO_WEAK", "OVER_OPEN", "RISK_UNDER_BLOCKED", "HARD_DEFENSIVE_LOCK", "MINIMUM_FLOW_LOCK", "OPENING_BIAS", "OPENING_BIAS")
+    state = "CASE WHEN quality < 42 THEN 1 WHEN allow >= 0.22e0 THEN 2 WHEN block <= 0.08e0 AND allow >= 0.1e0 THEN 3 WHEN allow <= 0.01e0 AND watch >= 0.82e0 AND quality >= 62 AND near >= 58 THEN 4 WHEN allow < 0.04e0 AND watch >= 0.75e0 AND near >= 48 THEN 5 WHEN allow <= 0.06e0 AND watch >= 0.72e0 AND near >= 48 THEN 6 WHEN allow < 0.1e0 AND watch >= 0.65e0 AND near >= 48 THEN 7 ELSE 0 END"
+    return f"""{_T.replace('WITH', 'WITH RECURSIVE', 1)}, ord AS (SELECT dec.*, rfs.occurrence, rfs.frequency, rfs.convergence, rfs.correlation, rfs.duration, (row_number() OVER (ORDER BY dec.asset_id) - 1) // 25 AS win FROM dec JOIN rfs USING (asset_id)),
+wn AS (SELECT win, count(*) AS n, {cl(quality)} AS quality, {cl(f"{cl(near)} - {cl(mean('rupture') + ' * 0.25e0')}")} AS near, [{', '.join(f'count(*) FILTER ({allowed(k)})' for k in range(8))}] AS al, [{', '.join(f'count(*) FILTER ({risky(k)})' for k in range(8))}] AS bl FROM ord GROUP BY win),
+st AS (SELECT CAST(-1 AS BIGINT) AS win, 0 AS state, 0 AS prev UNION ALL SELECT g.win, {state}, g.prev FROM (SELECT wn.*, st.state AS prev, {r4('al[st.state + 1] / n')} AS allow, {r4('bl[st.state + 1] / n')} AS block, {r4('(n - al[st.state + 1] - bl[st.state + 1]) / n')} AS watch FROM st JOIN wn ON wn.win = st.win + 1) g),
+fl AS (SELECT wn.win, n, quality, near, state, {r4('al[prev + 1] / n')} AS allow, {r4('(n - al[prev + 1] - bl[prev + 1]) / n')} AS watch, {r4('bl[prev + 1] / n')} AS block FROM wn JOIN st USING (win)),
+gp AS (SELECT *, {r4('allow - 0.1e0')} AS ag, {r4('watch - 0.7e0')} AS wg, {r4('block - 0.2e0')} AS bg, {r4('allow - 0.04e0')} AS mg FROM fl),
+pr AS (SELECT *, {cl('greatest(0e0, -ag) * 100 * 0.35e0 + greatest(0e0, wg) * 100 * 0.25e0 + quality * 0.25e0 + near * 0.15e0')} AS op, {cl('greatest(0e0, ag) * 100 * 0.35e0 + greatest(0e0, -bg) * 100 * 0.25e0 + (100 - quality) * 0.2e0 + greatest(0e0, 48 - near) * 0.2e0')} AS cp FROM gp)
+SELECT win AS "window", n, allow, watch, block, ag AS allow_gap, wg AS watch_gap, bg AS block_gap, mg AS minimum_flow_gap, {cl('(abs(ag) + abs(wg) + abs(bg)) * 100')} AS flow_imbalance, quality AS structural_quality, near AS score_proximity, op AS opening_pressure, cp AS closing_pressure, {cl('50 + op - cp')} AS net_pressure,
+ CASE state {' '.join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(names))} END AS pressure_state, CASE state WHEN 4 THEN 4 WHEN 5 THEN 3 WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS opening_level, {pick(0)} AS allow_valve, {pick(1)} AS support_valve, {pick(2)} AS risk_valve FROM pr"""
+
+
+ORACLE_SQL["e16_flow_regulator"] = on_market(_regulator())
 ORACLE_SQL["k1_versioned_memory"] = f"""WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END AS action, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 10000000000 ELSE 0 END AS created FROM orders),
 s AS (SELECT l_orderkey AS id, {r2('max(l_extendedprice) / 1000 - 30')} AS result FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' GROUP BY l_orderkey),
 k AS (SELECT id, action, CASE WHEN s.id IS NULL THEN 'open' ELSE 'resolved' END AS status, result, created FROM m LEFT JOIN s USING (id) WHERE action <> 'BLOCK'),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
-from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, replay, scan, scores, series
+from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, regulator, replay, scan, scores, series
 from tidepool.plans.oracles_decisions import ON_MARKET
 from tidepool.sources import tables
 from tidepool.sources.stage import shared_dir
@@ -239,6 +239,17 @@ def _learnt_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.played(_samples(spark, sf_dir), "seq", stores.online_thresholds, stores.THRESHOLDS)
 
 
+#: Decisions of a window of the flow regulator.
+FLOW_WINDOW = 25
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regulator over the log of decisions, window by window."""
+    axes = _rfs(spark, sf_dir).select("asset_id", *regulator.QUALITY)
+    rows = _decided(spark, sf_dir).join(axes, "asset_id").withColumns({"version": F.lit("v8"), "horizon": F.lit("7D"), "seq": F.col("asset_id")})
+    return regulator.regulated(decisions.numbered(rows).withColumn("window", F.floor(F.col("place") / FLOW_WINDOW)))
+
+
 #: Records that the memory holds at most, and how many of the oldest go at a time.
 MEMORY_MOST, MEMORY_BATCH = 10_000, 250
 _FAR = 10_000_000_000
@@ -374,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "x_scalars": _scalars,
     "t1_usage_windows": _usage_windows,
     "t2_live_windows": _live,
+    "e16_flow_regulator": _on_market(_flow),
     "t4_expiring_store": _stored,
     "t4_expiring_store_table": _on(_store_events, lambda d: stores.stored_reads(d, STORE_PLACES, STORE_TTL)),
     "t8_online_thresholds": _on_market(_learnt_online),
