@@ -219,12 +219,12 @@ def _impulse(line: str) -> str:
 
 
 def _fits(state: str) -> str:
-    return " AND ".join(f"{score} {'>=' if name.endswith('_min') else '<='} {state}_{name}" for st, name, score, *_ in map(str.split, _IMP.splitlines()) if st == state)
+    return " AND ".join(f"{f'coalesce({score}, 50e0)' if score in ('growth', 'core', 'decay') else score} {'>=' if name.endswith('_min') else '<='} {state}_{name}" for st, name, score, *_ in map(str.split, _IMP.splitlines()) if st == state)
 
 
 _q = chr(39)
 _STATE = "CASE WHEN impulse_exhaustion >= 70 THEN 'EXHAUSTION' WHEN impulse_pressure >= 68 AND impulse_instability >= 62 AND abs(r24_change_pct) >= 3 THEN 'RELEASE' WHEN impulse_pressure >= 60 AND impulse_saturation >= 55 THEN 'PRESSURE_BUILDING' WHEN impulse_pressure >= 45 AND impulse_instability <= 55 AND abs(r7_change_pct) <= 4 THEN 'COMPRESSION' ELSE 'NEUTRAL' END"
-_IS = f"{_H}, {_HISTORY}, {_IMPULSE}, imp AS (SELECT asset_id, impulse_pressure AS pressure, impulse_instability AS instability, impulse_saturation AS saturation, impulse_exhaustion AS exhaustion, occurrence AS growth, quality AS core, penalty AS decay, {_STATE} AS state FROM i2), pol AS (SELECT count(*) AS n, CASE WHEN count(*) < 40 THEN 'fallback' ELSE 'adaptive' END AS source, {', '.join(f'count(*) FILTER (state = {_q}{x}{_q}) AS n_{x.lower()}' for x in _STATES)}, {', '.join(_impulse(x) for x in _IMP.splitlines())}, CASE WHEN count(*) < 40 THEN 'impulse_adaptive_thresholds_insufficient_global_sample' ELSE array_to_string({_listed(*[(f'count(*) FILTER (state = {_q}{x}{_q}) < 8', f'impulse_adaptive_thresholds_insufficient_{x.lower()}_sample') for x in _STATES[:4]])}, ',') END AS warnings FROM imp)"
+_IS = f"{_H}, {_HISTORY}, {_IMPULSE}, imp AS (SELECT asset_id, impulse_pressure AS pressure, impulse_instability AS instability, impulse_saturation AS saturation, impulse_exhaustion AS exhaustion, CAST(NULL AS DOUBLE) AS growth, CAST(NULL AS DOUBLE) AS core, CAST(NULL AS DOUBLE) AS decay, {_STATE} AS state FROM i2), pol AS (SELECT count(*) AS n, CASE WHEN count(*) < 40 THEN 'fallback' ELSE 'adaptive' END AS source, {', '.join(f'count(*) FILTER (state = {_q}{x}{_q}) AS n_{x.lower()}' for x in _STATES)}, {', '.join(_impulse(x) for x in _IMP.splitlines())}, CASE WHEN count(*) < 40 THEN 'impulse_adaptive_thresholds_insufficient_global_sample' ELSE array_to_string({_listed(*[(f'count(*) FILTER (state = {_q}{x}{_q}) < 8', f'impulse_adaptive_thresholds_insufficient_{x.lower()}_sample') for x in _STATES[:4]])}, ',') END AS warnings FROM imp)"
 _pct = lambda part, whole="count(*)": f"CASE WHEN {whole} > 0 THEN CAST(floor({part} / {whole} * 100 + 0.5e0) AS BIGINT) ELSE 0 END"
 _REPORTED = f"rep AS (SELECT dec.*, rfs.continuity, {r2('step')} AS day, {r2('slope')} AS week FROM dec JOIN rfs USING (asset_id) JOIN (SELECT asset_id, arg_max(coalesce(r, 0e0), idx) AS step FROM (SELECT *, CASE WHEN lag(price) OVER o <> 0 THEN (price - lag(price) OVER o) / abs(lag(price) OVER o) * 100 END AS r FROM tick WINDOW o AS (PARTITION BY asset_id ORDER BY idx)) GROUP BY asset_id) USING (asset_id) JOIN (SELECT asset_id, slope_pct AS slope FROM shape) USING (asset_id))"
 _whole = lambda x: f"CAST(floor({x} + 0.5e0) AS BIGINT)"
@@ -332,6 +332,9 @@ SELECT win AS "window", n, allow, watch, block, ag AS allow_gap, wg AS watch_gap
  CASE state {' '.join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(names))} END AS pressure_state, CASE state WHEN 4 THEN 4 WHEN 5 THEN 3 WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS opening_level, {pick(0)} AS allow_valve, {pick(1)} AS support_valve, {pick(2)} AS risk_valve FROM pr"""
 
 
+_capital = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+ORACLE_SQL["x_scalars"] = f"""WITH h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_brand, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)
+SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, left(regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g'), 20) AS symbol, {_capital("regexp_replace(p_type, '[-_]+', ' ', 'g')")} AS title, lower(to_base(h, 36)) AS fingerprint, {r2('p_retailprice / 7')} AS share FROM h"""
 ORACLE_SQL["e16_flow_regulator"] = on_market(_regulator())
 ORACLE_SQL["k1_versioned_memory"] = f"""WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END AS action, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 10000000000 ELSE 0 END AS created FROM orders),
 s AS (SELECT l_orderkey AS id, {r2('max(l_extendedprice) / 1000 - 30')} AS result FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' GROUP BY l_orderkey),

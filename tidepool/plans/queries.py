@@ -13,7 +13,7 @@ from tidepool.functions import kernel
 from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, regulator, replay, scan, scores, series
 from tidepool.plans.oracles_decisions import ON_MARKET
 from tidepool.sources import tables
-from tidepool.sources.stage import shared_dir
+from tidepool.sources.stage import shared_dir, staged
 from tidepool.sources.versions import Versions
 from tidepool.streaming import live, stores
 
@@ -179,12 +179,13 @@ def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _impulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impulse scores of each history. Nothing here measures growth, core or decay: they are missing, and what stands in for them is the operators' to say."""
     x = history.impulse_state(_history(spark, sf_dir))
-    return x.select("asset_id", *[F.col(f"impulse_{c}").alias(c) for c in ("pressure", "instability", "saturation", "exhaustion")], F.col("occurrence").alias("growth"), F.col("quality").alias("core"), F.col("penalty").alias("decay"), F.col("impulse_state").alias("state"))
+    return x.select("asset_id", *[F.col(f"impulse_{c}").alias(c) for c in ("pressure", "instability", "saturation", "exhaustion")], *[F.lit(None).cast("double").alias(c) for c in ("growth", "core", "decay")], F.col("impulse_state").alias("state"))
 
 
 def _relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    impulses = _impulses(spark, sf_dir)
+    impulses = staged(_impulses(spark, sf_dir))  # read for the policy and for the labels
     return calibration.relabelled(impulses, calibration.impulse_policy(impulses)).select("asset_id", "state", "adaptive_state")
 
 
@@ -340,8 +341,8 @@ QUERIES: dict[str, Query] = {
     "e26_live_hints": _hints,
     "k11_integrity_chain": _chains,
     "a7_assets_summary": _on(_reported, calibration.assets_summary),
-    "a18_impulse_policy": _on(_impulses, calibration.impulse_policy),
-    "a20_impulse_governance": _on(_impulses, calibration.impulse_policy, calibration.impulse_governance),
+    "a18_impulse_policy": _on(_impulses, staged, calibration.impulse_policy),
+    "a20_impulse_governance": _on(_impulses, staged, calibration.impulse_policy, calibration.impulse_governance),
     "a21_decision_report": _on(_reported, calibration.decision_report),
     "a22_opportunity_report": _on(_decided, calibration.opportunity_report),
     "a23_threshold_report": _on(_decided, calibration.threshold_report),
