@@ -310,6 +310,51 @@ ORACLE_SQL: dict[str, str] = {
 #: Queries that are asked of the market's series as well, where all regimes, decisions and maturities occur.
 ON_MARKET = ("e1_rfs_market", "e6_temporal_analysis", "e7_rupture_analysis", "e8_recovery_analysis", "e9_comparator", "e10_market_gate", "e11_decision_funnel", "e12_orchestrator", "e15_calibration_layer", "e23_zone_decision", "e24_simple_decision", "e14_context_comparison", "j5_context_matches", "f4_sample_issues", "f5_policy_samples", "f10_access_policy", "o2_engine_sort", "o7_top_opportunities", "w19_structure_7d", "w20_behavior_7d", "w21_priority", "a2_decision_summary", "a5_market_context", "a11_decision_distribution", "a12_reason_histogram", "a13_calibration_policy", "a15_calibration_summary", "a17_adaptive_thresholds", "a19_score_stats", "a22_opportunity_report", "a23_threshold_report", "a28_store_stats", "a31_summary_view", "a32_simple_distribution")
 
+def _piece(new: str, old: str, value: str, text: bool = True) -> str:
+    """A member of a JSON object under its newer or older name, by the sample's number; in the dialect that both engines read."""
+    quoted = f"concat('\"', {value}, '\"')" if text else f"CAST({value} AS STRING)"
+    return f"concat('\"', CASE WHEN seq % 2 = 0 THEN '{new}' ELSE '{old}' END, '\":', {quoted})"
+
+
+#: A sample as JSON text: every thirteenth is none, others have words that aren't known, numbers as text, text as numbers, nulls.
+PAYLOAD = f"""CASE WHEN seq % 13 = 0 THEN 'not json' ELSE concat('{{', concat_ws(',',
+ CASE WHEN seq % 5 = 0 THEN '"final_decision":"ALLOW","observed_decision":null' ELSE {_piece('observed_decision', 'final_decision', "CASE WHEN seq % 7 = 0 THEN 'MAYBE' ELSE decision END")} END,
+ CASE WHEN seq % 9 = 0 THEN '"regime":3' ELSE {_piece('observed_regime', 'regime', 'regime')} END, {_piece('observed_horizon', 'horizon', "CASE WHEN seq % 6 = 0 THEN '9D' ELSE horizon END")},
+ CASE WHEN seq % 3 = 0 THEN '"reliability":"low","sample_reliability":"high"' WHEN seq % 3 = 1 THEN '"observed_reliability":"medium"' END, {_piece('dominance_state', 'mci_dominance_state', "CASE WHEN seq % 4 = 0 THEN 'RECOVERY' WHEN seq % 4 = 1 THEN 'RUPTURE' ELSE 'balanced' END")},
+ {_piece('neutralization_reason', 'neutralization_reason', 'neutralization_reason')}, {_piece('neutralization_severity', 'neutralization_severity', 'neutralization_severity')}, {_piece('rupture_evolution_state', 'rupture_evolution_state', 'rupture_state')},
+ {_piece('observed_analytical_version', 'analytical_version', "CASE WHEN seq % 8 = 0 THEN '  ' ELSE version END")}, {_piece('observed_reason', 'decision_reason', "concat(' ', reason)")},
+ CASE WHEN seq % 11 = 0 THEN {_piece('mci_decision_score', 'decision_score', 'decision_score')} ELSE {_piece('mci_decision_score', 'decision_score', 'decision_score', False)} END, {_piece('mci_allow_raw_score', 'allow_raw_score', 'allow_raw_score', False)}, {_piece('mci_block_raw_score', 'block_raw_score', 'block_raw_score + 60', False)},
+ CASE WHEN seq % 10 <> 0 THEN {_piece('mci_decision_support_probability', 'decision_support_probability', 'support_probability', False)} END, {_piece('mci_risk_rupture_probability', 'risk_rupture_probability', 'risk_probability', False)}, {_piece('confidence_score', 'confidence', 'market_confidence', False)}), '}}') END"""
+
+
+def _normal() -> str:
+    """Each field by its names, words and default."""
+    words = {
+        "observed_decision": ("observed_decision final_decision", "ALLOW BLOCK WATCH", "WATCH"), "observed_regime": ("observed_regime regime", "STABLE VOLATILE TRANSITION", "TRANSITION"), "observed_horizon": ("observed_horizon horizon", "24H 7D 14D 30D default", "7D"),
+        "observed_reliability": ("reliability sample_reliability observed_reliability", "high medium low none", "none"), "dominance_state": ("dominance_state mci_dominance_state", "recovery_dominant rupture_dominant balanced RECOVERY RUPTURE NEUTRAL", "unknown"),
+        "neutralization_reason": ("neutralization_reason", "insufficient_data contradictory_structure unstable_distribution excessive_decay excessive_rupture invalid_temporal_alignment low_confidence degraded_snapshot corrupted_distribution none", "none"),
+        "neutralization_severity": ("neutralization_severity", "low medium high critical none", "none"), "rupture_evolution_state": ("rupture_evolution_state", "improving stable worsening explosive unknown", "unknown"),
+    }
+    texts = {"observed_analytical_version": "observed_analytical_version analytical_version", "observed_reason": "observed_reason mci_decision_reason decision_reason"}
+    numbers = {k: f"{k} {k.removeprefix('mci_')}" for k in ("mci_decision_score", "mci_allow_raw_score", "mci_block_raw_score", "mci_decision_support_probability", "mci_risk_rupture_probability")} | {"confidence_score": "confidence_score confidence"}
+    first = lambda names: "coalesce(" + ", ".join(f"CASE WHEN json_type(p, '$.{n}') <> 'NULL' THEN json_extract(p, '$.{n}') END" for n in [*names.split(), "none_at_all"]) + ")"
+    raw = ", ".join(f"{first(names)} AS r_{k}" for k, names in ({k: v[0] for k, v in words.items()} | texts | numbers).items())
+    said = lambda k: f"(r_{k} ->> '$')"
+    is_text, is_number = (lambda k: f"json_type(r_{k}) = 'VARCHAR'"), (lambda k: f"json_type(r_{k}) IN ('BIGINT', 'UBIGINT', 'DOUBLE')")
+    fits = lambda k, ws: f"({is_text(k)} AND {said(k)} IN ({', '.join(f'{_q}{w}{_q}' for w in ws.split())}))"
+    old = lambda k: f"CASE {said(k)} WHEN 'RECOVERY' THEN 'recovery_dominant' WHEN 'RUPTURE' THEN 'rupture_dominant' WHEN 'NEUTRAL' THEN 'balanced' ELSE {said(k)} END" if k == "dominance_state" else said(k)
+    value = lambda k: f"CASE WHEN {is_number(k)} THEN CAST(r_{k} AS DOUBLE) END"
+    out = [f"CASE WHEN {fits(k, ws)} THEN {old(k)} ELSE '{other}' END AS {k}" for k, (_, ws, other) in words.items()] + [f"CASE WHEN {is_text(k)} AND trim({said(k)}) <> '' THEN trim({said(k)}) ELSE 'unknown' END AS {k}" for k in texts] + [f"{cl(value(k))} AS {k}" for k in numbers]
+    why = [("p IS NULL", "payload")]
+    for k, (_, ws, _) in words.items():
+        why += [(f"r_{k} IS NOT NULL AND NOT {is_text(k)}", f"{k}:type"), (f"{is_text(k)} AND NOT {fits(k, ws)}", f"{k}:value")]
+    for k in texts:
+        why += [(f"r_{k} IS NOT NULL AND NOT {is_text(k)}", f"{k}:type"), (f"{is_text(k)} AND trim({said(k)}) = ''", f"{k}:value")]
+    for k in numbers:
+        why += [(f"r_{k} IS NOT NULL AND NOT {is_number(k)}", f"{k}:type"), (f"{is_number(k)} AND CAST(r_{k} AS DOUBLE) NOT BETWEEN 0 AND 100", f"{k}:value")]
+    return f"{_T}, {_SAMPLES}, tx AS (SELECT seq, {PAYLOAD} AS payload FROM smp), ob AS (SELECT seq, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS p FROM tx), rw AS (SELECT seq, p, {raw} FROM ob) SELECT seq, {', '.join(out)}, array_to_string({_listed(*why)}, ',') AS rejects FROM rw"
+
+
 def _regulator() -> str:
     """Windows of 25 decisions one after another, each under the thresholds that the one before has left."""
     valves = ((0, 0, 0), (2, 1, 0), (4, 2, 1), (1, 1, -3), (-8, -5, -1), (-6, -3, -1), (-4, -2, 0), (-2, -1, 0))
@@ -335,6 +380,7 @@ SELECT win AS "window", n, allow, watch, block, ag AS allow_gap, wg AS watch_gap
 _capital = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
 ORACLE_SQL["x_scalars"] = f"""WITH h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_brand, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)
 SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, left(regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g'), 20) AS symbol, {_capital("regexp_replace(p_type, '[-_]+', ' ', 'g')")} AS title, lower(to_base(h, 36)) AS fingerprint, {r2('p_retailprice / 7')} AS share FROM h"""
+ORACLE_SQL["p10_normalised_samples"] = on_market(_normal())
 ORACLE_SQL["e16_flow_regulator"] = on_market(_regulator())
 ORACLE_SQL["k1_versioned_memory"] = f"""WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END AS action, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 10000000000 ELSE 0 END AS created FROM orders),
 s AS (SELECT l_orderkey AS id, {r2('max(l_extendedprice) / 1000 - 30')} AS result FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' GROUP BY l_orderkey),

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
-from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, regulator, replay, scan, scores, series
-from tidepool.plans.oracles_decisions import ON_MARKET
+from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, normalise, regulator, replay, scan, scores, series
+from tidepool.plans.oracles_decisions import ON_MARKET, PAYLOAD
 from tidepool.sources import tables
 from tidepool.sources.stage import shared_dir, staged
 from tidepool.sources.versions import Versions
@@ -240,6 +240,12 @@ def _learnt_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.played(_samples(spark, sf_dir), "seq", stores.online_thresholds, stores.THRESHOLDS)
 
 
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored decisions as JSON objects of the newer and the older names, some of them faulty, by rules on their number."""
+    told = _samples(spark, sf_dir).selectExpr("seq", f"{PAYLOAD} AS payload")
+    return normalise.normalised(told, "payload").withColumn("rejects", F.array_join("rejects", ","))
+
+
 #: Decisions of a window of the flow regulator.
 FLOW_WINDOW = 25
 
@@ -305,6 +311,7 @@ QUERIES: dict[str, Query] = {
     "w18_market_history": _on(tables.price_tick, listing.market_history),
     "w21_priority": _on(_decided, lambda d: d.orderBy(*listing.by_priority(d)).limit(20).select("asset_id", "stability", "regime", "opportunity", "decision")),
     "p1_identity": _identities,
+    "p10_normalised_samples": _on_market(_normalised),
     "f10_access_policy": _access,
     "j3_first_match": _on(tables.asset_snapshot, lambda d: listing.first_match(d, "brand#11-12", "id").select("id", "symbol", "name")),
     "o2_engine_sort": _on(_rfs, lambda d: d.orderBy(*listing.by_score("stability")).limit(30).select("asset_id", "stability")),
