@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.plans.oracles import _DURATION, _S, _T, HIST, OCC, RET, RFS, SHAPE, STATS, TICK, cl, funnel, on_market, r2, signed, within
+from tidepool.plans.oracles import _DURATION, _S, _T, HIST, MARKET_TICK, OCC, RET, RFS, SHAPE, STATS, TICK, cl, funnel, on_market, r2, signed, within
 from tidepool.plans.oracles import ORACLE_SQL as _FIRST
 
 _CHAIN = f"{TICK}, {RET}, {STATS}, {SHAPE}, {RFS}"
@@ -380,6 +380,17 @@ SELECT win AS "window", n, allow, watch, block, ag AS allow_gap, wg AS watch_gap
 _capital = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
 ORACLE_SQL["x_scalars"] = f"""WITH h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_brand, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)
 SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, left(regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g'), 20) AS symbol, {_capital("regexp_replace(p_type, '[-_]+', ' ', 'g')")} AS title, lower(to_base(h, 36)) AS fingerprint, {r2('p_retailprice / 7')} AS share FROM h"""
+_SCAN = f"""WITH {MARKET_TICK}, few AS (SELECT asset_id, idx, price FROM tick WHERE asset_id % 17 <> 0 OR idx < 6),
+hist AS (SELECT asset_id, CAST(DATE '2026-01-01' AS TIMESTAMP) + to_days(CAST(row_number() OVER (PARTITION BY asset_id ORDER BY idx) - 1 AS INT)) AS ts, price FROM few WHERE price > 0), {_SEG}, {_BLOCKS}, {_compared(_BY_SPAN)}, {_HISTORY},
+mv AS (SELECT *, lag(r) OVER (PARTITION BY asset_id ORDER BY ts) AS b FROM (SELECT *, (price - lag(price) OVER o) / lag(price) OVER o * 100 AS r FROM hist WINDOW o AS (PARTITION BY asset_id ORDER BY ts))),
+sg AS (SELECT asset_id, (arg_max(price, ts) - arg_min(price, ts)) / arg_min(price, ts) * 100 AS sl, (max(price) - min(price)) / arg_max(price, ts) * 100 AS am, CASE WHEN count(r) = 0 THEN 0e0 ELSE {within('stddev_pop(r) * 12', 0, 100)} END AS un, CASE WHEN count(r) < 2 THEN 0e0 ELSE count(*) FILTER (b IS NOT NULL AND (r * b < 0 OR abs(r) >= 7)) / (count(r) - 1) END AS br FROM mv GROUP BY asset_id),
+hx AS (SELECT hh.* REPLACE (sl AS slope_pct, am AS amplitude_pct, un AS instability, br AS break_rate, coalesce(week, 0e0) AS r7_change_pct, coalesce(week, 0e0) AS r7_slope_pct, stability AS r7_stability, rupture_probability AS r7_rupture, coalesce(day, 0e0) AS r24_change_pct, coalesce(day, 0e0) AS r24_slope_pct, stability AS r24_stability, rupture_probability AS r24_rupture) FROM hh JOIN sg USING (asset_id) LEFT JOIN facts USING (asset_id)),
+{_IMPULSE.replace('FROM hh)', 'FROM hx)')}, {_IS[_IS.index('imp AS ('):]},
+ad AS (SELECT asset_id, CASE WHEN {_fits('exhaustion')} THEN 'EXHAUSTION' WHEN {_fits('release')} THEN 'RELEASE' WHEN {_fits('pressure_building')} THEN 'PRESSURE_BUILDING' WHEN {_fits('compression')} THEN 'COMPRESSION' ELSE 'NEUTRAL' END AS adaptive, warnings AS w FROM imp, pol),
+sc AS (SELECT i2.*, adaptive, w FROM i2 JOIN ad USING (asset_id))
+SELECT a.asset_id, CASE WHEN stability IS NULL THEN 'partial' ELSE 'computed' END AS status, coalesce(regime, 'TRANSITION') AS regime, crash_state, stability, structure, market, coherence, rupture_probability, penalty, continuity_probability, confidence, crash, impulse_pressure, impulse_instability, impulse_saturation, impulse_exhaustion,
+ CASE WHEN up >= 2 AND down = 0 THEN 'UP' WHEN down >= 2 AND up = 0 THEN 'DOWN' WHEN up > 0 AND down > 0 THEN 'MIXED' ELSE 'NEUTRAL' END AS impulse_bias, coalesce(adaptive, 'NEUTRAL') AS impulse_state, CASE WHEN stability IS NULL THEN 'scan_engine_insufficient_rfs_prices' ELSE w END AS warnings FROM (SELECT DISTINCT asset_id FROM few) a LEFT JOIN sc USING (asset_id)"""
+ORACLE_SQL["e5_scan_engine"] = _SCAN
 ORACLE_SQL["p10_normalised_samples"] = on_market(_normal())
 ORACLE_SQL["e16_flow_regulator"] = on_market(_regulator())
 ORACLE_SQL["k1_versioned_memory"] = f"""WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ALLOW' WHEN 'O' THEN 'WATCH' ELSE 'BLOCK' END AS action, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 10000000000 ELSE 0 END AS created FROM orders),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import kernel
-from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, normalise, regulator, replay, scan, scores, series
+from tidepool.operators import aggregates, calibration, decisions, history, listing, matching, normalise, regulator, replay, scan, scan_engine, scores, series
 from tidepool.plans.oracles_decisions import ON_MARKET, PAYLOAD
 from tidepool.sources import tables
 from tidepool.sources.stage import shared_dir, staged
@@ -240,6 +240,12 @@ def _learnt_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.played(_samples(spark, sf_dir), "seq", stores.online_thresholds, stores.THRESHOLDS)
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan engine over the market's series without their dates; of every seventeenth only six prices are known."""
+    ticks = tables.market_ticks(spark, sf_dir).where("asset_id % 17 <> 0 or idx < 6").select("asset_id", "idx", "price")
+    return scan_engine.scanned(ticks, tables.market_facts(spark, sf_dir))
+
+
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored decisions as JSON objects of the newer and the older names, some of them faulty, by rules on their number."""
     told = _samples(spark, sf_dir).selectExpr("seq", f"{PAYLOAD} AS payload")
@@ -393,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "x_scalars": _scalars,
     "t1_usage_windows": _usage_windows,
     "t2_live_windows": _live,
+    "e5_scan_engine": _scanned,
     "e16_flow_regulator": _on_market(_flow),
     "t4_expiring_store": _stored,
     "t4_expiring_store_table": _on(_store_events, lambda d: stores.stored_reads(d, STORE_PLACES, STORE_TTL)),
