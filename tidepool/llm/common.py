@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +70,23 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+#: Bytes of an Arrow batch that goes to Python, in jobs that run many operators in one session.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bound of Arrow batches: Python holds a batch, its strings and what is made of them at once, so that batches bound its memory whatever the length of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives back what earlier tasks of this Python worker have freed: workers outlive their tasks, and allocators keep what they once had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def discard(*tables: DataFrame) -> None:
     """Empties tables that cut() wrote and nothing will read again: what was made from them has been cut in its turn."""
     for table in tables:
