@@ -205,9 +205,9 @@ def neighbour_graph(points: DataFrame, cosine: float = COSINE) -> tuple[DataFram
         past, graph = graph, cut(lists(graph.withColumn("fresh", F.lit(False)).unionByName(more.withColumn("fresh", F.lit(True))), cosine))
         discard(past)
         n = graph.agg(F.count_if(link).alias("links"), F.count_if(link & F.col("fresh")).alias("new")).first()
-        got = {r["a"]: r["n"] for r in graph.where(named & link).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).where("n < k").collect()}
-        open_ = {i: t for i, t in truth.items() if i in got or t < LIST}
-        recall = sum(got.get(i, 0) for i in open_) / max(sum(open_.values()), 1) if any(open_.values()) else 1.0
+        found = {r["a"]: (r["n"], r["n"] >= r["k"]) for r in graph.where(named & link).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).collect()}  # AUDITED rows at most
+        open_ = {i: t for i, t in truth.items() if not found.get(i, (0, False))[1]}
+        recall = sum(found.get(i, (0, False))[0] for i in open_) / sum(open_.values()) if any(open_.values()) else 1.0
         if recall >= RECALL and n["new"] <= STILL * n["links"]:
             break
     return graph, recall
