@@ -26,3 +26,10 @@ def test_reads_of_the_store(spark):
     assert table == {0: miss, 2: ("hit", 1.0), 4: ("hit", 1.0), 6: ("evicted", None), 7: ("hit", 3.0), 10: miss, 11: ("hit", 8.0), 12: gone, 13: gone, 14: miss, 16: ("hit", 15.0), 100: miss}
     stream = stores.played(events, "ts", lambda s: stores.stored_reads(s, 2, ttl), stores.READS, late="1 minute", slices=3)
     assert {r.event_id: (r.outcome, r.value) for r in stream.collect()} == table
+
+
+def test_slices_grow_with_the_table(spark):
+    """However many rows there are, a micro-batch has about as many as are asked for."""
+    df = spark.range(300).selectExpr("id AS seq", "id AS asset_id", "'v8' AS version", "'7D' AS horizon", "50D AS market_confidence", "1D AS allow_raw_score", "2D AS block_raw_score", "3D AS risk_probability", "4D AS support_probability")
+    got = stores.played(df, "seq", lambda s: stores.online_thresholds(s, 60, 20), stores.THRESHOLDS, slices=2, most=40)
+    assert got.count() == 300 and len(got.inputFiles()) >= 8
