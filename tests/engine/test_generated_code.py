@@ -19,3 +19,9 @@ def test_windows_are_classed_by_code_that_the_jvm_compiles(spark):
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000 and "explode" in code
     assert found.count() == 6 + 5 + 4 + 3
+
+
+def test_windows_of_one_size(spark):
+    """Windows of three prices alone: too short for three moves in a row."""
+    ticks = spark.createDataFrame([(1, i, float(10 + i)) for i in range(6)], "asset_id long, idx long, price double")
+    assert [r.kind for r in series.occurrences(ticks, 3, 3).orderBy("start").collect()] == ["BREAKOUT"] * 3
