@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,56 @@ def test_likelihood_rises_from_round_to_round(spark):
     df = spark.createDataFrame([(bytes(np.array([*[x % 5] * 20, 6], dtype="<u2").tobytes()), None) for x in range(60)], "ids binary, tail string")
     model, beyond = hmm_lm.baum_welch(df, np.full(7, 1 / 7), 3, 5)
     assert len(model.log_likelihood) == 5 and list(model.log_likelihood) == sorted(model.log_likelihood) and beyond.count() == 0
+
+
+def test_words_of_odd_texts():
+    odd = ["", " ", "a", " A\tb\n\n c\x0bD\x0c\re ", "É x y\x1cz\x85q", "\x00 a\x00b", "ÀA Àa", "x" * 50, "a b", "　 a", "  B"]
+    for texts in (pa.array(odd), pa.array(odd * 3).slice(7, 15), pa.array(["", " "]), pa.array([], pa.string())):
+        words, n = hmm_lm.words_of(texts)
+        want = [t.encode().lower().split() for t in texts.to_pylist()]
+        assert [w.encode() for w in words.to_pylist()] == [w for own in want for w in own] and n.tolist() == [len(own) for own in want]
+
+
+def test_pieces_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "PIECE", 10)
+    for texts in (["", "abc", "x" * 35, "", "de" * 4, "f", ""], ["x" * 40], [""], []):
+        got = [p.column("text").to_pylist() for p in hmm_lm.pieces(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text")]
+        assert [t for p in got for t in p] == texts and all(got) and all(sum(map(len, p[1:])) < 10 for p in got)
+
+
+def test_expectation_works_in_memory_that_it_has():
+    rnd = np.random.default_rng(5)
+    docs = [rnd.integers(0, 50, n).astype("<u2") for n in rnd.integers(1, 3000, 200)]
+    seqs, m, room = hmm_lm.Sequences(docs), hmm_lm.Model.first(np.full(50, 1 / 50), 8), hmm_lm.Room()
+    new = lambda: (np.zeros(8), np.zeros((8, 8)), np.zeros((50, 8)))
+    once, again, alone = new(), new(), new()
+    first = m.expect(seqs, once, np.float32, room)[0]
+    short = m.expect(hmm_lm.Sequences(docs[:3]), new(), np.float32, room)[1]
+    assert len(short) == sum(map(len, docs[:3])) and np.allclose(short.sum(axis=1), 1)
+    assert m.expect(seqs, again, np.float32, room)[0] == first == m.expect(seqs, alone, np.float32)[0]
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(once, again, alone, strict=True))
+    tracemalloc.start()
+    m.expect(seqs, new(), np.float32, room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(seqs.x)  # three arrays of eight single floats a token would be 96 bytes
+
+
+def test_words_beyond_the_dictionary_are_joined_without_a_sort(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = hmm_lm.train_and_score(df, ~held_out(df["doc_id"], 10, 0), states=3, dictionary=25, rounds=2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "ShuffledHashJoin [word" in plan and "SortMergeJoin [word" not in plan
+
+
+def test_only_the_last_round_reads_the_tails(spark, monkeypatch):
+    read = []
+    whole = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *rest, **more: read.append(df.columns) or whole(df, *rest, **more))
+    df = spark.createDataFrame([(bytes(np.array([0, 1, 2], dtype="<u2").tobytes()), "w") for _ in range(5)], "ids binary, tail string")
+    _, beyond = hmm_lm.baum_welch(df, np.full(3, 1 / 3), 2, 3)
+    assert read == [["ids"], ["ids"], ["ids", "tail"]] and [(r["word"], r["n"]) for r in beyond.collect()] == [("w", 5)]

@@ -22,15 +22,16 @@ document nothing is known and base scores are 0. Extra columns are ignored. A nu
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import add_columns, cut, discard, doc_text, documents, held_out, id_type, map_batches
+from .common import cut, discard, doc_text, documents, held_out, id_type, map_batches
 
 STATES = 8
 #: Words numbered for all tasks; two more symbols make 16 bits.
@@ -42,34 +43,49 @@ PRIOR = 200.0
 TIED = 0.5
 #: Sequences are taken together until they have so many tokens.
 GROUP = 1_500_000
+#: Rows that are summed in single precision.
+_CHUNK = 1 << 15
 #: Tokens held at once (two bytes each) to be sorted by the length of their sequences.
 BUFFER = 16_000_000
-_COUNTED = 1_000_000
+#: Words that a task holds before it counts them, and those beyond the dictionary.
+COUNTED, COUNTED_RARE = 4_000_000, 1_000_000
+#: Bytes of texts that are cut into words at once.
+PIECE = 8 << 20
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after another, and each text's number of words. Only A-Z are lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, at = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # blanks before the first word or behind the last leave an empty one
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words if before[-1] == len(words) else words.filter(full), np.diff(before[at])
 
 
-def _as_text(words) -> pa.Array:
-    return pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())
+def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """batch by rows that have about PIECE bytes of the column."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    borders = np.concatenate([[0], np.flatnonzero(np.diff(ends // PIECE)) + 1, [len(ends)]])
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, c over all rows of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter[bytes] = Counter()
+        own: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([_as_text(own), pa.array(list(own.values()), pa.int64())], names=["word", "c"])
+            got = pc.value_counts(pa.chunked_array(own, pa.string()))
             own.clear()
-            return got
+            return pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "c"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                own.update(words_of(t))
-                if len(own) > _COUNTED:
+            for piece in pieces(b, "text"):
+                own.append(words_of(piece.column("text"))[0])
+                if sum(map(len, own)) >= COUNTED:
                     yield out()
         yield out()
 
@@ -104,6 +120,19 @@ class Sequences:
         self.x[self.place] = self.flat
 
 
+class Room:
+    """Three arrays to work in, kept from one group of sequences to the next: fresh memory costs as much as what is done in it."""
+
+    def __init__(self) -> None:
+        self.arrays: list[np.ndarray] = []
+
+    def __call__(self, rows: int, states: int, dtype) -> list[np.ndarray]:
+        if not self.arrays or len(self.arrays[0]) < rows:
+            self.arrays = []
+            self.arrays = [np.empty((rows, states), dtype=dtype) for _ in range(3)]
+        return [a[:rows] for a in self.arrays]
+
+
 class Model:
     """Start, moves and emissions; emissions by symbol: rows of STATES probabilities."""
 
@@ -119,48 +148,53 @@ class Model:
         np.fill_diagonal(moves, 0.95 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), moves, emits / emits.sum(axis=0))
 
-    def forward(self, seqs: Sequences, seen: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
-        """Scales by place: their product is a sequence's probability. alpha takes the scaled forward vectors, if they are wanted."""
+    def forward(self, seqs: Sequences, seen: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        """Scales by place: their product is a sequence's probability. alpha takes the scaled forward vectors; it may be seen itself."""
         start, moves, ones = self.start.astype(seen.dtype), self.moves.astype(seen.dtype), np.ones(len(self.start), dtype=seen.dtype)
         scale, a, o = np.empty(len(seen), dtype=seen.dtype), None, 0
-        for k in seqs.live.tolist():
-            a = start * seen[o : o + k] if a is None else (a[:k] @ moves) * seen[o : o + k]
-            total = np.maximum(a @ ones, 1e-37)
-            a /= total[:, None]
-            scale[o : o + k] = total
-            if alpha is not None:
-                alpha[o : o + k] = a
+        ahead, least = np.empty((len(seqs.order), len(start)), dtype=seen.dtype), np.array(1e-37, dtype=seen.dtype)
+        for k in seqs.live.tolist():  # a step has few rows where texts are long, so that it is its calls that count
+            here = seen[o : o + k]
+            before = start if a is None else np.dot(a[:k], moves, out=ahead[:k])
+            a, total = alpha[o : o + k], scale[o : o + k]
+            np.multiply(before, here, out=a)
+            np.dot(a, ones, out=total)
+            np.maximum(total, least, out=total)
+            np.divide(a, total[:, None], out=a)
             o += k
         return scale
 
-    def expect(self, seqs: Sequences, out: tuple[np.ndarray, np.ndarray, np.ndarray], dtype=np.float64) -> tuple[float, np.ndarray]:
-        """Adds the expected starts, moves and emissions of whole sequences to out; their log likelihood, and the states' posteriors by place."""
+    def expect(self, seqs: Sequences, out: tuple[np.ndarray, np.ndarray, np.ndarray], dtype=np.float64, room: Room | None = None) -> tuple[float, np.ndarray]:
+        """Adds the expected starts, moves and emissions of whole sequences to out; their log likelihood, and the states' posteriors by place.
+
+        room: memory to work in; the posteriors lie there, up to the next use of it.
+        """
         starts, moves, emits = out
-        seen = self.emits.astype(dtype)[seqs.x]
-        alpha = np.empty_like(seen)
+        x, states = seqs.x.astype(np.intp), len(self.start)
+        seen, alpha, post = (room or Room())(len(x), states, dtype)
+        np.take(self.emits.astype(dtype), x, axis=0, out=seen, mode="clip")
         scale = self.forward(seqs, seen, alpha)
         seen /= scale[:, None]
-        post, back = np.empty_like(seen), self.moves.T.astype(dtype)
+        back, ones = np.ascontiguousarray(self.moves.T.astype(dtype)), np.ones(states, dtype=dtype)
         live, at = seqs.live.tolist(), seqs.at.tolist()
-        beta = np.ones((0, len(self.start)), dtype=dtype)
-        for t in range(len(live) - 1, -1, -1):
-            k, o = live[t], at[t]
-            if len(beta) < k:  # sequences that end here
-                beta = np.concatenate([beta, np.ones((k - len(beta), len(self.start)), dtype=dtype)])
-            post[o : o + k] = beta
-            ahead = seen[o : o + k]
-            ahead *= beta
-            if t:
-                beta = ahead @ back
-        before = np.arange(at[1], len(seen)) - np.repeat(seqs.live[:-1], seqs.live[1:])  # a place earlier in the same sequence
-        for k in range(0, len(before), 1 << 18):
-            moves += (alpha[before[k : k + (1 << 18)]].T @ seen[at[1] + k : at[1] + k + (1 << 18)]).astype(float) * self.moves
+        ahead, last = None, 0
+        for k, o in zip(reversed(live), reversed(at[:-1]), strict=True):
+            beta = post[o : o + k]
+            if last:
+                np.dot(ahead, back, out=beta[:last])
+            if last < k:  # sequences that end here
+                beta[last:] = 1
+            ahead, last = seen[o : o + k], k
+            np.multiply(ahead, beta, out=ahead)
+        before = np.arange(at[1], len(x)) - np.repeat(seqs.live[:-1], seqs.live[1:])  # a place earlier in the same sequence
+        for k in range(0, len(before), _CHUNK):
+            moves += (alpha.take(before[k : k + _CHUNK], axis=0).T @ seen[at[1] + k : at[1] + k + _CHUNK]).astype(float) * self.moves
         post *= alpha
-        post /= np.maximum(post @ np.ones(len(self.start), dtype=dtype), 1e-37)[:, None]
+        post /= np.maximum(post @ ones, 1e-37)[:, None]
         starts += post[: at[1]].sum(axis=0)
-        for s in range(len(self.start)):
-            emits[:, s] += np.bincount(seqs.x, weights=post[:, s], minlength=len(emits))
-        return float(np.log(scale.astype(float)).sum()), post
+        for s in range(states):
+            emits[:, s] += np.bincount(x, weights=post[:, s], minlength=len(emits))
+        return float(np.log(scale).sum(dtype=float)), post
 
     def score(self, docs: list[np.ndarray], symbol: int = -1, factors: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each sequence of symbols. factors: by state, what the occurrences of ``symbol`` are worth beside its emission, in order."""
@@ -168,33 +202,31 @@ class Model:
         if not docs:
             return got
         seqs = Sequences(docs)
-        seen = self.emits[seqs.x]
+        seen = self.emits.take(seqs.x, axis=0)
+        lengths = np.array([len(d) for d in docs])
         if factors is not None and len(factors):
-            lengths = np.array([len(d) for d in docs])
-            first = np.cumsum([(d == symbol).sum() for d in docs]) - np.array([(d == symbol).sum() for d in docs])
-            own = np.concatenate([np.arange(first[i], first[i] + (docs[i] == symbol).sum()) for i in seqs.order])
-            seen[seqs.place[seqs.flat == symbol]] *= factors[own]
-        else:
-            lengths = np.array([len(d) for d in docs])
-        logs = np.log10(self.forward(seqs, seen))[seqs.place]
+            n = np.array([np.count_nonzero(d == symbol) for d in docs])
+            first, n = (np.cumsum(n) - n)[seqs.order], n[seqs.order]
+            seen[seqs.place[seqs.flat == symbol]] *= factors[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+        logs = np.log10(self.forward(seqs, seen, seen))[seqs.place]
         ends = np.cumsum(lengths[seqs.order])
         got[seqs.order] = np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
         return got
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], list[str]]]:
-    """ids and tails of rows, about ``most`` tokens together. Of up to BUFFER tokens the longest sequences come first, so that
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], list[str | None]]]:
+    """ids and tails (if there is such a column) of rows, about ``most`` tokens together. Of up to BUFFER tokens the longest sequences come first, so that
     few groups have long ones, each place of which costs a step."""
     ids: list[np.ndarray] = []
-    tails: list[str] = []
+    tails: list[str | None] = []
     size = 0
 
-    def groups() -> Iterator[tuple[list[np.ndarray], list[str]]]:
+    def groups() -> Iterator[tuple[list[np.ndarray], list[str | None]]]:
         for own in by_length(ids, most):
             yield [ids[i] for i in own], [tails[i] for i in own]
 
     for b in batches:
-        for i, tail in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, tail in zip(b.column(0).to_pylist(), b.column(1).to_pylist() if b.num_columns > 1 else [None] * b.num_rows, strict=True):
             ids.append(np.frombuffer(i, "<u2"))
             tails.append(tail)
             size += len(ids[-1])
@@ -231,31 +263,32 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rou
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             own, out, total = sent.value, (np.zeros(states), np.zeros((states, states)), np.zeros((size, states))), 0.0
             shape = lambda k, words, n, table: pa.RecordBatch.from_arrays([k, words, pa.array(n, pa.int64()), *[pa.array(table[:, s], pa.float64()) for s in range(states)]], names=["k", "word", "n", *names])
-            number, counted = {}, np.zeros((0, states + 1))  # words of tails, and their counts and expected ones so far
+            words, parts, room = [], [], Room()  # of tails: words, and the states' posteriors where they stand
 
-            def words() -> pa.RecordBatch:
-                return shape(pa.nulls(len(number), pa.int32()), pa.array(list(number), pa.string()), counted[:, -1].astype(np.int64), np.rint(counted[:, :-1] * 1024) / 1024)  # short numbers take less room
+            def counted() -> pa.RecordBatch:
+                coded, weights = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode(), np.concatenate(parts)
+                which, most = coded.indices.to_numpy(), len(coded.dictionary)
+                table = np.stack([np.bincount(which, weights=weights[:, s], minlength=most) for s in range(states)], axis=1)
+                words.clear()
+                parts.clear()
+                return shape(pa.nulls(most, pa.int32()), coded.dictionary, np.bincount(which, minlength=most), np.rint(table * 1024) / 1024)  # short numbers take less room
 
             for ids, tails in _grouped(batches, GROUP):
                 seqs = Sequences(ids)
-                more, post = own.expect(seqs, out, np.float32)
+                more, post = own.expect(seqs, out, np.float32, room)
                 total += more
                 if last:
-                    which = np.array([number.setdefault(w, len(number)) for i in seqs.order if tails[i] is not None for w in tails[i].split(" ")], dtype=np.int64)
-                    at, size_now = seqs.place[seqs.flat == rare], len(number)
-                    table = np.stack([*[np.bincount(which, weights=post[at, s], minlength=size_now) for s in range(states)], np.bincount(which, minlength=size_now)], axis=1).astype(float)
-                    table[: len(counted)] += counted
-                    counted = table
-                    if len(number) > _COUNTED:
-                        yield words()
-                        number, counted = {}, np.zeros((0, states + 1))
-            if number:
-                yield words()
+                    words.append(pc.split_pattern(pa.array([tails[i] for i in seqs.order if tails[i] is not None], pa.string()), " ").flatten())
+                    parts.append(post[seqs.place[seqs.flat == rare]])
+                    if sum(map(len, words)) >= COUNTED_RARE:
+                        yield counted()
+            if words:
+                yield counted()
             table = np.concatenate([out[2], out[1], out[0][None, :], np.full((1, states), total)])
             used = np.flatnonzero(table.any(axis=1))
             yield shape(pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), np.zeros(len(used), dtype=np.int64), table[used])
 
-        found = encoded.select("ids", "tail").mapInArrow(run, "k int, word string, n long, " + ", ".join(f"{n} double" for n in names))
+        found = encoded.select("ids", *["tail"] * last).mapInArrow(run, "k int, word string, n long, " + ", ".join(f"{n} double" for n in names))
         summed = found.groupBy("k", "word").agg(*[F.sum(n).alias(n) for n in ["n", *names]])
         if last:
             summed = cut(summed)
@@ -279,40 +312,39 @@ def train_and_score(docs: DataFrame, training, states: int = STATES, dictionary:
     n_docs = rows.where("trains").count()
     n, v = words + n_docs, distinct + (n_docs > 0)
     top = most_frequent(counts, dictionary)
-    number = {r["word"].encode("utf-8", "surrogatepass"): i for i, r in enumerate(top)}
+    numbered = pa.array([r["word"] for r in top], pa.string())
     c = np.array([r["c"] for r in top], dtype=np.float64)
     rare, end = len(top), len(top) + 1
     n_rare, v_rare = words - c.sum(), distinct - len(top)
     base_floor, rare_floor = float(n + 0.1 * (v + 1)), float(n_rare + 0.1 * (v_rare + 1))
     base_of = np.log10((c + 0.1) / base_floor)
     end_base = float(np.log10((n_docs + 0.1) / base_floor))
-    sent = docs.sparkSession.sparkContext.broadcast((number, base_of))
+    sent = docs.sparkSession.sparkContext.broadcast((numbered, base_of))
 
-    def encode():
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        number, base_of = sent.value
-
-        def one(texts: list[str]) -> list:
-            nonlocal row
-            ids, base, n_tokens, known, tail = [], [], [], [], []
-            for t in texts:
-                own = words_of(t)
-                at = np.array([number.get(w, -1) for w in own], dtype=np.int64)
-                hit = at >= 0
-                here = at[hit]
-                base.append(base_of[here].sum() + end_base)
-                known.append(len(here) + (n_docs > 0))
-                n_tokens.append(len(own) + 1)
-                tail.append(b" ".join([own[i] for i in np.flatnonzero(~hit)]).decode("utf-8", "surrogatepass") if len(here) < len(own) else None)
-                ids.append(np.append(np.where(hit, at, rare), end).astype("<u2").tobytes())
-            row += len(texts)
-            return [pa.array(np.arange(row - len(texts), row), pa.int64()), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tail, pa.string())]
-
-        return one
-
-    encoded = cut(add_columns(rows, ["text"], "row long, ids binary, n_tokens long, known long, base double, tail string", encode).drop("text"))
+        numbered, base_of = sent.value
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                own, n = words_of(b.column("text"))
+                at = pc.index_in(own, value_set=numbered).fill_null(-1).to_numpy()
+                hit, doc = at >= 0, np.repeat(np.arange(len(n)), n)
+                known, base = np.bincount(doc[hit], minlength=len(n)), np.bincount(doc[hit], weights=base_of[at[hit]], minlength=len(n))
+                ends = np.cumsum(n + 1)
+                ids = np.full(ends[-1], end, dtype="<u2")
+                ids[np.arange(len(at)) + doc] = np.where(hit, at, rare)
+                beyond = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - known)), pa.int32()), own.filter(pa.array(~hit)))
+                tail = pc.if_else(pa.array(known < n), pc.binary_join(beyond, " "), pa.scalar(None, pa.string()))
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(ids)])
+                new = [np.arange(row, row + len(n)), ids, n + 1, known + (n_docs > 0), base + end_base, tail]
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("trains"), *[x if isinstance(x, pa.Array) else pa.array(x) for x in new]], names=names)
+
+    shape = f"{id_type(docs)}, trains boolean, row long, ids binary, n_tokens long, known long, base double, tail string"
+    names = StructType.fromDDL(shape).names
+    encoded = cut(rows.mapInArrow(encode, shape))
 
     shares = np.append(c, [max(n_rare, 0), n_docs]).astype(float) + 0.1
     discard(counts)
@@ -320,9 +352,9 @@ def train_and_score(docs: DataFrame, training, states: int = STATES, dictionary:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     # words beyond the dictionary: counts and shares by a join on the word, one row per document again
-    names = [f"s{i}" for i in range(states)]
-    total = sum((F.col(s) for s in names[1:]), F.col(names[0]))
-    bits = [F.call_function("shiftleft", F.round(F.col(s) / total * 255).cast("long"), F.lit(8 * i)) for i, s in enumerate(names)]
+    by_state = [f"s{i}" for i in range(states)]
+    total = sum((F.col(s) for s in by_state[1:]), F.col(by_state[0]))
+    bits = [F.call_function("shiftleft", F.round(F.col(s) / total * 255).cast("long"), F.lit(8 * i)) for i, s in enumerate(by_state)]
     packed = bits[0]
     for x in bits[1:]:
         packed = packed.bitwiseOR(x)
@@ -331,7 +363,7 @@ def train_and_score(docs: DataFrame, training, states: int = STATES, dictionary:
     every = sum((byte(i) for i in range(1, states)), byte(0))
     sums = by_word.where("shares <> 0").agg(*[F.sum(F.col("c") * byte(i) / every) for i in range(states)]).first()
     weights = np.array([(1 - TIED) / x if x else 0.0 for x in sums])
-    tails = encoded.where("tail is not null").select("row", F.posexplode(F.split("tail", " ")).alias("pos", "word")).join(by_word, "word", "left")
+    tails = encoded.where("tail is not null").select("row", F.posexplode(F.split("tail", " ")).alias("pos", "word")).join(by_word.hint("shuffle_hash"), "word", "left")  # a partition's words are few; their occurrences need no sort
     of = tails.groupBy("row").agg(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(-1)).alias("c"), F.coalesce("shares", F.lit(0)).alias("shares"))).alias("words"))
 
     def forward():
