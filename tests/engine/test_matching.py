@@ -1,6 +1,7 @@
 import random
 
 from tidepool.operators import matching
+from tidepool.plans import queries
 
 PAIRS = "asset_id long, match_id long, regime_score double, behavior_score double, stability_score double, axes_score double, similarity double, weighted_similarity double, comparable boolean, reasons string"
 
@@ -32,3 +33,12 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
 def test_none_match_nothing(spark):
     df = contexts(spark, 20)
     assert matching.context_pairs(df.limit(0), df, PAIRS).count() == 0 and matching.context_pairs(df, df.limit(0), PAIRS).count() == 0
+
+
+def test_the_market_compares_all_contexts_with_all(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    ids = {r["asset_id"] for r in queries._on_market(queries._contexts)(spark, sf_dir).select("asset_id").collect()}
+    got = queries.QUERIES["e14_context_comparison_market"](spark, sf_dir).select("asset_id", "match_id").collect()  # of some columns, too
+    pairs = {(r["asset_id"], r["match_id"]) for r in got}
+    assert any(i % 100 for i in ids) and {(i, i) for i in ids} <= pairs and len(pairs) == len(got)
+    assert {(b, a) for a, b in pairs} == pairs
