@@ -68,3 +68,42 @@ def test_defined_cases(spark):
     assert by["x"]["text"] == by["y"]["text"] == by["z"]["text"] == long  # equal ids don't remove from each other; a null id takes no part
     assert by["w"]["text"] == "é" and by["w"]["tkey"] == 1
     assert sd.digests(df.limit(0)).count() == 0 and sd.deduplicate(df.limit(0)).count() == 0
+
+
+def test_only_suffixes_that_strings_start_at_are_sorted(monkeypatch):
+    """Four fifths of the bytes of short runs are tails of strings: they are not sorted."""
+    rnd = random.Random(3)
+    source = [bytes(rnd.choice(b"aab ") for _ in range(400)) for _ in range(3)]
+    starts = [(rnd.choice(source), rnd.randint(0, 330), rnd.randint(1, 12)) for _ in range(200)]
+    strings = sorted({x[a : a + sd.WIDTH - 1 + n] for x, a, n in starts} | {b"a" * 70, b"a" * 55})
+    owners = np.array([rnd.randint(0, 50) for _ in strings])
+    sorted_directly, seen = sd._sorted_directly, []
+    monkeypatch.setattr(sd, "_sorted_directly", lambda t, at, depth: seen.append(len(at)) or sorted_directly(t, at, depth))
+    run, first, upto, least = sd.least_owners(strings, owners)
+    n = [len(s) - sd.WIDTH + 1 for s in strings]
+    assert sum(seen) <= sum(n) + len(strings)
+    want: dict[bytes, int] = {}
+    for s, owner, k in zip(strings, owners.tolist(), n, strict=True):
+        for i in range(k):
+            want[s[i : i + sd.WIDTH]] = min(owner, want.get(s[i : i + sd.WIDTH], owner))
+    got = {(r, i): v for r, a, b, v in zip(run.tolist(), first.tolist(), upto.tolist(), least.tolist(), strict=True) for i in range(a, b)}
+    assert got == {(r, i): want[s[i : i + sd.WIDTH]] for r, s in enumerate(strings) for i in range(n[r])}
+
+
+def test_texts_side_by_side_have_the_runs_of_each():
+    texts = [(text or "").encode() for _, text in corpus()]
+    texts = [t for t in texts if len(t) >= sd.WIDTH]
+    h, text, start, n = sd.runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    begins = np.cumsum([0, *map(len, texts)])
+    got = sorted(zip(text.tolist(), (start - begins[text]).tolist(), n.tolist(), h.tolist(), strict=True))
+    alone = [(k, a, m, x) for k, t in enumerate(texts) for x, _, a, m in zip(*(v.tolist() for v in sd.runs(np.frombuffer(t, np.uint8), np.array([0, len(t)]))), strict=True)]
+    assert got == sorted(alone) and sum(n) == sum(len(t) - sd.WIDTH + 1 for t in texts)
+
+
+def test_any_number_of_parts_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PART", 700)
+    monkeypatch.setattr(sd, "HELD", 50)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.digests(df).collect()}
+    assert got == brute(rows)

@@ -5,13 +5,14 @@ strings together without moving every suffix, each string is filed under its min
 strings in it: equal strings have equal minimisers, and consecutive strings of a text mostly share one, so that a text
 falls into runs (a run of n strings is n + WIDTH - 1 bytes).
 
-1. Minimisers and the documents they occur in: a grouping with partial minima and maxima keeps those of two documents or
-   more; what is filed under others is unique. The map from documents to their kept minimisers is a join on the minimiser.
-2. Runs filed under kept minimisers; equal runs become one, with the least doc_id.
-3. Suffix arrays over the distinct runs, in blocks of about BLOCK bytes that hold all runs of a minimiser: only suffixes
-   smaller than their successors are sorted directly, the others are induced from them by a scan over the buckets of first
-   bytes; common prefixes of neighbours tell which strings are equal, and each class takes its least doc_id. A minimiser
-   whose distinct runs are over HOT bytes is not held in one block: its strings are filed under themselves instead.
+1. Texts are dealt into parts by a hash. Minimisers go, with their documents and parts and packed by place, to tasks that
+   keep those of two documents or more and tell each part which of its minimisers are; what is filed under others is unique.
+2. Runs filed under kept minimisers, part by part; equal runs become one, with the least doc_id.
+3. Suffix arrays over the distinct runs, in blocks of about BLOCK bytes that hold all runs of a minimiser: of the suffixes
+   that a string starts at, and the few behind them that these are induced from, only those smaller than their successors are
+   sorted directly, the others are induced from them by a scan over the buckets of first bytes; common prefixes of neighbours
+   tell which strings are equal, and each class takes its least doc_id. A minimiser whose distinct runs are over HOT bytes is
+   not held in one block: its strings are filed under themselves instead.
 4. What lies in a class with a smaller doc_id is joined back to the runs' places, and the intervals of a document united.
 
 Every string meets all its equals, whatever the skew; nothing is sampled or capped. Intermediate tables are cut in the
@@ -37,19 +38,21 @@ from .common import add_columns, cut, discard, doc_text, documents, fresh
 
 WIDTH = 50
 GRAM = 16
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 HOT = 1 << 21
 #: Runs are split into ones of so many strings at most.
 LONGEST = 1024
+#: Bytes of texts that are hashed together, minimisers that a task holds before it deals them out, runs that are filed together, and bytes of texts of a part.
+PIECE, HELD, AT_ONCE, PART = 1 << 15, 1 << 21, 1 << 12, 1 << 24
 
 
-def runs(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first string's start and number of strings of each run."""
-    if len(text) < width:
+def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, text's number, first string's place in data and number of strings of each run of the texts data[offsets[k]:offsets[k + 1]], offsets from 0."""
+    if len(data) < width:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    eight = np.ndarray((len(text) - 7,), "<u8", buffer=text, strides=(1,)).copy()
-    m = len(text) - gram + 1
+        return none, none, none, none
+    eight = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,)).copy()
+    m = len(data) - gram + 1
     h = (eight[:m] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[gram - 8 : gram - 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F))
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -60,42 +63,86 @@ def runs(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray,
         done *= 2
     if done < w:
         h = np.minimum(h[: len(h) - (w - done)], h[w - done :])
-    start = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    edges = np.concatenate([offsets[1:-1], offsets[1:] - (width - 1)])  # of texts, and of what would reach beyond them
+    new[edges[(edges > 0) & (edges < len(h))]] = True
+    start = np.flatnonzero(new)
     n = np.diff(np.append(start, len(h)))
-    if n.max() > LONGEST:
+    text = np.searchsorted(offsets, start, side="right") - 1
+    inside = start + width <= offsets[text + 1]
+    text, start, n = text[inside], start[inside], n[inside]
+    if len(n) and n.max() > LONGEST:
         parts = -(-n // LONGEST)
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         n = np.minimum(np.repeat(n, parts) - inner * LONGEST, LONGEST)
-        start = np.repeat(start, parts) + inner * LONGEST
-    return h[start].view(np.int64), start, n
+        text, start = np.repeat(text, parts), np.repeat(start, parts) + inner * LONGEST
+    return h[start].view(np.int64), text, start, n
 
 
-def suffix_array(t: np.ndarray, depth: int = WIDTH + 6) -> np.ndarray:
-    """Starts of the suffixes of bytes t in order of their first ``depth`` bytes at least (ties in any order, side by side)."""
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the first text, bytes and offsets of some texts after the other, about PIECE bytes at a time."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    at = 0
+    while at < len(texts):
+        upto = min(len(texts), max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1))
+        yield at, data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
+        at = upto
+
+
+def _blobs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """values, the first sizes[0] of them as bytes, then the next sizes[1], and so on."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(blobs: list[pa.Array], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x for blob in blobs for x in blob.to_pylist()), dtype=kind)
+
+
+def _smaller(t: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than its successor: if the first byte that differs from its follower is; the last suffix is larger than the empty one."""
+    out = np.append(t[:-1] < t[1:], False)
+    alike = np.flatnonzero(t[:-1] == t[1:])
+    if len(alike):  # as the first one behind them that differs
+        ends = alike[np.append(alike[1:] != alike[:-1] + 1, True)]
+        out[alike] = out[ends[np.searchsorted(ends, alike)] + 1]
+    return out
+
+
+def _words(t: np.ndarray, depth: int) -> np.ndarray:
+    """Eight bytes from each place on, and ``depth`` places beyond the end, as numbers in the order of the bytes."""
+    padded = np.concatenate([t, np.zeros(depth + 8, dtype=np.uint8)])
+    return np.ndarray((len(t) + depth,), ">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+
+
+def suffix_array(t: np.ndarray, depth: int = WIDTH + 6, wanted: np.ndarray | None = None, smaller: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of bytes t in order of their first ``depth`` bytes at least (ties in any order, side by side).
+
+    wanted: which suffixes, if not all; of a suffix larger than its successor the successor as well.
+    """
     n = len(t)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    # a suffix is smaller than its successor if the first byte that differs from its follower is; the last one is larger than the empty one
-    differs = np.flatnonzero(t[:-1] != t[1:])
-    at = np.searchsorted(differs, np.arange(n))
-    smaller = np.zeros(n, dtype=bool)
-    known = at < len(differs)
-    where = differs[at[known]]
-    smaller[known] = t[where] < t[where + 1]
-    direct = _sorted_directly(t, np.flatnonzero(smaller), depth)
+    smaller = _smaller(t) if smaller is None else smaller
+    wanted = np.ones(n, dtype=bool) if wanted is None else wanted
+    direct = _sorted_directly(t, np.flatnonzero(smaller & wanted), depth)
     # buckets of first bytes, each: larger ones as induced, then smaller ones as sorted
     first = t[direct]
     edges = np.searchsorted(first, np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[t[n - 1]].append(np.array([n - 1]))
+    if wanted[n - 1]:
+        induced[t[n - 1]].append(np.array([n - 1]))
+    byte_before = np.full(n, -1, dtype=np.int16)  # of wanted suffixes
+    byte_before[1:][wanted[:-1]] = t[:-1][wanted[:-1]]
     out = []
     for c in range(256):
         own = induced[c]
         k = 0
         while k < len(own):  # runs of one byte induce within their bucket
-            before = own[k] - 1
-            before = before[before >= 0]
-            before = before[t[before] == c]
+            before = own[k][byte_before[own[k]] == c] - 1
             if len(before):
                 own.append(before)
             k += 1
@@ -103,24 +150,22 @@ def suffix_array(t: np.ndarray, depth: int = WIDTH + 6) -> np.ndarray:
         if not len(bucket):
             continue
         out.append(bucket)
-        before = bucket[bucket > 0] - 1
-        byte = t[before]
+        byte = byte_before[bucket]
         later = byte > c
-        before, byte = before[later], byte[later]
+        before, byte = bucket[later] - 1, byte[later].astype(np.uint8)
         order = np.argsort(byte, kind="stable")
         before, byte = before[order], byte[order]
         cuts = np.flatnonzero(byte[1:] != byte[:-1]) + 1
         for part in np.split(before, cuts) if len(before) else ():
             induced[t[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def _sorted_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ``at`` by their first ``depth`` bytes, eight at a time, ties only being sorted further."""
-    padded = np.concatenate([t, np.zeros(depth + 8, dtype=np.uint8)])
-    word = np.ndarray((len(t) + depth,), ">u8", buffer=padded.tobytes(), strides=(1,))
-    key = word[at].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    word = _words(t, depth)
+    key = word[at]
+    order = np.argsort(key)
     at, key = at[order], key[order]
     tied = np.arange(len(at))
     group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(at) else tied
@@ -132,24 +177,27 @@ def _sorted_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         tied, group = tied[again], group[again]
         if not len(tied):
             break
-        key = word[at[tied] + skip].astype(np.uint64)
-        order = np.lexsort((key, group))
+        key = word[at[tied] + skip]
+        by_key = np.argsort(key)
+        rank = np.empty(len(key), dtype=np.int64)
+        rank[by_key] = np.cumsum(np.diff(key[by_key], prepend=key[by_key[:1]]) != 0)
+        both = group * len(key) + rank  # ranks are less than that
+        order = np.argsort(both)
         at[tied] = at[tied][order]
-        key, group = key[order], group[order]
-        group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (key[1:] != key[:-1]))])
+        both = both[order]
+        group = np.concatenate([[0], np.cumsum(both[1:] != both[:-1])])
     return at
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, most: int = WIDTH) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in order, up to ``most``; 0 for the first."""
-    padded = np.concatenate([t, np.zeros(most + 8, dtype=np.uint8)]).tobytes()
-    word = np.ndarray((len(t) + most,), "<u8", buffer=padded, strides=(1,))
+    word = _words(t, most)
     out = np.zeros(len(order), dtype=np.int64)
     live = np.arange(1, len(order))
     for skip in range(0, most, 8):
         if not len(live):
             break
-        apart = word[order[live] + skip] ^ word[order[live - 1] + skip]
+        apart = (word[order[live] + skip] ^ word[order[live - 1] + skip]).byteswap()
         low = apart & (~apart + np.uint64(1))
         same = np.where(apart == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
         out[live] += same
@@ -157,22 +205,32 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, most: int = WIDTH) -> np.n
     return np.minimum(out, most)
 
 
+def _within(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the intervals, none of which overlap."""
+    step = np.zeros(n + 1, dtype=np.int8)
+    step[begins] += 1
+    step[ends] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+
 def least_owners(strings: list[bytes], owners: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For runs of bytes with their least documents: per stretch of equal results run number, first and last-plus-one string, and the least owner of the strings."""
     t = np.frombuffer(b"\xff".join([*strings, b""]), dtype=np.uint8)
     length = np.array([len(s) for s in strings])
     begin = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-    order = suffix_array(t)
-    prefix = common_prefixes(t, order, width)
-    owner_of = np.repeat(owners, length + 1)
-    heads = np.flatnonzero(prefix < width)
-    least = np.minimum.reduceat(owner_of[order], heads)
-    result = np.empty(len(t), dtype=owners.dtype)
-    result[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
     n = length - width + 1
+    # suffixes at which a string starts, and those behind the last one of a run up to one that is sorted directly (as is the one before \xff)
+    smaller = _smaller(t)
+    directly = np.flatnonzero(smaller)
+    wanted, is_string = _within(begin, directly[np.searchsorted(directly, begin + n - 1)] + 1, len(t)), _within(begin, begin + n, len(t))
+    order = suffix_array(t, width + 6, wanted, smaller)
+    order = order[is_string[order]]
+    heads = np.flatnonzero(common_prefixes(t, order, width) < width)
     run = np.repeat(np.arange(len(strings)), n)
-    string = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    value = result[begin[run] + string]
+    string = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    number = np.cumsum(is_string, dtype=np.int32)[order] - 1  # of a string among all of them
+    value = np.empty(len(run), dtype=owners.dtype)
+    value[number] = np.repeat(np.minimum.reduceat(owners[run[number]], heads), np.diff(np.append(heads, len(order))))
     new = np.ones(len(run), dtype=bool)
     new[1:] = (run[1:] != run[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(new)
@@ -214,32 +272,102 @@ def _owned(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (hash of the text), and arrays at, upto of removed byte intervals, which may overlap."""
-    own = _owned(docs)
+    own, spark = _owned(docs), docs.sparkSession
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // PART), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20))), 1)
+    keyed = own.select("doc_id", F.xxhash64("text").alias("tkey"), "text").withColumn("part", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(parts)).cast("int"))
+
+    def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
+
+        def dealt() -> pa.RecordBatch:
+            h, doc, part = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            place = (h & 0xFFFFFFFF) % parts
+            order = np.argsort(place.astype(np.uint16) if parts < 1 << 16 else place, kind="stable")
+            sizes = np.bincount(place, minlength=parts)
+            some = np.flatnonzero(sizes)
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[_blobs(x[order], sizes[some]) for x in (h, doc, part)]], names=["place", "h", "doc", "part"])
 
-    def minimisers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            each = [np.unique(runs(t.encode("utf-8", "surrogatepass"))[0]) for t in b["text"]]
-            yield pd.DataFrame({"h": np.concatenate(each) if each else np.zeros(0, dtype=np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), [len(x) for x in each])})
-
-    found = own.mapInPandas(minimisers, "h long, doc_id long")
-    kept = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    by_doc = cut(found.join(kept.hint("shuffle_hash"), "h").select("doc_id", "h"))
+            docs, part = b["doc_id"].to_numpy(), b["part"].to_numpy()
+            for first, data, offsets in _pieces(b["text"]):
+                h, text, _, _ = runs(data, offsets)
+                held.append((h, docs[first + text], part[first + text]))
+                count += len(h)
+                if count >= HELD:
+                    yield dealt()
+                    count = 0
+        if held:
+            yield dealt()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [(b["h"], b["doc"], b["part"]) for b in batches]
+        if not blobs:
+            return
+        h, doc, part = (_values(list(x), kind) for x, kind in zip(zip(*blobs, strict=True), (np.int64, np.int64, np.int32), strict=True))
+        blobs.clear()
+        if not len(h):
+            return
+        order = np.argsort(h)
+        h, doc, part = h[order], doc[order], part[order]
+        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        apart = np.append(False, (doc[1:] != doc[:-1]) & (h[1:] == h[:-1]))
+        several = np.repeat(np.logical_or.reduceat(apart, heads), np.diff(np.append(heads, len(h))))
+        h, part = h[several], part[several]
+        order = np.lexsort((h, part))
+        h, part = h[order], part[order]
+        once = np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))[: len(h)]
+        h, part = h[once], part[once]
+        of, sizes = np.unique(part, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(of), _blobs(h, sizes)], names=["part", "hs"])
+
+    found = keyed.select("doc_id", "part", "text").mapInArrow(minimisers, "place int, h binary, doc binary, part binary")
+    kept_of = cut(found.repartitionById(parts, "place").mapInArrow(kept, "part int, hs binary"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.Array] = []
+        out: list[tuple] = []
+        known = None
+        size = 0
+
+        def filed() -> pa.RecordBatch:
+            h, doc, key, start, n, raw = (np.concatenate(x) for x in zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), _blobs(raw, n), pa.array(doc), pa.array(key), pa.array(start)], names=["h", "run", "doc_id", "tkey", "start"])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple] = []
-            for name, text, key, kept in zip(b["doc_id"], b["text"], b["tkey"], b["hs"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                h, start, n = runs(raw)
-                hit = np.isin(h, np.asarray(kept))
-                out += [(x, raw[a : a + m + WIDTH - 1], name, key, a) for x, a, m in zip(h[hit].tolist(), start[hit].tolist(), n[hit].tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=["h", "run", "doc_id", "tkey", "start"])
-
-    keyed = own.withColumn("tkey", F.xxhash64("text"))
-    kept_of = by_doc.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # as many as the document has runs
-    filed = keyed.join(kept_of.hint("shuffle_hash"), "doc_id").mapInPandas(split, "h long, run binary, doc_id long, tkey long, start int")
-    filed = cut(filed)
-    discard(by_doc)
+            texts = b.filter(b["hs"].is_null())
+            if len(texts) < len(b):  # they come first
+                some.append(b["hs"].drop_null())
+            if not len(texts):
+                continue
+            if known is None:
+                known = np.unique(_values(some, np.int64))
+                some.clear()
+            if not len(known):
+                continue
+            doc, key = texts["doc_id"].to_numpy(), texts["tkey"].to_numpy()
+            for first, data, offsets in _pieces(texts["text"]):
+                h, text, start, n = runs(data, offsets)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                h, text, start, n = h[hit], text[hit], start[hit], n[hit] + (WIDTH - 1)
+                for at in range(0, len(h), AT_ONCE):  # of a long text some at a time
+                    own = slice(at, at + AT_ONCE)
+                    upto = np.cumsum(n[own])
+                    raw = data[np.arange(upto[-1]) + np.repeat(start[own] - (upto - n[own]), n[own])]
+                    out.append((h[own], doc[first + text[own]], key[first + text[own]], (start - offsets[text])[own].astype(np.int32), n[own], raw))
+                    size += len(raw)
+                    if size >= BLOCK:
+                        yield filed()
+                        size = 0
+        if out:
+            yield filed()
+
+    both = kept_of.selectExpr("part", "hs", "CAST(NULL AS bigint) AS doc_id", "CAST(NULL AS bigint) AS tkey", "CAST(NULL AS string) AS text").unionByName(keyed.withColumn("hs", F.lit(None).cast("binary")))
+    filed = cut(both.repartitionById(parts, "part").sortWithinPartitions(F.col("hs").isNull()).mapInArrow(split, "h long, run binary, doc_id long, tkey long, start int"))
+    discard(kept_of)
     unique = cut(filed.groupBy("h", "run").agg(F.min("doc_id").alias("least"), (F.max("doc_id") > F.min("doc_id")).alias("shared")))
     distinct = unique.select("h", F.xxhash64("run").alias("k"), "run", "least", "shared")
     hot = cut(distinct.groupBy("h").agg(F.sum(F.octet_length("run")).alias("bytes")).where(F.col("bytes") > HOT).select("h"))
@@ -256,7 +384,7 @@ def removals(docs: DataFrame) -> DataFrame:
     blocks = distinct.repartition("h").sortWithinPartitions("h")
     least = cut(blocks.mapInPandas(_least_by_run, "h long, k long, a int, b int, least long"))
     discard(unique)
-    gone = places.join(least, ["h", "k"]).where("doc_id > least").select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("at"), (F.col("start") + F.col("b") + (WIDTH - 1)).alias("upto"))
+    gone = places.join(least.hint("shuffle_hash"), ["h", "k"]).where("doc_id > least").select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("at"), (F.col("start") + F.col("b") + (WIDTH - 1)).alias("upto"))
     return gone.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "upto")).alias("spans")).select("doc_id", "tkey", F.col("spans.at").alias("at"), F.col("spans.upto").alias("upto"))
 
 
