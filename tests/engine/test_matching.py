@@ -30,6 +30,19 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
     assert kept["b_duration"] == df.where("asset_id = 3").first()["duration"] or kept["b_duration"] is None
 
 
+def test_what_is_moved_grows_with_the_contexts(spark, monkeypatch):
+    """No row is repeated for the blocks it meets; of many blocks a task takes several."""
+    df = contexts(spark, 120)
+    table = lambda d: sorted(map(tuple, d.collect()))
+    whole = table(matching.context_pairs(df, df, PAIRS))
+    monkeypatch.setattr(matching, "ROWS", 5)
+    monkeypatch.setattr(matching, "PAIRS", 50)
+    monkeypatch.setattr(matching, "PARTS", (3, 2), raising=False)
+    got = matching.context_pairs(df, df, PAIRS)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 3 * 2
+    assert table(got) == whole and len(whole) > 3000
+
+
 def test_none_match_nothing(spark):
     df = contexts(spark, 20)
     assert matching.context_pairs(df.limit(0), df, PAIRS).count() == 0 and matching.context_pairs(df, df.limit(0), PAIRS).count() == 0
