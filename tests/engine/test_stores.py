@@ -33,3 +33,53 @@ def test_slices_grow_with_the_table(spark):
     df = spark.range(300).selectExpr("id AS seq", "id AS asset_id", "'v8' AS version", "'7D' AS horizon", "50D AS market_confidence", "1D AS allow_raw_score", "2D AS block_raw_score", "3D AS risk_probability", "4D AS support_probability")
     got = stores.played(df, "seq", lambda s: stores.online_thresholds(s, 60, 20), stores.THRESHOLDS, slices=2, most=40)
     assert got.count() == 300 and len(got.inputFiles()) >= 8
+
+
+def test_a_shards_keys_share_cells(spark, monkeypatch):
+    """Many keys in a few cells, over slices and times to live: the stream gives the table's reads, and keeps no more values than cells."""
+    monkeypatch.setattr(stores, "_HOUR", 60_000)
+    rnd, t0 = random.Random(3), dt.datetime(2024, 5, 1)
+    rows = [(i % 2, rnd.choice([-3, *range(40)]), i, t0 + dt.timedelta(seconds=i * 7 // 2), rnd.choice(["put", "get", "get", "delete"]), rnd.choice([None, float(i)])) for i in range(900)]
+    events = spark.createDataFrame(rows, "shard long, key long, event_id long, ts timestamp, action string, value double")
+    ttl = 4 * 60 * 1_000_000
+    want = sorted(map(tuple, stores.stored_reads(events, 4, ttl).collect()), key=lambda r: r[1])
+    got = stores.played(events, "ts", lambda s: stores.stored_reads(s, 4, ttl), stores.READS, late="1 second", slices=7)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want and {r[4] for r in want} == {"hit", "miss", "expired", "evicted"}
+
+
+class _State(dict):
+    """A map state as a processor sees it; counts its calls."""
+
+    calls = 0
+
+    def containsKey(self, k):  # noqa: N802
+        self.calls += 1
+        return k in self
+
+    def getValue(self, k):  # noqa: N802
+        self.calls += 1
+        return self[k]
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.calls += 1
+        self[k] = v
+
+    def exists(self):
+        return False
+
+    def update(self, v):
+        self.n = v
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_state_is_asked_by_cells_not_by_keys():
+    """What a batch asks of the state doesn't grow with its keys."""
+    import pandas as pd
+
+    store, n = stores.ExpiringStore(20, 10**9), 20_000
+    state, puts = _State(), _State()
+    store.init(type("Handle", (), {"getMapState": lambda *_: state, "getValueState": lambda *_: puts, "registerTimer": lambda *_: None})())
+    rows = pd.DataFrame({"shard": 0, "key": [i // 2 for i in range(2 * n)], "event_id": range(2 * n), "ts_us": range(2 * n), "action": ["get", "put"] * n, "value": 1.0})
+    assert len(pd.concat(list(store.handleInputRows((0,), iter([rows]), None)))) == n and state.calls < n // 4
